@@ -53,6 +53,7 @@ def oracle_sql() -> dict[str, str]:
 def _load() -> None:
     # Importing the query modules fills REGISTRY.
     from certlens.plans import queries_reports  # noqa: F401
+    from certlens.plans import queries_lookup  # noqa: F401
     from certlens.plans import queries_rules  # noqa: F401
     from certlens.plans import queries_scalars  # noqa: F401
     from certlens.plans import queries_streaming  # noqa: F401

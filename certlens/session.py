@@ -55,3 +55,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut lineage of a small intermediate result (e.g. a top-k) that is used
+    several times in one plan: write it once to the shared checkpoint folder.
+    Reliable storage, so a lost executor does not force a recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
