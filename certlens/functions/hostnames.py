@@ -66,7 +66,7 @@ def suspicious_keywords(host: Column | str, keywords=SUSPICIOUS_KEYWORDS) -> Col
     """Keywords (in configured order) that occur in the normalised host."""
     norm = normalize_hostname(host)
     kws = F.array(*[F.lit(k) for k in keywords]) if keywords else F.array().cast("array<string>")
-    return F.filter(kws, lambda k: F.locate(F.lower(k), norm) > 0)
+    return F.filter(kws, lambda k: norm.contains(F.lower(k)))
 
 
 _IPV4 = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"

@@ -105,3 +105,63 @@ def trailing(col: str, days: int) -> str:
 
 def in_range(col: str, date_from: str, date_to: str) -> str:
     return f"{col} >= DATE '{date_from}' AND {col} < DATE '{date_to}' + INTERVAL 1 DAY"
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def norm_sql(col: str) -> str:
+    return f"regexp_replace(lower(trim({col})), '\\.+$', '')"
+
+
+def psl_ctes(source: str, host_col: str = "host") -> str:
+    """CTEs computing ``regdom(host, registered_domain)`` for the distinct
+    hosts of ``source`` with the same longest-match rule logic."""
+    from certlens.sources.psl import BUILTIN_RULES
+    rows = []
+    for rule in BUILTIN_RULES:
+        if rule.startswith("!"):
+            rows.append((rule[1:], "exception"))
+        elif rule.startswith("*."):
+            rows.append((rule[2:], "wildcard"))
+        else:
+            rows.append((rule, "normal"))
+    values = ", ".join(f"({_sql_str(s)}, {_sql_str(k)})" for s, k in rows)
+    return f""",
+psl_rules(suffix, kind) AS (VALUES {values}),
+psl_h AS (SELECT DISTINCT {host_col} AS host FROM {source} WHERE {host_col} IS NOT NULL),
+psl_n AS (SELECT host, {norm_sql('host')} AS norm FROM psl_h),
+psl_b AS (SELECT host, v, string_split(v, '.') AS labels, len(string_split(v, '.')) AS n
+          FROM (SELECT host, regexp_replace(CASE WHEN starts_with(norm, '*.') THEN norm[3:] ELSE norm END,
+                                            '^\\.+', '') AS v FROM psl_n) x),
+psl_c AS (SELECT host, n, k, array_to_string(labels[n - k + 1:], '.') AS suffix
+          FROM (SELECT host, n, labels, unnest(range(1, n + 1)) AS k FROM psl_b WHERE v <> '') y),
+psl_hits AS (SELECT host, max(CASE WHEN kind = 'exception' THEN k END) AS exc_k,
+                    max(CASE WHEN kind = 'normal' THEN k END) AS norm_k,
+                    max(CASE WHEN kind = 'wildcard' AND k < n THEN k + 1 END) AS wild_k
+             FROM psl_c JOIN psl_rules USING (suffix) GROUP BY host),
+psl_len AS (SELECT b.host, b.v, b.labels, b.n,
+                   CASE WHEN exc_k IS NOT NULL THEN exc_k - 1
+                        ELSE greatest(coalesce(norm_k, 0), coalesce(wild_k, 0), 1) END AS ps_len
+            FROM psl_b b LEFT JOIN psl_hits h ON h.host = b.host),
+regdom AS (SELECT host, CASE WHEN v = '' THEN ''
+                             ELSE array_to_string(labels[n - least(ps_len + 1, n) + 1:], '.') END AS registered_domain
+           FROM psl_len)"""
+
+
+def tokens_sql(host: str) -> str:
+    labels = f"list_filter(string_split(regexp_replace({norm_sql(host)}, '^[*.]+', ''), '.'), lambda x: x <> '')"
+    return (f"list_transform(range(1, len({labels}) + 1), lambda i: array_to_string({labels}[i:], '.'))")
+
+
+def entropy_sql(s: str) -> str:
+    """Shannon entropy (bits/char) of string expression ``s``."""
+    cnt = f"(length({s}) - length(replace({s}, ch, '')))"
+    return (f"CASE WHEN length({s}) = 0 THEN 0.0 ELSE -list_sum(list_transform(list_distinct(string_split({s}, '')), "
+            f"lambda ch: ({cnt} / length({s})) * log2({cnt} / length({s})))) END")
+
+
+def label_entropy_sql(host: str) -> str:
+    labels = f"list_filter(string_split({norm_sql(host)}, '.'), lambda lab: regexp_full_match(lab, '[a-z0-9-]+'))"
+    return (f"coalesce(list_max(list_transform({labels}, lambda lab: {entropy_sql('lab')})), 0.0)")
