@@ -9,7 +9,7 @@ from certlens.catalog import AS_OF, register
 from certlens.config import IssuerMatching, ORG_STOPWORDS, SUSPICIOUS_KEYWORDS
 from certlens.functions import certcols
 from certlens.functions import hostnames as Hn
-from certlens.functions.unicode import organization_tokens
+from certlens.functions.unicode import with_organization_tokens
 from certlens.operators import issuers as Is
 from certlens.operators import latest as Lt
 from certlens.operators.observations import observation_fanout
@@ -88,7 +88,7 @@ SELECT c_custkey, {_org_tokens_sql('c_name')} AS org_tokens FROM customer
 """)
 def org_tokens(spark, d):
     c = A.read_table(spark, d, "customer")
-    return c.select("c_custkey", organization_tokens(F.col("c_name")).alias("org_tokens"))
+    return with_organization_tokens(c.select("c_custkey", "c_name"), "c_name", "org_tokens").drop("c_name")
 
 
 @register("registered_domain_tokens", "B7", O.psl_ctes("hosts") + f"""
@@ -103,7 +103,7 @@ def registered_domain_tokens(spark, d):
     r = psl.with_registered_domain(h, "host", "rd", rules, len(psl.BUILTIN_RULES))
     # Tokens never span a '.', so tokenising the whole registered domain equals
     # the concatenation of the per-label token lists.
-    return r.select("page_id", organization_tokens(F.col("rd")).alias("domain_tokens"))
+    return with_organization_tokens(r.select("page_id", "rd"), "rd", "domain_tokens").drop("rd")
 
 
 @register("cert_buckets", "B15", f"""

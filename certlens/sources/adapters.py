@@ -94,6 +94,10 @@ def certificate_versions(spark: SparkSession, sf_dir: str, full_schema: bool = F
     if full_schema:
         df = (conform(df, CERTIFICATE_VERSIONS, keep_extra=True)
               .withColumn("validation_type", certcols.validation_type("policy_oids"))
+              .withColumn("issuer_has_non_ascii", certcols.has_non_ascii("issuer_dn"))
+              .withColumn("subject_has_non_ascii", certcols.has_non_ascii("subject_dn"))
+              .withColumn("issuer_dn_length", F.length("issuer_dn"))
+              .withColumn("subject_dn_length", F.length("subject_dn"))
               .withColumn("first_seen", F.col("last_seen")))
     return df
 
