@@ -61,6 +61,17 @@ class Span:
             raise ValueError("date_to must be on or after date_from")
         return cls(as_datetime(d0), as_datetime(d1 + timedelta(days=1)))
 
+    def filter(self, df, col: str, day_col: str = "seen_day"):
+        """``df`` restricted to the span; when the table is partitioned by a
+        day column the same bounds are added on it, so whole day directories
+        are pruned at planning time."""
+        out = df.filter(self.contains(col))
+        if day_col in df.columns:
+            out = out.filter(F.col(day_col) >= date_lit(self.start))
+            if self.end is not None:
+                out = out.filter(F.col(day_col) <= date_lit(self.end))
+        return out
+
     def contains(self, col: Column | str) -> Column:
         c = F.col(col) if isinstance(col, str) else col
         cond = c >= ts_lit(self.start)

@@ -28,7 +28,7 @@ RATE_FLAGS = [
 def _weighted_rows(observations: DataFrame, certificates: DataFrame, span: Span, cert_cols) -> DataFrame:
     """Observation rows in the window, collapsed to (issuer_key, cert_hash, n)
     and joined to the certificate columns needed."""
-    obs = (observations.filter(span.contains("seen_at"))
+    obs = (span.filter(observations, "seen_at")
            .groupBy("issuer_key", "cert_hash").agg(F.count("*").alias("n")))
     return obs.join(certificates.select("cert_hash", *cert_cols), "cert_hash")
 
@@ -92,8 +92,8 @@ def domain_bursts(observations: DataFrame, as_of, window_hours: int = 12,
                   domains: DataFrame | None = None) -> DataFrame:
     """distinct certificates per non-empty registered domain seen in the
     last ``window_hours``; optionally restricted to the given domains."""
-    obs = observations.filter(Span.trailing_hours(as_of, window_hours).contains("seen_at")
-                              & (F.col("registered_domain") != ""))
+    obs = (Span.trailing_hours(as_of, window_hours).filter(observations, "seen_at")
+           .filter(F.col("registered_domain") != ""))
     if domains is not None:
         obs = obs.join(domains.select("registered_domain").distinct(), "registered_domain", "left_semi")
     return obs.groupBy("registered_domain").agg(F.count_distinct("cert_hash").cast("long").alias("cert_count"))

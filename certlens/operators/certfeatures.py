@@ -13,20 +13,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certlens.functions.unicode import host_idna_table, with_organization_tokens
+from certlens.functions.hostnames import normalize_hostname
+from certlens.functions.unicode import idna_info_udf, organization_tokens
 from certlens.sources.psl import registered_domain_table
 
 NAME_INFO = "name_info"
 
 
 def host_table(names: DataFrame, rules: DataFrame, n_rules: int | None, host_col: str = "name") -> DataFrame:
-    """Distinct names -> (name, rd, unicode_hostname, confusable_json, rd_tokens)."""
-    distinct = names.select(F.col(host_col).alias("host")).where(F.col("host").isNotNull()).distinct()
-    rd = registered_domain_table(distinct, rules, "host", n_rules).withColumnRenamed("registered_domain", "rd")
-    idn = host_idna_table(distinct, "host")
-    rd_tokens = with_organization_tokens(rd.select("rd").distinct(), "rd", "rd_tokens")
-    return (rd.join(idn, "host", "left").join(rd_tokens, "rd", "left")
-            .withColumnRenamed("host", "name"))
+    """Distinct names -> (name, rd, unicode_hostname, confusable_json, rd_tokens).
+
+    One chain on the distinct names: suffix-rule aggregate, then the IDNA
+    and token columns as projections (Python only sees ``xn--`` names and
+    non-ASCII domains)."""
+    rd = registered_domain_table(names, rules, host_col, n_rules).withColumnRenamed("registered_domain", "rd")
+    norm = normalize_hostname("host")
+    info = idna_info_udf(F.when(norm.contains("xn--"), F.col("host")))
+    return rd.select(
+        F.col("host").alias("name"), "rd",
+        F.coalesce(info["unicode_hostname"], norm).alias("unicode_hostname"),
+        info["confusable_json"].alias("confusable_json"),
+        organization_tokens(F.col("rd")).alias("rd_tokens"))
 
 
 def name_features(certs: DataFrame, rules: DataFrame, n_rules: int | None = None,

@@ -54,7 +54,7 @@ def latest_updated(df: DataFrame, keys: Sequence[str] | str, columns: Sequence[s
 
 def retained(observations: DataFrame, as_of, days: int = 30, ts_col: str = "seen_at") -> DataFrame:
     """Rows inside the retention window ``[as_of - days, +inf)``."""
-    return observations.filter(Span.trailing(as_of, days).contains(ts_col))
+    return Span.trailing(as_of, days).filter(observations, ts_col)
 
 
 def write_retained(observations: DataFrame, path: str, as_of, days: int = 30) -> None:

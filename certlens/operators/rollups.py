@@ -50,7 +50,7 @@ def daily_issuer_stats(observations: DataFrame, certificates: DataFrame, span: S
                        updated_at=None) -> DataFrame:
     """per (day, issuer_key) exact distinct certs and domains, flag sums
     over observation rows joined to the latest certificate."""
-    obs = (observations.filter(span.contains("seen_at"))
+    obs = (span.filter(observations, "seen_at")
            .select(F.to_date("seen_at").alias("day"), "issuer_key", "cert_hash", "registered_domain")
            .groupBy("day", "issuer_key", "cert_hash", "registered_domain").agg(F.count("*").alias("n")))
     joined = obs.join(_cert_flags(certificates), "cert_hash")
@@ -68,7 +68,7 @@ def daily_issuer_stats(observations: DataFrame, certificates: DataFrame, span: S
 def daily_sigalg_stats(observations: DataFrame, certificates: DataFrame, span: Span,
                        updated_at=None) -> DataFrame:
     """observation rows per (day, issuer_key, sig_alg)."""
-    obs = (observations.filter(span.contains("seen_at"))
+    obs = (span.filter(observations, "seen_at")
            .select(F.to_date("seen_at").alias("day"), "issuer_key", "cert_hash")
            .groupBy("day", "issuer_key", "cert_hash").agg(F.count("*").alias("n")))
     joined = obs.join(certificates.select("cert_hash", "sig_alg"), "cert_hash")

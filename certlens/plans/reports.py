@@ -61,7 +61,7 @@ def issuer_stats_range(observations: DataFrame, certificates: DataFrame, span: S
     certificates per flag. Observations are first reduced to distinct
     cert_hash (flags depend on the certificate only), so the flag counts are
     plain sums instead of seven distinct aggregates."""
-    obs = observations.filter(span.contains("seen_at")).select("cert_hash", "registered_domain")
+    obs = span.filter(observations, "seen_at").select("cert_hash", "registered_domain")
     flags = _cert_flags(certificates)
     per_cert = obs.select("cert_hash").distinct().join(flags, "cert_hash")
     cert_part = per_cert.agg(
@@ -76,7 +76,7 @@ def daily_counts(observations: DataFrame, certificates: DataFrame, span: Span,
                  elevated_score: int = 30) -> DataFrame:
     """Per day distinct certificates, distinct domains and distinct
     certificates with anomaly_score >= ``elevated_score``; ordered by day."""
-    obs = (observations.filter(span.contains("seen_at"))
+    obs = (span.filter(observations, "seen_at")
            .select(F.to_date("seen_at").alias("day"), "cert_hash", "registered_domain")
            .distinct())
     joined = obs.join(certificates.select("cert_hash", "anomaly_score"), "cert_hash")
@@ -161,7 +161,7 @@ def breakdown(observations: DataFrame, certificates: DataFrame, findings: DataFr
         counts = f.groupBy(F.col(group_by).alias("value")).agg(
             F.count_distinct("cert_hash").cast("long").alias("count"))
     elif group_by == "registered_domain":
-        pairs = observations.filter(span.contains("seen_at")).select(
+        pairs = span.filter(observations, "seen_at").select(
             "cert_hash", F.col("registered_domain").alias("value")).distinct()
         counts = pairs.groupBy("value").agg(F.count("*").cast("long").alias("count"))
     else:

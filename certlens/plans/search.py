@@ -95,7 +95,7 @@ def search_certificates(observations: DataFrame, certificates: DataFrame, findin
     is the smallest matching domain (deterministic stand-in for "any")."""
     filters = filters or SearchFilters()
     a = filters.active()
-    obs = observations.filter(span.contains("seen_at"))
+    obs = span.filter(observations, "seen_at")
     if "registered_domain" in a:
         obs = obs.filter(F.col("registered_domain") == a["registered_domain"])
     per_cert = obs.groupBy("cert_hash").agg(F.max("seen_at").alias("last_seen"),
@@ -125,7 +125,7 @@ def domain_activity(observations: DataFrame, certificates: DataFrame, findings:
                     registered_domain: str, span: Span, limit: int) -> DataFrame:
     """Sightings of one registered domain, newest first, one row per
     (seen_at, certificate), with the newest anomaly evidence of the cert."""
-    obs = (observations.filter((F.col("registered_domain") == registered_domain) & span.contains("seen_at"))
+    obs = (span.filter(observations, "seen_at").filter(F.col("registered_domain") == registered_domain)
            .select("seen_at", "cert_hash").distinct())
     certs = certificates.select("cert_hash", "subject_cn", "dns_names", "anomaly_score", "issuer_dn")
     evidence = (findings.filter(F.col("finding_code") == SCORE)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from certlens.functions import certcols
 from certlens.operators.latest import latest_versions
 from certlens.schemas import CERTIFICATE_VERSIONS, conform
+from certlens.sources import store
 
 # Fixed query time for the driver data (events cover 2024-01-01 .. 2024-01-30).
 AS_OF = "2024-01-31 00:00:00"
@@ -39,7 +40,7 @@ def _cert_hash(no) -> F.Column:
     return F.concat(F.lit("cert-"), no.cast("string"))
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ev(spark, sf_dir)
     k = F.col("k")
     return e.select(
@@ -54,7 +55,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def certificate_versions(spark: SparkSession, sf_dir: str, full_schema: bool = False) -> DataFrame:
+def derive_certificate_versions(spark: SparkSession, sf_dir: str, full_schema: bool = False) -> DataFrame:
     """One certificate version per event (``ingest_seq`` = event id)."""
     e = ev(spark, sf_dir).select("event_id", "ts", "value", "cert_no")
     c = read_table(spark, sf_dir, "customer")
@@ -102,13 +103,13 @@ def certificate_versions(spark: SparkSession, sf_dir: str, full_schema: bool = F
     return df
 
 
-def certificates(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
-                 full_schema: bool = False) -> DataFrame:
-    """Latest version per certificate."""
-    return latest_versions(certificate_versions(spark, sf_dir, full_schema), columns=columns)
+def derive_certificates(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
+                        full_schema: bool = False) -> DataFrame:
+    """Latest version per certificate, derived directly (no stored table)."""
+    return latest_versions(derive_certificate_versions(spark, sf_dir, full_schema), columns=columns)
 
 
-def cert_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_cert_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ev(spark, sf_dir).filter(F.col("event_type").isin("purchase", "error"))
     k = F.col("k")
     purchase = F.col("event_type") == "purchase"
@@ -130,6 +131,31 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.regexp_extract("url", "https?://([^/:?#]+)", 1).alias("host"))
 
 
+# ---- stored-table accessors (what reports read) ---------------------------
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored observations (partitioned by ``seen_day``)."""
+    return store.read(spark, sf_dir, "observations")
+
+
+def certificate_versions(spark: SparkSession, sf_dir: str, full_schema: bool = False) -> DataFrame:
+    """Stored certificate versions (full schema plus issuer_key, ingest_seq)."""
+    return store.read(spark, sf_dir, "certificate_versions")
+
+
+def certificates(spark: SparkSession, sf_dir: str, columns: list[str] | None = None,
+                 full_schema: bool = False) -> DataFrame:
+    """Stored latest certificates (one row per cert_hash)."""
+    df = store.read(spark, sf_dir, "certificates")
+    if columns is not None:
+        df = df.select("cert_hash", *[c for c in columns if c != "cert_hash"])
+    return df
+
+
+def cert_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.read(spark, sf_dir, "cert_findings")
+
+
 @dataclass
 class CertTables:
     """The three base tables a report reads."""

@@ -86,34 +86,37 @@ def registered_domain_table(hosts: DataFrame, rules: DataFrame, host_col: str =
     """Distinct hosts -> (host, registered_domain).
 
     Every distinct host is expanded into its label suffixes (a handful of
-    rows), equi-joined to the rule table, and the longest matching rule is
-    chosen per host: an exception rule wins and yields its suffix minus one
-    label; otherwise the longest normal or wildcard (+1 label) match, with
-    the implicit ``*`` rule (the last label) as default. The registered
-    domain is one label more than the public suffix, or the host itself when
-    it has no label beyond it.
+    rows) and left-joined to the rule table (broadcast when its size is
+    known to be small); the longest matching rule is chosen per host in an
+    aggregate on the same key the ``distinct`` already partitioned by, so
+    the whole chain costs one shuffle. An exception rule wins and yields its
+    suffix minus one label; otherwise the longest normal or wildcard (+1
+    label) match, with the implicit ``*`` rule (the last label) as default.
+    The registered domain is one label more than the public suffix, or the
+    host itself when it has no label beyond it.
     """
     d = hosts.select(F.col(host_col).alias("host")).where(F.col("host").isNotNull()).distinct()
     v = F.regexp_replace(_domain_value(F.col("host")), r"^\.+", "")
     base = d.select("host", v.alias("v")).withColumn("labels", F.split("v", r"\."))
-    base = base.withColumn("n", F.size("labels"))
-    cand = base.filter(F.col("v") != "").select(
-        "host", "n", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n")),
-                                              lambda i: F.array_join(F.slice("labels", i, F.col("n") - i + 1), ".")))
-        .alias("pos", "suffix"))
+    base = base.withColumn("n", F.when(F.col("v") == "", F.lit(0)).otherwise(F.size("labels")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.col("n"), F.lit(1))),
+                           lambda i: F.array_join(F.slice("labels", i, F.col("n") - i + 1), "."))
+    cand = base.select("host", "v", "n", F.posexplode_outer(
+        F.when(F.col("n") > 0, suffixes).otherwise(F.array().cast("array<string>"))).alias("pos", "suffix"))
     cand = cand.withColumn("k", F.col("n") - F.col("pos"))
     small = n_rules is not None and n_rules <= MAX_BROADCAST_RULES
     r = F.broadcast(rules) if small else rules
-    hits = cand.join(r, "suffix").groupBy("host").agg(
+    per_host = cand.join(r, "suffix", "left").groupBy("host").agg(
+        F.max("v").alias("v"), F.max("n").alias("n"),
         F.max(F.when(F.col("kind") == "exception", F.col("k"))).alias("exc_k"),
         F.max(F.when(F.col("kind") == "normal", F.col("k"))).alias("norm_k"),
         F.max(F.when((F.col("kind") == "wildcard") & (F.col("k") < F.col("n")), F.col("k") + 1)).alias("wild_k"))
-    j = base.join(hits, "host", "left")
     ps_len = F.when(F.col("exc_k").isNotNull(), F.col("exc_k") - 1).otherwise(
         F.greatest(F.coalesce("norm_k", F.lit(0)), F.coalesce("wild_k", F.lit(0)), F.lit(1)))
     take = F.least(ps_len + 1, F.col("n"))
-    reg = F.array_join(F.slice("labels", F.col("n") - take + 1, take), ".")
-    return j.select("host", F.when(F.col("v") == "", F.lit("")).otherwise(reg).alias("registered_domain"))
+    labels = F.split("v", r"\.")
+    reg = F.array_join(F.slice(labels, F.col("n") - take + 1, take), ".")
+    return per_host.select("host", F.when(F.col("v") == "", F.lit("")).otherwise(reg).alias("registered_domain"))
 
 
 def with_registered_domain(df: DataFrame, host_col: str, out_col: str, rules: DataFrame,
