@@ -82,10 +82,7 @@ def baselines(observations: DataFrame, certificates: DataFrame, daily_stats: Dat
     base = issuer_baseline(observations, certificates, span)
     eku = issuer_common_eku_sets(issuer_common_eku(observations, certificates, span))
     spikes = issuer_trailing_daily(daily_stats, as_of)
-    keys = (base.select("issuer_key").unionByName(eku.select("issuer_key"))
-            .unionByName(spikes.select("issuer_key")).distinct())
-    return (keys.join(base, "issuer_key", "left").join(eku, "issuer_key", "left")
-            .join(spikes, "issuer_key", "left"))
+    return base.join(eku, "issuer_key", "full").join(spikes, "issuer_key", "full")
 
 
 def domain_bursts(observations: DataFrame, as_of, window_hours: int = 12,

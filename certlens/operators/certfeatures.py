@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from certlens.functions.hostnames import normalize_hostname
 from certlens.functions.unicode import idna_info_udf, organization_tokens
+from certlens.session import broadcast_if_small
 from certlens.sources.psl import registered_domain_table
 
 NAME_INFO = "name_info"
+MAX_BURST_BROADCAST = 2_000_000
 
 
 def host_table(names: DataFrame, rules: DataFrame, n_rules: int | None, host_col: str = "name") -> DataFrame:
@@ -49,7 +51,11 @@ def name_features(certs: DataFrame, rules: DataFrame, n_rules: int | None = None
     table = host_table(exploded, rules, n_rules)
     j = exploded.join(table, "name", "left")
     if bursts is not None:
-        j = j.join(bursts.select(F.col("registered_domain").alias("rd"), "cert_count"), "rd", "left")
+        # Only domains at or above the threshold matter; the table is
+        # broadcast when a count shows it is small, else shuffle-joined.
+        hot = bursts.filter(F.col("cert_count") >= burst_threshold).select(
+            F.col("registered_domain").alias("rd"), "cert_count")
+        j = j.join(broadcast_if_small(hot, MAX_BURST_BROADCAST), "rd", "left")
     else:
         j = j.withColumn("cert_count", F.lit(None).cast("long"))
     per = j.groupBy("cert_hash").agg(

@@ -15,6 +15,7 @@ from certlens.config import DEFAULT, Settings
 from certlens.functions.hostnames import has_punycode, highest_label_entropy, suspicious_keywords
 from certlens.functions.timewin import ts_lit
 from certlens.operators.lint import _json, org_columns
+from certlens.session import broadcast_if_small
 
 SIGNAL_TYPE = "struct<ordinal:int,code:string,severity:string,score:int,evidence_json:string>"
 
@@ -116,6 +117,7 @@ def signal_array(settings: Settings = DEFAULT) -> Column:
     )
 
 
+MAX_BASELINE_BROADCAST = 1_000_000
 BASELINE_COLS = {
     "validity_p95": "double", "wildcard_rate": "double", "punycode_rate": "double",
     "common_eku_sets": "array<string>", "current_day_count": "bigint", "trailing_daily_avg": "double",
@@ -129,7 +131,10 @@ def attach_baseline(certs: DataFrame, baselines: DataFrame | None) -> DataFrame:
         for name, dtype in BASELINE_COLS.items():
             out = out.withColumn(name, F.lit(None).cast(dtype))
         return out.withColumn("has_baseline", F.lit(False))
-    b = baselines.select("issuer_key", *BASELINE_COLS.keys()).withColumn("has_baseline", F.lit(True))
+    # One row per issuer: broadcast behind a size check. A shuffle join on
+    # issuer_key would send every certificate of a large issuer to one task.
+    b = broadcast_if_small(baselines.select("issuer_key", *BASELINE_COLS.keys())
+                           .withColumn("has_baseline", F.lit(True)), MAX_BASELINE_BROADCAST)
     return (certs.join(b, "issuer_key", "left")
             .withColumn("has_baseline", F.coalesce("has_baseline", F.lit(False))))
 
@@ -138,7 +143,7 @@ def score_certificates(certs: DataFrame, settings: Settings = DEFAULT) -> DataFr
     """Adds ``signals`` (all, emission order), ``anomaly_score`` (capped sum)
     and ``top_signals`` (3 highest scores, ties by emission order)."""
     sigs = F.filter(signal_array(settings), lambda s: s.isNotNull())
-    ranked = F.array_sort(sigs, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
+    ranked = F.array_sort(F.col("signals"), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
                           .when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
     out = certs.withColumn("signals", sigs)
     out = out.withColumn("anomaly_score", F.least(F.aggregate("signals", F.lit(0), lambda acc, s: acc + s["score"]),

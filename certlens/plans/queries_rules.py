@@ -195,3 +195,43 @@ def anomaly_findings(spark, d):
 
 
 _ = BRAND_KEYWORDS
+
+
+_LINT_RESULTS_SQL = """
+, lr AS (
+  SELECT concat('cert-', CAST(cert_no AS STRING)) AS cert_hash,
+         '{"results": {"e_' || event_type || '_rule": {"result": "' ||
+         CASE k % 5 WHEN 0 THEN 'pass' WHEN 1 THEN 'warn' WHEN 2 THEN 'error' WHEN 3 THEN 'notice' ELSE 'NA' END ||
+         '", "details": "k=' || CAST(k AS VARCHAR) || '", "source": "RFC 5280"}, "n_value.' || CAST(k % 7 AS VARCHAR) ||
+         '": "' || CASE k % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'fatal' WHEN 2 THEN 'ne' ELSE 'bogus' END || '"}}'
+           AS result_json
+  FROM ev),
+items AS (
+  SELECT cert_hash, key AS lint_name, json_extract(json_extract(result_json, '$.results'), '$."' || key || '"') AS raw
+  FROM (SELECT cert_hash, result_json, unnest(json_keys(json_extract(result_json, '$.results'))) AS key FROM lr) x),
+parsed AS (
+  SELECT cert_hash, lint_name,
+         lower(CASE WHEN json_type(raw) = 'OBJECT'
+                    THEN coalesce(nullif(json_extract_string(raw, '$.result'), ''),
+                                  nullif(json_extract_string(raw, '$.status'), ''), '')
+                    ELSE json_extract_string(raw, '$') END) AS status,
+         CASE WHEN json_type(raw) = 'OBJECT'
+              THEN coalesce(nullif(json_extract_string(raw, '$.details'), ''),
+                            nullif(json_extract_string(raw, '$.detail'), ''), '') ELSE '' END AS details,
+         CASE WHEN json_type(raw) = 'OBJECT' THEN json_extract_string(raw, '$.source') END AS source
+  FROM items)
+SELECT cert_hash, 'ZLINT_' || regexp_replace(upper(lint_name), '[^a-zA-Z0-9]', '_', 'g') AS finding_code,
+       CASE status WHEN 'fatal' THEN 'high' WHEN 'error' THEN 'high' WHEN 'warn' THEN 'medium'
+                   WHEN 'notice' THEN 'low' WHEN 'info' THEN 'info' ELSE 'low' END AS severity,
+       CAST(json_object('details', details, 'source', source, 'zlint_name', lint_name, 'zlint_result', status,
+                        'zlint_version', 'unknown') AS VARCHAR) AS evidence_json,
+       """ + O.AS_OF + """ AS created_at
+FROM parsed
+WHERE status <> '' AND status NOT IN ('pass', 'na', 'ne', 'not applicable', 'not effective')
+"""
+
+
+@register("external_lint_findings", "A20", _LINT_RESULTS_SQL)
+def external_lint_findings(spark, d):
+    from certlens.operators.external_lint import external_lint_findings as run
+    return run(A.lint_results(spark, d), AS_OF)

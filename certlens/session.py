@@ -64,3 +64,18 @@ def materialize(df):
     Reliable storage, so a lost executor does not force a recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df, max_rows: int = 1_000_000):
+    """Broadcast ``df`` only behind a checked size bound.
+
+    The frame is persisted (memory, spilling to disk) and counted, so the
+    check and the later join read the same computed rows; it is broadcast
+    only when it has at most ``max_rows`` rows, otherwise the caller's join
+    stays a shuffle join (with AQE skew splitting). A lost executor only
+    means the persisted blocks are recomputed from lineage."""
+    from pyspark import StorageLevel
+    from pyspark.sql import functions as F
+
+    stored = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -126,6 +126,20 @@ def derive_cert_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lint_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """External-linter output per event, derived from ``events``:
+    (cert_hash, result_json) with one object-form and one bare-status result."""
+    e = ev(spark, sf_dir)
+    k = F.col("k")
+    s1 = (F.when(k % 5 == 0, "pass").when(k % 5 == 1, "warn").when(k % 5 == 2, "error")
+          .when(k % 5 == 3, "notice").otherwise("NA"))
+    s2 = F.when(k % 4 == 0, "info").when(k % 4 == 1, "fatal").when(k % 4 == 2, "ne").otherwise("bogus")
+    js = F.concat(F.lit('{"results": {"e_'), F.col("event_type"), F.lit('_rule": {"result": "'), s1,
+                  F.lit('", "details": "k='), k.cast("string"), F.lit('", "source": "RFC 5280"}, "n_value.'),
+                  (k % 7).cast("string"), F.lit('": "'), s2, F.lit('"}}'))
+    return e.select(_cert_hash(F.col("cert_no")).alias("cert_hash"), js.alias("result_json"))
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", F.regexp_extract("url", "https?://([^/:?#]+)", 1).alias("host"))
