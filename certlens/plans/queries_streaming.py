@@ -1 +1,89 @@
-"""Registered queries (filled in below)."""
+"""Registered streaming, ingest-envelope and rescore queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from certlens import oracle as O
+from certlens.catalog import AS_OF, register
+from certlens.plans import rescore as Rs
+from certlens.sources import adapters as A
+from certlens.sources import envelope as Ev
+from certlens.sources import store
+from certlens.streaming import ingest as Ig
+from certlens.streaming import jobs as J
+
+
+@register("stream_tumbling_daily", "L3", """
+SELECT date_trunc('day', seen_at) AS window_start, date_trunc('day', seen_at) + INTERVAL 1 DAY AS window_end,
+       issuer_key, CAST(count(DISTINCT cert_hash) AS BIGINT) AS cert_count,
+       CAST(count(DISTINCT registered_domain) AS BIGINT) AS domain_count, CAST(count(*) AS BIGINT) AS observations
+FROM observations GROUP BY 1, 2, 3
+""")
+def stream_tumbling_daily(spark, d):
+    return J.tumbling_daily_counts(spark, f"{store.ensure_tables(spark, d)}/observations", max_files=8)
+
+
+@register("stream_burst_sliding", "L4", """
+, k AS (SELECT DISTINCT date_trunc('hour', seen_at) AS h, registered_domain, cert_hash
+        FROM observations WHERE registered_domain <> ''),
+w AS (SELECT h - to_hours(i) AS window_start, registered_domain, cert_hash FROM k, range(0, 12) t(i))
+SELECT window_start, window_start + INTERVAL 12 HOUR AS window_end, registered_domain,
+       CAST(count(DISTINCT cert_hash) AS BIGINT) AS cert_count
+FROM w GROUP BY 1, 2, 3
+""")
+def stream_burst_sliding(spark, d):
+    return J.sliding_burst_counts(spark, f"{store.ensure_tables(spark, d)}/observations", 12, 1, max_files=8)
+
+
+_FANOUT_SQL = O.psl_ctes("(SELECT unnest(dns_names) AS host FROM certificate_versions)") + f"""
+, names AS (SELECT ingest_seq, last_seen, cert_hash, issuer_key, unnest(dns_names) AS name
+            FROM certificate_versions),
+per AS (SELECT n.ingest_seq, n.last_seen, n.cert_hash, n.issuer_key, r.registered_domain,
+               list_sort(list_distinct(flatten(list({O.tokens_sql('n.name')})))) AS domain_tokens
+        FROM names n JOIN regdom r ON r.host = n.name
+        WHERE r.registered_domain <> ''
+        GROUP BY 1, 2, 3, 4, 5)
+SELECT last_seen AS seen_at, cert_hash, registered_domain, issuer_key, 'ct-log' AS log_id,
+       'certstream' AS source, domain_tokens
+FROM per
+"""
+
+
+@register("ingest_stream", "L1", _FANOUT_SQL)
+def ingest_stream(spark, d):
+    root = Ig.run_ingest(spark, f"{store.ensure_tables(spark, d)}/certificate_versions")
+    return spark.read.parquet(f"{root}/observations").drop("batch_id")
+
+
+@register("ingest_stream_findings", "L1")
+def ingest_stream_findings(spark, d):
+    root = Ig.run_ingest(spark, f"{store.ensure_tables(spark, d)}/certificate_versions")
+    return spark.read.parquet(f"{root}/cert_findings").drop("batch_id")
+
+
+@register("rescore", "D18")
+def rescore(spark, d):
+    t = A.tables(spark, d)
+    return Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, limit=50)
+
+
+@register("rescore_fast_all", "D18")
+def rescore_fast_all(spark, d):
+    t = A.tables(spark, d)
+    return Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, limit=200, all_certs=True,
+                      fast=True)
+
+
+@register("event_envelope", "A1", """
+SELECT event_id, ts AS seen_at,
+       CASE WHEN k % 3 = 0 THEN 'https://ct.example/' || CAST(k % 2 AS VARCHAR) ELSE 'log-' || CAST(k % 3 AS VARCHAR) END
+         AS log_id,
+       CASE WHEN k % 10 = 0 THEN sha256(event_type) ELSE sha256(props) END AS cert_hash,
+       CAST(1 AS INTEGER) AS chain_len
+FROM ev WHERE event_type IN ('view', 'click', 'purchase')
+""")
+def event_envelope(spark, d):
+    good, _ = Ev.split_quarantine(Ev.parse_messages(A.stream_messages(spark, d)))
+    return good.select("event_id", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"), "log_id", "cert_hash",
+                       F.size("chain_der").alias("chain_len"))

@@ -140,6 +140,28 @@ def lint_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(_cert_hash(F.col("cert_no")).alias("cert_hash"), js.alias("result_json"))
 
 
+def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificate-stream JSON messages derived from ``events`` (event_id, value).
+    Three event types are certificate updates; the leaf is ``as_der`` (the
+    base64 of ``props``) or, when that is empty, ``der`` (base64 of the type)."""
+    e = ev(spark, sf_dir)
+    k = F.col("k")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    seen = F.concat((micros / 1_000_000).cast("long").cast("string"), F.lit("."),
+                    F.lpad((micros % 1_000_000).cast("string"), 6, "0"))
+    b64 = lambda c: F.base64(c.cast("binary"))
+    value = F.concat(
+        F.lit('{"message_type": "'),
+        F.when(F.col("event_type").isin("view", "click", "purchase"), "certificate_update").otherwise("heartbeat"),
+        F.lit('", "data": {"leaf_cert": {"as_der": "'), F.when(k % 10 == 0, F.lit("")).otherwise(b64(F.col("props"))),
+        F.lit('", "der": "'), b64(F.col("event_type")),
+        F.lit('"}, "chain": [{"as_der": ""}, {"cert": "'), b64(F.col("user_id").cast("string")),
+        F.lit('"}], "seen": '), seen,
+        F.lit(', "source": {"name": "'), F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("log-"), (k % 3).cast("string"))),
+        F.lit('", "url": "https://ct.example/'), (k % 2).cast("string"), F.lit('"}}}'))
+    return e.select("event_id", value.alias("value"))
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", F.regexp_extract("url", "https?://([^/:?#]+)", 1).alias("host"))
