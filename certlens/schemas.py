@@ -68,13 +68,13 @@ TABLES = {
 
 # Column defaults applied when an older table lacks a column.
 _DEFAULTS = {
-    "source": F.lit("certstream"),
+    "source": "certstream",
 }
 
 
 def _default(field: T.StructField):
     if field.name in _DEFAULTS:
-        return _DEFAULTS[field.name]
+        return F.lit(_DEFAULTS[field.name])
     dt = field.dataType
     if isinstance(dt, T.ArrayType):
         return F.array().cast(dt)
