@@ -12,6 +12,16 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body``.
+
+    Spark does not share common subexpressions inside higher-order-function
+    lambdas, so an expression referenced several times in a lambda would be
+    re-evaluated each time; binding it through a one-element array avoids it.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize_hostname(host: Column | str) -> Column:
     """Strip surrounding white space, lower-case, drop all trailing dots."""
     trimmed = F.regexp_replace(_c(host), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
@@ -31,11 +41,11 @@ def domain_labels(host: Column | str) -> Column:
 
 def tokenize_domain(host: Column | str) -> Column:
     """All label suffixes, longest first: a.b.c -> [a.b.c, b.c, c]."""
-    parts = domain_labels(host)
-    n = F.size(parts)
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), "."))
-    )
+    def suffixes(parts):
+        n = F.size(parts)
+        return F.when(n == 0, F.array().cast("array<string>")).otherwise(
+            F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n - i + 1), ".")))
+    return let(domain_labels(host), suffixes)
 
 
 def has_punycode(host: Column | str) -> Column:
@@ -44,16 +54,17 @@ def has_punycode(host: Column | str) -> Column:
 
 def shannon_entropy(value: Column | str) -> Column:
     """Shannon entropy in bits per character (0.0 for the empty string)."""
-    s = _c(value)
-    chars = F.split(s, "")
-    n = F.length(s).cast("double")
+    def entropy(chars):
+        n = F.size(chars).cast("double")
+
+        def term(acc, ch):
+            p = F.size(F.filter(chars, lambda x: x == ch)).cast("double") / n
+            return acc - p * F.log2(p)
 
-    def term(acc, ch):
-        p = F.size(F.filter(chars, lambda x: x == ch)).cast("double") / n
-        return acc - p * F.log2(p)
+        return F.aggregate(F.array_distinct(chars), F.lit(0.0), term)
 
-    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.array_distinct(chars), F.lit(0.0), term))
+    s = _c(value)
+    return F.when(F.length(s) == 0, F.lit(0.0)).otherwise(let(F.split(s, ""), entropy))
 
 
 def highest_label_entropy(host: Column | str) -> Column:
@@ -64,9 +75,8 @@ def highest_label_entropy(host: Column | str) -> Column:
 
 def suspicious_keywords(host: Column | str, keywords=SUSPICIOUS_KEYWORDS) -> Column:
     """Keywords (in configured order) that occur in the normalised host."""
-    norm = normalize_hostname(host)
-    kws = F.array(*[F.lit(k) for k in keywords]) if keywords else F.array().cast("array<string>")
-    return F.filter(kws, lambda k: norm.contains(F.lower(k)))
+    kws = F.array(*[F.lit(k.lower()) for k in keywords]) if keywords else F.array().cast("array<string>")
+    return let(normalize_hostname(host), lambda norm: F.filter(kws, lambda k: norm.contains(k)))
 
 
 _IPV4 = r"(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"

@@ -25,13 +25,22 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]))
 
 
-def org_columns(org_tokens_col: str = "org_tokens") -> dict[str, Column]:
-    """Shared organisation-vs-domain terms (sets are sorted distinct arrays)."""
-    org = F.array_sort(F.array_distinct(F.col(org_tokens_col)))
-    dom = F.col("domain_tokens")
-    brands = F.array_sort(F.array_intersect(org, F.array(*[F.lit(b) for b in BRAND_KEYWORDS])))
-    disjoint = F.size(F.array_intersect(org, dom)) == 0
-    return {"org": org, "dom": dom, "brands": brands, "disjoint": disjoint}
+def with_rule_inputs(df: DataFrame) -> DataFrame:
+    """Precompute the terms several rules share (organisation-vs-domain sets,
+    first confusable name) in their own projection, so each is evaluated
+    once per row instead of once per reference."""
+    org = F.array_sort(F.array_distinct(F.col("org_tokens")))
+    out = df.withColumn("_org", org)
+    out = out.withColumn("_brands", F.array_sort(F.array_intersect(
+        F.col("_org"), F.array(*[F.lit(b) for b in BRAND_KEYWORDS]))))
+    out = out.withColumn("_disjoint", F.size(F.array_intersect(F.col("_org"), F.col("domain_tokens"))) == 0)
+    return out.withColumn("_conf", first_confusable(10))
+
+
+def org_columns() -> dict[str, Column]:
+    """Shared organisation-vs-domain terms (see ``with_rule_inputs``)."""
+    return {"org": F.col("_org"), "dom": F.col("domain_tokens"), "brands": F.col("_brands"),
+            "disjoint": F.col("_disjoint")}
 
 
 def with_org_tokens(certs: DataFrame) -> DataFrame:
@@ -54,7 +63,7 @@ def lint_rules(settings: Settings = DEFAULT) -> list[tuple[str, Column, Column,
     org_sev = F.when(ovev, "medium").otherwise("low")
     present_ca_bits = F.array_sort(F.array_intersect(F.array(*[F.lit(x) for x in CA_KEY_USAGES]), c("key_usage")))
     has_org = c("subject_org") != ""
-    conf = first_confusable(10)
+    conf = F.col("_conf")
     return [
         ("SAN_MISSING", F.lit("high"), c("san_count") == 0, _json(subject_cn=c("subject_cn"))),
         ("CN_NOT_IN_SAN", F.lit("info"), (c("subject_cn") != "") & ~F.array_contains(c("dns_names"), c("subject_cn")),
@@ -95,7 +104,7 @@ def lint_findings(certs: DataFrame, created_at, settings: Settings = DEFAULT) ->
     items = F.array(*[F.when(cond, F.struct(F.lit(code).alias("finding_code"), sev.alias("severity"),
                                              ev.alias("evidence_json")))
                       for code, sev, cond, ev in lint_rules(settings)])
-    out = certs.select("cert_hash", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("f"))
+    out = with_rule_inputs(certs).select("cert_hash", F.explode(F.filter(items, lambda x: x.isNotNull())).alias("f"))
     stamp = ts_lit(created_at) if created_at is not None else F.current_timestamp()
     return out.select("cert_hash", "f.finding_code", "f.severity", "f.evidence_json", stamp.alias("created_at"))
 

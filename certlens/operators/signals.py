@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from certlens.config import DEFAULT, Settings
 from certlens.functions.hostnames import has_punycode, highest_label_entropy, suspicious_keywords
 from certlens.functions.timewin import ts_lit
-from certlens.operators.lint import _json, org_columns
+from certlens.operators.lint import _json, org_columns, with_rule_inputs
 from certlens.session import broadcast_if_small
 
 SIGNAL_TYPE = "struct<ordinal:int,code:string,severity:string,score:int,evidence_json:string>"
@@ -31,8 +31,7 @@ def _entropy_matches(threshold: float):
     punycode names count only when confusable (first 10) and are measured on
     their decoded form."""
     info = F.col("name_info")
-    conf_names = F.transform(F.filter(F.slice(info, 1, 10), lambda x: x["confusable_json"].isNotNull()),
-                             lambda x: x["name"])
+    conf_names = F.col("_conf_names")
 
     def measure(x):
         puny = has_punycode(x["name"])
@@ -42,10 +41,26 @@ def _entropy_matches(threshold: float):
         return F.struct(keep.alias("keep"), puny.alias("puny"), e.alias("e"), x["name"].alias("san"))
 
     measured = F.transform(info, measure)
-    hits = F.filter(measured, lambda m: m["keep"] & (m["e"] >= threshold))
+    return F.filter(measured, lambda m: m["keep"] & (m["e"] >= threshold))
+
+
+def with_signal_inputs(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Per-row inputs shared by several signals, each in its own projection
+    (so a value referenced by a condition and its evidence is computed once)."""
+    t = settings.thresholds
+    first10 = F.filter(F.slice(F.col("name_info"), 1, 10), lambda x: x["confusable_json"].isNotNull())
+    out = with_rule_inputs(df)
+    out = out.withColumn("_conf_names", F.transform(first10, lambda x: x["name"]))
+    out = out.withColumn("_confs", F.transform(first10, lambda x: x["confusable_json"]))
+    out = out.withColumn("_hits", _entropy_matches(t.high_entropy_threshold))
     as_match = lambda m: F.struct(F.round(m["e"], 3).alias("entropy"), m["san"].alias("san"))
-    return (F.transform(hits, as_match),
-            F.transform(F.filter(hits, lambda m: m["puny"]), as_match))
+    out = out.withColumn("_ent_all", F.transform("_hits", as_match))
+    out = out.withColumn("_ent_puny", F.transform(F.filter("_hits", lambda m: m["puny"]), as_match))
+    out = out.withColumn("_keywords", F.array_sort(F.array_distinct(F.flatten(
+        F.transform(F.col("dns_names"), lambda n: suspicious_keywords(n, list(t.suspicious_keywords)))))))
+    return out.withColumn("_outlier", F.coalesce(
+        F.col("validity_p95").isNotNull() & (F.col("validity_p95") != 0)
+        & (F.col("validity_days") > F.col("validity_p95")), F.lit(False)))
 
 
 def signal_array(settings: Settings = DEFAULT) -> Column:
@@ -55,14 +70,12 @@ def signal_array(settings: Settings = DEFAULT) -> Column:
     ovev = c("validation_type").isin("OV", "EV")
     has_org = c("subject_org") != ""
     names5 = F.slice(c("dns_names"), 1, 5)
-    ent_all, ent_puny = _entropy_matches(t.high_entropy_threshold)
-    confusables = F.transform(F.filter(F.slice(c("name_info"), 1, 10), lambda x: x["confusable_json"].isNotNull()),
-                              lambda x: x["confusable_json"])
-    keywords = F.array_sort(F.array_distinct(F.flatten(
-        F.transform(c("dns_names"), lambda n: suspicious_keywords(n, list(t.suspicious_keywords))))))
+    ent_all, ent_puny = c("_ent_all"), c("_ent_puny")
+    confusables = c("_confs")
+    keywords = c("_keywords")
     bursts = c("burst_matches")
     p95 = c("validity_p95")
-    outlier = p95.isNotNull() & (p95 != 0) & (c("validity_days") > p95)
+    outlier = c("_outlier")
     rare = (c("has_ip_san") != 0) | (c("has_uri_san") != 0) | (c("has_email_san") != 0)
     eku_key = F.array_join(F.array_sort(c("eku")), ",")
     sets = c("common_eku_sets")
@@ -101,7 +114,7 @@ def signal_array(settings: Settings = DEFAULT) -> Column:
         _signal(11, "validity_outlier", F.lit("medium"), w.validity, outlier,
                 _json(validity_days=c("validity_days"), baseline_p95=p95)),
         _signal(12, "validity_long", F.lit("medium"), w.validity,
-                ~F.coalesce(outlier, F.lit(False)) & (c("validity_days") > t.medium_validity_days),
+                ~outlier & (c("validity_days") > t.medium_validity_days),
                 _json(validity_days=c("validity_days"))),
         _signal(13, "rare_san_types", F.lit("medium"), w.extension, rare,
                 F.to_json(F.struct(F.when(c("has_email_san") != 0, F.lit(True)).alias("has_email_san"),
@@ -145,10 +158,11 @@ def score_certificates(certs: DataFrame, settings: Settings = DEFAULT) -> DataFr
     sigs = F.filter(signal_array(settings), lambda s: s.isNotNull())
     ranked = F.array_sort(F.col("signals"), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1)
                           .when(a["ordinal"] < b["ordinal"], -1).when(a["ordinal"] > b["ordinal"], 1).otherwise(0))
-    out = certs.withColumn("signals", sigs)
+    out = with_signal_inputs(certs, settings).withColumn("signals", sigs)
     out = out.withColumn("anomaly_score", F.least(F.aggregate("signals", F.lit(0), lambda acc, s: acc + s["score"]),
                                                   F.lit(100)))
-    return out.withColumn("top_signals", F.slice(ranked, 1, 3))
+    out = out.withColumn("top_signals", F.slice(ranked, 1, 3))
+    return out.drop(*[c for c in out.columns if c.startswith("_")])
 
 
 def _signal_json(s) -> Column:
