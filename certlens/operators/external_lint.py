@@ -16,6 +16,7 @@ from certlens.config import EXTERNAL_LINT_NON_FINDINGS, EXTERNAL_LINT_SEVERITY
 from certlens.functions.timewin import ts_lit
 
 MAP = "map<string,string>"
+RESULT = "struct<result:string,status:string,details:string,detail:string,source:string>"
 
 
 def finding_code(name: Column) -> Column:
@@ -38,13 +39,14 @@ def external_lint_findings(results: DataFrame, created_at=None, linter_version:
     root = F.from_json(F.col("result_json"), MAP)
     inner = F.when(root.getItem("results").isNotNull(), F.from_json(root.getItem("results"), MAP)).otherwise(root)
     rows = results.select("cert_hash", F.explode(inner).alias("lint_name", "raw"))
-    is_obj = F.ltrim(F.col("raw")).startswith("{")
-    obj = lambda path: F.get_json_object(F.col("raw"), path)
-    status = F.lower(F.when(is_obj, F.coalesce(_nonempty(obj("$.result")), _nonempty(obj("$.status")), F.lit("")))
+    # Each result is parsed once into a struct (NULL for a bare status string).
+    rows = rows.withColumn("o", F.when(F.ltrim(F.col("raw")).startswith("{"), F.from_json("raw", RESULT)))
+    o = F.col("o")
+    status = F.lower(F.when(o.isNotNull(), F.coalesce(_nonempty(o["result"]), _nonempty(o["status"]), F.lit("")))
                      .otherwise(F.coalesce(F.col("raw"), F.lit(""))))
-    details = F.when(is_obj, F.coalesce(_nonempty(obj("$.details")), _nonempty(obj("$.detail")), F.lit(""))) \
+    details = F.when(o.isNotNull(), F.coalesce(_nonempty(o["details"]), _nonempty(o["detail"]), F.lit(""))) \
         .otherwise(F.lit(""))
-    source = F.when(is_obj, obj("$.source"))
+    source = o["source"]
     parsed = rows.select("cert_hash", "lint_name", status.alias("status"), details.alias("details"),
                          source.alias("source"))
     kept = parsed.filter((F.col("status") != "") & ~F.col("status").isin(*EXTERNAL_LINT_NON_FINDINGS))
