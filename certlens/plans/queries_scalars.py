@@ -206,3 +206,15 @@ WHERE {O.trailing('seen_at', RETENTION_DAYS)}
 def retention(spark, d):
     return Lt.retained(A.observations(spark, d), AS_OF, RETENTION_DAYS).select(
         "seen_at", "cert_hash", "registered_domain", "issuer_key", "log_id")
+
+
+@register("hostname_unicode", "B5", f"""
+SELECT DISTINCT host,
+       CASE WHEN contains({O.norm_sql('host')}, 'xn--') THEN NULL ELSE {O.norm_sql('host')} END AS unicode_hostname,
+       FALSE AS has_confusable
+FROM hosts WHERE host IS NOT NULL
+""")
+def hostname_unicode(spark, d):
+    from certlens.functions.unicode import host_idna_table
+    t = host_idna_table(A.hosts(spark, d), "host")
+    return t.select("host", "unicode_hostname", F.col("confusable_json").isNotNull().alias("has_confusable"))
