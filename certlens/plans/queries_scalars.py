@@ -218,3 +218,54 @@ def hostname_unicode(spark, d):
     from certlens.functions.unicode import host_idna_table
     t = host_idna_table(A.hosts(spark, d), "host")
     return t.select("host", "unicode_hostname", F.col("confusable_json").isNotNull().alias("has_confusable"))
+
+
+_A8_COLS = ["subject_cn", "subject_dn", "subject_org", "issuer_cn", "issuer_dn", "serial_number", "not_before",
+            "dns_names", "san_count", "validity_days", "key_type", "key_size", "sig_alg", "eku", "key_usage",
+            "basic_constraints_ca", "policy_oids", "aia_ocsp_urls", "validation_type", "has_ip_san",
+            "has_must_staple", "subject_dn_length", "issuer_dn_length"]
+
+
+@register("certificate_features", "A8", """
+, x AS (
+  SELECT c_custkey AS k, c_name, c_mktsegment AS seg, c_nationkey AS nk, c_acctbal,
+         CAST(c_custkey % 20 AS VARCHAR) AS site,
+         CASE WHEN c_custkey % 2 = 0 THEN 'Org ' || CAST(c_nationkey AS VARCHAR) ELSE '' END AS org
+  FROM customer),
+f AS (
+  SELECT k AS c_custkey, c_name AS subject_cn,
+         CASE WHEN org <> '' THEN 'O=' || org || ',CN=' || c_name ELSE 'CN=' || c_name END AS subject_dn,
+         org AS subject_org, seg || ' CA' AS issuer_cn, 'CN=' || seg || ' CA,O=' || seg || ' Trust,C=US' AS issuer_dn,
+         '0x' || lower(hex(k + 1)) AS serial_number,
+         TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(k % 28 AS INTEGER)) AS not_before,
+         ['www.site' || site || '.example', 'login.site' || site || '.example'] AS dns_names, 2 AS san_count,
+         CAST(floor(abs(c_acctbal) / 12) AS INTEGER) AS validity_days,
+         CASE k % 4 WHEN 0 THEN 'RSA' WHEN 1 THEN 'RSA' WHEN 2 THEN 'ECDSA' ELSE 'Ed25519' END AS key_type,
+         CASE k % 4 WHEN 0 THEN 1024 WHEN 1 THEN 2048 ELSE 256 END AS key_size,
+         CASE k % 5 WHEN 0 THEN 'SHA1' WHEN 1 THEN 'SHA384' ELSE 'SHA256' END AS sig_alg,
+         CASE k % 4 WHEN 0 THEN ['serverAuth'] WHEN 1 THEN ['serverAuth', 'clientAuth'] WHEN 2 THEN ['emailProtection']
+              ELSE ['clientAuth', 'serverAuth'] END AS eku,
+         CASE WHEN k % 29 = 0 THEN ['digitalSignature', 'keyEncipherment', 'keyCertSign']
+              ELSE ['digitalSignature', 'keyEncipherment'] END AS key_usage,
+         CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END AS basic_constraints_ca,
+         CASE k % 5 WHEN 0 THEN ['2.23.140.1.1'] WHEN 1 THEN ['2.23.140.1.2.2'] WHEN 2 THEN ['2.23.140.1.2.1']
+              WHEN 3 THEN ['2.23.140.1.2.1', '2.23.140.1.2.2'] ELSE ['1.3.6.1.4.1'] END AS policy_oids,
+         CASE WHEN k % 6 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['http://ocsp' || site || '.example'] END AS aia_ocsp_urls,
+         CASE WHEN k % 13 = 0 THEN 1 ELSE 0 END AS has_ip_san,
+         CASE WHEN k % 23 = 0 THEN 1 ELSE 0 END AS has_must_staple
+  FROM x)
+SELECT *, CASE WHEN list_contains(policy_oids, '2.23.140.1.1') THEN 'EV'
+               WHEN list_contains(policy_oids, '2.23.140.1.2.2') THEN 'OV'
+               WHEN list_contains(policy_oids, '2.23.140.1.2.1') THEN 'DV' ELSE 'Unknown' END AS validation_type,
+       length(subject_dn) AS subject_dn_length, length(issuer_dn) AS issuer_dn_length
+FROM f
+""")
+def certificate_features(spark, d):
+    from certlens.operators.features import extract_features
+    from certlens.sources.dersynth import customer_certificates
+    ders = customer_certificates(A.read_table(spark, d, "customer"))
+    keyed = ders.select("c_custkey", F.sha2("der", 256).alias("cert_hash"))
+    good, _ = extract_features(ders.select("der"))
+    return keyed.join(good, "cert_hash").select(
+        "c_custkey", *[F.col(c).cast("timestamp_ntz").alias(c) if c == "not_before" else F.col(c)
+                       for c in _A8_COLS])
