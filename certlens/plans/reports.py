@@ -13,7 +13,7 @@ from __future__ import annotations
 from datetime import timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certlens.config import BREAKDOWN_LABELS
@@ -183,3 +183,26 @@ def severity_totals(findings: DataFrame, span: Span) -> DataFrame:
     f = findings.filter(span.contains("created_at") & (F.col("finding_code") != "ANOMALY_SCORE"))
     return (f.groupBy("severity").agg(F.count_distinct("cert_hash").cast("long").alias("cert_count"))
             .orderBy(F.desc("cert_count"), F.asc("severity")))
+
+
+def multi_breakdown(certificates: DataFrame, span: Span, dims: list[str], limit: int) -> DataFrame:
+    """Top ``limit`` values of several certificate dimensions in one pass:
+    every certificate row is expanded into (dimension, value) pairs, counted
+    in one aggregate (combined map-side) and ranked per dimension.
+    Output: (group_by, value, count, rank)."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("group_by"), cert_dimension(d).alias("value")) for d in dims])
+    c = certificates.filter(span.contains("last_seen")).select(F.explode(pairs).alias("p")).select("p.*")
+    counts = c.groupBy("group_by", "value").agg(F.count("*").cast("long").alias("count"))
+    w = Window.partitionBy("group_by").orderBy(F.desc("count"), F.asc("value"))
+    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+
+
+def multi_finding_breakdown(findings: DataFrame, span: Span, limit: int) -> DataFrame:
+    """finding_code and severity breakdowns (distinct certificates) in one pass."""
+    f = findings.filter(span.contains("created_at"))
+    pairs = F.array(F.struct(F.lit("finding_code").alias("group_by"), F.col("finding_code").alias("value")),
+                    F.struct(F.lit("severity").alias("group_by"), F.col("severity").alias("value")))
+    p = f.select("cert_hash", F.explode(pairs).alias("p")).select("cert_hash", "p.*").filter(F.col("value") != "")
+    counts = p.groupBy("group_by", "value").agg(F.count_distinct("cert_hash").cast("long").alias("count"))
+    w = Window.partitionBy("group_by").orderBy(F.desc("count"), F.asc("value"))
+    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

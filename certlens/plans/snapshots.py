@@ -31,6 +31,15 @@ def _sorted_buckets(col_value="value", col_count="count") -> Column:
                         .when(a["value"] < b["value"], -1).when(a["value"] > b["value"], 1).otherwise(0))
 
 
+def breakdowns_json(tops: DataFrame, days: int, issuer: str) -> DataFrame:
+    """(part, json) per dimension from a (group_by, value, count, rank) frame."""
+    labels = F.create_map(*[x for d, lbl in BREAKDOWN_LABELS.items() for x in (F.lit(d), F.lit(lbl))])
+    return tops.groupBy("group_by").agg(_sorted_buckets().alias("buckets")).select(
+        F.concat(F.lit("b:"), F.col("group_by")).alias("part"),
+        F.to_json(F.struct(F.lit(issuer).alias("issuer"), F.lit(days).alias("days"), F.col("group_by"),
+                           labels[F.col("group_by")].alias("label"), F.col("buckets"))).alias("json"))
+
+
 def breakdown_json(top: DataFrame, group_by: str, days: int, issuer: str) -> DataFrame:
     """One row: (json) of a breakdown result in the stored payload form."""
     return top.agg(F.to_json(F.struct(
@@ -40,11 +49,11 @@ def breakdown_json(top: DataFrame, group_by: str, days: int, issuer: str) -> Dat
 
 def _profile_json(certs: DataFrame, span: Span, days: int, issuer: str) -> DataFrame:
     prof = G.issuer_profile(certs, span)
-    tops = [G.profile_top(certs, span, dim, 5).agg(_sorted_buckets().alias(name))
-            for dim, name in [("sig_alg", "top_signature_algorithms"), ("key_type", "top_key_types"),
-                              ("key_size", "top_key_sizes"), ("eku_set", "top_eku_sets"),
-                              ("validation_type", "top_validation_types")]]
-    row = G.merge_single_rows(prof, *tops)
+    names = {"sig_alg": "top_signature_algorithms", "key_type": "top_key_types", "key_size": "top_key_sizes",
+             "eku_set": "top_eku_sets", "validation_type": "top_validation_types"}
+    lists = G.multi_breakdown(certs, span, list(names), 5).groupBy("group_by").agg(_sorted_buckets().alias("b"))
+    tops = lists.agg(*[F.max(F.when(F.col("group_by") == d, F.col("b"))).alias(n) for d, n in names.items()])
+    row = G.merge_single_rows(prof, tops)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return row.select(F.to_json(F.struct(
         F.lit(issuer).alias("issuer"), F.lit(days).alias("days"),
@@ -92,20 +101,23 @@ def snapshot_payload(observations: DataFrame, certificates: DataFrame, findings:
         _anomalies_json(findings, certificates, as_of, min(days, 14), 12, issuer)
         .select(F.lit("anomalies").alias("part"), "json"),
     ]
-    for dim in DASHBOARD_GROUP_BYS:
-        top = G.breakdown(observations, certificates, findings, dim, span, 12)
-        parts.append(breakdown_json(top, dim, days, issuer).select(F.lit(f"b:{dim}").alias("part"), "json"))
+    cert_dims = [d for d in DASHBOARD_GROUP_BYS if d not in ("finding_code", "severity", "registered_domain")]
+    parts.append(breakdowns_json(G.multi_breakdown(certificates, span, cert_dims, 12), days, issuer))
+    parts.append(breakdowns_json(G.multi_finding_breakdown(findings, span, 12), days, issuer))
+    top = G.breakdown(observations, certificates, findings, "registered_domain", span, 12)
+    parts.append(breakdown_json(top, "registered_domain", days, issuer)
+                 .select(F.lit("b:registered_domain").alias("part"), "json"))
     unioned = reduce(lambda a, b: a.unionByName(b), parts)
     m = F.map_from_entries(F.collect_list(F.struct("part", "json")))
     stamp = as_datetime(as_of).isoformat() + "+00:00"
-    breakdowns = ",".join(f'"{dim}":' + "{" + dim + "}" for dim in DASHBOARD_GROUP_BYS)
     pieces = [F.lit(f'{{"issuer":"{issuer}","days":{days},"updated_at":"{stamp}","aggregated_counts":'),
               m["aggregated_counts"], F.lit(',"profile":'), m["profile"], F.lit(',"findings":'), m["findings"],
               F.lit(',"anomalies":'), m["anomalies"], F.lit(',"breakdowns":{')]
     for i, dim in enumerate(DASHBOARD_GROUP_BYS):
-        pieces += [F.lit(("," if i else "") + f'"{dim}":'), m[f"b:{dim}"]]
+        empty = (f'{{"issuer":"{issuer}","days":{days},"group_by":"{dim}",'
+                 f'"label":"{BREAKDOWN_LABELS[dim]}","buckets":[]}}')
+        pieces += [F.lit(("," if i else "") + f'"{dim}":'), F.coalesce(m[f"b:{dim}"], F.lit(empty))]
     pieces.append(F.lit("}}"))
-    _ = breakdowns
     return unioned.agg(F.concat(*pieces).alias("payload_json")).select(
         F.lit(days).alias("days"), "payload_json", ts_lit(as_of).alias("updated_at"))
 
