@@ -29,12 +29,11 @@ def with_rule_inputs(df: DataFrame) -> DataFrame:
     """Precompute the terms several rules share (organisation-vs-domain sets,
     first confusable name) in their own projection, so each is evaluated
     once per row instead of once per reference."""
-    org = F.array_sort(F.array_distinct(F.col("org_tokens")))
-    out = df.withColumn("_org", org)
-    out = out.withColumn("_brands", F.array_sort(F.array_intersect(
-        F.col("_org"), F.array(*[F.lit(b) for b in BRAND_KEYWORDS]))))
-    out = out.withColumn("_disjoint", F.size(F.array_intersect(F.col("_org"), F.col("domain_tokens"))) == 0)
-    return out.withColumn("_conf", first_confusable(10))
+    out = df.withColumns({"_org": F.array_sort(F.array_distinct(F.col("org_tokens"))),
+                          "_conf": first_confusable(10)})
+    return out.withColumns({
+        "_brands": F.array_sort(F.array_intersect(F.col("_org"), F.array(*[F.lit(b) for b in BRAND_KEYWORDS]))),
+        "_disjoint": F.size(F.array_intersect(F.col("_org"), F.col("domain_tokens"))) == 0})
 
 
 def org_columns() -> dict[str, Column]:

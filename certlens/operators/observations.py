@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certlens.functions.hostnames import tokenize_domain
-from certlens.sources.psl import with_registered_domain
+from certlens.sources.psl import registered_domain_table
 
 EVENT_COLS = ["seen_at", "cert_hash", "issuer_key", "log_id"]
 
@@ -22,10 +22,13 @@ def observation_fanout(events: DataFrame, rules: DataFrame, n_rules: int | None
     the per-event regrouping collects at most the names of one certificate.
     """
     names = events.select(key, *EVENT_COLS, F.explode_outer("dns_names").alias("name"))
-    resolved = with_registered_domain(names, "name", "rd", rules, n_rules)
+    # Registered domain and suffix tokens are computed once per distinct name.
+    table = (registered_domain_table(names, rules, "name", n_rules)
+             .select(F.col("host").alias("name"), F.col("registered_domain").alias("rd"),
+                     tokenize_domain("host").alias("tokens")))
+    resolved = names.join(table, "name", "left")
     item = F.struct(F.coalesce("rd", F.lit("")).alias("rd"),
-                    F.when(F.col("name").isNull(), F.array().cast("array<string>"))
-                    .otherwise(tokenize_domain("name")).alias("tokens"))
+                    F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
     per_event = resolved.groupBy(key, *EVENT_COLS).agg(F.collect_list(item).alias("items"))
     named = F.filter("items", lambda x: x["rd"] != "")
     domains = F.array_sort(F.array_distinct(F.transform(named, lambda x: x["rd"])))

@@ -50,17 +50,18 @@ def with_signal_inputs(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     t = settings.thresholds
     first10 = F.filter(F.slice(F.col("name_info"), 1, 10), lambda x: x["confusable_json"].isNotNull())
     out = with_rule_inputs(df)
-    out = out.withColumn("_conf_names", F.transform(first10, lambda x: x["name"]))
-    out = out.withColumn("_confs", F.transform(first10, lambda x: x["confusable_json"]))
+    out = out.withColumns({
+        "_conf_names": F.transform(first10, lambda x: x["name"]),
+        "_confs": F.transform(first10, lambda x: x["confusable_json"]),
+        "_keywords": F.array_sort(F.array_distinct(F.flatten(
+            F.transform(F.col("dns_names"), lambda n: suspicious_keywords(n, list(t.suspicious_keywords)))))),
+        "_outlier": F.coalesce(F.col("validity_p95").isNotNull() & (F.col("validity_p95") != 0)
+                               & (F.col("validity_days") > F.col("validity_p95")), F.lit(False)),
+    })
     out = out.withColumn("_hits", _entropy_matches(t.high_entropy_threshold))
     as_match = lambda m: F.struct(F.round(m["e"], 3).alias("entropy"), m["san"].alias("san"))
-    out = out.withColumn("_ent_all", F.transform("_hits", as_match))
-    out = out.withColumn("_ent_puny", F.transform(F.filter("_hits", lambda m: m["puny"]), as_match))
-    out = out.withColumn("_keywords", F.array_sort(F.array_distinct(F.flatten(
-        F.transform(F.col("dns_names"), lambda n: suspicious_keywords(n, list(t.suspicious_keywords)))))))
-    return out.withColumn("_outlier", F.coalesce(
-        F.col("validity_p95").isNotNull() & (F.col("validity_p95") != 0)
-        & (F.col("validity_days") > F.col("validity_p95")), F.lit(False)))
+    return out.withColumns({"_ent_all": F.transform("_hits", as_match),
+                            "_ent_puny": F.transform(F.filter("_hits", lambda m: m["puny"]), as_match)})
 
 
 def signal_array(settings: Settings = DEFAULT) -> Column:

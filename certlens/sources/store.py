@@ -34,7 +34,11 @@ def write_tables(spark: SparkSession, sf_dir: str, root: str) -> None:
     from certlens.sources import adapters as A
 
     obs = A.derive_observations(spark, sf_dir).withColumn("seen_day", F.to_date("seen_at"))
-    (obs.repartition("seen_day").write.mode("overwrite").partitionBy("seen_day")
+    # Spread every day over ``files_per_day`` tasks/files (hash of cert_hash):
+    # repartitioning by the day alone would send a whole day to one task.
+    files_per_day = int(spark.conf.get("certlens.store.filesPerDay", "4"))
+    bucket = F.pmod(F.xxhash64("cert_hash"), F.lit(files_per_day))
+    (obs.repartition("seen_day", bucket).write.mode("overwrite").partitionBy("seen_day")
      .parquet(f"{root}/observations"))
     versions = A.derive_certificate_versions(spark, sf_dir, full_schema=True)
     versions.write.mode("overwrite").parquet(f"{root}/certificate_versions")
