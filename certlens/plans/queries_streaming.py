@@ -21,7 +21,7 @@ SELECT date_trunc('day', seen_at) AS window_start, date_trunc('day', seen_at) +
 FROM observations GROUP BY 1, 2, 3
 """)
 def stream_tumbling_daily(spark, d):
-    return J.tumbling_daily_counts(spark, f"{store.ensure_tables(spark, d)}/observations", max_files=8)
+    return J.tumbling_daily_counts(spark, f"{store.ensure_tables(spark, d)}/observations", max_files=48)
 
 
 @register("stream_burst_sliding", "L4", """
@@ -33,7 +33,7 @@ SELECT window_start, window_start + INTERVAL 12 HOUR AS window_end, registered_d
 FROM w GROUP BY 1, 2, 3
 """)
 def stream_burst_sliding(spark, d):
-    return J.sliding_burst_counts(spark, f"{store.ensure_tables(spark, d)}/observations", 12, 1, max_files=8)
+    return J.sliding_burst_counts(spark, f"{store.ensure_tables(spark, d)}/observations", 12, 1, max_files=48)
 
 
 _FANOUT_SQL = O.psl_ctes("(SELECT unnest(dns_names) AS host FROM certificate_versions)") + f"""
