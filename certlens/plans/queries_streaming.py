@@ -87,3 +87,17 @@ def event_envelope(spark, d):
     good, _ = Ev.split_quarantine(Ev.parse_messages(A.stream_messages(spark, d)))
     return good.select("event_id", F.col("seen_at").cast("timestamp_ntz").alias("seen_at"), "log_id", "cert_hash",
                        F.size("chain_der").alias("chain_len"))
+
+
+@register("ingest_counters", "A16", """
+SELECT CAST(count(*) AS BIGINT) AS received_events,
+       CAST(count(*) FILTER (WHERE k % 3 <> 0) AS BIGINT) AS matched_events,
+       CAST(count(*) FILTER (WHERE k % 3 = 0) AS BIGINT) AS filtered_events,
+       CAST(0 AS BIGINT) AS processing_errors
+FROM ev WHERE event_type IN ('view', 'click', 'purchase')
+""")
+def ingest_counters(spark, d):
+    parsed = Ev.parse_messages(A.stream_messages(spark, d))
+    # "matched" = the event passes the source filter (log id from a named source).
+    counters = Ev.ingest_counters(parsed, F.col("log_id").startswith("log-"))
+    return counters.select(*[F.col(c).cast("long").alias(c) for c in counters.columns])

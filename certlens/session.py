@@ -17,6 +17,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # Remove checkpoint files of intermediates once they are unreferenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -78,4 +80,16 @@ def broadcast_if_small(df, max_rows: int = 1_000_000):
     from pyspark.sql import functions as F
 
     stored = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(stored)
     return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
+_PERSISTED: list = []
+
+
+def release_persisted() -> None:
+    """Unpersist the frames pinned by ``broadcast_if_small`` (called at the
+    end of every streaming micro-batch so a long-running job does not
+    accumulate them)."""
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()

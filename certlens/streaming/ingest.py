@@ -26,7 +26,7 @@ from certlens.operators import signals as Sg
 from certlens.operators.certfeatures import attach_name_features
 from certlens.operators.latest import dedupe_batch, latest_versions
 from certlens.operators.observations import observation_fanout
-from certlens.session import shared_path
+from certlens.session import release_persisted, shared_path
 from certlens.sources import psl
 from certlens.streaming.jobs import file_stream, run_batches
 
@@ -73,6 +73,7 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
     stored_certs.write.mode("overwrite").parquet(f"{root}/certificates/batch_id={batch_id}")
     obs.write.mode("overwrite").parquet(f"{root}/observations/batch_id={batch_id}")
     findings.write.mode("overwrite").parquet(f"{root}/cert_findings/batch_id={batch_id}")
+    release_persisted()
 
 
 def run_ingest(spark: SparkSession, source_dir: str, root: str | None = None, max_files: int | None = None,

@@ -76,7 +76,8 @@ def tumbling_daily_counts(spark: SparkSession, source_dir: str, max_files: int |
 def tumbling_daily_approx(stream: DataFrame, watermark: str = "30 days") -> DataFrame:
     """Native streaming variant (append/update output): approximate distinct
     counts per (day, issuer) with a watermark bounding the state."""
-    return (stream.withWatermark("seen_at", watermark)
+    # Watermarks need a zoned timestamp; with the UTC session the wall clock is unchanged.
+    return (stream.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", watermark)
             .groupBy(F.window("seen_at", "1 day"), "issuer_key")
             .agg(F.approx_count_distinct("cert_hash").alias("cert_count_approx"), F.count("*").alias("observations")))
 
