@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import uuid
+
 from certlens import oracle as O
+from certlens.config import IssuerMatching
+from certlens.session import shared_path
 from certlens.catalog import AS_OF, register
 from certlens.plans import rescore as Rs
 from certlens.sources import adapters as A
@@ -101,3 +105,23 @@ def ingest_counters(spark, d):
     # "matched" = the event passes the source filter (log id from a named source).
     counters = Ev.ingest_counters(parsed, F.col("log_id").startswith("log-"))
     return counters.select(*[F.col(c).cast("long").alias(c) for c in counters.columns])
+
+
+MESSAGE_FAMILY = IssuerMatching(match_mode="hybrid", issuer_substrings=("building", "MACHINERY"))
+
+
+@register("ingest_messages", "L1", """
+SELECT e.ts AS seen_at, 'site' || CAST(c.c_custkey % 20 AS VARCHAR) || '.example' AS registered_domain,
+       e.event_type AS log_id, 'certstream' AS source,
+       list_sort(['www.site' || CAST(c.c_custkey % 20 AS VARCHAR) || '.example',
+                  'login.site' || CAST(c.c_custkey % 20 AS VARCHAR) || '.example',
+                  'site' || CAST(c.c_custkey % 20 AS VARCHAR) || '.example', 'example']) AS domain_tokens
+FROM ev e JOIN customer c ON c.c_custkey = e.cert_no
+WHERE c.c_mktsegment IN ('BUILDING', 'MACHINERY')
+""")
+def ingest_messages(spark, d):
+    src = shared_path(spark, f"messages-{uuid.uuid4().hex[:12]}")
+    A.der_messages(spark, d).repartition(8).write.parquet(src)
+    root = Ig.run_message_ingest(spark, src, max_files=4, matching=MESSAGE_FAMILY)
+    return spark.read.parquet(f"{root}/observations").select(
+        "seen_at", "registered_domain", "log_id", "source", "domain_tokens")

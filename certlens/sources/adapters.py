@@ -162,6 +162,30 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", value.alias("value"))
 
 
+def der_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certificate-update messages carrying real DER: one per event, the leaf
+    is the certificate encoded from the event's customer row, the chain holds
+    the certificate of customer ``cert_no % 3`` (its key is the issuer key)."""
+    from certlens.sources.dersynth import customer_certificates
+
+    ders = customer_certificates(read_table(spark, sf_dir, "customer"))
+    e = ev(spark, sf_dir).select("event_id", "ts", "event_type", "cert_no")
+    # base64 may be MIME-chunked with line breaks; JSON text needs one line.
+    b64 = F.regexp_replace(F.base64("der"), r"\s", "")
+    leaf = ders.select(F.col("c_custkey").alias("cert_no"), b64.alias("leaf"))
+    chain = ders.select(F.col("c_custkey").alias("issuer_no"), b64.alias("chain"))
+    j = e.join(leaf, "cert_no").withColumn("issuer_no", F.col("cert_no") % 3).join(F.broadcast(chain.filter(
+        F.col("issuer_no") < 3)), "issuer_no")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    seen = F.concat((micros / 1_000_000).cast("long").cast("string"), F.lit("."),
+                    F.lpad((micros % 1_000_000).cast("string"), 6, "0"))
+    value = F.concat(F.lit('{"message_type": "certificate_update", "data": {"leaf_cert": {"as_der": "'),
+                     F.col("leaf"), F.lit('"}, "chain": [{"as_der": "'), F.col("chain"),
+                     F.lit('"}], "seen": '), seen, F.lit(', "source": {"name": "'), F.col("event_type"),
+                     F.lit('"}}}'))
+    return j.select("event_id", value.alias("value"))
+
+
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", F.regexp_extract("url", "https?://([^/:?#]+)", 1).alias("host"))

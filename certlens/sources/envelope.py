@@ -35,7 +35,8 @@ def _first_der(item: Column) -> Column:
 
 def _b64(text: Column) -> Column:
     """Decoded bytes, NULL when the text is not valid base64."""
-    return F.when(text.rlike(r"^[A-Za-z0-9+/\s]*={0,2}\s*$"), F.unbase64(text))
+    clean = F.regexp_replace(text, r"\s", "")
+    return F.when(clean.rlike(r"^[A-Za-z0-9+/]*={0,2}$"), F.unbase64(clean))
 
 
 def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:

@@ -18,7 +18,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlens.config import DEFAULT, Settings
+from certlens.config import DEFAULT, IssuerMatching, Settings
+from certlens.functions.unicode import spki_hash_udf
 from certlens.operators import baseline as B
 from certlens.operators import lint as Ln
 from certlens.operators import rollups as R
@@ -76,6 +77,62 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
     release_persisted()
 
 
+def events_from_messages(spark: SparkSession, messages: DataFrame, known_certs: DataFrame | None,
+                         batch_id: int, matching: IssuerMatching = IssuerMatching()) -> tuple[DataFrame, DataFrame]:
+    """Raw messages -> (certificate version rows with log_id, quarantine).
+
+    A1-A5 envelope, A8 features parsed once per distinct certificate not yet
+    known (known ones reuse their stored features), A7 issuer SPKI hash from
+    the first chain certificate (distinct values only), A9 issuer-family
+    filter, A10 issuer key."""
+    from certlens.operators.features import extract_features
+    from certlens.operators.issuers import issuer_key, issuer_matches
+    from certlens.sources.envelope import parse_messages, split_quarantine
+
+    good, bad_msgs = split_quarantine(parse_messages(messages))
+    events = good.select("seen_at", "log_id", "cert_hash", F.col("leaf_der").alias("der"),
+                         F.element_at(F.col("chain_der"), 1).alias("chain0"))
+    known = known_certs.select("cert_hash") if known_certs is not None else None
+    new_feats, bad_certs = extract_features(events.select("der"), known)
+    feats = new_feats
+    if known_certs is not None:
+        reuse = (known_certs.join(events.select("cert_hash").distinct(), "cert_hash", "left_semi")
+                 .select(*new_feats.columns))
+        feats = new_feats.unionByName(reuse)
+    chains = events.select("chain0").where(F.col("chain0").isNotNull()).distinct()
+    spki = chains.select("chain0", spki_hash_udf("chain0").alias("issuer_spki_hash"))
+    rows = (events.join(spki, "chain0", "left").join(feats, "cert_hash")
+            .withColumn("issuer_key", issuer_key())
+            .filter(issuer_matches(matching)))
+    rows = rows.select(
+        *[c for c in new_feats.columns], "issuer_spki_hash", "issuer_key", "log_id",
+        F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"),
+        F.lit(0).alias("anomaly_score"),
+        (F.lit(batch_id).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("ingest_seq"))
+    quarantine = bad_msgs.select(F.lit(None).cast("string").alias("cert_hash"), "error").unionByName(bad_certs)
+    return rows, quarantine
+
+
+def run_message_ingest(spark: SparkSession, source_dir: str, root: str | None = None,
+                       max_files: int | None = None, settings: Settings = DEFAULT,
+                       matching: IssuerMatching | None = None, available_now: bool = True) -> str:
+    """L1 from raw messages: a stream over a folder of message rows (a
+    ``value`` column of JSON text) into the three tables plus quarantine."""
+    root = root or shared_path(spark, f"ingest-{uuid.uuid4().hex[:12]}")
+    match = matching or settings.matching
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        known = (latest_versions(spark.read.parquet(f"{root}/certificates"))
+                 if _exists(spark, f"{root}/certificates") else None)
+        rows, quarantine = events_from_messages(spark, batch, known, batch_id, match)
+        quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
+        enrich_batch(spark, rows, root, batch_id, settings)
+
+    run_batches(file_stream(spark, source_dir, max_files), handle, os.path.join(root, "_checkpoint"),
+                available_now=available_now)
+    return root
+
+
 def run_ingest(spark: SparkSession, source_dir: str, root: str | None = None, max_files: int | None = None,
                settings: Settings = DEFAULT, available_now: bool = True) -> str:
     """Run the enrichment stream over a folder of parsed certificate events
