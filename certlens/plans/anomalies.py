@@ -31,7 +31,7 @@ def newest_score_findings(findings: DataFrame, span: Span | None = None) -> Data
     """Newest ANOMALY_SCORE evidence per certificate (optionally in a window)."""
     f = findings.filter(F.col("finding_code") == SCORE)
     if span is not None:
-        f = f.filter(span.contains("created_at"))
+        f = span.filter(f, "created_at", "created_day")
     return f.groupBy("cert_hash").agg(
         F.max_by("evidence_json", "created_at").alias("evidence_json"),
         F.max("created_at").alias("created_at"))
@@ -63,7 +63,7 @@ def rank_anomalies(findings: DataFrame, certificates: DataFrame, span: Span, lim
 
 def severity_counts(findings: DataFrame, keys: DataFrame, span: Span) -> DataFrame:
     """H5: rows per (cert, severity) of non-score findings in the window."""
-    other = findings.filter(span.contains("created_at") & (F.col("finding_code") != SCORE))
+    other = span.filter(findings, "created_at", "created_day").filter(F.col("finding_code") != SCORE)
     return (other.join(keys, "cert_hash", "left_semi")
             .groupBy("cert_hash", "severity").agg(F.count("*").cast("long").alias("count")))
 

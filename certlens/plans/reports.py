@@ -157,7 +157,7 @@ def breakdown(observations: DataFrame, certificates: DataFrame, findings: DataFr
     if group_by not in BREAKDOWN_LABELS:
         raise ValueError(f"Unsupported group_by value: {group_by}")
     if group_by in ("finding_code", "severity"):
-        f = findings.filter(span.contains("created_at") & (F.col(group_by) != ""))
+        f = span.filter(findings, "created_at", "created_day").filter(F.col(group_by) != "")
         counts = f.groupBy(F.col(group_by).alias("value")).agg(
             F.count_distinct("cert_hash").cast("long").alias("count"))
     elif group_by == "registered_domain":
@@ -173,14 +173,14 @@ def breakdown(observations: DataFrame, certificates: DataFrame, findings: DataFr
 def findings_summary(findings: DataFrame, span: Span, limit: int) -> DataFrame:
     """Distinct certificates per (finding_code, severity), ANOMALY_SCORE
     excluded, by count desc then code (then severity)."""
-    f = findings.filter(span.contains("created_at") & (F.col("finding_code") != "ANOMALY_SCORE"))
+    f = span.filter(findings, "created_at", "created_day").filter(F.col("finding_code") != "ANOMALY_SCORE")
     return (f.groupBy("finding_code", "severity").agg(F.count_distinct("cert_hash").cast("long").alias("cert_count"))
             .orderBy(F.desc("cert_count"), F.asc("finding_code"), F.asc("severity")).limit(limit))
 
 
 def severity_totals(findings: DataFrame, span: Span) -> DataFrame:
     """Uncapped distinct certificates per severity (ANOMALY_SCORE excluded)."""
-    f = findings.filter(span.contains("created_at") & (F.col("finding_code") != "ANOMALY_SCORE"))
+    f = span.filter(findings, "created_at", "created_day").filter(F.col("finding_code") != "ANOMALY_SCORE")
     return (f.groupBy("severity").agg(F.count_distinct("cert_hash").cast("long").alias("cert_count"))
             .orderBy(F.desc("cert_count"), F.asc("severity")))
 
@@ -199,7 +199,7 @@ def multi_breakdown(certificates: DataFrame, span: Span, dims: list[str], limit:
 
 def multi_finding_breakdown(findings: DataFrame, span: Span, limit: int) -> DataFrame:
     """finding_code and severity breakdowns (distinct certificates) in one pass."""
-    f = findings.filter(span.contains("created_at"))
+    f = span.filter(findings, "created_at", "created_day")
     pairs = F.array(F.struct(F.lit("finding_code").alias("group_by"), F.col("finding_code").alias("value")),
                     F.struct(F.lit("severity").alias("group_by"), F.col("severity").alias("value")))
     p = f.select("cert_hash", F.explode(pairs).alias("p")).select("cert_hash", "p.*").filter(F.col("value") != "")

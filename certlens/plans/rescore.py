@@ -34,7 +34,7 @@ def rescore(spark: SparkSession, observations: DataFrame, certificates: DataFram
         cands = (certificates.filter(span.contains("last_seen")).select("cert_hash")
                  .orderBy("cert_hash").limit(limit))
     else:
-        cands = (findings.filter((F.col("finding_code") == "ANOMALY_SCORE") & span.contains("created_at"))
+        cands = (span.filter(findings, "created_at", "created_day").filter(F.col("finding_code") == "ANOMALY_SCORE")
                  .select("cert_hash", "created_at").orderBy(F.desc("created_at"), F.asc("cert_hash"))
                  .limit(limit).select("cert_hash").distinct())
     keys = F.broadcast(cands) if limit <= MAX_BROADCAST_CANDIDATES else cands

@@ -24,6 +24,9 @@ AS_OF = "2024-01-31 00:00:00"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # All engine time semantics are UTC (timestamps, day buckets, epochs).
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
