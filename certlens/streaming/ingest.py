@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +48,12 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
     t = settings.thresholds
     rule_list = rules if rules is not None else psl.BUILTIN_RULES
     rules_df = psl.rules_frame(spark, rule_list)
+    # The micro-batch feeds three outputs: persist it (and the scored rows)
+    # once instead of recomputing per write; both are released at the end.
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     as_of = batch.agg(F.max("last_seen")).first()[0]  # one value: the batch's event time
     if as_of is None:
+        batch.unpersist()
         return
     events = batch.select(F.col("ingest_seq").alias("event_id"), F.col("last_seen").alias("seen_at"), "cert_hash",
                           "issuer_key", F.coalesce(F.col("log_id") if "log_id" in batch.columns else F.lit(None),
@@ -67,13 +72,15 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
         bursts, base = None, None
     feats = attach_name_features(certs, rules_df, len(rule_list), bursts, t.domain_burst_count)
     feats = Ln.with_org_tokens(feats)
-    scored = Sg.score_certificates(Sg.attach_baseline(feats, base), settings)
-    findings = Ln.lint_findings(feats, as_of, settings).unionByName(Sg.anomaly_finding(scored, as_of))
+    scored = Sg.score_certificates(Sg.attach_baseline(feats, base), settings).persist(StorageLevel.MEMORY_AND_DISK)
+    findings = Ln.lint_findings(scored, as_of, settings).unionByName(Sg.anomaly_finding(scored, as_of))
     stored_certs = scored.select(*[c for c in batch.columns if c != "log_id" and c != "anomaly_score"],
                                  "anomaly_score")
     stored_certs.write.mode("overwrite").parquet(f"{root}/certificates/batch_id={batch_id}")
     obs.write.mode("overwrite").parquet(f"{root}/observations/batch_id={batch_id}")
     findings.write.mode("overwrite").parquet(f"{root}/cert_findings/batch_id={batch_id}")
+    scored.unpersist()
+    batch.unpersist()
     release_persisted()
 
 
