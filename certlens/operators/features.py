@@ -43,7 +43,8 @@ def _parse_batches(batches):
                 row = parse_certificate(bytes(der))
                 row["error"] = None
             except Exception as exc:  # noqa: BLE001 - bad input goes to quarantine
-                row = {"error": f"{type(exc).__name__}: {exc}"[:500]}
+                row = dict.fromkeys(_NAMES)
+                row["error"] = f"{type(exc).__name__}: {exc}"[:500]
             row["cert_hash"] = cert_hash
             rows.append(row)
         yield pd.DataFrame(rows, columns=_NAMES)
