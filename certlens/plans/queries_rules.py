@@ -99,10 +99,17 @@ daily AS (
   WHERE o.seen_at >= TIMESTAMP '2024-01-01 00:00:00' GROUP BY 1, 2)"""
 
 _KW = ", ".join(f"'{k}'" for k in SUSPICIOUS_KEYWORDS)
-_SIGNALS_SQL = O.psl_ctes("(SELECT unnest(dns_names) AS host FROM certificates)") + f"""
+def signals_sql(days: int = ROLLUP_DAYS, baseline: bool = True, bursts: bool = True,
+                candidates: str | None = None) -> str:
+    """SQL twin of the signal rules (no baseline / bursts = fast mode);
+    ``candidates`` restricts the scored certificates by a cert_hash query."""
+    cand = f"WHERE c.cert_hash IN ({candidates})" if candidates else ""
+    base_on = "" if baseline else "AND FALSE"
+    burst_on = "" if bursts else "AND FALSE"
+    return O.psl_ctes("(SELECT unnest(dns_names) AS host FROM certificates)") + f"""
 , {_DAILY.strip()},
 wobs AS (SELECT o.issuer_key, c.* EXCLUDE (issuer_key) FROM observations o JOIN certificates c
-         ON c.cert_hash = o.cert_hash WHERE {O.trailing('o.seen_at', ROLLUP_DAYS)}),
+         ON c.cert_hash = o.cert_hash WHERE {O.trailing('o.seen_at', days)}),
 base AS (SELECT issuer_key, quantile_cont(validity_days, 0.95) AS validity_p95,
                 avg(has_wildcard) AS wildcard_rate, avg(has_punycode) AS punycode_rate
          FROM wobs GROUP BY 1),
@@ -135,9 +142,10 @@ sc AS (
            lambda n: list_filter([{_KW}], lambda kw: contains({O.norm_sql('n')}, kw)))))) AS keywords,
          list_filter(list_transform(c.dns_names, lambda n: round({O.label_entropy_sql('n')}, 3)),
                      lambda e: e >= {T.high_entropy_threshold}) AS entropy_hits
-  FROM certificates c LEFT JOIN base b ON b.issuer_key = c.issuer_key
-  LEFT JOIN eku_sets e ON e.issuer_key = c.issuer_key LEFT JOIN spk s ON s.issuer_key = c.issuer_key
-  LEFT JOIN bkeys k ON k.issuer_key = c.issuer_key LEFT JOIN cert_bursts cb ON cb.cert_hash = c.cert_hash),
+  FROM certificates c LEFT JOIN base b ON b.issuer_key = c.issuer_key {base_on}
+  LEFT JOIN eku_sets e ON e.issuer_key = c.issuer_key {base_on} LEFT JOIN spk s ON s.issuer_key = c.issuer_key {base_on}
+  LEFT JOIN bkeys k ON k.issuer_key = c.issuer_key {base_on} LEFT JOIN cert_bursts cb ON cb.cert_hash = c.cert_hash {burst_on}
+  {cand}),
 sig AS (
   SELECT cert_hash, 1 AS ordinal, 'high_san_count' AS code, 'medium' AS severity, {W.high_san} AS score
   FROM sc WHERE san_count >= {T.high_san_count}
@@ -168,6 +176,9 @@ sig AS (
 """
 
 
+_SIGNALS_SQL = signals_sql()
+
+
 @register("anomaly_signals", "D", _SIGNALS_SQL + "SELECT cert_hash, ordinal, code, severity, score FROM sig")
 def anomaly_signals(spark, d):
     scored = Sg.score_certificates(scoring_input(spark, d))
@@ -235,3 +246,43 @@ WHERE status <> '' AND status NOT IN ('pass', 'na', 'ne', 'not applicable', 'not
 def external_lint_findings(spark, d):
     from certlens.operators.external_lint import external_lint_findings as run
     return run(A.lint_results(spark, d), AS_OF)
+
+
+_TOP_CODES = """
+, ranked AS (SELECT cert_hash, code, row_number() OVER (PARTITION BY cert_hash ORDER BY score DESC, ordinal) AS r,
+                    sum(score) OVER (PARTITION BY cert_hash) AS total FROM sig)
+SELECT c.cert_hash, CAST(least(coalesce(max(total), 0), 100) AS BIGINT) AS anomaly_score,
+       coalesce(string_agg(code, ',' ORDER BY r) FILTER (WHERE r <= 3), '') AS top_signal_codes
+FROM certificates c LEFT JOIN ranked k ON k.cert_hash = c.cert_hash
+WHERE c.cert_hash IN ({cands})
+GROUP BY c.cert_hash
+"""
+_RESCORE_CANDS = (f"SELECT DISTINCT cert_hash FROM (SELECT cert_hash FROM cert_findings WHERE finding_code = "
+                  f"'ANOMALY_SCORE' AND {O.trailing('created_at', 14)} ORDER BY created_at DESC, cert_hash ASC "
+                  f"LIMIT 50) x")
+_FAST_CANDS = (f"SELECT cert_hash FROM (SELECT cert_hash FROM certificates WHERE {O.trailing('last_seen', 14)} "
+               f"ORDER BY cert_hash LIMIT 200) y")
+
+
+def _scores_from_findings(df):
+    ev = F.col("evidence_json")
+    codes = F.from_json(F.get_json_object(ev, "$.top_signals"), "array<struct<code:string>>")
+    return df.select("cert_hash", F.get_json_object(ev, "$.anomaly_score").cast("long").alias("anomaly_score"),
+                     F.array_join(F.transform(codes, lambda x: x["code"]), ",").alias("top_signal_codes"))
+
+
+@register("rescore_scores", "D18", signals_sql(14, candidates=_RESCORE_CANDS)
+          + _TOP_CODES.format(cands=_RESCORE_CANDS))
+def rescore_scores(spark, d):
+    from certlens.plans import rescore as Rs
+    t = A.tables(spark, d)
+    return _scores_from_findings(Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, limit=50))
+
+
+@register("rescore_fast_scores", "D18", signals_sql(14, baseline=False, bursts=False, candidates=_FAST_CANDS)
+          + _TOP_CODES.format(cands=_FAST_CANDS))
+def rescore_fast_scores(spark, d):
+    from certlens.plans import rescore as Rs
+    t = A.tables(spark, d)
+    return _scores_from_findings(Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, limit=200,
+                                            all_certs=True, fast=True))
