@@ -15,10 +15,6 @@ from certlens.config import (BRAND_KEYWORDS, CA_KEY_USAGES, DEFAULT, DEPRECATED_
                              SUSPICIOUS_DN_PATTERN)
 from certlens.functions import certcols
 from certlens.functions.timewin import ts_lit
-from certlens.functions.unicode import ascii_organization_tokens
-
-FINDING_COLS = ["cert_hash", "finding_code", "severity", "evidence_json", "created_at"]
-
 
 def _json(**fields: Column) -> Column:
     """to_json over a struct whose fields are sorted by name."""
@@ -108,4 +104,4 @@ def lint_findings(certs: DataFrame, created_at, settings: Settings = DEFAULT) ->
     return out.select("cert_hash", "f.finding_code", "f.severity", "f.evidence_json", stamp.alias("created_at"))
 
 
-__all__ = ["lint_findings", "lint_rules", "with_org_tokens", "ascii_organization_tokens", "FINDING_COLS"]
+__all__ = ["lint_findings", "lint_rules", "with_org_tokens", "with_rule_inputs"]

@@ -17,9 +17,6 @@ from certlens.functions.timewin import ts_lit
 from certlens.operators.lint import _json, org_columns, with_rule_inputs
 from certlens.session import broadcast_if_small
 
-SIGNAL_TYPE = "struct<ordinal:int,code:string,severity:string,score:int,evidence_json:string>"
-
-
 def _signal(ordinal: int, code: str, severity: Column, score: int, cond: Column, evidence: Column) -> Column:
     return F.when(cond, F.struct(F.lit(ordinal).alias("ordinal"), F.lit(code).alias("code"),
                                  severity.alias("severity"), F.lit(score).alias("score"),

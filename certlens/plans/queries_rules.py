@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from certlens import oracle as O
 from certlens.catalog import AS_OF, ROLLUP_DAYS, register
-from certlens.config import BRAND_KEYWORDS, DEFAULT, SUSPICIOUS_KEYWORDS
+from certlens.config import DEFAULT, SUSPICIOUS_KEYWORDS
 from certlens.operators import baseline as B
 from certlens.operators import lint as Ln
 from certlens.operators import rollups as R
@@ -205,8 +205,6 @@ def anomaly_findings(spark, d):
     return Sg.anomaly_finding(scored, AS_OF)
 
 
-_ = BRAND_KEYWORDS
-
 
 _LINT_RESULTS_SQL = """
 , lr AS (

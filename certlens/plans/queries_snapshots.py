@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
 
 from certlens import oracle as O
 from certlens.catalog import AS_OF, ROLLUP_DAYS, register

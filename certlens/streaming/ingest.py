@@ -143,7 +143,7 @@ def events_from_messages(spark: SparkSession, messages: DataFrame, known_certs:
     return rows, quarantine
 
 
-def write_counters(messages: DataFrame, matching: IssuerMatching, path: str) -> None:
+def write_counters(messages: DataFrame, path: str) -> None:
     """Per-batch counters (received, certificate updates, parse errors),
     one small row per micro-batch."""
     from certlens.sources.envelope import MESSAGE_SCHEMA
@@ -154,7 +154,6 @@ def write_counters(messages: DataFrame, matching: IssuerMatching, path: str) ->
                 F.count(F.when(F.col("t") == "certificate_update", 1)).alias("certificate_updates"),
                 F.count(F.when(F.col("t").isNull(), 1)).alias("unparsable_messages"))
      .write.mode("overwrite").parquet(path))
-    _ = matching
 
 
 def run_message_ingest(spark: SparkSession, source_dir: str, root: str | None = None,
@@ -171,7 +170,7 @@ def run_message_ingest(spark: SparkSession, source_dir: str, root: str | None =
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         rows, quarantine = events_from_messages(spark, batch, known, batch_id, match)
         quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
-        write_counters(batch, match, f"{root}/counters/batch_id={batch_id}")
+        write_counters(batch, f"{root}/counters/batch_id={batch_id}")
         enrich_batch(spark, rows, root, batch_id, settings)
         batch.unpersist()
 

@@ -1,7 +1,5 @@
 import json
 
-from pyspark.sql import functions as F
-
 from certlens.operators import lint as Ln
 from certlens.operators import signals as Sg
 from certlens.operators.certfeatures import attach_name_features
@@ -85,4 +83,3 @@ def test_fast_mode_baseline_free(spark):
             Sg.signal_rows(Sg.score_certificates(_prepare(spark, certs, baselines=base))).collect()}
     assert sig2["wildcard_san"] == "medium" and sig2["punycode_san"] == "low" and "issuer_spike" in sig2
     assert "validity_outlier" not in sig2  # 90 days < p95 100
-    _ = F
