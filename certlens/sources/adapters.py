@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from certlens.functions import certcols
 from certlens.operators.latest import latest_versions
 from certlens.schemas import CERTIFICATE_VERSIONS, conform
+from certlens.session import ship_package
 from certlens.sources import store
 
 # Fixed query time for the driver data (events cover 2024-01-01 .. 2024-01-30).
@@ -27,6 +28,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # All engine time semantics are UTC (timestamps, day buckets, epochs).
     if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)  # Python workers (UDFs) import certlens
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

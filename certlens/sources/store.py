@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlens.operators.latest import latest_versions
-from certlens.session import shared_path
+from certlens.session import shared_path, ship_package
 
 _LOCK = threading.Lock()
 _DONE: dict[tuple[str, str], str] = {}
@@ -60,6 +60,7 @@ def write_tables(spark: SparkSession, sf_dir: str, root: str) -> None:
 def ensure_tables(spark: SparkSession, sf_dir: str) -> str:
     """Root folder of the stored tables for ``sf_dir`` (written on first use)."""
     key = _key(spark, sf_dir)
+    ship_package(spark)
     with _LOCK:
         if key not in _DONE:
             tag = hashlib.sha1("|".join(key).encode()).hexdigest()[:16]
