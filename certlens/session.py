@@ -121,3 +121,30 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(archive)
     _SHIPPED.add(app)
+
+
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
+    """Settings for a large cluster (~100 TB inputs); pass to
+    ``build_session(extra=...)`` or ``spark-submit --conf``.
+
+    * shuffle: AQE starts from many partitions (about 3 per core) and
+      coalesces them to ~256 MB, so big shuffles (observations by cert_hash,
+      names by host) never produce partitions larger than executor memory;
+    * scans: 256 MB file splits;
+    * skew: a partition over 5x the median and 512 MB is split (hot issuer,
+      hot domain or the empty domain);
+    * broadcast: Spark's automatic threshold stays modest; the engine's own
+      broadcasts (rules, baselines, top-k keys) are behind explicit checks.
+    """
+    cores = executors * cores_per_executor
+    return {
+        "spark.sql.shuffle.partitions": str(cores * 3),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(cores * 3),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.files.maxRecordsPerFile": "20000000",
+        "certlens.store.filesPerDay": str(max(cores // 4, 4)),
+    }
