@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from certlens.functions.hostnames import normalize_hostname
 from certlens.functions.unicode import idna_info_udf, organization_tokens
-from certlens.session import broadcast_if_small
+from certlens.session import broadcast_if_small, release_persisted
 from certlens.sources.psl import registered_domain_table
 
 NAME_INFO = "name_info"
@@ -78,6 +78,9 @@ def name_features(certs: DataFrame, rules: DataFrame, n_rules: int | None = None
 def attach_name_features(certs: DataFrame, rules: DataFrame, n_rules: int | None = None,
                          bursts: DataFrame | None = None, burst_threshold: int = 5) -> DataFrame:
     """``certs`` plus the feature columns (certificates without names get empty ones)."""
+    # A new scoring plan starts here: frames pinned for an earlier plan's
+    # size checks are no longer needed (if still used, they recompute).
+    release_persisted()
     feats = name_features(certs, rules, n_rules, bursts, burst_threshold)
     out = certs.join(feats, "cert_hash", "left")
     empty = F.array().cast("array<string>")
