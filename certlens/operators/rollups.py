@@ -75,3 +75,14 @@ def daily_sigalg_stats(observations: DataFrame, certificates: DataFrame, span: S
     stamp = ts_lit(updated_at) if updated_at is not None else F.current_timestamp()
     return (joined.groupBy("day", "issuer_key", "sig_alg").agg(F.sum("n").cast("long").alias("count"))
             .select("day", "issuer_key", "sig_alg", "count", stamp.alias("updated_at")))
+
+
+def daily_cert_counts(observations: DataFrame, certificates: DataFrame, span: Span, updated_at=None) -> DataFrame:
+    """The ``cert_count`` column of F5 alone (what the trailing-daily
+    baseline reads): distinct joined certificates per (day, issuer_key)."""
+    obs = (span.filter(observations, "seen_at")
+           .select(F.to_date("seen_at").alias("day"), "issuer_key", "cert_hash").distinct())
+    joined = obs.join(certificates.select("cert_hash"), "cert_hash", "left_semi")
+    stamp = ts_lit(updated_at) if updated_at is not None else F.current_timestamp()
+    return (joined.groupBy("day", "issuer_key").agg(F.count("*").cast("long").alias("cert_count"))
+            .withColumn("updated_at", stamp))

@@ -30,7 +30,7 @@ def scoring_input(spark, d, with_bursts: bool = True, with_baseline: bool = True
     feats = Ln.with_org_tokens(feats)
     if not with_baseline:
         return Sg.attach_baseline(feats, None)
-    daily = R.daily_issuer_stats(obs, certs, R.refresh_span(AS_OF, ROLLUP_DAYS), AS_OF)
+    daily = R.daily_cert_counts(obs, certs, R.refresh_span(AS_OF, ROLLUP_DAYS), AS_OF)
     base = B.baselines(obs, certs, daily, AS_OF, ROLLUP_DAYS)
     return Sg.attach_baseline(feats, base)
 

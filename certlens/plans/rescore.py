@@ -46,7 +46,7 @@ def rescore(spark: SparkSession, observations: DataFrame, certificates: DataFram
         bursts, base = None, None
     else:
         bursts = B.domain_bursts(observations, as_of, t.domain_burst_window_hours)
-        daily = R.daily_issuer_stats(observations, certificates, R.refresh_span(as_of, days), as_of)
+        daily = R.daily_cert_counts(observations, certificates, R.refresh_span(as_of, days), as_of)
         base = B.baselines(observations, certificates, daily, as_of, days)
     if "issuer_key" not in certs.columns:
         from certlens.operators.issuers import issuer_key

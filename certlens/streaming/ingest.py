@@ -61,7 +61,7 @@ def cached_baselines(spark: SparkSession, root: str, as_of, settings: Settings =
         hit[1].unpersist()
     prior_obs = spark.read.parquet(f"{root}/observations")
     prior_certs = latest_versions(spark.read.parquet(f"{root}/certificates"))
-    daily = R.daily_issuer_stats(prior_obs, prior_certs, R.refresh_span(as_of, settings.window_days), as_of)
+    daily = R.daily_cert_counts(prior_obs, prior_certs, R.refresh_span(as_of, settings.window_days), as_of)
     base = B.baselines(prior_obs, prior_certs, daily, as_of, settings.window_days).persist(
         StorageLevel.MEMORY_AND_DISK)
     _BASELINES[root] = (now, base)
