@@ -170,6 +170,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     return docs.mapInArrow(run, schema.schema)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    found = find_contamination(docs, benchmark, text)
+    flag = found.columns[-1]
+    return found.filter(~F.col(flag)).select(*docs.columns)
+
+
 def items_digest(items: Column) -> Column:
     """Lowercase hex SHA-256 of the sorted item ids, comma-joined."""
     return F.sha2(F.concat_ws(",", F.array_sort(items)), 256)

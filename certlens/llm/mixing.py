@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from certlens.llm.shared import keep
+from certlens.llm.shared import free_name, keep
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_EPOCHS = 3
@@ -55,19 +55,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
     return weighed.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3),
-        share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, text_hash, source, size, source_size, target, whole, extra,
-    taken) for every row of ``docs``: it is taken ``whole`` times as a whole and
-    ``extra`` words of it once more.
-
-    Null and empty texts have size 0 and are never taken. A null source is a
-    source. Rows that agree in doc_id and text are interchangeable, so reruns
-    return the same rows."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.col(text)).alias("text_hash"))
-    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), "text_hash"))
-    slim = keep(slim.withColumn("place", place), "mix-rows")
-    sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+def _placed(rows: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int, sizes: DataFrame) -> DataFrame:
+    """rows (source, size, place, ...) with source_size, target, whole, extra."""
     targets = source_targets(sizes, weights, share, max_epochs)
     parts = targets.select(
         F.col("source").alias("s"), "source_size", "target",
@@ -76,13 +65,67 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     ).withColumn("more", (F.floor(F.col("target") + 0.5) - F.col("whole") * F.col("source_size")).cast("long"))
     # the hash's first digits, cut into equal ranges
     share_of = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
-    rows = slim.join(parts, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.least(F.floor(share_of * F.col("buckets")), F.col("buckets") - 1))
-    held = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
+
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.join(parts, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bucket", F.least(F.floor(share_of * F.col("buckets")), F.col("buckets") - 1))
+
+    held = bucketed(rows.select("source", "size", "place")).groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     before = held.select(F.col("source").alias("s"), F.col("bucket").alias("b"), (
         F.sum("held").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("before"))
     inside = Window.partitionBy("source", "bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
+    placed = bucketed(rows).withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(
         before, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     left = F.col("more") - F.col("ahead") - F.coalesce("before", F.lit(0))
-    return placed.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left))).select(
-        "doc_id", "text_hash", "source", "size", "source_size", "target", "whole", "extra", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    return placed.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"))
+
+
+def _slim(docs: DataFrame, text: str, source: str, doc_id: str, seed: int, *more: Column) -> DataFrame:
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(doc_id).cast("string"), F.md5(F.col(text))))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), hashed.alias("place"), *more)
+
+
+def _sizes(slim: DataFrame) -> DataFrame:
+    return slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (1, 2, 3),
+        share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, size, source_size, target, whole, extra, taken) for every
+    row of ``docs``: it is taken ``whole`` times as a whole and ``extra`` words of
+    it once more.
+
+    Null and empty texts have size 0 and are never taken. A null source is a
+    source. Rows that agree in doc_id and text are interchangeable, so reruns
+    return the same rows; columns beyond the three named are not looked at. An
+    empty table gives an empty result."""
+    slim = keep(_slim(docs, text, source, doc_id, seed), "mix-rows")
+    taken = (F.col("whole") * F.col("size") + F.col("extra")).alias("taken")
+    return _placed(slim, weights, share, max_epochs, _sizes(slim)).select("doc_id", "source", "size", "source_size", "target", "whole", "extra", taken)
+
+
+def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", length: str | None = None, weights: tuple[int, ...] = (1, 2, 3),
+            share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mixed corpus itself: every row of ``docs`` as often as ``mix`` takes
+    it, with all its columns and repetition (from 1) and taken (words). A row that
+    is taken in part has the first words of its text, joined by spaces, and its
+    number of code points in ``length`` (an existing column), if named."""
+    sizes = keep(_sizes(_slim(docs, text, source, doc_id, seed)), "mix-sizes")
+    rows = _slim(docs, text, source, doc_id, seed, F.struct(*docs.columns).alias("row"))
+    placed = _placed(rows, weights, share, max_epochs, sizes)
+    times = F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)
+    each = placed.filter((F.col("size") > 0) & (times > 0)).withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), times)))
+    words = F.when(F.col("repetition") > F.col("whole"), F.col("extra")).otherwise(F.col("size"))
+    each = each.withColumn("taken", words)
+    part = F.col("taken") < F.col("size")
+    body = F.col("row")[text]
+    cut = F.when(part, F.array_join(F.slice(F.regexp_extract_all(body, F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken").cast("int")), " ")).otherwise(body)
+    out = each.withColumn("body", cut)
+    columns = []
+    for c in docs.columns:
+        if c == text:
+            columns.append(F.col("body").alias(c))
+        elif c == length:
+            columns.append(F.when(part, F.length("body")).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("row")[c].alias(c))
+    return out.select(*columns, *(F.col(c).alias(free_name(docs, c)) for c in ("repetition", "taken")))
