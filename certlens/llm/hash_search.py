@@ -69,7 +69,7 @@ def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
 def learn(sample: np.ndarray, k: int, bits: int = BITS) -> Codes:
     rng = np.random.default_rng(SEED)
     centre = sample.mean(axis=0)
-    values, axes = np.linalg.eigh(np.cov((sample - centre).T).reshape(sample.shape[1], -1))
+    values, axes = np.linalg.eigh(np.cov((sample - centre).T, ddof=0).reshape(sample.shape[1], -1))
     axes = axes[:, np.argsort(-values)][:, :bits]
     flat = (sample - centre) @ axes
     rotations = [axes @ _rotation(flat, rng) for _ in range(-(-bits // axes.shape[1]))]

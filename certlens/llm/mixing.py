@@ -125,7 +125,7 @@ def mixture(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
         if c == text:
             columns.append(F.col("body").alias(c))
         elif c == length:
-            columns.append(F.when(part, F.length("body")).otherwise(F.col("row")[c]).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(part, F.length("body").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c]).alias(c))
         else:
             columns.append(F.col("row")[c].alias(c))
     return out.select(*columns, *(F.col(c).alias(free_name(docs, c)) for c in ("repetition", "taken")))

@@ -10,15 +10,15 @@ Follows the published prefix-filter family (AllPairs, PPJoin, PPJoin+):
   frequent passages go to the back of it and out of the prefixes.
 * A class posts its first ``n - ceil(t n) + 1`` shingles; the first
   ``n - ceil(2t/(1+t) n) + 1`` of them also stand for pairs with larger classes.
-* Within one shingle's postings pairs are not enumerated. Round one compares all
-  with the smallest class (the leader); linked ones are in one component. Round
-  two does the same with a new leader among those still apart, and the last
-  round compares each class still apart from its leader with the members of
-  other components. No link between components is lost; pairs inside one are
-  skipped, as they change no component.
-* Length and positional filters act in the join condition; the suffix filter
-  compares counts by hash range (a lower bound of the symmetric difference) once
-  per distinct pair; then the shingle sets are intersected.
+* Within one shingle's postings pairs are not enumerated. Each posting meets the
+  smallest class only (the leader). Round one verifies each class with the leader
+  that shares most of its prefix, round two with its leaders in other components,
+  and the last round compares each class that is still apart from a leader with
+  the members of other components there. No link between components is lost;
+  pairs inside one are skipped, as they change no component.
+* Length, positional and suffix filters come before that; the suffix filter
+  compares counts by hash range, a lower bound of the symmetric difference. Each
+  distinct pair that passes is verified once, on its shingle sets.
 
 Classes and shingles are 64-bit hashes: with 3e10 texts, a few dozen pairs of
 different texts may share a class hash.
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from certlens.llm import sketch, words
 from certlens.llm.components import components
-from certlens.llm.shared import free_name, keep
+from certlens.llm.shared import keep
 
 N = 5
 #: Similarity as a fraction: intersection * DEN >= NUM * union.
@@ -143,26 +143,45 @@ def _set_rows(n_words: int):
 
 def _fits(x_n: Column, x_i: Column, y_n: Column, y_i: Column) -> Column:
     """Length and positional filter for a pair with x the smaller."""
-    need = F.floor((F.lit(NUM) * (x_n + y_n) + F.lit(NUM + DEN - 1)) / F.lit(NUM + DEN))
-    return (F.lit(DEN) * x_n >= F.lit(NUM) * y_n) & (F.lit(1) + F.least(x_n - x_i - 1, y_n - y_i - 1) >= need)
+    return (F.lit(DEN) * x_n >= F.lit(NUM) * y_n) & (F.lit(1) + F.least(x_n - x_i - 1, y_n - y_i - 1) >= _need(x_n, y_n))
 
 
-def _leader_pairs(posts: DataFrame, apart: Column | None = None) -> DataFrame:
-    """Every posting with the leader of its shingle: the smallest class that
-    posts it for larger ones."""
-    key = F.struct("n", "cls", "i")
-    leaders = posts.filter("lead").groupBy("gram").agg(F.min(key).alias("l"))
-    after = (F.col("n") > F.col("l.n")) | ((F.col("n") == F.col("l.n")) & (F.col("cls") > F.col("l.cls")))
-    return posts.join(leaders, "gram").filter(after)
+def _order(n: Column, cls: Column) -> Column:
+    """Classes by size, then by the upper half of their hash, in one number."""
+    return F.shiftleft(n.cast("long"), 32) + F.shiftright(cls, 32) + F.lit(1 << 31)
+
+
+def _lead(n: Column, i: Column) -> Column:
+    """Whether a posting stands for pairs with classes of the same size or more."""
+    return i < n - F.floor((2 * NUM * n + NUM + DEN - 1) / F.lit(NUM + DEN)) + 1
+
+
+def _met(posts: DataFrame) -> DataFrame:
+    """Every posting with the leader of its shingle, the smallest class that
+    posts it for larger ones: gram, cls, n, i, l_cls, l_n, l_i."""
+    order = _order(F.col("n"), F.col("cls"))
+    leaders = posts.filter(_lead(F.col("n"), F.col("i"))).groupBy("gram").agg(
+        F.min(order).alias("l_order"), F.min_by("cls", order).alias("l_cls"), F.min_by("i", order).alias("l_i"))
+    after = (order > F.col("l_order")) | ((order == F.col("l_order")) & (F.col("cls") != F.col("l_cls")))
+    return posts.join(leaders, "gram").filter(after).select("gram", "cls", "n", "i", "l_cls", F.shiftright("l_order", 32).cast("int").alias("l_n"), "l_i")
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """A lower bound of the symmetric difference, from the counts by hash range."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
+
+
+def _need(x_n: Column, y_n: Column) -> Column:
+    """The smallest intersection of a pair that links."""
+    return F.floor((F.lit(NUM) * (x_n + y_n) + F.lit(NUM + DEN - 1)) / F.lit(NUM + DEN))
 
 
 def _verified(pairs: DataFrame, spread: DataFrame, sets: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) -> those that link. Suffix filter, then the sets."""
     x = spread.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("spread").alias("a_spread"))
     y = spread.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("spread").alias("b_spread"))
-    need = F.floor((F.lit(NUM) * (F.col("a_n") + F.col("b_n")) + F.lit(NUM + DEN - 1)) / F.lit(NUM + DEN))
-    apart = F.aggregate(F.zip_with("a_spread", "b_spread", lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-    near = pairs.join(x, "a").join(y, "b").filter(apart <= F.col("a_n") + F.col("b_n") - 2 * need).select("a", "b", "a_n", "b_n")
+    both_n = F.col("a_n") + F.col("b_n")
+    near = pairs.join(x, "a").join(y, "b").filter(_apart(F.col("a_spread"), F.col("b_spread")) <= both_n - 2 * _need(F.col("a_n"), F.col("b_n"))).select("a", "b", "a_n", "b_n")
     left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("a_grams"))
     right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("b_grams"))
     both = F.size(F.array_intersect("a_grams", "b_grams"))
@@ -179,8 +198,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = N) -> tuple[DataFrame, DataFrame]:
-    """(members, roots): members has doc_id, cls and n for every row of ``docs``;
-    roots has (id, root) for every class that links to a smaller one.
+    """(members, roots): members has doc_id, cls, n and at (the text's hash) for
+    every row of ``docs``; roots has (id, root) for every class that links to a smaller one.
 
     Null, empty and white-space texts have n = 0 and link with nothing. Texts of
     fewer than ``n_words`` words are one shingle. Null ids stay null, repeated
@@ -195,50 +214,47 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return _prefix_rows(shared.value, n_words, 1)(batches)
 
     rows = keep(slim.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(prefix_rows, f"doc_id {kind}, {_ROWS}"), "jaccard-rows")
-    size = F.col("n")
-    lead = F.col("i") < size - F.floor((2 * NUM * size + NUM + DEN - 1) / F.lit(NUM + DEN)) + 1
-    posts = rows.filter("spread is not null").select("cls", "n", F.posexplode("prefix").alias("i", "gram")).withColumn("lead", lead)
-    spread = keep(rows.filter("spread is not null").dropDuplicates(["cls"]).select("cls", "n", "at", "spread"), "jaccard-classes")
-
-    met = keep(_leader_pairs(posts).select("gram", "cls", "n", "i", "lead", F.col("l.cls").alias("l_cls"), F.col("l.n").alias("l_n"), F.col("l.i").alias("l_i")), "jaccard-met")
-    first = keep(met.filter(_fits(F.col("l_n"), F.col("l_i"), F.col("n"), F.col("i"))).select(F.col("l_cls").alias("a"), F.col("cls").alias("b")).distinct(), "jaccard-pairs")
+    posts = rows.filter("spread is not null").select("cls", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "gram"))
+    spread = keep(rows.filter("spread is not null").select("cls", "n", "at", "spread").dropDuplicates(["cls"]), "jaccard-classes")
+    met = keep(_met(posts), "jaccard-met")
     # every class that may still be compared shares a shingle with another one
     shared_by = met.select("cls").union(met.select(F.col("l_cls").alias("cls"))).distinct()
-    wanted = keep(spread.join(shared_by, "cls", "left_semi").select("at").distinct(), "jaccard-wanted")
-    sets = _sets_of(slim, wanted, n_words)
-    links = keep(_verified(first, spread, sets), "jaccard-links")
-    roots = components(links)
+    sets = _sets_of(slim, keep(spread.join(shared_by, "cls", "left_semi").select("at").distinct(), "jaccard-wanted"), n_words)
+    by_leader = keep(met.filter(_fits(F.col("l_n"), F.col("l_i"), F.col("n"), F.col("i"))).groupBy(F.col("l_cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared")), "jaccard-leaders")
 
     def rooted(df: DataFrame, cls: str, root: str) -> DataFrame:
         names = roots.select(F.col("id").alias(cls), F.col("root").alias(root))
         return df.join(names, cls, "left").withColumn(root, F.coalesce(root, cls))
 
-    # round two: new leaders among the postings still apart from theirs
-    def still_apart(df: DataFrame) -> DataFrame:
-        return rooted(rooted(df, "cls", "c"), "l_cls", "l_c").filter("c != l_c").drop("l_c")
-
-    open_posts = keep(still_apart(met).select("gram", "cls", "n", "i", "lead", "c", "l_cls"), "jaccard-open")
-    again = _leader_pairs(open_posts.select("gram", "cls", "n", "i", "lead", "c")).join(
-        open_posts.select(F.col("cls").alias("x"), F.col("c").alias("x_c")).distinct(), F.col("l.cls") == F.col("x")).filter(
-        (F.col("c") != F.col("x_c")) & _fits(F.col("l.n"), F.col("l.i"), F.col("n"), F.col("i"))).select(F.col("x").alias("a"), F.col("cls").alias("b")).distinct()
-    second = keep(again.join(first, ["a", "b"], "left_anti"), "jaccard-pairs")
+    # round one: each class with the leader that shares most with it
+    first = by_leader.groupBy("b").agg(F.max_by("a", "shared").alias("a")).select("a", "b")
+    first = keep(first, "jaccard-pairs")
+    links = keep(_verified(first, spread, sets), "jaccard-links")
+    roots = components(links)
+    # round two: the other leaders, where they are in another component
+    others = rooted(rooted(by_leader.join(first, ["a", "b"], "left_anti"), "a", "a_root"), "b", "b_root")
+    second = keep(others.filter("a_root != b_root").select("a", "b"), "jaccard-pairs")
     links = keep(links.union(_verified(second, spread, sets)), "jaccard-links")
     roots = components(links)
-
     # last round: what is still apart from its leader, with all other components of its shingle
-    apart = keep(still_apart(open_posts.drop("c")).select("gram", "cls", "n", "i", "lead", "c"), "jaccard-apart")
-    grams = apart.select("gram").distinct()
-    others = rooted(met.join(grams, "gram", "left_semi").select("gram", "cls", "n", "i", "lead"), "cls", "c")
-    u = {c: F.col(f"u.{c}") for c in ("cls", "n", "i", "lead", "c")}
-    o = {c: F.col(f"o.{c}") for c in ("cls", "n", "i", "lead", "c")}
+    named = keep(rooted(rooted(met, "cls", "c"), "l_cls", "l_c"), "jaccard-named")
+    ranges = spread.select("cls", "spread")
+    apart = named.filter("c != l_c").select("gram", "cls", "n", "i", "c").join(ranges, "cls")
+    grams = named.filter("c != l_c").select("gram").distinct()
+    others = named.join(grams, "gram", "left_semi").select("gram", "cls", "n", "i", "c").join(ranges, "cls")
+    u = {c: F.col(f"u.{c}") for c in ("cls", "n", "i", "c", "spread")}
+    o = {c: F.col(f"o.{c}") for c in ("cls", "n", "i", "c", "spread")}
     smaller = (u["n"] < o["n"]) | ((u["n"] == o["n"]) & (u["cls"] < o["cls"]))
-    fits = F.when(smaller, u["lead"] & _fits(u["n"], u["i"], o["n"], o["i"])).otherwise(o["lead"] & _fits(o["n"], o["i"], u["n"], u["i"]))
-    rest = apart.alias("u").join(others.alias("o"), (F.col("u.gram") == F.col("o.gram")) & (u["c"] != o["c"]) & fits).select(
+    fits = F.when(smaller, _lead(u["n"], u["i"]) & _fits(u["n"], u["i"], o["n"], o["i"])).otherwise(_lead(o["n"], o["i"]) & _fits(o["n"], o["i"], u["n"], u["i"]))
+    near = _apart(u["spread"], o["spread"]) <= u["n"] + o["n"] - 2 * _need(u["n"], o["n"])
+    rest = apart.alias("u").join(others.alias("o"), (F.col("u.gram") == F.col("o.gram")) & (u["c"] != o["c"]) & fits & near).select(
         F.least(u["cls"], o["cls"]).alias("p"), F.greatest(u["cls"], o["cls"]).alias("q"))
     done = first.union(second).select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
     third = keep(rest.distinct().join(done, ["p", "q"], "left_anti").select(F.col("p").alias("a"), F.col("q").alias("b")), "jaccard-pairs")
-    links = links.union(_verified(third, spread, sets))
-    return rows.select("doc_id", "cls", "n"), components(links)
+    more = keep(_verified(third, spread, sets), "jaccard-links")
+    if not more.isEmpty():
+        roots = components(links.union(more))
+    return rows.select("doc_id", "cls", "n", "at"), roots
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = N) -> DataFrame:
@@ -253,3 +269,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     named = in_class.join(by_root, "root").select("cls", "component_id")
     joined = members.join(named, "cls", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = N) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: one row of each component
+    stays, the one with the smallest doc_id (null last), then text hash; rows
+    without words all stay. All columns are kept."""
+    members, roots = jaccard_classes(docs, text, doc_id, n_words)
+    with_root = members.filter("n > 0").join(roots, members.cls == roots.id, "left").select("doc_id", "at", F.coalesce("root", "cls").alias("root"))
+    counted = keep(with_root.groupBy("root", "doc_id", "at").agg(F.count("*").alias("times")), "jaccard-counted")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("at"))
+    best = counted.groupBy("root").agg(F.min(rank).alias("best"), F.sum("times").alias("all"))
+    chosen = counted.join(best.filter("all > 1"), "root").withColumn("stays", rank == F.col("best"))
+    gone = keep(chosen.filter(~F.col("stays")).select("doc_id", "at"), "jaccard-gone")
+    repeated = keep(chosen.filter(F.col("stays") & (F.col("times") > 1)).select("doc_id", "at"), "jaccard-repeated")
+
+    def matches(df: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        small = df.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"))
+        small = F.broadcast(small) if df.count() <= BROADCAST_CLASSES else small
+        return left.join(small, left[doc_id].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(left[text]) == F.col("_at")), how)
+
+    once = matches(repeated, "left_semi", docs).dropDuplicates([doc_id, text])
+    return matches(gone.union(repeated), "left_anti", docs).unionByName(once)

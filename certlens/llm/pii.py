@@ -236,7 +236,7 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, count: str
             if c == text:
                 out.append(text_col.alias(c))
             elif c == length:
-                out.append(F.when(changes, F.length(text_col)).otherwise(col).cast(docs.schema[c].dataType).alias(c))
+                out.append(F.when(changes, F.length(text_col).cast(docs.schema[c].dataType)).otherwise(col).alias(c))
             else:
                 out.append(col)
         return out + ([n_col.alias(count)] if count else [])

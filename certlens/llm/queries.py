@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlens.llm import chat_format, decontaminate, hash_search, html_extract, language_id, mixing, ngram_join, pii, suffix_tree_lm, token_counts
+from certlens.llm.oracle import ORACLE_SQL  # noqa: F401
 from certlens.llm.shared import table
 
 
@@ -84,5 +85,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm_score": op9_lm_score,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-
-ORACLE_SQL: dict[str, str] = {}

@@ -141,8 +141,8 @@ def _second_pass(enough: dict[int, np.ndarray]):
 
         def take() -> Iterator[pa.RecordBatch]:
             for n in ORDERS:
-                if parts[n]:
-                    rows = np.concatenate(parts[n], axis=1)
+                rows = np.concatenate([np.zeros((5, 0), np.uint64), *parts[n]], axis=1)
+                if rows.shape[1]:
                     order = np.argsort(rows[0], kind="stable")
                     rows = rows[:, order]
                     new = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
@@ -150,7 +150,7 @@ def _second_pass(enough: dict[int, np.ndarray]):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(new), n, np.int32)), *(pa.array(rows[k, new].view(np.int64)) for k in range(4)), pa.array(times)],
                         names=["order", "gram", "context", "tail", "word", "n"])
-                    parts[n] = []
+                parts[n] = []
 
         for batch in batches:
             for _, _, seq, at in _sequences(batch.column(0)):
