@@ -13,8 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certlens.functions.hostnames import normalize_hostname
-from certlens.functions.unicode import idna_info_udf, organization_tokens
+from certlens.functions.unicode import confusable_json, organization_tokens, to_unicode_hostname
 from certlens.session import broadcast_if_small, release_persisted
 from certlens.sources.psl import registered_domain_table
 
@@ -29,12 +28,10 @@ def host_table(names: DataFrame, rules: DataFrame, n_rules: int | None, host_col
     and token columns as projections (Python only sees ``xn--`` names and
     non-ASCII domains)."""
     rd = registered_domain_table(names, rules, host_col, n_rules).withColumnRenamed("registered_domain", "rd")
-    norm = normalize_hostname("host")
-    info = idna_info_udf(F.when(norm.contains("xn--"), F.col("host")))
-    return rd.select(
-        F.col("host").alias("name"), "rd",
-        F.coalesce(info["unicode_hostname"], norm).alias("unicode_hostname"),
-        info["confusable_json"].alias("confusable_json"),
+    decoded = rd.withColumn("unicode_hostname", to_unicode_hostname(F.col("host")))
+    return decoded.select(
+        F.col("host").alias("name"), "rd", "unicode_hostname",
+        confusable_json(F.col("host"), F.col("unicode_hostname")).alias("confusable_json"),
         organization_tokens(F.col("rd")).alias("rd_tokens"))
 
 
