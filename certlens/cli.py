@@ -57,9 +57,12 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--limit", type=int, default=50_000)
     p.add_argument("--all-certs", action="store_true")
     p.add_argument("--fast", action="store_true")
+    p.add_argument("--suffix-list", required=True, help="the public suffix list file")
     p = sub.add_parser("ingest")
     p.add_argument("--source", required=True)
     p.add_argument("--continuous", action="store_true")
+    p.add_argument("--suffix-list", required=True, help="the public suffix list file")
+    p.add_argument("--max-files", type=int, default=16, help="message files per micro-batch (rate limit)")
     p.add_argument("--issuer", action="append", default=None,
                    help="issuer-DN substring of the family to keep (repeatable; default: built-in family)")
     p = sub.add_parser("retention")
@@ -88,17 +91,20 @@ def main(argv: list[str] | None = None) -> None:
         _print(top_anomalies(t.findings, t.certificates, Span.trailing(as_of, args.days), args.limit))
     elif args.command == "rescore-anomalies":
         from certlens.plans.rescore import rescore
+        from certlens.sources.psl import load_rules
         t = _tables(spark, root)
         out = rescore(spark, t.observations, t.certificates, t.findings, as_of, args.days, args.limit,
-                      all_certs=args.all_certs, fast=args.fast)
+                      all_certs=args.all_certs, fast=args.fast, rules=load_rules(spark, args.suffix_list))
         # Same folder layout as the ingest batches: batch_id=<int> (here the run's epoch seconds).
         run_id = int(datetime.fromisoformat(as_of).replace(tzinfo=timezone.utc).timestamp())
         out.write.mode("append").parquet(f"{root}/cert_findings/batch_id={run_id}")
     elif args.command == "ingest":
         from certlens.config import IssuerMatching
+        from certlens.sources.psl import load_rules
         from certlens.streaming.ingest import run_message_ingest
         matching = IssuerMatching(issuer_substrings=tuple(args.issuer)) if args.issuer else None
-        run_message_ingest(spark, args.source, root=root, matching=matching, available_now=not args.continuous)
+        run_message_ingest(spark, args.source, root=root, matching=matching, max_files=args.max_files,
+                           available_now=not args.continuous, rules=load_rules(spark, args.suffix_list))
         if args.continuous:
             spark.streams.awaitAnyTermination()
     elif args.command == "retention":

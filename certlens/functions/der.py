@@ -197,7 +197,7 @@ def parse_certificate(der: bytes) -> dict:
     i = 1 if fields[0][0] == 0xA0 else 0
     serial = _int(der[fields[i][1]:fields[i][2]])
     if serial <= 0:
-        raise DerError("Rejected certificate with non-positive serial number")
+        raise DerError("serial number below one")
     issuer_dn, issuer_flat = _name(der, fields[i + 2][1], fields[i + 2][2])
     validity = _kids(der, fields[i + 3][1], fields[i + 3][2])
     not_before = _time(validity[0][0], der[validity[0][1]:validity[0][2]])

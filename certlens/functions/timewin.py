@@ -7,18 +7,18 @@ half-open ``[date_from 00:00, date_to + 1 day 00:00)`` in UTC.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def as_datetime(value: datetime | date | str) -> datetime:
-    if isinstance(value, datetime):
-        return value.replace(tzinfo=None)
-    if isinstance(value, date):
+    """UTC wall-clock time; a value with a zone is converted first."""
+    if isinstance(value, date) and not isinstance(value, datetime):
         return datetime.combine(value, datetime.min.time())
-    return datetime.fromisoformat(str(value)).replace(tzinfo=None)
+    moment = value if isinstance(value, datetime) else datetime.fromisoformat(str(value))
+    return moment if moment.tzinfo is None else moment.astimezone(timezone.utc).replace(tzinfo=None)
 
 
 def as_date(value: datetime | date | str) -> date:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from certlens.functions import certcols
 from certlens.functions.der import parse_certificate
+from certlens.session import materialize
 
 S, I, TS, ARR = T.StringType(), T.IntegerType(), T.TimestampType(), T.ArrayType(T.StringType())
 PARSED = T.StructType([
@@ -44,7 +45,7 @@ def _parse_batches(batches):
                 row["error"] = None
             except Exception as exc:  # noqa: BLE001 - bad input goes to quarantine
                 row = dict.fromkeys(_NAMES)
-                row["error"] = f"{type(exc).__name__}: {exc}"[:500]
+                row["error"] = f"{type(exc).__name__}: {exc}"
             row["cert_hash"] = cert_hash
             rows.append(row)
         yield pd.DataFrame(rows, columns=_NAMES)
@@ -68,9 +69,12 @@ def finish_features(parsed: DataFrame) -> DataFrame:
             .withColumn("issuer_dn_length", F.length("issuer_dn")))
 
 
-def extract_features(ders: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(features, quarantine) for the distinct certificates of ``ders``."""
+def extract_features(ders: DataFrame, known: DataFrame | None = None, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(features, quarantine) for the distinct certificates of ``ders``; with
+    ``once`` the parsed rows are written to the shared folder first, so that both
+    outputs read them instead of parsing again."""
     parsed = parse_distinct(ders, known)
+    parsed = materialize(parsed) if once else parsed
     good = finish_features(parsed.filter(F.col("error").isNull()).drop("error"))
     bad = parsed.filter(F.col("error").isNotNull()).select("cert_hash", "error")
     return good, bad

@@ -37,8 +37,9 @@ def latest_by(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | s
 
 def latest_versions(versions: DataFrame, columns: Sequence[str] | None = None,
                     key: str = "cert_hash") -> DataFrame:
-    """Newest certificate version: greatest (last_seen, ingest_seq)."""
-    order = ["last_seen", "ingest_seq"] if "ingest_seq" in versions.columns else ["last_seen"]
+    """Newest certificate version: greatest (last_seen, batch_id, ingest_seq), as
+    far as the columns are there; sequence numbers start anew in every batch."""
+    order = [c for c in ("last_seen", "batch_id", "ingest_seq") if c == "last_seen" or c in versions.columns]
     return latest_by(versions, key, order, columns)
 
 

@@ -118,9 +118,9 @@ def norm_sql(col: str) -> str:
 def psl_ctes(source: str, host_col: str = "host") -> str:
     """CTEs computing ``regdom(host, registered_domain)`` for the distinct
     hosts of ``source`` with the same longest-match rule logic."""
-    from certlens.sources.psl import BUILTIN_RULES
+    from certlens.sources.psl import FIXTURE_RULES
     rows = []
-    for rule in BUILTIN_RULES:
+    for rule in FIXTURE_RULES:
         if rule.startswith("!"):
             rows.append((rule[1:], "exception"))
         elif rule.startswith("*."):

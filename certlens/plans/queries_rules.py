@@ -12,6 +12,7 @@ from certlens.operators import lint as Ln
 from certlens.operators import rollups as R
 from certlens.operators import signals as Sg
 from certlens.operators.certfeatures import attach_name_features
+from certlens.plans import rescore as Rs
 from certlens.sources import adapters as A
 from certlens.sources import psl
 
@@ -24,9 +25,9 @@ def scoring_input(spark, d, with_bursts: bool = True, with_baseline: bool = True
     burst matches and issuer baselines, as the scoring job prepares them."""
     certs = A.certificates(spark, d, full_schema=True)
     obs = A.observations(spark, d)
-    rules = psl.rules_frame(spark)
+    rules = psl.rules_frame(spark, psl.FIXTURE_RULES)
     bursts = B.domain_bursts(obs, AS_OF, T.domain_burst_window_hours) if with_bursts else None
-    feats = attach_name_features(certs, rules, len(psl.BUILTIN_RULES), bursts, T.domain_burst_count)
+    feats = attach_name_features(certs, rules, len(psl.FIXTURE_RULES), bursts, T.domain_burst_count)
     feats = Ln.with_org_tokens(feats)
     if not with_baseline:
         return Sg.attach_baseline(feats, None)
@@ -88,7 +89,7 @@ _LINT_SQL = _FULL + "\n" + "\nUNION ALL\n".join(
 @register("lint_findings", "C", _LINT_SQL)
 def lint_findings(spark, d):
     certs = A.certificates(spark, d, full_schema=True)
-    feats = Ln.with_org_tokens(attach_name_features(certs, psl.rules_frame(spark), len(psl.BUILTIN_RULES)))
+    feats = Ln.with_org_tokens(attach_name_features(certs, psl.rules_frame(spark, psl.FIXTURE_RULES), len(psl.FIXTURE_RULES)))
     return Ln.lint_findings(feats, AS_OF)
 
 
@@ -257,9 +258,9 @@ GROUP BY c.cert_hash
 """
 _RESCORE_CANDS = (f"SELECT DISTINCT cert_hash FROM (SELECT cert_hash FROM cert_findings WHERE finding_code = "
                   f"'ANOMALY_SCORE' AND {O.trailing('created_at', 14)} ORDER BY created_at DESC, cert_hash ASC "
-                  f"LIMIT 50) x")
+                  f"LIMIT {Rs.DEFAULT_LIMIT}) x")
 _FAST_CANDS = (f"SELECT cert_hash FROM (SELECT cert_hash FROM certificates WHERE {O.trailing('last_seen', 14)} "
-               f"ORDER BY cert_hash LIMIT 200) y")
+               f"ORDER BY cert_hash LIMIT {Rs.DEFAULT_LIMIT}) y")
 
 
 def _scores_from_findings(df):
@@ -272,15 +273,13 @@ def _scores_from_findings(df):
 @register("rescore_scores", "D18", signals_sql(14, candidates=_RESCORE_CANDS)
           + _TOP_CODES.format(cands=_RESCORE_CANDS))
 def rescore_scores(spark, d):
-    from certlens.plans import rescore as Rs
     t = A.tables(spark, d)
-    return _scores_from_findings(Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, limit=50))
+    return _scores_from_findings(Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, rules=psl.FIXTURE_RULES))
 
 
 @register("rescore_fast_scores", "D18", signals_sql(14, baseline=False, bursts=False, candidates=_FAST_CANDS)
           + _TOP_CODES.format(cands=_FAST_CANDS))
 def rescore_fast_scores(spark, d):
-    from certlens.plans import rescore as Rs
     t = A.tables(spark, d)
-    return _scores_from_findings(Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, limit=200,
-                                            all_certs=True, fast=True))
+    return _scores_from_findings(Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, all_certs=True, fast=True,
+                                            rules=psl.FIXTURE_RULES))

@@ -70,8 +70,8 @@ SELECT h.page_id, h.host, r.registered_domain FROM hosts h LEFT JOIN regdom r ON
 """)
 def registered_domain(spark, d):
     h = A.hosts(spark, d)
-    rules = psl.rules_frame(spark)
-    return psl.with_registered_domain(h, "host", "registered_domain", rules, len(psl.BUILTIN_RULES)).select(
+    rules = psl.rules_frame(spark, psl.FIXTURE_RULES)
+    return psl.with_registered_domain(h, "host", "registered_domain", rules, len(psl.FIXTURE_RULES)).select(
         "page_id", "host", "registered_domain")
 
 
@@ -99,8 +99,8 @@ FROM hosts h JOIN regdom r ON r.host = h.host
 """)
 def registered_domain_tokens(spark, d):
     h = A.hosts(spark, d)
-    rules = psl.rules_frame(spark)
-    r = psl.with_registered_domain(h, "host", "rd", rules, len(psl.BUILTIN_RULES))
+    rules = psl.rules_frame(spark, psl.FIXTURE_RULES)
+    r = psl.with_registered_domain(h, "host", "rd", rules, len(psl.FIXTURE_RULES))
     # Tokens never span a '.', so tokenising the whole registered domain equals
     # the concatenation of the per-label token lists.
     return with_organization_tokens(r.select("page_id", "rd"), "rd", "domain_tokens").drop("rd")
@@ -153,8 +153,8 @@ def observation_fanout_query(spark, d):
     v = A.certificate_versions(spark, d).select(
         F.col("ingest_seq").alias("event_id"), F.col("last_seen").alias("seen_at"), "cert_hash", "issuer_key",
         F.lit("ct-log").alias("log_id"), "dns_names")
-    rules = psl.rules_frame(spark)
-    return observation_fanout(v, rules, len(psl.BUILTIN_RULES))
+    rules = psl.rules_frame(spark, psl.FIXTURE_RULES)
+    return observation_fanout(v, rules, len(psl.FIXTURE_RULES))
 
 
 @register("issuer_family_filter", "A9", """

@@ -10,9 +10,9 @@ from certlens import oracle as O
 from certlens.config import IssuerMatching
 from certlens.session import shared_path
 from certlens.catalog import AS_OF, register
-from certlens.plans import rescore as Rs
 from certlens.sources import adapters as A
 from certlens.sources import envelope as Ev
+from certlens.sources import psl
 from certlens.sources import store
 from certlens.streaming import ingest as Ig
 from certlens.streaming import jobs as J
@@ -56,29 +56,16 @@ FROM per
 
 @register("ingest_stream", "L1", _FANOUT_SQL)
 def ingest_stream(spark, d):
-    root = Ig.run_ingest(spark, f"{store.ensure_tables(spark, d)}/certificate_versions")
-    return spark.read.parquet(f"{root}/observations").drop("batch_id")
+    root = Ig.run_ingest(spark, f"{store.ensure_tables(spark, d)}/certificate_versions", rules=psl.FIXTURE_RULES)
+    return spark.read.parquet(f"{root}/observations").drop("batch_id", "seen_day")
 
 
 @register("ingest_stream_findings", "L1")
 def ingest_stream_findings(spark, d):
-    root = Ig.run_ingest(spark, f"{store.ensure_tables(spark, d)}/certificate_versions")
+    root = Ig.run_ingest(spark, f"{store.ensure_tables(spark, d)}/certificate_versions", rules=psl.FIXTURE_RULES)
     return spark.read.parquet(f"{root}/cert_findings").drop("batch_id")
 
 
-@register("rescore", "D18")
-def rescore(spark, d):
-    t = A.tables(spark, d)
-    return Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, limit=50)
-
-
-@register("rescore_fast_all", "D18")
-def rescore_fast_all(spark, d):
-    t = A.tables(spark, d)
-    return Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, limit=200, all_certs=True,
-                      fast=True)
-
-
 @register("event_envelope", "A1", """
 SELECT event_id, ts AS seen_at,
        CASE WHEN k % 3 = 0 THEN 'https://ct.example/' || CAST(k % 2 AS VARCHAR) ELSE 'log-' || CAST(k % 3 AS VARCHAR) END
@@ -122,6 +109,6 @@ WHERE c.c_mktsegment IN ('BUILDING', 'MACHINERY')
 def ingest_messages(spark, d):
     src = shared_path(spark, f"messages-{uuid.uuid4().hex[:12]}")
     A.der_messages(spark, d).repartition(8).write.parquet(src)
-    root = Ig.run_message_ingest(spark, src, max_files=4, matching=MESSAGE_FAMILY)
+    root = Ig.run_message_ingest(spark, src, max_files=4, matching=MESSAGE_FAMILY, rules=psl.FIXTURE_RULES)
     return spark.read.parquet(f"{root}/observations").select(
         "seen_at", "registered_domain", "log_id", "source", "domain_tokens")

@@ -23,12 +23,12 @@ from certlens.operators import signals as Sg
 from certlens.operators.certfeatures import attach_name_features
 from certlens.sources import psl
 
-MAX_BROADCAST_CANDIDATES = 5_000_000
+DEFAULT_LIMIT = 50_000
 
 
 def rescore(spark: SparkSession, observations: DataFrame, certificates: DataFrame, findings: DataFrame, as_of,
-            days: int, limit: int = 50_000, all_certs: bool = False, fast: bool = False,
-            settings: Settings = DEFAULT, rules: list[str] | None = None) -> DataFrame:
+            days: int, limit: int = DEFAULT_LIMIT, all_certs: bool = False, fast: bool = False,
+            settings: Settings = DEFAULT, *, rules: list[str]) -> DataFrame:
     span = Span.trailing(as_of, days)
     if all_certs:
         cands = (certificates.filter(span.contains("last_seen")).select("cert_hash")
@@ -37,10 +37,8 @@ def rescore(spark: SparkSession, observations: DataFrame, certificates: DataFram
         cands = (span.filter(findings, "created_at", "created_day").filter(F.col("finding_code") == "ANOMALY_SCORE")
                  .select("cert_hash", "created_at").orderBy(F.desc("created_at"), F.asc("cert_hash"))
                  .limit(limit).select("cert_hash").distinct())
-    keys = F.broadcast(cands) if limit <= MAX_BROADCAST_CANDIDATES else cands
-    certs = certificates.join(keys, "cert_hash", "left_semi")
-    rule_list = rules if rules is not None else psl.BUILTIN_RULES
-    rules_df = psl.rules_frame(spark, rule_list)
+    certs = certificates.join(cands, "cert_hash", "left_semi")
+    rules_df = psl.rules_frame(spark, rules)
     t = settings.thresholds
     if fast:
         bursts, base = None, None
@@ -51,6 +49,6 @@ def rescore(spark: SparkSession, observations: DataFrame, certificates: DataFram
     if "issuer_key" not in certs.columns:
         from certlens.operators.issuers import issuer_key
         certs = certs.withColumn("issuer_key", issuer_key())
-    feats = Ln.with_org_tokens(attach_name_features(certs, rules_df, len(rule_list), bursts, t.domain_burst_count))
+    feats = Ln.with_org_tokens(attach_name_features(certs, rules_df, len(rules), bursts, t.domain_burst_count))
     scored = Sg.score_certificates(Sg.attach_baseline(feats, base), settings)
     return Sg.anomaly_finding(scored, as_of)

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from certlens.functions.hostnames import normalize_hostname, strip_wildcard
 
 # --------------------------------------------------------------------------
-# A subset of the public suffix list (ICANN section plus a few
-# widely used private-section entries), one rule per entry, list order.
+# A test fixture, a subset of the public suffix list (ICANN section
+# plus a few private-section entries), one rule per entry, list order. Jobs get
+# the whole list as a file; nothing falls back to these.
 # --------------------------------------------------------------------------
-BUILTIN_RULES = """
+FIXTURE_RULES = """
 com net org edu gov mil int info biz name pro mobi asia tel travel jobs aero coop museum
 io co ai app dev me tv cc ws us eu uk de fr nl be ch at it es pt se no dk fi pl cz sk hu ro bg gr ie
 ru ua by kz cn jp kr in au nz ca mx br ar cl pe za ng ke eg tr il ae sa ir pk id my sg th vn ph hk tw
@@ -42,8 +43,6 @@ blogspot.com github.io githubusercontent.com herokuapp.com appspot.com cloudfron
 azurewebsites.net s3.amazonaws.com *.compute.amazonaws.com netlify.app vercel.app pages.dev
 """.split()
 
-MAX_BROADCAST_RULES = 200_000
-
 
 def parse_rules(lines) -> list[str]:
     """Rules from public-suffix-list text (comments and blanks skipped; the
@@ -57,16 +56,20 @@ def parse_rules(lines) -> list[str]:
     return out
 
 
-def load_rules(path: str) -> list[str]:
-    with open(path, encoding="utf-8") as handle:
-        return parse_rules(handle)
+def load_rules(spark: SparkSession, path: str) -> list[str]:
+    """The rules of a public suffix list file, read by Spark from any store. The
+    list is a published one of some ten thousand lines."""
+    rules = parse_rules(row.value for row in spark.read.text(path).toLocalIterator())
+    if not rules:
+        raise ValueError(f"no suffix rules in {path}")
+    return rules
 
 
-def rules_frame(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
+def rules_frame(spark: SparkSession, rules: list[str]) -> DataFrame:
     """(suffix, kind, n_labels): kind is normal / wildcard / exception; for a
     wildcard ``*.x`` the suffix is ``x``, for an exception ``!a.x`` it is ``a.x``."""
     rows = []
-    for rule in (rules if rules is not None else BUILTIN_RULES):
+    for rule in rules:
         if rule.startswith("!"):
             rows.append((rule[1:], "exception"))
         elif rule.startswith("*."):
@@ -86,8 +89,8 @@ def registered_domain_table(hosts: DataFrame, rules: DataFrame, host_col: str =
     """Distinct hosts -> (host, registered_domain).
 
     Every distinct host is expanded into its label suffixes (a handful of
-    rows) and left-joined to the rule table (broadcast when its size is
-    known to be small); the longest matching rule is chosen per host in an
+    rows) and left-joined to the rule table (broadcast when ``n_rules`` says
+    that it comes from a driver-side list); the longest matching rule is chosen per host in an
     aggregate on the same key the ``distinct`` already partitioned by, so
     the whole chain costs one shuffle. An exception rule wins and yields its
     suffix minus one label; otherwise the longest normal or wildcard (+1
@@ -104,8 +107,7 @@ def registered_domain_table(hosts: DataFrame, rules: DataFrame, host_col: str =
     cand = base.select("host", "v", "n", F.posexplode_outer(
         F.when(F.col("n") > 0, suffixes).otherwise(F.array().cast("array<string>"))).alias("pos", "suffix"))
     cand = cand.withColumn("k", F.col("n") - F.col("pos"))
-    small = n_rules is not None and n_rules <= MAX_BROADCAST_RULES
-    r = F.broadcast(rules) if small else rules
+    r = F.broadcast(rules) if n_rules is not None else rules
     per_host = cand.join(r, "suffix", "left").groupBy("host").agg(
         F.max("v").alias("v"), F.max("n").alias("n"),
         F.max(F.when(F.col("kind") == "exception", F.col("k"))).alias("exc_k"),

@@ -7,20 +7,24 @@ Each micro-batch (``foreachBatch``):
    baselines and bursts of the tables *before* this batch is appended (so a
    certificate's own sightings do not count towards its burst);
 4. writes certificates, observations, findings in that order into folders
-   named by the batch id (overwrite = idempotent on replay).
+   named by the batch id (overwrite = idempotent on replay), observations by day.
+
+A batch reads only what batches before it have written, and its time is the
+newest event's, so a replayed batch writes the same rows again.
 """
 
 from __future__ import annotations
 
 import os
-import time
 import uuid
+from datetime import timedelta
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlens.config import DEFAULT, IssuerMatching, Settings
+from certlens.functions.timewin import as_datetime, date_lit, ts_lit
 from certlens.functions.unicode import spki_hash_udf
 from certlens.operators import baseline as B
 from certlens.operators import lint as Ln
@@ -45,38 +49,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 BASELINE_TTL_SECONDS = 300
-_BASELINES: dict[str, tuple[float, DataFrame]] = {}
 
 
-def cached_baselines(spark: SparkSession, root: str, as_of, settings: Settings = DEFAULT,
+def prior(spark: SparkSession, root: str, table: str, batch_id: int) -> DataFrame | None:
+    """What the batches before ``batch_id`` have written to a table."""
+    path = f"{root}/{table}"
+    if not _exists(spark, path):
+        return None
+    rows = spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+    return None if rows.isEmpty() else rows
+
+
+def stored_baselines(spark: SparkSession, root: str, batch_id: int, as_of, settings: Settings = DEFAULT,
                      ttl_seconds: int = BASELINE_TTL_SECONDS) -> DataFrame:
-    """F8: issuer baselines of the tables under ``root``, recomputed at most
-    once per ``ttl_seconds`` (wall clock) and kept persisted in between; the
-    frame has one row per issuer."""
-    now = time.monotonic()
-    hit = _BASELINES.get(root)
-    if hit is not None and now - hit[0] < ttl_seconds:
-        return hit[1]
-    if hit is not None:
-        hit[1].unpersist()
-    prior_obs = spark.read.parquet(f"{root}/observations")
-    prior_certs = latest_versions(spark.read.parquet(f"{root}/certificates"))
-    daily = R.daily_cert_counts(prior_obs, prior_certs, R.refresh_span(as_of, settings.window_days), as_of)
-    base = B.baselines(prior_obs, prior_certs, daily, as_of, settings.window_days).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    _BASELINES[root] = (now, base)
-    return base
+    """F8: issuer baselines, recomputed at most once per ``ttl_seconds`` of event
+    time. Each computed set is a folder named by its batch; a batch takes the
+    newest one of earlier batches that is young enough, else writes its own. A
+    replayed batch finds the same folders, so it scores the same."""
+    fresh = ts_lit(as_datetime(as_of) - timedelta(seconds=ttl_seconds))
+    before = prior(spark, root, "baselines", batch_id)
+    if before is not None:
+        usable = before.filter(F.col("baseline_as_of") > fresh)
+        newest = usable.agg(F.max("batch_id")).first()[0]
+        if newest is not None:
+            return usable.filter(F.col("batch_id") == newest).drop("batch_id", "baseline_as_of")
+    days = settings.window_days
+    since = as_datetime(as_of) - timedelta(days=days)
+    obs = prior(spark, root, "observations", batch_id).filter(F.col("seen_day") >= date_lit(since))
+    certs = prior(spark, root, "certificates", batch_id)
+    certs = latest_versions(certs.join(obs.select("cert_hash").distinct(), "cert_hash", "left_semi"))
+    daily = R.daily_cert_counts(obs, certs, R.refresh_span(as_of, days), as_of)
+    base = B.baselines(obs, certs, daily, as_of, days).withColumn("baseline_as_of", ts_lit(as_of))
+    path = f"{root}/baselines/batch_id={batch_id}"
+    base.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path).drop("baseline_as_of")
 
 
 def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int,
-                 settings: Settings = DEFAULT, rules: list[str] | None = None) -> None:
+                 settings: Settings = DEFAULT, *, rules: list[str]) -> None:
     t = settings.thresholds
-    rule_list = rules if rules is not None else psl.BUILTIN_RULES
-    rules_df = psl.rules_frame(spark, rule_list)
+    rules_df = psl.rules_frame(spark, rules)
     # The micro-batch feeds three outputs: persist it (and the scored rows)
     # once instead of recomputing per write; both are released at the end.
     batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    as_of = batch.agg(F.max("last_seen")).first()[0]  # one value: the batch's event time
+    # The batch's event time as text in the session's zone (UTC): a timestamp
+    # value would come back in the driver's own zone.
+    as_of = batch.agg(F.max("last_seen").cast("string")).first()[0]
     if as_of is None:
         batch.unpersist()
         return
@@ -84,31 +102,33 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
                           "issuer_key", F.coalesce(F.col("log_id") if "log_id" in batch.columns else F.lit(None),
                                                    F.lit("ct-log")).alias("log_id"), "dns_names")
     certs = dedupe_batch(batch.drop("log_id") if "log_id" in batch.columns else batch)
-    obs = observation_fanout(events, rules_df, len(rule_list))
-
-    has_prior = _exists(spark, f"{root}/observations")
-    if has_prior:
-        prior_obs = spark.read.parquet(f"{root}/observations")
-        bursts = B.domain_bursts(prior_obs, as_of, t.domain_burst_window_hours)
-        base = cached_baselines(spark, root, as_of, settings)
+    obs = observation_fanout(events, rules_df, len(rules))
+
+    prior_obs = prior(spark, root, "observations", batch_id)
+    if prior_obs is not None:
+        first_day = as_datetime(as_of) - timedelta(hours=t.domain_burst_window_hours)
+        recent = prior_obs.filter(F.col("seen_day") >= date_lit(first_day))
+        bursts = B.domain_bursts(recent, as_of, t.domain_burst_window_hours)
+        base = stored_baselines(spark, root, batch_id, as_of, settings)
     else:
         bursts, base = None, None
-    feats = attach_name_features(certs, rules_df, len(rule_list), bursts, t.domain_burst_count)
+    feats = attach_name_features(certs, rules_df, len(rules), bursts, t.domain_burst_count)
     feats = Ln.with_org_tokens(feats)
     scored = Sg.score_certificates(Sg.attach_baseline(feats, base), settings).persist(StorageLevel.MEMORY_AND_DISK)
     findings = Ln.lint_findings(scored, as_of, settings).unionByName(Sg.anomaly_finding(scored, as_of))
     stored_certs = scored.select(*[c for c in batch.columns if c != "log_id" and c != "anomaly_score"],
                                  "anomaly_score")
     stored_certs.write.mode("overwrite").parquet(f"{root}/certificates/batch_id={batch_id}")
-    obs.write.mode("overwrite").parquet(f"{root}/observations/batch_id={batch_id}")
+    by_day = obs.withColumn("seen_day", F.to_date("seen_at"))
+    by_day.write.mode("overwrite").partitionBy("seen_day").parquet(f"{root}/observations/batch_id={batch_id}")
     findings.write.mode("overwrite").parquet(f"{root}/cert_findings/batch_id={batch_id}")
     scored.unpersist()
     batch.unpersist()
     release_persisted()
 
 
-def events_from_messages(spark: SparkSession, messages: DataFrame, known_certs: DataFrame | None,
-                         batch_id: int, matching: IssuerMatching = IssuerMatching()) -> tuple[DataFrame, DataFrame]:
+def events_from_messages(spark: SparkSession, messages: DataFrame, known_versions: DataFrame | None,
+                         matching: IssuerMatching = IssuerMatching()) -> tuple[DataFrame, DataFrame]:
     """Raw messages -> (certificate version rows with log_id, quarantine).
 
     A1-A5 envelope, A8 features parsed once per distinct certificate not yet
@@ -122,13 +142,12 @@ def events_from_messages(spark: SparkSession, messages: DataFrame, known_certs:
     good, bad_msgs = split_quarantine(parse_messages(messages))
     events = good.select("seen_at", "log_id", "cert_hash", F.col("leaf_der").alias("der"),
                          F.element_at(F.col("chain_der"), 1).alias("chain0"))
-    known = known_certs.select("cert_hash") if known_certs is not None else None
-    new_feats, bad_certs = extract_features(events.select("der"), known)
-    feats = new_feats
-    if known_certs is not None:
-        reuse = (known_certs.join(events.select("cert_hash").distinct(), "cert_hash", "left_semi")
-                 .select(*new_feats.columns))
-        feats = new_feats.unionByName(reuse)
+    known = None
+    if known_versions is not None:  # of all history, only the batch's own certificates are aggregated
+        keys = events.select("cert_hash").distinct()
+        known = latest_versions(known_versions.join(keys, "cert_hash", "left_semi")).drop("batch_id")
+    new_feats, bad_certs = extract_features(events.select("der"), known, once=True)
+    feats = new_feats if known is None else new_feats.unionByName(known.select(*new_feats.columns))
     chains = events.select("chain0").where(F.col("chain0").isNotNull()).distinct()
     spki = chains.select("chain0", spki_hash_udf("chain0").alias("issuer_spki_hash"))
     rows = (events.join(spki, "chain0", "left").join(feats, "cert_hash")
@@ -138,7 +157,7 @@ def events_from_messages(spark: SparkSession, messages: DataFrame, known_certs:
         *[c for c in new_feats.columns], "issuer_spki_hash", "issuer_key", "log_id",
         F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"),
         F.lit(0).alias("anomaly_score"),
-        (F.lit(batch_id).cast("long") * F.lit(1 << 40) + F.monotonically_increasing_id()).alias("ingest_seq"))
+        F.monotonically_increasing_id().alias("ingest_seq"))
     quarantine = bad_msgs.select(F.lit(None).cast("string").alias("cert_hash"), "error").unionByName(bad_certs)
     return rows, quarantine
 
@@ -158,20 +177,19 @@ def write_counters(messages: DataFrame, path: str) -> None:
 
 def run_message_ingest(spark: SparkSession, source_dir: str, root: str | None = None,
                        max_files: int | None = None, settings: Settings = DEFAULT,
-                       matching: IssuerMatching | None = None, available_now: bool = True) -> str:
+                       matching: IssuerMatching | None = None, available_now: bool = True, *, rules: list[str]) -> str:
     """L1 from raw messages: a stream over a folder of message rows (a
     ``value`` column of JSON text) into the three tables plus quarantine."""
     root = root or shared_path(spark, f"ingest-{uuid.uuid4().hex[:12]}")
     match = matching or settings.matching
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        known = (latest_versions(spark.read.parquet(f"{root}/certificates"))
-                 if _exists(spark, f"{root}/certificates") else None)
+        known = prior(spark, root, "certificates", batch_id)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        rows, quarantine = events_from_messages(spark, batch, known, batch_id, match)
+        rows, quarantine = events_from_messages(spark, batch, known, match)
         quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
         write_counters(batch, f"{root}/counters/batch_id={batch_id}")
-        enrich_batch(spark, rows, root, batch_id, settings)
+        enrich_batch(spark, rows, root, batch_id, settings, rules=rules)
         batch.unpersist()
 
     run_batches(file_stream(spark, source_dir, max_files), handle, os.path.join(root, "_checkpoint"),
@@ -180,13 +198,13 @@ def run_message_ingest(spark: SparkSession, source_dir: str, root: str | None =
 
 
 def run_ingest(spark: SparkSession, source_dir: str, root: str | None = None, max_files: int | None = None,
-               settings: Settings = DEFAULT, available_now: bool = True) -> str:
+               settings: Settings = DEFAULT, available_now: bool = True, *, rules: list[str]) -> str:
     """Run the enrichment stream over a folder of parsed certificate events
     (certificate columns + issuer_key + ingest_seq). Returns the tables root."""
     root = root or shared_path(spark, f"ingest-{uuid.uuid4().hex[:12]}")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        enrich_batch(spark, batch, root, batch_id, settings)
+        enrich_batch(spark, batch, root, batch_id, settings, rules=rules)
 
     run_batches(file_stream(spark, source_dir, max_files), handle, os.path.join(root, "_checkpoint"),
                 available_now=available_now)

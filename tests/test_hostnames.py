@@ -15,7 +15,7 @@ def test_registered_domain(spark):
     hosts = spark.createDataFrame([("foo.bar.example.co.uk",), ("*.login.example.com",), ("",), ("co.uk",),
                                    ("x.y.ck",), ("www.ck",), ("www.site7.example",)], "host string")
     got = {r["host"]: r["registered_domain"] for r in
-           psl.registered_domain_table(hosts, psl.rules_frame(spark), "host", len(psl.BUILTIN_RULES)).collect()}
+           psl.registered_domain_table(hosts, psl.rules_frame(spark, psl.FIXTURE_RULES), "host", len(psl.FIXTURE_RULES)).collect()}
     assert got["foo.bar.example.co.uk"] == "example.co.uk"
     assert got["*.login.example.com"] == "example.com"
     assert got[""] == ""

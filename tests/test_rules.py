@@ -8,7 +8,7 @@ from tests.conftest import certs_df
 
 
 def _prepare(spark, certs, bursts=None, baselines=None):
-    feats = attach_name_features(certs, psl.rules_frame(spark), len(psl.BUILTIN_RULES), bursts)
+    feats = attach_name_features(certs, psl.rules_frame(spark, psl.FIXTURE_RULES), len(psl.FIXTURE_RULES), bursts)
     return Sg.attach_baseline(Ln.with_org_tokens(feats), baselines)
 
 

@@ -13,7 +13,7 @@ def test_load_rules_from_list_file(spark):
     path = os.path.join(tempfile.mkdtemp(), "psl.dat")
     with open(path, "w", encoding="utf-8") as fh:
         fh.write(text)
-    rules = psl.load_rules(path)
+    rules = psl.load_rules(spark, path)
     assert rules == ["com", "uk", "co.uk", "*.ck", "!www.ck", "example.test"]
     hosts = spark.createDataFrame([("a.b.example.co.uk",), ("x.example.test",), ("q.w.e.ck",)], "host string")
     got = {r[0]: r[1] for r in psl.registered_domain_table(hosts, psl.rules_frame(spark, rules), "host",
