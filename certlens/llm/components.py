@@ -33,16 +33,32 @@ def _state(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(a, b) links of long ids -> (id, root) for every linked id other than
-    its component's smallest. Null ids and self links are ignored; an empty
-    table gives an empty result. Repeated links and ties do no harm."""
+def contract(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(a, b) links of long ids -> links (a, b) with the same components, a above
+    b. Without ``rounds`` until every id is linked with its component's smallest
+    alone; after a few rounds most are, and what is left can be contracted later.
+    Null ids and self links are ignored; an empty table gives an empty result.
+    Repeated links and ties do no harm."""
     edges = keep(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = _state(edges)
-    while before[0]:
-        edges = keep(_small_star(_large_star(edges).distinct()).filter("u != v").distinct(), "links")
+    before = _state(edges) if rounds is None else (1, None)
+    while before[0] and rounds != 0:
+        edges = keep(_small_star(_large_star(edges)).filter("u != v").distinct(), "links")
+        if rounds is not None:
+            rounds -= 1
+            continue
         now = _state(edges)
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
+def roots(contracted: DataFrame) -> DataFrame:
+    """(id, root) of contracted links: one root for each id, the smallest one."""
+    return contracted.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(a, b) links -> (id, root) for every linked id other than its component's
+    smallest."""
+    return roots(contract(links))

@@ -4,7 +4,8 @@ A page's text nodes are grouped by their path of tags from the root. For each
 path the text length and the punctuation per node are aggregated, smoothed over
 similar paths of the page (a Gaussian of the number of differing tags), and fused
 into one score; paths whose score reaches a part of the page's best are content.
-Text in links counts against a path. Containers that by their tag, role, class or
+Text in links counts against a path, and so does standing outside the element that
+the page marks as its article. Containers that by their tag, role, class or
 id are menus, headers, footers, sidebars, notices, adverts, forms or reader
 comments take no part, nor do scripts, styles and the page's head.
 
@@ -28,6 +29,8 @@ from certlens.llm.shared import free_name
 #: A path is content from this part of the page's best score on.
 THRESHOLD = 0.08
 SIGMA = 1.5
+#: Weight of paths outside a marked article.
+OUTSIDE = 0.05
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -167,6 +170,10 @@ def content_paths(nodes: list[tuple[tuple[str, ...], int, str, bool]], threshold
             weight, length, marks = weight + w, length + w * a, marks + w * b
         own = ratios[p][0] > 0
         fused[p] = math.sqrt(length / weight * (1 + marks / weight)) if own else 0.0
+    for holder in ("article", "main"):  # where the page marks its article, the rest must do far better
+        if any(holder in p and x for p, x in fused.items()):
+            fused = {p: x if holder in p else x * OUTSIDE for p, x in fused.items()}
+            break
     best = max(fused.values())
     return {p for p, x in fused.items() if best and x >= threshold * best}
 

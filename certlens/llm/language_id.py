@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certlens.llm import words
-from certlens.llm.shared import free_name, keep, row_key
+from certlens.llm.shared import free_name, keep, row_key, side
 
 SAMPLE = 2000
 BINS = 1 << 17
@@ -220,6 +220,6 @@ def keep_identified(docs: DataFrame, text: str = "text", declared: str = "lang",
     model = fit_text_model(docs, text, declared)
     key = row_key(text, declared, host)
     rows = docs.select(F.col(text).alias("text"), F.col(declared).alias("declared"), F.col(host).alias("host"), key.alias("key"))
-    refused = identify(rows, model).filter(~F.col("accepted")).select(F.col("key").alias("_refused")).distinct()
+    refused = keep(identify(rows, model).filter(~F.col("accepted")).select(F.col("key").alias("_refused")).distinct(), "lang-refused")
     at = free_name(docs, "row_key")
-    return docs.withColumn(at, key).join(refused, F.col(at) == F.col("_refused"), "left_anti").drop(at)
+    return docs.withColumn(at, key).join(side(refused), F.col(at) == F.col("_refused"), "left_anti").drop(at)

@@ -11,13 +11,13 @@ Follows the published prefix-filter family (AllPairs, PPJoin, PPJoin+):
 * A class posts its first ``n - ceil(t n) + 1`` shingles; the first
   ``n - ceil(2t/(1+t) n) + 1`` of them also stand for pairs with larger classes.
 * Within one shingle's postings pairs are not enumerated. Each posting meets the
-  smallest class only (the leader). Round one verifies each class with the leader
-  that shares most of its prefix, round two with its leaders in other components,
-  and the last round compares each class that is still apart from a leader with
-  the members of other components there. No link between components is lost;
-  pairs inside one are skipped, as they change no component.
+  shingle's leader only. Round one verifies each class with the leader that shares
+  most of its prefix, the next rounds with its leaders in other components and
+  with new leaders, and the last round compares each class that is still apart
+  from a leader with the members of other components there. No link between
+  components is lost; pairs inside one are skipped, as they change no component.
 * Length, positional and suffix filters come before that; the suffix filter
-  compares counts by hash range, a lower bound of the symmetric difference. Each
+  compares parities by hash range, a lower bound of the symmetric difference. Each
   distinct pair that passes is verified once, on its shingle sets.
 
 Classes and shingles are 64-bit hashes: with 3e10 texts, a few dozen pairs of
@@ -27,6 +27,7 @@ different texts may share a class hash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certlens.llm import sketch, words
-from certlens.llm.components import components
-from certlens.llm.shared import keep
+from certlens.llm.components import contract
+from certlens.llm.components import roots as roots_of
+from certlens.llm.shared import keep, side
 
 N = 5
 #: Similarity as a fraction: intersection * DEN >= NUM * union.
 NUM, DEN = 4, 5
-RANGES = 16
-#: Class hashes that a broadcast may hold (16 bytes each); more are joined by a shuffle.
-BROADCAST_CLASSES = 4_000_000
+RANGES = 1024
+#: Star contractions between the rounds; the last one goes to the end. What they
+#: leave apart is compared once more, so they don't change the result.
+ROUNDS = 1
+#: Rounds with new leaders before the last round.
+LEADER_ROUNDS = 3
 
-_ROWS = "cls long, n long, at long, prefix array<long>, spread array<int>"
+_ROWS = "cls long, n long, at long, prefix array<long>, spread array<long>"
 
 
 def _sets(col: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -89,7 +94,8 @@ def _prefix_rows(order: np.ndarray, n_words: int, text_at: int):
                     seen.add(c)
                     rare = np.argsort(order[sketch.slot(found)], kind="stable")
                     flat.append(found[rare[: size - (NUM * size + DEN - 1) // DEN + 1]])
-                    spread.append(np.bincount((found >> np.uint64(60)).astype(np.int64), minlength=RANGES))
+                    odd = np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=RANGES) & 1
+                    spread.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     lists.append(lists[-1] + len(flat[-1]))
                 else:
                     spread.append(None)
@@ -97,7 +103,7 @@ def _prefix_rows(order: np.ndarray, n_words: int, text_at: int):
             posts = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(_signed(np.concatenate(flat)) if flat else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), batch.column(text_at + 1), posts,
-                 pa.array([x if x is None else x.tolist() for x in spread], pa.list_(pa.int32()))],
+                 pa.array([x if x is None else x.tolist() for x in spread], pa.list_(pa.int64()))],
                 names=["doc_id", "cls", "n", "at", "prefix", "spread"])
 
     return run
@@ -141,39 +147,45 @@ def _set_rows(n_words: int):
     return run
 
 
-def _fits(x_n: Column, x_i: Column, y_n: Column, y_i: Column) -> Column:
-    """Length and positional filter for a pair with x the smaller."""
-    return (F.lit(DEN) * x_n >= F.lit(NUM) * y_n) & (F.lit(1) + F.least(x_n - x_i - 1, y_n - y_i - 1) >= _need(x_n, y_n))
+def _need(x_n: Column, y_n: Column) -> Column:
+    """The smallest intersection of a pair that links."""
+    return F.floor((F.lit(NUM) * (x_n + y_n) + F.lit(NUM + DEN - 1)) / F.lit(NUM + DEN))
 
 
-def _order(n: Column, cls: Column) -> Column:
-    """Classes by size, then by the upper half of their hash, in one number."""
-    return F.shiftleft(n.cast("long"), 32) + F.shiftright(cls, 32) + F.lit(1 << 31)
+def _fits(x_cls: Column, x_n: Column, x_i: Column, y_cls: Column, y_n: Column, y_i: Column) -> Column:
+    """Prefix, length and positional filter of a pair at one common shingle: the
+    smaller one must post it for larger ones, the sizes must be near, and what
+    stands behind the shingle must be enough."""
+    smaller = (x_n < y_n) | ((x_n == y_n) & (x_cls < y_cls))
+    small, large = F.least(x_n, y_n), F.greatest(x_n, y_n)
+    lead = F.when(smaller, x_i).otherwise(y_i) < small - F.floor((2 * NUM * small + NUM + DEN - 1) / F.lit(NUM + DEN)) + 1
+    return lead & (F.lit(DEN) * small >= F.lit(NUM) * large) & (F.lit(1) + F.least(x_n - x_i - 1, y_n - y_i - 1) >= _need(x_n, y_n))
 
 
-def _lead(n: Column, i: Column) -> Column:
-    """Whether a posting stands for pairs with classes of the same size or more."""
-    return i < n - F.floor((2 * NUM * n + NUM + DEN - 1) / F.lit(NUM + DEN)) + 1
+def _met(posts: DataFrame, among: DataFrame | None = None, turn: int = 0) -> DataFrame:
+    """Every posting with the leader of its shingle: the class, of those in
+    ``among``, that comes first in a random order which is the same for all
+    shingles of this turn, so the classes of one group mostly meet the same few
+    leaders. Returns gram, cls, n, i, l_cls, l_n, l_i of all postings whose shingle
+    has a leader, but the leaders' own."""
+    rank = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    place = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")
+    first = F.min("cls") if turn == 0 else F.min_by("cls", rank)
+    leaders = (posts if among is None else among).groupBy("gram").agg(first.alias("l_cls"), F.min_by(place, rank).alias("l_place"))
+    met = posts.join(leaders, "gram").filter("cls != l_cls")
+    low = F.col("l_place").bitwiseAND(F.lit((1 << 32) - 1))
+    return met.select("gram", "cls", "n", "i", "l_cls", F.shiftright("l_place", 32).cast("int").alias("l_n"), low.cast("int").alias("l_i"))
 
 
-def _met(posts: DataFrame) -> DataFrame:
-    """Every posting with the leader of its shingle, the smallest class that
-    posts it for larger ones: gram, cls, n, i, l_cls, l_n, l_i."""
-    order = _order(F.col("n"), F.col("cls"))
-    leaders = posts.filter(_lead(F.col("n"), F.col("i"))).groupBy("gram").agg(
-        F.min(order).alias("l_order"), F.min_by("cls", order).alias("l_cls"), F.min_by("i", order).alias("l_i"))
-    after = (order > F.col("l_order")) | ((order == F.col("l_order")) & (F.col("cls") != F.col("l_cls")))
-    return posts.join(leaders, "gram").filter(after).select("gram", "cls", "n", "i", "l_cls", F.shiftright("l_order", 32).cast("int").alias("l_n"), "l_i")
+def _met_fits() -> Column:
+    return _fits(*(F.col(c) for c in ("l_cls", "l_n", "l_i", "cls", "n", "i")))
 
 
 def _apart(x: Column, y: Column) -> Column:
-    """A lower bound of the symmetric difference, from the counts by hash range."""
-    return F.aggregate(F.zip_with(x, y, lambda p, q: F.abs(p - q)), F.lit(0), lambda s, d: s + d)
-
-
-def _need(x_n: Column, y_n: Column) -> Column:
-    """The smallest intersection of a pair that links."""
-    return F.floor((F.lit(NUM) * (x_n + y_n) + F.lit(NUM + DEN - 1)) / F.lit(NUM + DEN))
+    """A lower bound of the symmetric difference: the hash ranges in which one
+    set has an odd number of shingles and the other an even one."""
+    words = RANGES // 64
+    return reduce(lambda a, b: a + b, (F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(words)))
 
 
 def _verified(pairs: DataFrame, spread: DataFrame, sets: DataFrame) -> DataFrame:
@@ -191,8 +203,7 @@ def _verified(pairs: DataFrame, spread: DataFrame, sets: DataFrame) -> DataFrame
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
     """The shingle sets of the classes whose text hashes are wanted."""
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_CLASSES else wanted
-    texts = docs.join(few, F.xxhash64("text") == F.col("at"), "left_semi").select("text")
+    texts = docs.join(side(wanted), F.xxhash64("text") == F.col("at"), "left_semi").select("text")
     found = texts.mapInArrow(_set_rows(n_words), "cls long, grams array<long>")
     return keep(found.dropDuplicates(["cls"]), "jaccard-sets")
 
@@ -220,41 +231,42 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # every class that may still be compared shares a shingle with another one
     shared_by = met.select("cls").union(met.select(F.col("l_cls").alias("cls"))).distinct()
     sets = _sets_of(slim, keep(spread.join(shared_by, "cls", "left_semi").select("at").distinct(), "jaccard-wanted"), n_words)
-    by_leader = keep(met.filter(_fits(F.col("l_n"), F.col("l_i"), F.col("n"), F.col("i"))).groupBy(F.col("l_cls").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared")), "jaccard-leaders")
+    pair = F.least("l_cls", "cls").alias("a"), F.greatest("l_cls", "cls").alias("b")
+    ranges = spread.select("cls", "spread")
 
     def rooted(df: DataFrame, cls: str, root: str) -> DataFrame:
         names = roots.select(F.col("id").alias(cls), F.col("root").alias(root))
         return df.join(names, cls, "left").withColumn(root, F.coalesce(root, cls))
 
+    def apart(df: DataFrame) -> DataFrame:
+        return rooted(rooted(df, "cls", "c"), "l_cls", "l_c").filter("c != l_c")
+
     # round one: each class with the leader that shares most with it
-    first = by_leader.groupBy("b").agg(F.max_by("a", "shared").alias("a")).select("a", "b")
-    first = keep(first, "jaccard-pairs")
-    links = keep(_verified(first, spread, sets), "jaccard-links")
-    roots = components(links)
-    # round two: the other leaders, where they are in another component
-    others = rooted(rooted(by_leader.join(first, ["a", "b"], "left_anti"), "a", "a_root"), "b", "b_root")
-    second = keep(others.filter("a_root != b_root").select("a", "b"), "jaccard-pairs")
-    links = keep(links.union(_verified(second, spread, sets)), "jaccard-links")
-    roots = components(links)
-    # last round: what is still apart from its leader, with all other components of its shingle
+    by_leader = keep(met.filter(_met_fits()).groupBy("l_cls", "cls").agg(F.count("*").alias("shared")), "jaccard-leaders")
+    done = keep(by_leader.groupBy("cls").agg(F.max_by("l_cls", "shared").alias("l_cls")).select(*pair).distinct(), "jaccard-pairs")
+    links = contract(_verified(done, spread, sets), ROUNDS)
+    roots = roots_of(links)
+    # round two: the other leaders, where they are in another component; then new
+    # leaders for all, from those that are still apart from their first one
+    met_by_pair, posts = by_leader, met.select("gram", "cls", "n", "i")
+    for turn in range(1 + LEADER_ROUNDS):
+        if turn:
+            met_by_pair = _met(posts, apart(met).select("gram", "cls", "n", "i"), turn).filter(_met_fits()).select("l_cls", "cls").distinct()
+        new = keep(apart(met_by_pair).select(*pair).distinct().join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+        done = done.union(new)
+        links = contract(links.union(_verified(new, spread, sets)), ROUNDS)
+        roots = roots_of(links)
+    # last round: what is still apart from its first leader, with all other components of its shingle
     named = keep(rooted(rooted(met, "cls", "c"), "l_cls", "l_c"), "jaccard-named")
-    ranges = spread.select("cls", "spread")
-    apart = named.filter("c != l_c").select("gram", "cls", "n", "i", "c").join(ranges, "cls")
-    grams = named.filter("c != l_c").select("gram").distinct()
-    others = named.join(grams, "gram", "left_semi").select("gram", "cls", "n", "i", "c").join(ranges, "cls")
-    u = {c: F.col(f"u.{c}") for c in ("cls", "n", "i", "c", "spread")}
-    o = {c: F.col(f"o.{c}") for c in ("cls", "n", "i", "c", "spread")}
-    smaller = (u["n"] < o["n"]) | ((u["n"] == o["n"]) & (u["cls"] < o["cls"]))
-    fits = F.when(smaller, _lead(u["n"], u["i"]) & _fits(u["n"], u["i"], o["n"], o["i"])).otherwise(_lead(o["n"], o["i"]) & _fits(o["n"], o["i"], u["n"], u["i"]))
-    near = _apart(u["spread"], o["spread"]) <= u["n"] + o["n"] - 2 * _need(u["n"], o["n"])
-    rest = apart.alias("u").join(others.alias("o"), (F.col("u.gram") == F.col("o.gram")) & (u["c"] != o["c"]) & fits & near).select(
-        F.least(u["cls"], o["cls"]).alias("p"), F.greatest(u["cls"], o["cls"]).alias("q"))
-    done = first.union(second).select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-    third = keep(rest.distinct().join(done, ["p", "q"], "left_anti").select(F.col("p").alias("a"), F.col("q").alias("b")), "jaccard-pairs")
-    more = keep(_verified(third, spread, sets), "jaccard-links")
-    if not more.isEmpty():
-        roots = components(links.union(more))
-    return rows.select("doc_id", "cls", "n", "at"), roots
+    still = named.filter("c != l_c").select("gram", "cls", "n", "i", "c")
+    others = named.join(still.select("gram").distinct(), "gram", "left_semi").select("gram", "cls", "n", "i", "c").join(ranges, "cls")
+    u, o = ([F.col(f"{side_}.{c}") for c in ("cls", "n", "i", "c", "spread")] for side_ in "uo")
+    near = _apart(u[4], o[4]) <= u[1] + o[1] - 2 * _need(u[1], o[1])
+    rest = still.join(ranges, "cls").alias("u").join(others.alias("o"), (F.col("u.gram") == F.col("o.gram")) & (u[3] != o[3]) & _fits(*u[:3], *o[:3]) & near)
+    last = rest.select(F.least(u[0], o[0]).alias("a"), F.greatest(u[0], o[0]).alias("b")).distinct()
+    last = keep(last.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+    links = contract(links.union(_verified(last, spread, sets)))
+    return rows.select("doc_id", "cls", "n", "at"), roots_of(links)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = N) -> DataFrame:
@@ -285,9 +297,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_word
     repeated = keep(chosen.filter(F.col("stays") & (F.col("times") > 1)).select("doc_id", "at"), "jaccard-repeated")
 
     def matches(df: DataFrame, how: str, left: DataFrame) -> DataFrame:
-        small = df.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"))
-        small = F.broadcast(small) if df.count() <= BROADCAST_CLASSES else small
-        return left.join(small, left[doc_id].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(left[text]) == F.col("_at")), how)
+        return left.join(side(df.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"))), left[doc_id].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(left[text]) == F.col("_at")), how)
 
     once = matches(repeated, "left_semi", docs).dropDuplicates([doc_id, text])
     return matches(gone.union(repeated), "left_anti", docs).unionByName(once)

@@ -54,4 +54,20 @@ least_id AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN doc d
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM doc LEFT JOIN size USING (r) LEFT JOIN least_id USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3, "op5_mix": OP5, "op10_ngram_jaccard": OP10}
+OP7 = r"""
+WITH turn_rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, length(regexp_replace(text, '(\\|<s>|</s>|\[/?INST\]|\[ANSWER\]|\[/?SYSTEM\]|\[/?TURN\]|\[:\])', '\\\1', 'g')) AS n,
+         length(regexp_replace(role, '(\\|<s>|</s>|\[/?INST\]|\[ANSWER\]|\[/?SYSTEM\]|\[/?TURN\]|\[:\])', '\\\1', 'g')) AS role_n
+  FROM turn_rows)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(3 + sum(n + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 13 WHEN 'system' THEN 19 ELSE 20 + role_n END) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_decontaminate": OP3, "op5_mix": OP5, "op7_chat_format": OP7, "op10_ngram_jaccard": OP10}

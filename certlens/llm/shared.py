@@ -29,6 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one or two hashes (16 bytes each) that a broadcast may hold.
+BROADCAST_ROWS = 4_000_000
+
+
+def side(df: DataFrame) -> DataFrame:
+    """A kept table of hashes as the small side of a join: broadcast up to
+    ``BROADCAST_ROWS`` rows, joined by a shuffle beyond."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def row_key(*cols: str) -> Column:
     """128-bit fingerprint of a row's columns (nulls differ from empty strings).
     Rows with equal columns get equal keys, so decisions that depend on these

@@ -3,7 +3,8 @@
 Every task counts into its own array of ``SLOTS`` counters and emits it as
 ``BLOCKS`` rows; two rounds of repartitioning add the blocks up. Only the final
 array (``SLOTS`` x 4 bytes, a fixed bound) reaches the driver and is broadcast.
-Slots never undercount. Counters saturate at 2^32 - 1.
+Slots never undercount. Counters saturate at 2^32 - 1. A block travels in the
+smallest of three forms: single bytes, full counters, or the counted slots alone.
 """
 
 from __future__ import annotations
@@ -18,47 +19,65 @@ from pyspark.sql import functions as F
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 BLOCKS = 64
+WIDTH = SLOTS // BLOCKS
 SCHEMA = "block int, salt int, counts binary"
+_MOST = 2**32 - 1
 
 
 def slot(h: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    some = np.flatnonzero(counts)
+    if 8 * len(some) < WIDTH:
+        return b"s" + some.astype(np.uint32).tobytes() + counts[some].astype(np.uint32).tobytes()
+    if counts.max() < 256:
+        return b"b" + counts.astype(np.uint8).tobytes()
+    return b"f" + counts.astype(np.uint32).tobytes()
+
+
+def _add(total: np.ndarray, raw: bytes) -> None:
+    """Add a packed block to 64-bit counters."""
+    kind, body = raw[:1], raw[1:]
+    if kind == b"s":
+        half = len(body) // 2
+        total[np.frombuffer(body[:half], np.uint32)] += np.frombuffer(body[half:], np.uint32)
+    else:
+        total += np.frombuffer(body, np.uint8 if kind == b"b" else np.uint32)
+
+
 def blocks(counts: np.ndarray, salt: int) -> pa.RecordBatch:
     """A task's counters as rows; blocks without a count are left out."""
-    parts = counts.reshape(BLOCKS, -1)
+    parts = counts.reshape(BLOCKS, WIDTH)
     some = [b for b in range(BLOCKS) if parts[b].any()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int32()), pa.array([salt] * len(some), pa.int32()), pa.array([parts[b].tobytes() for b in some], pa.binary())],
-        names=["block", "salt", "counts"])
+    return _rows(some, [salt] * len(some), [_packed(parts[b]) for b in some])
+
+
+def _rows(keys: list[int], salts: list[int], packed: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(salts, pa.int32()), pa.array(packed, pa.binary())], names=["block", "salt", "counts"])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for b, raw in zip(batch.column(0).to_pylist(), batch.column(2)):
-            own = np.frombuffer(raw.as_buffer(), np.uint32)
-            if b in total:
-                wide = total[b].astype(np.uint64) + own
-                total[b] = np.minimum(wide, np.uint64(2**32 - 1)).astype(np.uint32)
-            else:
-                total[b] = own.copy()
+            if b not in total:
+                total[b] = np.zeros(WIDTH, np.uint64)
+            _add(total[b], raw.as_py())
     if total:
         keys = sorted(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int32()), pa.array([0] * len(keys), pa.int32()), pa.array([total[b].tobytes() for b in keys], pa.binary())],
-            names=["block", "salt", "counts"])
+        yield _rows(keys, [0] * len(keys), [_packed(np.minimum(total[b], _MOST)) for b in keys])
 
 
-def gather(per_task: DataFrame, slots: int = SLOTS) -> np.ndarray:
+def gather(per_task: DataFrame) -> np.ndarray:
     """The corpus-wide counters from the rows of all tasks."""
     once = per_task.repartition(F.col("block"), F.col("salt")).mapInArrow(_sum, SCHEMA)
     whole = once.repartition(F.col("block")).mapInArrow(_sum, SCHEMA)
-    out = np.zeros((BLOCKS, slots // BLOCKS), dtype=np.uint32)
+    out = np.zeros((BLOCKS, WIDTH), dtype=np.uint64)
     for row in whole.collect():  # at most BLOCKS rows, SLOTS x 4 bytes in all
-        out[row.block] = np.frombuffer(row.counts, np.uint32)
-    return out.reshape(-1)
+        _add(out[row.block], bytes(row.counts))
+    return out.reshape(-1).astype(np.uint32)
 
 
 def tasks(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> DataFrame:

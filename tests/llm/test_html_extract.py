@@ -36,6 +36,13 @@ def test_links_count_against_a_path():
     assert H.extract(page) == f"{P1}\n{P2}"
 
 
+def test_unmarked_boxes_beside_a_marked_article():
+    box = "<div><p>Some other text of the page, about as long as the article's, with commas.</p></div>"
+    assert H.extract(f"<body>{box}<article><h1>Head</h1><p>{P1}</p><p>Yes.</p></article>{box}</body>") == f"Head\n{P1}\nYes."
+    assert H.extract(f"<body><main><p>{P1}</p></main>{box}</body>") == P1
+    assert H.extract(f"<body><article></article><p>{P1}</p></body>") == P1
+
+
 def test_very_long_page():
     assert H.extract("<p>" + "word, " * 200_000).count("word") == 200_000
     assert H.extract("<div>" * 3000 + "deep, text." + "</div>" * 3000) == "deep, text."
