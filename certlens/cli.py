@@ -108,12 +108,11 @@ def main(argv: list[str] | None = None) -> None:
         if args.continuous:
             spark.streams.awaitAnyTermination()
     elif args.command == "retention":
-        from certlens.operators.latest import write_retained
-        write_retained(spark.read.parquet(f"{root}/observations"), f"{root}/observations_retained", as_of,
-                       args.days)
+        from certlens.streaming.maintenance import drop_expired_days
+        drop_expired_days(spark, root, as_of, args.days)
     elif args.command == "compact":
-        from certlens.operators.latest import compact_certificates
-        compact_certificates(spark.read.parquet(f"{root}/certificates"), f"{root}/certificates_compacted")
+        from certlens.streaming.maintenance import compact_certificates
+        compact_certificates(spark, root)
 
 
 if __name__ == "__main__":

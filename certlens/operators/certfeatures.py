@@ -10,19 +10,24 @@ holds at most the names of one certificate.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from certlens.config import DEFAULT
+from certlens.functions.hostnames import has_punycode, highest_label_entropy, suspicious_keywords
 from certlens.functions.unicode import confusable_json, organization_tokens, to_unicode_hostname
-from certlens.session import broadcast_if_small, release_persisted
 from certlens.sources.psl import registered_domain_table
 
 NAME_INFO = "name_info"
-MAX_BURST_BROADCAST = 2_000_000
+NAME_INFO_FIELDS = "pos", "name", "unicode_hostname", "confusable_json", "puny", "entropy", "keywords"
 
 
-def host_table(names: DataFrame, rules: DataFrame, n_rules: int | None, host_col: str = "name") -> DataFrame:
-    """Distinct names -> (name, rd, unicode_hostname, confusable_json, rd_tokens).
+def host_table(names: DataFrame, rules: DataFrame, n_rules: int | None, host_col: str = "name",
+               keywords: Sequence[str] = DEFAULT.thresholds.suspicious_keywords) -> DataFrame:
+    """Distinct names -> (name, rd, unicode_hostname, confusable_json, rd_tokens,
+    puny, entropy of the decoded form, keywords).
 
     One chain on the distinct names: suffix-rule aggregate, then the IDNA
     and token columns as projections (Python only sees ``xn--`` names and
@@ -32,11 +37,14 @@ def host_table(names: DataFrame, rules: DataFrame, n_rules: int | None, host_col
     return decoded.select(
         F.col("host").alias("name"), "rd", "unicode_hostname",
         confusable_json(F.col("host"), F.col("unicode_hostname")).alias("confusable_json"),
-        organization_tokens(F.col("rd")).alias("rd_tokens"))
+        organization_tokens(F.col("rd")).alias("rd_tokens"), has_punycode(F.col("host")).alias("puny"),
+        highest_label_entropy(F.when(has_punycode(F.col("host")), F.col("unicode_hostname")).otherwise(F.col("host"))).alias("entropy"),
+        suspicious_keywords(F.col("host"), list(keywords)).alias("keywords"))
 
 
 def name_features(certs: DataFrame, rules: DataFrame, n_rules: int | None = None,
-                  bursts: DataFrame | None = None, burst_threshold: int = 5) -> DataFrame:
+                  bursts: DataFrame | None = None, burst_threshold: int = 5,
+                  keywords: Sequence[str] = DEFAULT.thresholds.suspicious_keywords) -> DataFrame:
     """(cert_hash, registered_domains, domain_tokens, name_info, burst_matches).
 
     ``name_info`` is aligned with ``dns_names``: struct(pos, name,
@@ -45,18 +53,18 @@ def name_features(certs: DataFrame, rules: DataFrame, n_rules: int | None = None
     ``burst_threshold`` recent certificates, largest first.
     """
     exploded = certs.select("cert_hash", F.posexplode("dns_names").alias("pos", "name"))
-    table = host_table(exploded, rules, n_rules)
+    table = host_table(exploded, rules, n_rules, keywords=keywords)
     j = exploded.join(table, "name", "left")
     if bursts is not None:
-        # Only domains at or above the threshold matter; the table is
-        # broadcast when a count shows it is small, else shuffle-joined.
+        # Only domains at or above the threshold matter; Spark broadcasts the
+        # table when its measured size allows, else joins by shuffle.
         hot = bursts.filter(F.col("cert_count") >= burst_threshold).select(
             F.col("registered_domain").alias("rd"), "cert_count")
-        j = j.join(broadcast_if_small(hot, MAX_BURST_BROADCAST), "rd", "left")
+        j = j.join(hot, "rd", "left")
     else:
         j = j.withColumn("cert_count", F.lit(None).cast("long"))
     per = j.groupBy("cert_hash").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "name", "unicode_hostname", "confusable_json"))).alias(NAME_INFO),
+        F.array_sort(F.collect_list(F.struct(*NAME_INFO_FIELDS))).alias(NAME_INFO),
         F.array_distinct(F.collect_list(F.when(F.col("rd") != "", F.col("rd")))).alias("registered_domains"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(
             F.when(F.col("rd") != "", F.col("rd_tokens")).otherwise(F.array().cast("array<string>"))))))
@@ -77,7 +85,6 @@ def attach_name_features(certs: DataFrame, rules: DataFrame, n_rules: int | None
     """``certs`` plus the feature columns (certificates without names get empty ones)."""
     # A new scoring plan starts here: frames pinned for an earlier plan's
     # size checks are no longer needed (if still used, they recompute).
-    release_persisted()
     feats = name_features(certs, rules, n_rules, bursts, burst_threshold)
     out = certs.join(feats, "cert_hash", "left")
     empty = F.array().cast("array<string>")
@@ -86,4 +93,4 @@ def attach_name_features(certs: DataFrame, rules: DataFrame, n_rules: int | None
             .withColumn("burst_matches", F.coalesce("burst_matches", F.array().cast(
                 "array<struct<cert_count:bigint,registered_domain:string>>")))
             .withColumn(NAME_INFO, F.coalesce(NAME_INFO, F.array().cast(
-                "array<struct<pos:int,name:string,unicode_hostname:string,confusable_json:string>>"))))
+                "array<struct<pos:int,name:string,unicode_hostname:string,confusable_json:string,puny:boolean,entropy:double,keywords:array<string>>>"))))

@@ -56,20 +56,3 @@ def latest_updated(df: DataFrame, keys: Sequence[str] | str, columns: Sequence[s
 def retained(observations: DataFrame, as_of, days: int = 30, ts_col: str = "seen_at") -> DataFrame:
     """Rows inside the retention window ``[as_of - days, +inf)``."""
     return Span.trailing(as_of, days).filter(observations, ts_col)
-
-
-def write_retained(observations: DataFrame, path: str, as_of, days: int = 30) -> None:
-    """Retention job: rewrite the day-partitioned table without expired days.
-
-    Only whole ``seen_day`` partitions are read and written; the filter on
-    the partition column prunes expired directories at planning time.
-    """
-    kept = retained(observations, as_of, days)
-    if "seen_day" not in kept.columns:
-        kept = kept.withColumn("seen_day", F.to_date("seen_at"))
-    kept.write.mode("overwrite").partitionBy("seen_day").parquet(path)
-
-
-def compact_certificates(versions: DataFrame, path: str) -> None:
-    """Compaction: replace the version log by one row per certificate."""
-    latest_versions(versions).write.mode("overwrite").parquet(path)

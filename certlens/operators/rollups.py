@@ -49,17 +49,22 @@ def _cert_flags(certificates: DataFrame) -> DataFrame:
 def daily_issuer_stats(observations: DataFrame, certificates: DataFrame, span: Span,
                        updated_at=None) -> DataFrame:
     """per (day, issuer_key) exact distinct certs and domains, flag sums
-    over observation rows joined to the latest certificate."""
+    over observation rows joined to the latest certificate.
+
+    One joined frame: every row counts under its certificate and under its
+    domain, distinct values collapse in a first grouping that has the value as a
+    key (so a large issuer's day is spread out), the second only adds up."""
     obs = (span.filter(observations, "seen_at")
            .select(F.to_date("seen_at").alias("day"), "issuer_key", "cert_hash", "registered_domain")
            .groupBy("day", "issuer_key", "cert_hash", "registered_domain").agg(F.count("*").alias("n")))
     joined = obs.join(_cert_flags(certificates), "cert_hash")
-    per_cert = joined.groupBy("day", "issuer_key").agg(
-        F.count_distinct("cert_hash").alias("cert_count"),
-        *[F.sum(F.col("n") * F.col(flag)).alias(name) for flag, name in FLAG_COUNTERS])
-    per_domain = joined.groupBy("day", "issuer_key").agg(
-        F.count_distinct("registered_domain").alias("domain_count"))
-    out = per_cert.join(per_domain, ["day", "issuer_key"])
+    value = lambda kind, col: F.struct(F.lit(kind).alias("kind"), F.col(col).alias("value"))
+    flags = [F.sum(F.when(F.col("of.kind") == "cert", F.col("n") * F.col(flag))).alias(name) for flag, name in FLAG_COUNTERS]
+    values = (joined.withColumn("of", F.explode(F.array(value("cert", "cert_hash"), value("domain", "registered_domain"))))
+              .groupBy("day", "issuer_key", "of").agg(*flags))
+    distinct = lambda kind: F.count(F.when(F.col("of.kind") == kind, F.col("of.value")))
+    out = values.groupBy("day", "issuer_key").agg(
+        distinct("cert").alias("cert_count"), distinct("domain").alias("domain_count"), *[F.sum(name).alias(name) for _, name in FLAG_COUNTERS])
     stamp = ts_lit(updated_at) if updated_at is not None else F.current_timestamp()
     return out.select("day", "issuer_key", *[F.col(c).cast("long").alias(c) for c in DAILY_COUNTERS],
                       stamp.alias("updated_at"))

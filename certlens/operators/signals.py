@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certlens.config import DEFAULT, Settings
-from certlens.functions.hostnames import has_punycode, highest_label_entropy, suspicious_keywords
 from certlens.functions.timewin import ts_lit
 from certlens.operators.lint import _json, org_columns, with_rule_inputs
-from certlens.session import broadcast_if_small
+
 
 def _signal(ordinal: int, code: str, severity: Column, score: int, cond: Column, evidence: Column) -> Column:
     return F.when(cond, F.struct(F.lit(ordinal).alias("ordinal"), F.lit(code).alias("code"),
@@ -31,11 +30,8 @@ def _entropy_matches(threshold: float):
     conf_names = F.col("_conf_names")
 
     def measure(x):
-        puny = has_punycode(x["name"])
-        source = F.when(puny, F.coalesce(x["unicode_hostname"], x["name"])).otherwise(x["name"])
-        e = highest_label_entropy(source)
-        keep = ~puny | F.array_contains(conf_names, x["name"])
-        return F.struct(keep.alias("keep"), puny.alias("puny"), e.alias("e"), x["name"].alias("san"))
+        keep = ~x["puny"] | F.array_contains(conf_names, x["name"])
+        return F.struct(keep.alias("keep"), x["puny"].alias("puny"), x["entropy"].alias("e"), x["name"].alias("san"))
 
     measured = F.transform(info, measure)
     return F.filter(measured, lambda m: m["keep"] & (m["e"] >= threshold))
@@ -50,8 +46,8 @@ def with_signal_inputs(df: DataFrame, settings: Settings = DEFAULT) -> DataFrame
     out = out.withColumns({
         "_conf_names": F.transform(first10, lambda x: x["name"]),
         "_confs": F.transform(first10, lambda x: x["confusable_json"]),
-        "_keywords": F.array_sort(F.array_distinct(F.flatten(
-            F.transform(F.col("dns_names"), lambda n: suspicious_keywords(n, list(t.suspicious_keywords)))))),
+        "_keywords": F.array_sort(F.array_distinct(F.flatten(F.filter(
+            F.transform(F.col("name_info"), lambda x: x["keywords"]), lambda k: k.isNotNull())))),
         "_outlier": F.coalesce(F.col("validity_p95").isNotNull() & (F.col("validity_p95") != 0)
                                & (F.col("validity_days") > F.col("validity_p95")), F.lit(False)),
     })
@@ -128,7 +124,6 @@ def signal_array(settings: Settings = DEFAULT) -> Column:
     )
 
 
-MAX_BASELINE_BROADCAST = 1_000_000
 BASELINE_COLS = {
     "validity_p95": "double", "wildcard_rate": "double", "punycode_rate": "double",
     "common_eku_sets": "array<string>", "current_day_count": "bigint", "trailing_daily_avg": "double",
@@ -142,10 +137,10 @@ def attach_baseline(certs: DataFrame, baselines: DataFrame | None) -> DataFrame:
         for name, dtype in BASELINE_COLS.items():
             out = out.withColumn(name, F.lit(None).cast(dtype))
         return out.withColumn("has_baseline", F.lit(False))
-    # One row per issuer: broadcast behind a size check. A shuffle join on
-    # issuer_key would send every certificate of a large issuer to one task.
-    b = broadcast_if_small(baselines.select("issuer_key", *BASELINE_COLS.keys())
-                           .withColumn("has_baseline", F.lit(True)), MAX_BASELINE_BROADCAST)
+    # One row per issuer. Spark broadcasts the side once its measured size is
+    # below the session's threshold; beyond it, a large issuer's certificates
+    # are split as a skewed join partition.
+    b = baselines.select("issuer_key", *BASELINE_COLS.keys()).withColumn("has_baseline", F.lit(True))
     return (certs.join(b, "issuer_key", "left")
             .withColumn("has_baseline", F.coalesce("has_baseline", F.lit(False))))
 

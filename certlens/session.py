@@ -71,33 +71,6 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df, max_rows: int = 1_000_000):
-    """Broadcast ``df`` only behind a checked size bound.
-
-    The frame is persisted (memory, spilling to disk) and counted, so the
-    check and the later join read the same computed rows; it is broadcast
-    only when it has at most ``max_rows`` rows, otherwise the caller's join
-    stays a shuffle join (with AQE skew splitting). A lost executor only
-    means the persisted blocks are recomputed from lineage."""
-    from pyspark import StorageLevel
-    from pyspark.sql import functions as F
-
-    stored = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(stored)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
-
-
-_PERSISTED: list = []
-
-
-def release_persisted() -> None:
-    """Unpersist the frames pinned by ``broadcast_if_small`` (called at the
-    end of every streaming micro-batch so a long-running job does not
-    accumulate them)."""
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-
-
 _SHIPPED: set[str] = set()
 
 
@@ -148,5 +121,4 @@ def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.files.maxRecordsPerFile": "20000000",
-        "certlens.store.filesPerDay": str(max(cores // 4, 4)),
     }

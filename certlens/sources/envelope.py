@@ -57,7 +57,8 @@ def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
                    F.lit("certstream")).alias("log_id"),
     ).filter(F.col("leaf_b64").isNotNull())
     return (out.withColumn("cert_hash", F.sha2("leaf_der", 256))
-            .withColumn("error", F.when(F.col("leaf_der").isNull(), F.lit("invalid base64 leaf")))
+            .withColumn("error", F.when(F.col("leaf_der").isNull(), F.lit("invalid base64 leaf")).when(
+                F.exists("chain_der", lambda x: x.isNull()), F.lit("invalid base64 chain")))
             .drop("m"))
 
 

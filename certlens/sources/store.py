@@ -6,7 +6,7 @@ writes them as Parquet under the shared folder named by
 ``spark.checkpoint.dir``: observations partitioned by ``seen_day`` (so
 trailing windows prune whole days), certificate versions, the compacted
 latest certificates and the findings. findings partitioned by
-``created_day``; latest certificates sorted by ``last_seen`` within files.
+``created_day``; latest certificates in ranges of ``cert_hash``.
 Later reads get partition pruning,
 predicate pushdown and column pruning from the Parquet scan.
 """
@@ -19,12 +19,14 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from certlens.operators.latest import latest_versions
 from certlens.session import shared_path, ship_package
 
 _LOCK = threading.Lock()
 _DONE: dict[tuple[str, str], str] = {}
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def _key(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
@@ -36,23 +38,19 @@ def write_tables(spark: SparkSession, sf_dir: str, root: str) -> None:
     from certlens.sources import adapters as A
 
     obs = A.derive_observations(spark, sf_dir).withColumn("seen_day", F.to_date("seen_at"))
-    # Spread every day over ``files_per_day`` tasks/files (hash of cert_hash):
-    # repartitioning by the day alone would send a whole day to one task.
-    files_per_day = int(spark.conf.get("certlens.store.filesPerDay", "4"))
-    bucket = F.pmod(F.xxhash64("cert_hash"), F.lit(files_per_day))
-    # Inside files: sorted like the original sort key (domain, time, cert) so
+    # Rebalanced by day: small days share a task, a large day is split by its
+    # size into several tasks and files. Inside files: sorted like the original sort key (domain, time, cert) so
     # the Parquet min/max statistics let domain filters skip row groups.
-    (obs.repartition("seen_day", bucket).sortWithinPartitions("seen_day", "registered_domain", "seen_at", "cert_hash")
+    (obs.hint("rebalance", F.col("seen_day")).sortWithinPartitions("seen_day", "registered_domain", "seen_at", "cert_hash")
      .write.mode("overwrite").partitionBy("seen_day").parquet(f"{root}/observations"))
     versions = A.derive_certificate_versions(spark, sf_dir, full_schema=True)
     versions.write.mode("overwrite").parquet(f"{root}/certificate_versions")
     stored_versions = spark.read.parquet(f"{root}/certificate_versions")
-    # Sorted by last_seen inside each file: pushed last_seen bounds skip row groups.
-    (latest_versions(stored_versions).sortWithinPartitions("last_seen")
+    # Ranges of cert_hash, sorted: a look-up by cert_hash reads one row group.
+    (latest_versions(stored_versions).repartitionByRange("cert_hash").sortWithinPartitions("cert_hash")
      .write.mode("overwrite").parquet(f"{root}/certificates"))
     findings = A.derive_cert_findings(spark, sf_dir).withColumn("created_day", F.to_date("created_at"))
-    bucket = F.pmod(F.xxhash64("cert_hash"), F.lit(files_per_day))
-    (findings.repartition("created_day", bucket)
+    (findings.hint("rebalance", F.col("created_day"))
      .sortWithinPartitions("created_day", "cert_hash", "finding_code", "created_at")
      .write.mode("overwrite").partitionBy("created_day").parquet(f"{root}/cert_findings"))
 
@@ -71,4 +69,9 @@ def ensure_tables(spark: SparkSession, sf_dir: str) -> str:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{ensure_tables(spark, sf_dir)}/{name}")
+    """A stored table; its schema is looked up in the files once, so that later
+    reads run no job."""
+    path = f"{ensure_tables(spark, sf_dir)}/{name}"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)

@@ -11,6 +11,7 @@ from certlens.operators.latest import latest_versions
 from certlens.session import ensure_checkpoint_dir, shared_path
 from certlens.sources import psl, store
 from certlens.streaming import ingest as Ig
+from certlens.streaming import maintenance
 from tests.conftest import SMOKE
 
 TABLES = ("observations", "certificates", "cert_findings")
@@ -83,3 +84,24 @@ def test_a_local_folder_is_no_default_on_a_cluster(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(Session())
     assert os.environ.get("TZ") != "Asia/Tokyo"
+
+
+def test_retention_and_compaction_take_effect_for_readers(spark):
+    root = shared_path(spark, f"keep-{uuid.uuid4().hex[:8]}")
+    batches = halves(spark)
+    for i, batch in enumerate([*batches, batches[0]]):
+        Ig.enrich_batch(spark, batch, root, i, rules=psl.FIXTURE_RULES)
+    columns = ["cert_hash", "last_seen", "subject_cn"]
+    latest = lambda: sorted(map(str, latest_versions(spark.read.parquet(f"{root}/certificates")).select(columns).collect()))
+    before, versions = latest(), spark.read.parquet(f"{root}/certificates").count()
+    assert maintenance.compact_certificates(spark, root) == -1
+    assert latest() == before and spark.read.parquet(f"{root}/certificates").count() < versions
+    assert sorted(r[0] for r in spark.read.parquet(f"{root}/certificates").select("batch_id").distinct().collect()) == [-1, 2]
+    assert maintenance.compact_certificates(spark, root) == 0
+    Ig.enrich_batch(spark, batches[1], root, 2, rules=psl.FIXTURE_RULES)  # the newest batch can still be replayed
+    assert latest() == before
+
+    days = {str(r[0]) for r in spark.read.parquet(f"{root}/observations").select("seen_day").distinct().collect()}
+    assert maintenance.drop_expired_days(spark, root, "2024-01-31 00:00:00", 10)
+    left = {str(r[0]) for r in spark.read.parquet(f"{root}/observations").select("seen_day").distinct().collect()}
+    assert left == {d for d in days if d >= "2024-01-21"} and left != days

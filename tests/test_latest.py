@@ -39,24 +39,3 @@ def test_conform_adds_defaults(spark):
     row = conform(df, OBSERVATIONS).first()
     assert row["source"] == "certstream" and row["domain_tokens"] == [] and row["issuer_key"] == ""
     assert row["seen_at"] is None
-
-
-def test_retention_and_compaction_jobs(spark):
-    import uuid
-    from datetime import datetime
-
-    from certlens.operators.latest import compact_certificates, write_retained
-    from certlens.session import shared_path
-
-    obs = spark.createDataFrame([(datetime(2024, 1, 1), "a"), (datetime(2024, 1, 29), "b")],
-                                "seen_at timestamp, cert_hash string")
-    path = shared_path(spark, f"retained-{uuid.uuid4().hex[:8]}")
-    write_retained(obs, path, "2024-01-31 00:00:00", days=7)
-    kept = spark.read.parquet(path)
-    assert [r["cert_hash"] for r in kept.collect()] == ["b"] and "seen_day" in kept.columns
-
-    versions = spark.createDataFrame([("a", datetime(2024, 1, 1), 1), ("a", datetime(2024, 1, 2), 2)],
-                                     "cert_hash string, last_seen timestamp, ingest_seq long")
-    cpath = shared_path(spark, f"compact-{uuid.uuid4().hex[:8]}")
-    compact_certificates(versions, cpath)
-    assert [tuple(r) for r in spark.read.parquet(cpath).select("cert_hash", "ingest_seq").collect()] == [("a", 2)]
