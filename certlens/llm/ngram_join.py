@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from certlens.llm import sketch, words
 from certlens.llm.components import contract
 from certlens.llm.components import roots as roots_of
-from certlens.llm.shared import keep, side
+from certlens.llm.shared import BROADCAST_ROWS, keep, side
 
 N = 5
 #: Similarity as a fraction: intersection * DEN >= NUM * union.
@@ -188,12 +188,20 @@ def _apart(x: Column, y: Column) -> Column:
     return reduce(lambda a, b: a + b, (F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(words)))
 
 
-def _verified(pairs: DataFrame, spread: DataFrame, sets: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) -> those that link. Suffix filter, then the sets."""
-    x = spread.select(F.col("cls").alias("a"), F.col("n").alias("a_n"), F.col("spread").alias("a_spread"))
-    y = spread.select(F.col("cls").alias("b"), F.col("n").alias("b_n"), F.col("spread").alias("b_spread"))
+def _verified(pairs: DataFrame, spread: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
+    """Distinct pairs (a, b) -> those that link: the suffix filter first, then
+    the shingle sets of the classes that are left, from their texts."""
+    x, y = (spread.select(F.col("cls").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("n", "at", "spread"))) for c in "ab")
     both_n = F.col("a_n") + F.col("b_n")
-    near = pairs.join(x, "a").join(y, "b").filter(_apart(F.col("a_spread"), F.col("b_spread")) <= both_n - 2 * _need(F.col("a_n"), F.col("b_n"))).select("a", "b", "a_n", "b_n")
+    near = pairs.join(x, "a").join(y, "b").filter(_apart(F.col("a_spread"), F.col("b_spread")) <= both_n - 2 * _need(F.col("a_n"), F.col("b_n")))
+    near = keep(near.select("a", "b", "a_n", "b_n", "a_at", "b_at"), "jaccard-near")
+    rows = near.count()
+    if not rows:
+        return near.select("a", "b")
+    wanted = near.select(F.explode(F.array("a_at", "b_at")).alias("at")).distinct()
+    wanted = F.broadcast(wanted) if 2 * rows <= BROADCAST_ROWS else wanted
+    texts = docs.join(wanted, F.xxhash64("text") == F.col("at"), "left_semi").select("text")
+    sets = keep(texts.mapInArrow(_set_rows(n_words), "cls long, grams array<long>").dropDuplicates(["cls"]), "jaccard-sets")
     left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("a_grams"))
     right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("b_grams"))
     both = F.size(F.array_intersect("a_grams", "b_grams"))
@@ -201,13 +209,6 @@ def _verified(pairs: DataFrame, spread: DataFrame, sets: DataFrame) -> DataFrame
         F.lit(DEN) * both >= F.lit(NUM) * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """The shingle sets of the classes whose text hashes are wanted."""
-    texts = docs.join(side(wanted), F.xxhash64("text") == F.col("at"), "left_semi").select("text")
-    found = texts.mapInArrow(_set_rows(n_words), "cls long, grams array<long>")
-    return keep(found.dropDuplicates(["cls"]), "jaccard-sets")
-
-
 def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = N) -> tuple[DataFrame, DataFrame]:
     """(members, roots): members has doc_id, cls, n and at (the text's hash) for
     every row of ``docs``; roots has (id, root) for every class that links to a smaller one.
@@ -228,9 +229,6 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     posts = rows.filter("spread is not null").select("cls", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "gram"))
     spread = keep(rows.filter("spread is not null").select("cls", "n", "at", "spread").dropDuplicates(["cls"]), "jaccard-classes")
     met = keep(_met(posts), "jaccard-met")
-    # every class that may still be compared shares a shingle with another one
-    shared_by = met.select("cls").union(met.select(F.col("l_cls").alias("cls"))).distinct()
-    sets = _sets_of(slim, keep(spread.join(shared_by, "cls", "left_semi").select("at").distinct(), "jaccard-wanted"), n_words)
     pair = F.least("l_cls", "cls").alias("a"), F.greatest("l_cls", "cls").alias("b")
     ranges = spread.select("cls", "spread")
 
@@ -244,7 +242,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # round one: each class with the leader that shares most with it
     by_leader = keep(met.filter(_met_fits()).groupBy("l_cls", "cls").agg(F.count("*").alias("shared")), "jaccard-leaders")
     done = keep(by_leader.groupBy("cls").agg(F.max_by("l_cls", "shared").alias("l_cls")).select(*pair).distinct(), "jaccard-pairs")
-    links = contract(_verified(done, spread, sets), ROUNDS)
+    links = contract(_verified(done, spread, slim, n_words), ROUNDS)
     roots = roots_of(links)
     # round two: the other leaders, where they are in another component; then new
     # leaders for all, from those that are still apart from their first one
@@ -254,7 +252,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             met_by_pair = _met(posts, apart(met).select("gram", "cls", "n", "i"), turn).filter(_met_fits()).select("l_cls", "cls").distinct()
         new = keep(apart(met_by_pair).select(*pair).distinct().join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
         done = done.union(new)
-        links = contract(links.union(_verified(new, spread, sets)), ROUNDS)
+        links = contract(links.union(_verified(new, spread, slim, n_words)), ROUNDS)
         roots = roots_of(links)
     # last round: what is still apart from its first leader, with all other components of its shingle
     named = keep(rooted(rooted(met, "cls", "c"), "l_cls", "l_c"), "jaccard-named")
@@ -265,7 +263,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rest = still.join(ranges, "cls").alias("u").join(others.alias("o"), (F.col("u.gram") == F.col("o.gram")) & (u[3] != o[3]) & _fits(*u[:3], *o[:3]) & near)
     last = rest.select(F.least(u[0], o[0]).alias("a"), F.greatest(u[0], o[0]).alias("b")).distinct()
     last = keep(last.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
-    links = contract(links.union(_verified(last, spread, sets)))
+    links = contract(links.union(_verified(last, spread, slim, n_words)))
     return rows.select("doc_id", "cls", "n", "at"), roots_of(links)
 
 
