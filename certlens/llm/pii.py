@@ -2,7 +2,7 @@
 replacement. DataFrame functions only.
 
 * Detection: one regular expression for all types; a type follows from the form
-  of the match. Texts without a digit, an @ or a form of address are not
+  of the match. Texts without a digit, one of @=: or a form of address are not
   searched.
 * Surrogates keep the form: letters stay letters of the same case and script,
   digits stay digits, separators stay. Addresses keep their top-level domain, IP
@@ -43,16 +43,17 @@ SYLLABLES_CYRILLIC = ("ба", "ден", "фор", "гар", "хол", "кер",
 
 _TITLE = "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True))
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*+)(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9])"
-_SECRET = r"(?<=(?:token|password|passwd|secret|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{6,}"
+# cheap tests come first: a quote, sign or space before, and one of the signs near
+_SECRET = r"(?<=[=:\s\"'])(?<=[=:][\s\"']{0,4})(?<=(?:token|password|passwd|secret|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{6,}"
 _KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:sk-|ghp_)[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])"
 _IP = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?!\.?[0-9])"
 _CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-]?)(?:[0-9]{2,4}[ .-]?){1,4}[0-9]{2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
-_NAME = rf"(?<=(?<![\p{{L}}])(?:{_TITLE})(?:\.|)\x20)\p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++)?"
+_NAME = rf"(?=\p{{Lu}})(?<=\x20)(?<=(?<![\p{{L}}])(?:{_TITLE})(?:\.|)\x20)\p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++)?"
 ENTITY = "|".join((_EMAIL, _SECRET, _KEY_ID, _IP, _SSN, _IBAN, _CARD, _PHONE, _NAME))
-MAYBE = rf"[0-9@]|(?:{_TITLE})(?:\.|) \p{{Lu}}|(?:token|password|passwd|secret|api_?key|access_key)"
+MAYBE = rf"[0-9@=:]|(?=[MFSГ])(?:{_TITLE})(?:\.|) \p{{Lu}}"
 
 
 def entity_type(entity: Column) -> Column:
@@ -211,7 +212,7 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     maybe = F.coalesce(body.rlike(MAYBE), F.lit(False))
     keyed = docs.filter(maybe).withColumn(at, row_key(text))
     found = keyed.select(F.col(at).alias("k"), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)).alias("entities"),
-                         F.regexp_extract_all(body, F.lit(rf"(?<![\p{{L}}])({_TITLE})(?:\.|) \p{{Lu}}"), F.lit(1)).alias("titles"))
+                         F.regexp_extract_all(body, F.lit(rf"(?=[MFSГ])(?<![\p{{L}}])({_TITLE})(?:\.|) \p{{Lu}}"), F.lit(1)).alias("titles"))
     found = keep(found.filter(F.size("entities") > 0).groupBy("k").agg(F.first("entities").alias("entities"), F.first("titles").alias("titles")), "pii-found")
     form = entity_type(F.col("entity"))
     kind = F.when((form == "name") & (F.size("titles") == 0), "secret").otherwise(form)
