@@ -2,8 +2,8 @@
 replacement. DataFrame functions only.
 
 * Detection: one regular expression for all types; a type follows from the form
-  of the match. Texts without a digit, one of @=: or a form of address are not
-  searched.
+  of the match, a name's from its form of address. Texts without a digit, one of
+  @=:, a key's prefix or a form of address are not searched.
 * Surrogates keep the form: letters stay letters of the same case and script,
   digits stay digits, separators stay. Addresses keep their top-level domain, IP
   addresses stay valid, card numbers keep their first digit and pass the check
@@ -51,9 +51,13 @@ _CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-]?)(?:[0-9]{2,4}[ .-]?){1,4}[0-9]{2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
-_NAME = rf"(?=\p{{Lu}})(?<=\x20)(?<=(?<![\p{{L}}])(?:{_TITLE})(?:\.|)\x20)\p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++)?"
+# whatever can fail comes before the title's group: a failed name leaves no title behind
+_NAME = rf"(?=\p{{Lu}}[\p{{L}}'’-])(?<=\x20)(?<=(?<![\p{{L}}])({_TITLE})(?:\.|)\x20)\p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++)?"
 ENTITY = "|".join((_EMAIL, _SECRET, _KEY_ID, _IP, _SSN, _IBAN, _CARD, _PHONE, _NAME))
-MAYBE = rf"[0-9@=:]|(?=[MFSГ])(?:{_TITLE})(?:\.|) \p{{Lu}}"
+#: The group of ENTITY that holds a name's form of address (the first is the card's separator).
+TITLE_GROUP = 2
+TITLED = rf"(?=[{''.join(sorted({t[0] for t in FEMALE_TITLES + MALE_TITLES}))}])(?:{_TITLE})(?:\.|) \p{{Lu}}"
+MAYBE = rf"[0-9@=:]|sk-|ghp_|AKIA|{TITLED}"
 
 
 def entity_type(entity: Column) -> Column:
@@ -211,16 +215,16 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     body = F.col(text)
     maybe = F.coalesce(body.rlike(MAYBE), F.lit(False))
     keyed = docs.filter(maybe).withColumn(at, row_key(text))
-    found = keyed.select(F.col(at).alias("k"), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)).alias("entities"),
-                         F.regexp_extract_all(body, F.lit(rf"(?=[MFSГ])(?<![\p{{L}}])({_TITLE})(?:\.|) \p{{Lu}}"), F.lit(1)).alias("titles"))
-    found = keep(found.filter(F.size("entities") > 0).groupBy("k").agg(F.first("entities").alias("entities"), F.first("titles").alias("titles")), "pii-found")
-    form = entity_type(F.col("entity"))
-    kind = F.when((form == "name") & (F.size("titles") == 0), "secret").otherwise(form)
-    # the n-th name of a text follows its n-th form of address
-    nth = F.size(F.filter(F.slice(F.col("entities"), F.lit(1), F.col("i") + 1), lambda e: entity_type(e) == "name"))
-    each = found.select("k", "entities", "titles", F.posexplode("entities").alias("i", "entity")).withColumn("kind", kind)
-    title = F.when((F.col("kind") == "name") & (nth <= F.size("titles")), F.try_element_at("titles", nth))
-    gender = F.when(title.isin(*FEMALE_TITLES), "f").when(title.isin(*MALE_TITLES), "m").otherwise("m")
+    # the titles are aligned with the entities: empty where another alternative than the name matched
+    titles = F.when(body.rlike(TITLED), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(TITLE_GROUP))).otherwise(F.array().cast("array<string>"))
+    found = keyed.select(F.col(at).alias("k"), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)).alias("entities"), titles.alias("titles"))
+    found = found.filter(F.size("entities") > 0).select("k", F.arrays_zip("entities", "titles").alias("hits"))
+    found = keep(found.groupBy("k").agg(F.first("hits").alias("hits")), "pii-found")
+    each = found.select("k", F.posexplode("hits").alias("i", "hit")).select("k", "i", F.col("hit.entities").alias("entity"), F.coalesce("hit.titles", F.lit("")).alias("title"))
+    form, title = entity_type(F.col("entity")), F.col("title")
+    kind = F.when(title != "", "name").when(form == "name", "secret").otherwise(form)
+    each = each.withColumn("kind", kind)
+    gender = F.when(title.isin(*FEMALE_TITLES), "f").otherwise("m")
     each = each.select("k", "i", "entity", "kind", entity_core(F.col("kind"), F.col("entity")).alias("core"), gender.alias("gender"))
     given = assign_surrogates(each.select("kind", "core", "gender"), key)
     put = each.join(given, ["kind", "core"]).select("k", "i", _formatted(F.col("kind"), F.col("entity"), F.col("new")).alias("new"))
