@@ -5,9 +5,13 @@ path the text length and the punctuation per node are aggregated, smoothed over
 similar paths of the page (a Gaussian of the number of differing tags), and fused
 into one score; paths whose score reaches a part of the page's best are content.
 Text in links counts against a path, and so does standing outside the element that
-the page marks as its article. Containers that by their tag, role, class or
-id are menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments take no part, nor do scripts, styles and the page's head.
+the page marks as its article. An article with content is content as a whole; where
+the page marks none, the element around most text of the best path is. Containers
+that by their tag, role, class or id are menus, headers, footers, sidebars, notices,
+adverts, forms or reader comments take no part, nor do scripts, styles and the
+page's head. A container around the article stays whatever it is called, and one
+with such a word as a part of its class or id only (or a form) also where it holds
+the best path; in an article, or that element, only whole names count.
 
 The parser is a small tolerant tokenizer: implied ends of paragraphs, list items
 and table cells, void elements, raw text elements, unclosed and stray tags.
@@ -50,46 +54,63 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、؟।]")
 _SPACE = re.compile(r"\s+")
 
 
-def _dropped(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element holds no content, by tag, role, class and id."""
+# Dropped elements: HIDDEN ones always; NAMED ones unless they hold the article;
+# LIKELY ones unless they hold the article, the best path or a part of its place.
+LIKELY, NAMED, HIDDEN = 1, 2, 3
+
+
+def _dropped(tag: str, attributes: str, inside_article: bool) -> int:
+    """How surely an element holds no content, by tag, role, class and id (0: it may)."""
+    kind = 0
     if tag in DROPPED or tag == "header" and not inside_article:
-        return True
+        kind = LIKELY if tag == "form" else NAMED
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return kind
     for name, *values in _ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
         if name == "role":
             if value.strip().lower() in DROPPED_ROLES:
-                return True
+                kind = max(kind, NAMED)
         elif name == "hidden" or name == "aria-hidden":
             if name == "hidden" and not value or value.lower() in ("true", "hidden"):
-                return True
-        elif any(w.lower() in DROPPED_WORDS for w in _WORDS.findall(value)):
-            return True
-    return False
+                return HIDDEN
+        elif any(w in DROPPED_WORDS for w in value.lower().split()):
+            kind = max(kind, NAMED)
+        elif not inside_article and any(w.lower() in DROPPED_WORDS for w in _WORDS.findall(value)):
+            kind = max(kind, LIKELY)
+    return kind
+
 
+#: Path, numbers of its elements, block number, text, in a link.
+Node = tuple[tuple[str, ...], tuple[int, ...], int, str, bool]
 
-def text_nodes(page: str) -> Iterator[tuple[tuple[str, ...], int, str, bool]]:
-    """(path, block number, text, in a link) of every text node outside dropped
-    containers; a new block number starts at every block element's border."""
-    stack: list[tuple[str, bool]] = []
-    block, at, dropped, links, articles = 0, 0, 0, 0, 0
+
+def text_nodes(page: str) -> tuple[list[Node], dict[int, int]]:
+    """Every text node outside hidden elements, and the elements that may be dropped
+    with their kind; a new block number starts at every block element's border."""
+    nodes: list[Node] = []
+    drops: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    block, at, dropped, links, articles, count = 0, 0, 0, 0, 0, 0
 
     def pop() -> None:
         nonlocal dropped, links, articles
-        tag, was_dropped = stack.pop()
-        dropped -= was_dropped
+        tag, number = stack.pop()
+        dropped -= drops.get(number) == HIDDEN
         links -= tag == "a"
         articles -= tag in ("article", "main")
 
+    def put(text: str) -> None:
+        nodes.append((tuple(t for t, _ in stack), tuple(k for _, k in stack), block, text, links > 0))
+
     size = len(page)
     while at < size:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text and not dropped:
-            yield tuple(t for t, _ in stack), block, text, links > 0
+            put(entities.unescape(text))
         if not m:
-            return
+            return nodes, drops
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
@@ -127,17 +148,21 @@ def text_nodes(page: str) -> Iterator[tuple[tuple[str, ...], int, str, bool]]:
                 pop()
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             if tag == "br" and not dropped:
-                yield tuple(t for t, _ in stack), block, " ", links > 0
+                put(" ")
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
+        count += 1
         off = _dropped(tag, attributes, articles > 0)
-        stack.append((tag, off))
-        dropped += off
+        if off:
+            drops[count] = off
+        stack.append((tag, count))
+        dropped += off == HIDDEN
         links += tag == "a"
         articles += tag in ("article", "main")
+    return nodes, drops
 
 
 def _differing(a: tuple[str, ...], b: tuple[str, ...]) -> int:
@@ -149,18 +174,16 @@ def _differing(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return max(len(a), len(b)) - same
 
 
-def content_paths(nodes: list[tuple[tuple[str, ...], int, str, bool]], threshold: float = THRESHOLD) -> set[tuple[str, ...]]:
-    """The paths whose smoothed, fused ratio reaches the threshold."""
+def _scores(nodes: list[Node]) -> dict[tuple[str, ...], float]:
+    """The smoothed, fused ratio of every path with text."""
     sums: dict[tuple[str, ...], list[float]] = {}
-    for path, _, text, link in nodes:
+    for path, _, _, text, link in nodes:
         size = len(text.strip())
         if size:
             own = sums.setdefault(path, [0.0, 0.0, 0.0])
             own[0] += 1
             own[1] += 0 if link else size
             own[2] += 0 if link else len(_PUNCTUATION.findall(text))
-    if not sums:
-        return set()
     ratios = {p: (length / n, marks / n) for p, (n, length, marks) in sums.items()}
     fused: dict[tuple[str, ...], float] = {}
     for p in ratios:
@@ -174,18 +197,70 @@ def content_paths(nodes: list[tuple[tuple[str, ...], int, str, bool]], threshold
         if any(holder in p and x for p, x in fused.items()):
             fused = {p: x if holder in p else x * OUTSIDE for p, x in fused.items()}
             break
-    best = max(fused.values())
-    return {p for p, x in fused.items() if best and x >= threshold * best}
+    return fused
+
+
+def _without(nodes: list[Node], off: set[int]) -> list[Node]:
+    return [x for x in nodes if off.isdisjoint(x[1])] if off else nodes
+
+
+def _holders(nodes: list[Node]) -> tuple[str, dict[int, tuple[int, tuple[int, ...]]]]:
+    """The tag that marks the page's article, and of each such element that is in
+    no other the size of its text outside links and the elements around it."""
+    for holder in ("article", "main"):
+        found: dict[int, tuple[int, tuple[int, ...]]] = {}
+        for path, numbers, _, text, link in nodes:
+            if holder in path and not link and (size := len(text.strip())):
+                k = path.index(holder)
+                found[numbers[k]] = (found.get(numbers[k], (0,))[0] + size, numbers[:k])
+        if found:
+            return holder, found
+    return "", {}
+
+
+def _place(nodes: list[Node], scores: dict[tuple[str, ...], float]) -> tuple[int, ...]:
+    """The elements down to the one around the block with most text of the best path."""
+    best = max(scores, key=scores.get, default=())
+    deep = max((k for k, t in enumerate(best) if t in BLOCK), default=0)
+    sizes: dict[tuple[int, ...], int] = {}
+    for path, numbers, _, text, _ in nodes:
+        if path == best:
+            sizes[numbers[:deep]] = sizes.get(numbers[:deep], 0) + len(text.strip())
+    place = max(sizes, key=sizes.get, default=())
+    return place if place and best[deep - 1] not in ("html", "body") else ()
 
 
 def extract(page: str) -> str:
     """The main text: content nodes, one line per block, in page order."""
-    nodes = [(path, block, entities.unescape(text), link) for path, block, text, link in text_nodes(page)]
-    paths = content_paths(nodes)
+    nodes, drops = text_nodes(page)
+    firm = {e for e, kind in drops.items() if kind == NAMED}
+    whole = sum(len(text.strip()) for _, _, _, text, link in nodes if not link)
+    _, marked = _holders(_without(nodes, firm))
+    if not marked:  # an article in a dropped container is the page's if it has most text
+        marked = {k: x for k, x in _holders(nodes)[1].items() if 2 * x[0] > whole}
+    if marked:
+        drops = {e: kind for e, kind in drops.items() if e not in max(marked.values())[1]}
+    elif len(firm) < len(drops):
+        left = _without(nodes, firm)
+        place = _place(left, _scores(left))
+        stay = set(place)
+        for path, numbers, *_ in left:  # within the place only whole names count, as in an article
+            if place and place[-1] in numbers:
+                stay.update(e for t, e in zip(path, numbers) if t != "form")
+        drops = {e: kind for e, kind in drops.items() if kind == NAMED or e not in stay}
+    nodes = _without(nodes, set(drops))
+    scores = _scores(nodes)
+    best = max(scores.values(), default=0.0)
+    paths = {p for p, x in scores.items() if best and x >= THRESHOLD * best}
+    holder, marked = _holders(nodes)
+    if marked:
+        roots = {numbers[path.index(holder)] for path, numbers, _, text, _ in nodes if path in paths and holder in path and text.strip()}
+    else:
+        roots = set(_place(nodes, scores)[-1:]) if best else set()
     # inside a block with content, inline nodes (links, emphasis, spaces) belong to it
-    content = {block for path, block, text, _ in nodes if path in paths and text.strip()}
+    content = {block for path, numbers, block, text, _ in nodes if text.strip() and (path in paths or not roots.isdisjoint(numbers))}
     blocks: dict[int, list[str]] = {}
-    for _, block, text, _ in nodes:
+    for _, _, block, text, _ in nodes:
         if block in content:
             blocks.setdefault(block, []).append(text)
     lines = (_SPACE.sub(" ", "".join(parts)).strip() for parts in blocks.values())

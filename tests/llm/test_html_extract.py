@@ -43,6 +43,31 @@ def test_unmarked_boxes_beside_a_marked_article():
     assert H.extract(f"<body><article></article><p>{P1}</p></body>") == P1
 
 
+LONG = "A sentence of the article, with commas, marks, and a full stop. " * 15
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div class='content has-sidebar'><article>{}</article></div>", "<div class='content has-sidebar'>{}</div>",
+                                    "<form id='f'><article>{}</article></form>", "<main>{}</main>", "<div class='widget'><article>{}</article></div>"])
+def test_an_article_is_kept_whole(around):
+    cells = "<table><tbody>" + "".join(f"<tr><td>c{i:04}</td><td>d{i:04}</td></tr>" for i in range(30)) + "</tbody></table>"
+    linked = "<h2><a href='/s'>Linked head</a></h2><ul><li><a href='/1'>First link</a><ul><li>Deep one<ul><li>Deeper</li></ul></li></ul></li></ul>"
+    inside = f"<p>{LONG}</p>" * 20 + linked + cells + "<div class='share-price'><p>Up.</p></div>"
+    page = f"<html><body><nav><a href='/'>Home</a></nav><div class='main-menu'><p>Menu, menu, menu.</p></div>{around.format(inside)}<div class='page-footer'><p>Foot, foot, foot.</p></div></body></html>"
+    cell_lines = [f"{c}{i:04}" for i in range(30) for c in "cd"]
+    expected = [LONG.strip()] * 20 + ["Linked head", "First link", "Deep one", "Deeper", *cell_lines, "Up."]
+    assert H.extract(page).split("\n") == expected
+
+
+def test_a_page_of_links_has_no_text():
+    assert H.extract("<div><div><ul><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul></div></div>") == ""
+
+
+def test_named_containers_go_inside_an_article_too():
+    page = f"<article><p>{P1}</p><div class='share'><p>Share this, please.</p></div><section id='comments'><p>{P2}</p></section></article><div class='related'><article><p>{LONG}</p></article></div>"
+    assert H.extract(page) == P1
+    assert H.extract(f"<div class='related'><article><p>{P2}</p></article></div><div><p>{LONG}</p><p>{P1}</p></div>") == f"{LONG.strip()}\n{P1}"
+
+
 def test_very_long_page():
     assert H.extract("<p>" + "word, " * 200_000).count("word") == 200_000
     assert H.extract("<div>" * 3000 + "deep, text." + "</div>" * 3000) == "deep, text."
