@@ -1,33 +1,32 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Learning (all documents that are not held out), in two passes over the texts:
-
-1. exact counts of all tokens, and count sketches of all 2- and 3-word grams
-   (each with a start mark before and an end token after the text);
-2. exact counts of the grams whose sketch slot reaches ``N / ENTRIES``. A slot
-   never undercounts, so no gram of that frequency is missed, and no more than
-   ``ENTRIES`` grams of one length can have it: this bounds the tree at any size.
-
-A context (the last one or two words) holds the next symbols seen with it that
-often, with absolute discounting; the rest of its mass goes to the distribution
-of its parent (one word shorter; the root is the add-one unigram distribution
-over the whole vocabulary). Divergence test: a context is retained if predicting
-its successors from it instead of from its parent gains more log-likelihood on
-the training tokens than half a log count for each successor.
+Learning (all documents that are not held out): exact counts of all tokens and of
+the grams of 2, 3, ... words (each with a start mark before and an end token after
+the text) that occur at least ``LEAST`` times, whatever the size of the corpus.
+Count sketches of the 2- and 3-word grams come first; a slot never undercounts, so
+they only save work where the corpus is small.
+
+A context (the last words) holds the next symbols seen with it that often, with
+absolute discounting; the rest of its mass goes to the distribution of its parent
+(one word shorter; the root is the add-one unigram distribution over the whole
+vocabulary). Divergence test: a context is retained if predicting its successors
+from it instead of from its parent gains more log-likelihood on the training tokens
+than half a log count for each successor. Contexts of one and two words are all
+tested, longer ones where the context one word shorter is retained, and so on until
+no context of a length is.
 
 Scoring: every token is predicted from the longest retained suffix of the words
-before it. The tree and the unigrams of at least that frequency are broadcast
-(each table at most ``ENTRIES`` rows); the rarer tokens are joined with the whole
-vocabulary by a shuffle, where no key can be hot.
+before it. Vocabulary and tree are one table of hashes that grows with the corpus.
+Each piece of text (about 4 MB) asks for its distinct hashes, packed by hash range;
+ranges and pieces meet in shuffles where no key can be hot. Nothing but one bit for
+each sketch slot is collected.
 
 Tokens are 64-bit word hashes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +36,14 @@ from pyspark.sql import functions as F
 from certlens.llm import sketch, words
 from certlens.llm.shared import keep
 
-ENTRIES = 1 << 20
+LEAST = 2
 DISCOUNT = 0.5
+#: Lengths of the grams that are sketched, and whose contexts are all tested.
 ORDERS = (2, 3)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 FLUSH = 2_000_000
+#: Hashes that a range gets from the whole corpus at most (on average).
+RANGE = 1 << 21
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,15 +134,16 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SECOND = "order int, gram long, context long, tail long, word long, n long"
 
 
-def _second_pass(enough: dict[int, np.ndarray]):
+def _second_pass(orders: tuple[int, ...], enough: dict[int, np.ndarray], grown: np.ndarray | None = None):
     """Counts of the grams whose slot has enough, with the hashes of their
-    context (all but the last symbol) and tail (all but the first)."""
+    context (all but the last symbol) and tail (all but the first); with
+    ``grown`` of those whose context's own suffix has its slot there."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {n: [] for n in ORDERS}
+        parts: dict[int, list[np.ndarray]] = {n: [] for n in orders}
         held = 0
 
         def take() -> Iterator[pa.RecordBatch]:
-            for n in ORDERS:
+            for n in orders:
                 rows = np.concatenate([np.zeros((5, 0), np.uint64), *parts[n]], axis=1)
                 if rows.shape[1]:
                     order = np.argsort(rows[0], kind="stable")
@@ -154,10 +157,16 @@ def _second_pass(enough: dict[int, np.ndarray]):
 
         for batch in batches:
             for _, _, seq, at in _sequences(batch.column(0)):
-                for n in ORDERS:
+                for n in orders:
                     ok = _within(at, len(seq), n)
+                    if not len(ok):
+                        continue
                     grams = words.grams(seq, n)
-                    some = np.flatnonzero(ok & enough[n][sketch.slot(grams)])
+                    if n in enough:
+                        ok &= enough[n][sketch.slot(grams)]
+                    if grown is not None:
+                        ok &= grown[sketch.slot(words.grams(seq, n - 2)[1 : len(ok) + 1])]
+                    some = np.flatnonzero(ok)
                     found, where, times = np.unique(grams[some], return_index=True, return_counts=True)
                     place = some[where]
                     shorter = words.grams(seq, n - 1) if n > 2 else seq
@@ -171,91 +180,104 @@ def _second_pass(enough: dict[int, np.ndarray]):
     return run
 
 
-class Table:
-    """A look-up from 64-bit keys to numbers: sorted keys with a bucket index."""
-
-    BITS = 20
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        edges = np.arange(1 << self.BITS, dtype=np.uint64) << np.uint64(64 - self.BITS)
-        self.at = np.concatenate([np.searchsorted(self.keys, edges), [len(keys)]]).astype(np.int32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each key in ``values``, -1 if it isn't there."""
-        bucket = (h >> np.uint64(64 - self.BITS)).astype(np.int32)
-        place, end = self.at[bucket], self.at[bucket + 1]
-        found = np.full(len(h), -1, np.int32)
-        todo = np.flatnonzero(place < end)
-        while len(todo):
-            here = place[todo]
-            hit = self.keys[here] == h[todo]
-            found[todo[hit]] = here[hit]
-            place[todo] += 1
-            todo = todo[~hit]
-            todo = todo[place[todo] < end[todo]]
-        return found
-
-
-@dataclass
-class Model:
-    """What the scorers get: log10 probabilities of frequent tokens, log10 rest
-    mass of retained contexts, log10 probabilities of their successors."""
-
-    tokens: Table
-    contexts: dict[int, Table]
-    grams: dict[int, Table]
-
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their piece of text."""
+    from pyspark import TaskContext
 
-_SCORES = "n_tokens long, n_known long, base double, score double, rare array<long>"
+    context = TaskContext.get()
+    piece = (context.partitionId() if context else 0) << 33
+    size = 0
+    for batch in batches:
+        _, offsets = words.buffers(batch.column(batch.num_columns - 1))
+        for i, j in words.chunks(offsets):
+            size += int(offsets[j] - offsets[i])
+            if size > words.ROW_CHUNK:
+                piece, size = piece + 1, int(offsets[j] - offsets[i])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, piece)), *batch.slice(i, j - i).columns], names=["piece", *batch.schema.names])
 
 
-def _score_rows(get):
+def _requests(orders: tuple[int, ...], slots: dict[int, np.ndarray], ranges: int):
+    """The distinct hashes of tokens, of contexts that may be retained and of the
+    grams with them, of each piece and range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        model: Model = get()
-        context = TaskContext.get()
-        row_id = (context.partitionId() if context else 0) << 33
         for batch in batches:
-            for i, j, seq, at in _sequences(batch.column(batch.num_columns - 1)):
-                token = model.tokens.find(seq)
-                mark = np.zeros(len(seq), dtype=bool)
-                mark[at[:-1]] = True
-                known = token >= 0
-                base = np.where(known, model.tokens.values[token] if len(model.tokens.values) else 0.0, 0.0)
-                base[mark] = 0.0
-                score = base.copy()
-                for n in ORDERS:  # the shorter context first: the longer one's rest goes to it
-                    ok = np.flatnonzero(_within(at, len(seq), n))
-                    prefix = words.grams(seq, n - 1) if n > 2 else seq
-                    held = model.contexts[n].find(prefix[ok])
-                    ok, held = ok[held >= 0], held[held >= 0]
-                    if not len(ok):
-                        continue
-                    gram = model.grams[n].find(words.grams(seq, n)[ok])
-                    last = ok + n - 1
-                    score[last] = np.where(gram >= 0, model.grams[n].values[gram] if len(model.grams[n].values) else 0.0, score[last] + model.contexts[n].values[held])
-                left = ~known & ~mark
-                sums = [np.concatenate([[0], np.cumsum(x)]) for x in (known & ~mark, left)]
-                rare = seq[left].view(np.int64)
-                bounds = sums[1][at].astype(np.int32)
-                k = j - i
+            pieces, text = batch.column(0).to_numpy(), batch.column(1)
+            edges = np.flatnonzero(np.concatenate([[True], pieces[1:] != pieces[:-1], [True]])) if len(pieces) else []
+            for a, b in zip(edges[:-1], edges[1:]):
+                asked = []
+                for _, _, seq, at in _sequences(text.slice(a, b - a)):
+                    asked.append(np.unique(seq))
+                    for n in orders:
+                        ok = _within(at, len(seq), n)
+                        prefix = words.grams(seq, n - 1) if n > 2 else seq
+                        ok &= slots[n][sketch.slot(prefix[: len(ok)])]
+                        asked += [np.unique(prefix[: len(ok)][ok]), np.unique(words.grams(seq, n)[ok])]
+                h = np.unique(np.concatenate(asked))
+                of = ((h >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+                order = np.argsort(of, kind="stable")
+                h, of = h[order], of[order]
+                cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row_id + np.arange(k)), *batch.slice(i, k).columns[:-1], pa.array(np.diff(at) - 1, pa.int64()), pa.array(np.diff(sums[0][at]), pa.int64()),
-                     pa.array(np.add.reduceat(base, at[:-1]) if k else base), pa.array(np.add.reduceat(score, at[:-1]) if k else score),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(rare))],
-                    names=["row_id", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
-                row_id += k
+                    [pa.array(of[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, pieces[a])), pa.array([h[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())],
+                    names=["range", "piece", "hashes"])
 
     return run
 
 
-def _table(df: DataFrame, key: str, value: str) -> Table:
-    """At most ENTRIES rows (or as many contexts), collected through Arrow."""
-    rows = df.select(F.col(key).cast("long"), F.col(value).cast("double")).toArrow()
-    return Table(rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy())
+_FOUND = np.dtype([("h", np.uint64), ("p", np.float64), ("rest", np.float64)])
+
+
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """What a range knows of the hashes that each piece asks for."""
+    rows = np.zeros(known.num_rows, _FOUND)
+    rows["h"] = known.column("h").to_numpy().view(np.uint64)
+    for c in ("p", "rest"):
+        rows[c] = known.column(c).to_numpy()
+    rows.sort(order="h")
+    out = []
+    for raw in asked.column("hashes"):
+        h = np.frombuffer(raw.as_py(), np.uint64)
+        place = np.searchsorted(rows["h"], h)
+        place[place == len(rows)] = 0
+        out.append(rows[place[rows["h"][place] == h]].tobytes() if len(rows) else b"")
+    return pa.Table.from_arrays([asked.column("piece"), pa.array(out, pa.binary())], names=["piece", "found"])
+
+
+def _score_piece(orders: tuple[int, ...], unknown: float):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = np.frombuffer(b"".join(answers.column("found").to_pylist()), _FOUND)
+        rows = np.unique(rows)  # a piece may ask twice if its rows were read apart
+        nothing = np.full(1, np.nan)
+        keys = np.concatenate([rows["h"], [np.uint64(2**64 - 1)]])
+        ps, rests = np.concatenate([rows["p"], nothing]), np.concatenate([rows["rest"], nothing])
+
+        def find(h: np.ndarray) -> np.ndarray:
+            place = np.searchsorted(rows["h"], h)
+            return np.where(keys[place] == h, place, len(rows))
+
+        done = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
+        parts = [done]
+        text = docs.column("text").combine_chunks()
+        for i, j, seq, at in _sequences(text):
+            mark = np.zeros(len(seq), dtype=bool)
+            mark[at[:-1]] = True
+            base = ps[find(seq)]
+            known = ~np.isnan(base) & ~mark
+            base = np.where(known, base, np.where(mark, 0.0, unknown))
+            score = base.copy()
+            for n in orders:  # the shorter context first: the longer one's rest goes to it
+                ok = np.flatnonzero(_within(at, len(seq), n))
+                rest = rests[find((words.grams(seq, n - 1) if n > 2 else seq)[ok])]
+                ok, rest = ok[~np.isnan(rest)], rest[~np.isnan(rest)]
+                p = ps[find(words.grams(seq, n)[ok])] if len(ok) else rest
+                last = ok + n - 1
+                score[last] = np.where(np.isnan(p), score[last] + rest, p)
+            total = np.concatenate([[0], np.cumsum(known)])
+            parts.append([np.diff(at) - 1, np.diff(total[at]), np.add.reduceat(base, at[:-1]), np.add.reduceat(score, at[:-1])])
+        columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
+        return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
 
 
 def _retained(entries: DataFrame) -> DataFrame:
@@ -270,64 +292,94 @@ def _retained(entries: DataFrame) -> DataFrame:
     return each.join(good, "context", "left_semi")
 
 
-def learn(texts: DataFrame, entries: int = ENTRIES) -> tuple[Model, DataFrame, int, int, int]:
-    """The tree of a one-column table of texts; also the kept token counts
-    (h, n), the number of tokens, of distinct ones, and the frequency bound."""
+def _slots(level: DataFrame) -> np.ndarray:
+    """Which sketch slots the retained contexts have: at most SLOTS rows."""
+    slot = F.shiftrightunsigned("context", 64 - sketch.SLOT_BITS)
+    out = np.zeros(sketch.SLOTS, dtype=bool)
+    out[level.select(slot.alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
+    return out
+
+
+def learn(texts: DataFrame, entries: int | None = None) -> tuple[DataFrame, dict[int, np.ndarray], int, int]:
+    """The tree of a one-column table of texts: h (of a token, gram or context), p
+    (log10, of a token or gram), rest (log10, of a context); the slots of the
+    retained contexts of each length, the number of tokens, of distinct ones."""
     spark = texts.sparkSession
     first = keep(texts.mapInArrow(_first_pass, _FIRST), "lm-first")
     tokens = keep(first.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")), "lm-tokens")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bound = max(2, -(-total // entries))
+    bound = LEAST if entries is None else max(LEAST, -(-total // entries))
     enough = {n: sketch.gather(first.filter((F.col("order") == n) & F.col("block").isNotNull()).select("block", "salt", "counts")) >= bound for n in ORDERS}
-    shared = spark.sparkContext.broadcast(enough)
 
-    def second(batches):
-        return _second_pass(shared.value)(batches)
+    def counted(orders, enough, grown=None):
+        shared = spark.sparkContext.broadcast((orders, enough, grown))
 
-    grams = texts.mapInArrow(second, _SECOND).groupBy("order", "gram").agg(
-        F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "tail", "word"))).filter(F.col("n") >= bound)
-    grams = keep(grams, "lm-grams")
+        def second(batches):
+            return _second_pass(*shared.value)(batches)
 
+        return texts.mapInArrow(second, _SECOND).groupBy("order", "gram").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "tail", "word")))
+
+    grams = keep(counted(ORDERS, enough).filter(F.col("n") >= bound), "lm-grams")
+    columns = ["context", "gram", "n", "context_n", "parent_p"]
     unigram = tokens.select(F.col("h").alias("word"), ((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("root_p"))
     starts = texts.agg(F.lit(int(START)).cast("long").alias("h"), F.count("*").alias("n"))
     of_word = tokens.select("h", "n").union(starts).select(F.col("h").alias("context"), F.col("n").alias("context_n"))
     one = grams.filter("order = 2").join(unigram, "word").join(of_word, "context").withColumn("parent_p", F.col("root_p"))
-    one = keep(_retained(one.select("context", "gram", "n", "context_n", "parent_p")), "lm-one")
-    pairs = grams.filter("order = 2").select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
-    parent = one.select(F.col("gram").alias("tail"), F.col("p").alias("tail_p"))
-    two = grams.filter("order = 3").join(unigram, "word").join(pairs, "context").join(parent, "tail", "left").withColumn("parent_p", F.coalesce("tail_p", "root_p"))
-    two = keep(_retained(two.select("context", "gram", "n", "context_n", "parent_p")), "lm-two")
+    levels = {2: keep(_retained(one.select(*columns)), "lm-one")}
 
-    frequent = tokens.filter(F.col("n") >= bound).select("h", F.log10((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("p"))
-    model = Model(_table(frequent, "h", "p"), {}, {})
-    for n, level in zip(ORDERS, (one, two)):
-        model.contexts[n] = _table(level.groupBy("context").agg(F.log10(F.first("rest")).alias("rest")), "context", "rest")
-        model.grams[n] = _table(level.select("gram", F.log10("p").alias("p")), "gram", "p")
-    return model, tokens, total, distinct, bound
+    def parents(n: int) -> DataFrame:
+        return levels[n].select(F.col("gram").alias("tail"), F.col("p").alias("tail_p"))
 
-
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Column | None = None, entries: int = ENTRIES) -> DataFrame:
+    pairs = grams.filter("order = 2").select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
+    two = grams.filter("order = 3").join(unigram, "word").join(pairs, "context").join(parents(2), "tail", "left").withColumn("parent_p", F.coalesce("tail_p", "root_p"))
+    levels[3] = keep(_retained(two.select(*columns)), "lm-two")
+    slots = {n: _slots(level) for n, level in levels.items()}
+    n = 3
+    while entries is None and slots[n].any():
+        # every occurrence of a context has a successor, so their sum is its count
+        n += 1
+        all_n = keep(counted((n,), {}, slots[n - 1]).join(parents(n - 1).select("tail", F.col("tail_p").alias("parent_p")), "tail", "left"), "lm-more")
+        sums = all_n.groupBy("context").agg(F.sum("n").alias("context_n"))
+        more = all_n.filter((F.col("n") >= bound) & F.col("parent_p").isNotNull()).join(sums, "context")
+        levels[n] = keep(_retained(more.select(*columns)), "lm-level")
+        slots[n] = _slots(levels[n])
+
+    nothing = F.lit(None).cast("double")
+    rows = [tokens.select("h", F.log10((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("p"), nothing.alias("rest"))]
+    for level in levels.values():
+        rows.append(level.select(F.col("gram").alias("h"), F.log10("p").alias("p"), nothing.alias("rest")))
+        rows.append(level.groupBy(F.col("context").alias("h")).agg(nothing.alias("p"), F.log10(F.first("rest")).alias("rest")))
+    tree = rows[0]
+    for more in rows[1:]:
+        tree = tree.union(more)
+    return keep(tree.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree"), {n: x for n, x in slots.items() if x.any()}, total, distinct
+
+
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Column | None = None, entries: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     for every row of ``docs``; learns from the rows that are not held out.
 
+    With ``entries`` the tree is a bounded one: contexts of at most two words,
+    and at most so many grams of one length.
+
     A null or empty text is the end token alone. A null doc_id is not held out.
     Repeated rows are counted and scored each; other columns are not looked at.
     With no training rows every token is unknown and has probability one."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), (held_out(F.col(doc_id)) if held is None else held).alias("held_out"), F.col(text).alias("text"))
-    model, tokens, total, distinct, bound = learn(slim.filter(~F.col("held_out")).select("text"), entries)
-    shared = slim.sparkSession.sparkContext.broadcast(model)
-
-    def rows(batches):
-        return _score_rows(lambda: shared.value)(batches)
-
     kind = slim.schema["doc_id"].dataType.simpleString()
-    scored = keep(slim.mapInArrow(rows, f"row_id long, doc_id {kind}, held_out boolean, {_SCORES}"), "lm-rows")
-    rare = tokens.filter(F.col("n") < bound)
-    each = scored.select("row_id", F.explode("rare").alias("h")).join(rare, "h", "left")
-    c = F.coalesce("n", F.lit(0))
-    more = each.groupBy("row_id").agg(
-        F.sum(F.log10((c + 1) / F.lit(total + distinct + 1))).alias("more"), F.count("n").alias("more_known"))
-    add = F.coalesce("more", F.lit(0.0))
-    return scored.join(more, "row_id", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"), (F.col("score") + add).alias("score"))
+    pieces = keep(slim.mapInArrow(_pieces, f"piece long, doc_id {kind}, held_out boolean, text string"), "lm-pieces")
+    tree, slots, total, distinct = learn(pieces.filter(~F.col("held_out")).select("text"), entries)
+    orders = tuple(sorted(slots))
+    ranges = max(1, -(-total * (1 + len(orders)) // RANGE))
+    shared = slim.sparkSession.sparkContext.broadcast(slots)
+
+    def requests(batches):
+        return _requests(orders, shared.value, ranges)(batches)
+
+    asked = pieces.select("piece", "text").mapInArrow(requests, "range int, piece long, hashes binary")
+    known = tree.select((F.shiftrightunsigned("h", 40) % ranges).cast("int").alias("range"), "h", *(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("p", "rest")))
+    answers = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answer, "piece long, found binary")
+    unknown = -float(np.log10(total + distinct + 1))
+    scored = pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(
+        _score_piece(orders, unknown), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

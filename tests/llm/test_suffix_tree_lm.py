@@ -81,3 +81,24 @@ def test_empty_tables(spark):
     only_held = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     r = lm.score(only_held, held=F.lit(True)).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3, 0, 0, 0.0, 0.0)
+
+
+def test_the_tree_grows_with_the_corpus_and_contexts_beyond_two_words(spark):
+    # a phrase seen twice in a corpus that is three million words long
+    filler = [(i, " ".join(f"z{(i * 7 + k) % 900}" for k in range(20_000))) for i in range(150)]
+    phrase = [(1000 + i, "p q r s t") for i in range(3)]
+    df = spark.createDataFrame(filler + phrase, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.score(df, held=F.col("doc_id") == 1002).filter("doc_id >= 1000").collect()}
+    assert got[1002].held_out and got[1002].train_tokens > 3_000_000
+    assert got[1002].score > got[1002].base_score + 20
+
+    # what follows "y r" depends on the word before it
+    rng = random.Random(5)
+    rows = [(i, f"a{i % 4} u{rng.randrange(40)} v{rng.randrange(2)} r b{i % 4}") for i in range(300)]
+    rows += [(1000 + i, f"a{i % 4} y r c{i % 4} e") for i in range(400)]
+    deep = spark.createDataFrame(rows, "doc_id long, text string")
+    tree, slots, _, _ = lm.learn(deep.select("text"))
+    assert max(slots) >= 4 and tree.count() > 0
+    r = lm.score(deep, held=F.col("doc_id") == 1399).filter("held_out").first()
+    shallow = lm.score(deep, held=F.col("doc_id") == 1399, entries=1 << 20).filter("held_out").first()
+    assert r.score > shallow.score + 0.4
