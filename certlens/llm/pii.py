@@ -15,7 +15,8 @@ replacement. DataFrame functions only.
   whatever spelling or format.
 * Distinctness: the distinct cores of the corpus get candidate surrogates; those
   that meet another core's candidate or any real core are drawn again with the
-  next attempt, until none is left. A core and its surrogate meet in a shuffle
+  next attempt, until none is left; after ``WIDEN`` attempts they get longer than the
+  form. A core and its surrogate meet in a shuffle
   join, so an entity that a third of all documents hold is split as a skewed join.
 
 The key is a parameter; surrogates can't be traced back without it.
@@ -30,6 +31,8 @@ from certlens.llm.shared import free_name, keep, row_key
 
 KEY = "surrogates-2024"
 ATTEMPTS = 64
+#: From this attempt on a surrogate gets one more digit each time: its form has hardly a free value.
+WIDEN = 8
 
 # Forms of address by gender, and name parts of surrogates.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Señorita", "Госпожа")
@@ -42,7 +45,8 @@ SYLLABLES = ("ba", "den", "for", "gar", "hol", "ker", "lan", "mor", "nel", "per"
 SYLLABLES_CYRILLIC = ("ба", "ден", "фор", "гар", "хол", "кер", "лан", "мор", "нел", "пер", "рос", "сан", "тал", "вер", "вин", "зел")
 
 _TITLE = "|".join(sorted(FEMALE_TITLES + MALE_TITLES, key=len, reverse=True))
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++)*+)(?<=\.[A-Za-z]{2,24})(?![A-Za-z0-9])"
+# the domain ends at its last label that can be a top level; a name has 127 labels at most
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9][A-Za-z0-9-]*+(?:\.[A-Za-z0-9-]++){0,126}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 # cheap tests come first: a quote, sign or space before, and one of the signs near
 _SECRET = r"(?<=[=:\s\"'])(?<=[=:][\s\"']{0,4})(?<=(?:token|password|passwd|secret|api_key|apikey|access_key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_+/-]{6,}"
 _KEY_ID = r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:sk-|ghp_)[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])"
@@ -156,9 +160,18 @@ def surrogate_core(kind: Column, core: Column, gender: Column, seed: Column, att
     )
 
 
+def _widened(kind: Column, new: Column, seed: Column, more: int) -> Column:
+    """A candidate with so many more digits, before an address's last label (names
+    get longer by themselves, and IP addresses have values enough)."""
+    extra = F.concat(*(_letter("0123456789", seed, F.lit(-1 - i)) for i in range(more)))
+    return (F.when(kind.isin("ip", "name"), new)
+            .when(kind == "email", F.regexp_replace(new, F.lit(r"(\.[a-z]+)$"), F.concat(extra, F.lit("$1"))))
+            .otherwise(F.concat(new, extra)))
+
+
 def _formatted(kind: Column, entity: Column, new: Column) -> Column:
     """A surrogate core in the format of one spelling: separators where they
-    were, upper case where letters were."""
+    were, upper case where letters were, what is longer at the end."""
     def put(i: Column) -> Column:
         c = F.substring(entity, i, F.lit(1))
         rank = F.length(F.regexp_replace(F.substring(entity, F.lit(1), i), "[^0-9A-Za-z]", ""))
@@ -170,8 +183,8 @@ def _formatted(kind: Column, entity: Column, new: Column) -> Column:
 
     places = F.sequence(F.lit(1), F.length(entity))
     return (
-        F.when(kind.isin("ssn", "iban", "card", "phone"), F.array_join(F.transform(places, put), ""))
-        .when(kind == "email", F.array_join(F.transform(places, case), ""))
+        F.when(kind.isin("ssn", "iban", "card", "phone"), F.concat(F.array_join(F.transform(places, put), ""), F.substring(new, F.length(entity_core(kind, entity)) + 1, F.length(new))))
+        .when(kind == "email", F.concat(F.array_join(F.transform(places, case), ""), F.substring(new, F.length(entity) + 1, F.length(new))))
         .otherwise(new)
     )
 
@@ -186,6 +199,8 @@ def assign_surrogates(cores: DataFrame, key: str = KEY) -> DataFrame:
         seed = F.sha2(F.concat_ws("|", F.lit(key), "kind", "core", F.lit(str(attempt))), 256)
         seeded = todo.withColumn("seed", seed)
         drawn = seeded.withColumn("new", surrogate_core(F.col("kind"), F.col("core"), F.col("gender"), F.col("seed"), F.lit(attempt)))
+        if attempt >= WIDEN:
+            drawn = drawn.withColumn("new", _widened(F.col("kind"), F.col("new"), F.col("seed"), attempt - WIDEN + 1))
         drawn = drawn.select("kind", "core", "gender", "new", F.lower("new").alias("as_core"))
         # a candidate goes to the smallest core that drew it, unless it is real or given away
         first = drawn.groupBy("kind", "as_core").agg(F.min("core").alias("core"))

@@ -112,3 +112,20 @@ def test_a_name_goes_by_its_own_title(spark):
     assert again == secret and weber in pii.FEMALE_NAMES
     assert re.fullmatch(r"Herr [А-Яа-я]+ 12", got[2]) and "Иванов" not in got[2]
     assert got[3] == f"Mr. J said token={secret} 1"
+
+
+def test_addresses_end_at_their_last_valid_label(spark):
+    texts = ["a1@b.com--thanks", "a1@b.com-x", "a1@b.com.5", "a1@m.b-c.com.", "a1@b.com" + ".5" * 3000]
+    for i, r in run(spark, texts).items():
+        assert r.n_entities == 1 and "a1@" not in r.text
+        tail = texts[i][texts[i].index(".com"):]
+        assert r.text.endswith(tail) and len(r.text) == len(texts[i])
+
+
+def test_exhausted_forms_get_longer(spark):
+    real = [("ssn", str(i), "m") for i in range(10)] + [("secret", "------", "m")]
+    got = pii.assign_surrogates(spark.createDataFrame(real, "kind string, core string, gender string")).collect()
+    new = {r.core: r.new for r in got}
+    assert len(got) == 11 and len(set(new.values())) == 11 and not set(new) & set(new.values())
+    df = spark.createDataFrame([("ssn", "0-7", "123"), ("email", "A@b.co", "x@y1.co"), ("secret", "------", "------4")], "k string, e string, n string")
+    assert [r[0] for r in df.select(pii._formatted(F.col("k"), F.col("e"), F.col("n"))).collect()] == ["1-23", "X@y1.co", "------4"]
