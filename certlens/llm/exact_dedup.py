@@ -61,7 +61,7 @@ def frequent_digests(slim: DataFrame) -> DataFrame:
     hashed = slim.withColumn("h", F.xxhash64("digest"))
     lanes = hashed.withColumn("lane", F.spark_partition_id() % LANES).groupBy("lane").agg(F.expr(f"approx_top_k_accumulate(h, {COUNTERS})").alias("summary"))
     # grouped, so that tasks without a summary send none
-    found = lanes.groupBy(F.lit(0)).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {COUNTERS}), {min(WINNERS, COUNTERS)})").alias("top"))
+    found = lanes.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {COUNTERS}), {min(WINNERS, COUNTERS)})").alias("top"))
     candidates = found.select(F.explode("top.item").alias("h")) if rows else hashed.select("h")  # no rows, no summary
     counted = hashed.join(F.broadcast(candidates), "h", "left_semi").groupBy("digest").agg(F.count("*").alias("size"), _best())
     return keep(counted.filter((F.col("size") > 1) & (F.col("size") * WINNERS >= rows)), "copies-winners")
