@@ -11,34 +11,43 @@ from pyspark.sql import functions as F
 from certlens.llm import suffix_tree_lm as lm
 
 
-def plain(rows, entries):
-    """(doc_id, held_out, n_tokens, n_known, N, base, score) of every row."""
+def plain(rows):
+    """(doc_id, held_out, n_tokens, n_known, N, base, score) of every row, and the
+    retained contexts by the length of their grams."""
     seqs = [["<s>", *(text or "").encode().lower().split(), "</s>"] for _, text in rows]
     held = [doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2 for doc, _ in rows]
     train = [s for s, h in zip(seqs, held) if not h]
     c = Counter(w for s in train for w in s[1:])
     total, distinct = sum(c.values()), len(c)
-    bound = max(2, -(-total // entries))
     root = lambda w: (c[w] + 1) / (total + distinct + 1)
-    grams = {n: {g: k for g, k in Counter(tuple(s[i : i + n]) for s in train for i in range(len(s) - n + 1)).items() if k >= bound} for n in (2, 3)}
-    size = {2: lambda ctx: len(train) if ctx == ("<s>",) else c[ctx[0]], 3: lambda ctx: grams[2][ctx]}
-    kept = {2: {}, 3: {}}
-    for n in (2, 3):
+    kept, pairs, n = {}, {}, 1
+    while n < 3 or kept[n]:
+        n += 1
+        grams = Counter(tuple(s[i : i + n]) for s in train for i in range(len(s) - n + 1))
+        pairs = grams if n == 2 else pairs
+        followed = Counter()
+        for g, k in grams.items():
+            followed[g[:-1]] += k
+        size = {2: lambda ctx: len(train) if ctx == ("<s>",) else c[ctx[0]], 3: lambda ctx: pairs[ctx]}.get(n, followed.__getitem__)
+        shorter = lambda ctx, w: kept[n - 1][ctx[1:]][1].get(w) if n > 2 and ctx[1:] in kept[n - 1] else None
         by_context = {}
-        for g, k in grams[n].items():
-            by_context.setdefault(g[:-1], {})[g[-1]] = k
+        for g, k in grams.items():
+            # beyond two words a context grows only where the shorter one was retained
+            if k >= 2 and (n < 4 or shorter(g[:-1], g[-1]) is not None):
+                by_context.setdefault(g[:-1], {})[g[-1]] = k
+        kept[n] = {}
         for ctx, nexts in by_context.items():
-            whole = size[n](ctx)
+            whole = size(ctx)
             rest = max(1 - sum((k - 0.5) / whole for k in nexts.values()), 1e-12)
-            parent = (lambda w: root(w)) if n == 2 else (lambda w: kept[2][ctx[1:]][1][w] if ctx[1:] in kept[2] else root(w))
-            p = {w: (k - 0.5) / whole + rest * parent(w) for w, k in nexts.items()}
-            gain = sum(k * math.log(p[w] / parent(w)) for w, k in nexts.items()) + (whole - sum(nexts.values())) * math.log(rest)
+            parent = {w: shorter(ctx, w) or root(w) for w in nexts}
+            p = {w: (k - 0.5) / whole + rest * parent[w] for w, k in nexts.items()}
+            gain = sum(k * math.log(p[w] / parent[w]) for w, k in nexts.items()) + (whole - sum(nexts.values())) * math.log(rest)
             if gain > 0.5 * len(nexts) * math.log(whole):
                 kept[n][ctx] = (rest, p)
 
     def prob(s, i):
         out = root(s[i])
-        for n in (2, 3):
+        for n in sorted(kept):
             ctx = tuple(s[i - n + 1 : i]) if i - n + 1 >= 0 else None
             if ctx in kept[n]:
                 rest, p = kept[n][ctx]
@@ -46,7 +55,7 @@ def plain(rows, entries):
         return out
 
     return [(doc, h, len(s) - 1, sum(c[w] > 0 for w in s[1:]), total, sum(math.log10(root(w)) for w in s[1:]), sum(math.log10(prob(s, i)) for i in range(1, len(s))))
-            for (doc, _), s, h in zip(rows, seqs, held)], kept
+            for (doc, _), s, h in zip(rows, seqs, held)], {n: x for n, x in kept.items() if x}
 
 
 def corpus(n=150):
@@ -56,14 +65,13 @@ def corpus(n=150):
     return rows + [(None, None), (None, "w1 w2"), (7, ""), (7, rows[7][1]), (8, " \n"), (9, "unseen" + "x" * 2000)]
 
 
-@pytest.mark.parametrize("entries", [1 << 20, 60])
-def test_scores_match_the_definition(spark, entries):
+def test_scores_match_the_definition(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("x")).repartition(3)
-    got = sorted((tuple(r) for r in lm.score(df, entries=entries).collect()), key=lambda r: str(r[:4]))
-    expected, kept = plain(rows, entries)
+    got = sorted((tuple(r) for r in lm.score(df).collect()), key=lambda r: str(r[:4]))
+    expected, kept = plain(rows)
     expected.sort(key=lambda r: str(r[:4]))
-    assert kept[2] and (kept[3] or entries == 60)
+    assert max(kept) >= 4
     assert [r[:5] for r in got] == [r[:5] for r in expected]
     for g, e in zip(sorted(r[5:] for r in got), sorted(r[5:] for r in expected)):
         assert g == pytest.approx(e, rel=1e-9)
