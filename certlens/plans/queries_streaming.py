@@ -12,10 +12,17 @@ from certlens.session import shared_path
 from certlens.catalog import AS_OF, register
 from certlens.sources import adapters as A
 from certlens.sources import envelope as Ev
+from certlens.sources import landing
 from certlens.sources import psl
 from certlens.sources import store
 from certlens.streaming import ingest as Ig
-from certlens.streaming import jobs as J
+from certlens.streaming import stateful as St
+
+
+def _landed(spark, d, late=None) -> str:
+    """The observations as a feed: day after day, then late rows, then a heartbeat."""
+    columns = ["seen_at", "cert_hash", "registered_domain", "issuer_key"]
+    return landing.land(store.read(spark, d, "observations"), heartbeat_hours=72, late=late, columns=columns)
 
 
 @register("stream_tumbling_daily", "L3", """
@@ -25,7 +32,31 @@ SELECT date_trunc('day', seen_at) AS window_start, date_trunc('day', seen_at) +
 FROM observations GROUP BY 1, 2, 3
 """)
 def stream_tumbling_daily(spark, d):
-    return J.tumbling_daily_counts(spark, f"{store.ensure_tables(spark, d)}/observations", max_files=48)
+    return St.tumbling_daily(spark, _landed(spark, d), max_files=16)[0]
+
+
+# Two late deliveries for each issuer, after all days have come: one of its newest
+# hours, which the watermark has not passed, and one of its first day, which it has.
+_RESENT = "SELECT issuer_key, max(seen_at) AS newest, min(seen_at) AS oldest FROM observations GROUP BY issuer_key"
+
+
+@register("stream_late_rows", "L2", f"""
+, resent AS ({_RESENT}),
+delivered AS (SELECT seen_at, issuer_key, cert_hash, registered_domain FROM observations
+              UNION ALL SELECT newest - INTERVAL 2 HOUR, issuer_key, 'cert-late', 'late.example' FROM resent)
+SELECT date_trunc('day', seen_at) AS window_start, date_trunc('day', seen_at) + INTERVAL 1 DAY AS window_end,
+       issuer_key, CAST(count(DISTINCT cert_hash) AS BIGINT) AS cert_count,
+       CAST(count(DISTINCT registered_domain) AS BIGINT) AS domain_count, CAST(count(*) AS BIGINT) AS observations,
+       (SELECT CAST(count(*) AS BIGINT) FROM resent) AS late_rows
+FROM delivered GROUP BY 1, 2, 3
+""")
+def stream_late_rows(spark, d):
+    resent = store.read(spark, d, "observations").groupBy("issuer_key").agg(F.max("seen_at").alias("newest"), F.min("seen_at").alias("oldest"))
+    times = F.explode(F.array(F.expr("newest - INTERVAL 2 HOURS"), F.col("oldest")))
+    late = resent.select(times.alias("seen_at"), F.lit("cert-late").alias("cert_hash"), F.lit("late.example").alias("registered_domain"), "issuer_key")
+    # several batches: a batch drops what was late for the one before it
+    rows, dropped = St.tumbling_daily(spark, _landed(spark, d, late), max_files=8)
+    return rows.withColumn("late_rows", F.lit(dropped).cast("long"))
 
 
 @register("stream_burst_sliding", "L4", """
@@ -37,7 +68,7 @@ SELECT window_start, window_start + INTERVAL 12 HOUR AS window_end, registered_d
 FROM w GROUP BY 1, 2, 3
 """)
 def stream_burst_sliding(spark, d):
-    return J.sliding_burst_counts(spark, f"{store.ensure_tables(spark, d)}/observations", 12, 1, max_files=48)
+    return St.sliding_burst_counts(spark, _landed(spark, d), 12, max_files=16)
 
 
 _FANOUT_SQL = O.psl_ctes("(SELECT unnest(dns_names) AS host FROM certificate_versions)") + f"""

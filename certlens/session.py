@@ -121,4 +121,6 @@ def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
         "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
         "spark.sql.files.maxRecordsPerFile": "20000000",
+        # streaming state beyond an executor's memory
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }

@@ -1,29 +1,15 @@
-"""Structured Streaming jobs (L1, L3, L4).
+"""Structured Streaming sources and batch handlers (L1), and the approximate
+daily counts. The exact windows (L3, L4) are in ``stateful``.
 
-Exact distinct counts are not allowed in streaming aggregations, so the
-exact variants use ``foreachBatch``: every micro-batch writes its distinct
-keys to a folder named by the batch id (an overwrite, so a replayed batch
-after a failure writes the same files - effectively once), and the final
-report counts distinct keys over all batch folders. The approximate variant
-is a native windowed streaming aggregation with a watermark.
-
-All state (checkpoints, batch folders) lives below the shared folder named
-by ``spark.checkpoint.dir``.
+All state (checkpoints) lives below the shared folder named by
+``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlens.session import shared_path
-
-
-def _work_root(spark: SparkSession, name: str) -> str:
-    return shared_path(spark, f"stream-{name}-{uuid.uuid4().hex[:12]}")
-
 
 def file_stream(spark: SparkSession, source_dir: str, max_files: int | None = None) -> DataFrame:
     """A Parquet folder as an unbounded source (schema taken from the folder)."""
@@ -49,30 +35,6 @@ def run_batches(stream: DataFrame, handler, checkpoint: str, available_now: bool
 
 # ---- L3: tumbling day windows ------------------------------------------------
 
-def daily_keys_handler(root: str):
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        keys = batch.select(F.window("seen_at", "1 day").alias("w"), "issuer_key", "cert_hash",
-                            "registered_domain").groupBy("w", "issuer_key", "cert_hash", "registered_domain").agg(
-            F.count("*").alias("n"))
-        keys.write.mode("overwrite").parquet(f"{root}/keys/batch_id={batch_id}")
-    return handle
-
-
-def tumbling_daily_counts(spark: SparkSession, source_dir: str, max_files: int | None = 4) -> DataFrame:
-    """Exact per-day, per-issuer distinct certificates and domains and the
-    observation count, computed by a stream over ``source_dir``."""
-    root = _work_root(spark, "daily")
-    run_batches(file_stream(spark, source_dir, max_files), daily_keys_handler(root), f"{root}/checkpoint")
-    keys = spark.read.parquet(f"{root}/keys")
-    per_cert = keys.groupBy("w", "issuer_key").agg(F.count_distinct("cert_hash").cast("long").alias("cert_count"),
-                                                   F.sum("n").cast("long").alias("observations"))
-    per_domain = keys.groupBy("w", "issuer_key").agg(
-        F.count_distinct("registered_domain").cast("long").alias("domain_count"))
-    out = per_cert.join(per_domain, ["w", "issuer_key"])
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "issuer_key",
-                      "cert_count", "domain_count", "observations")
-
-
 def tumbling_daily_approx(stream: DataFrame, watermark: str = "30 days") -> DataFrame:
     """Native streaming variant (append/update output): approximate distinct
     counts per (day, issuer) with a watermark bounding the state."""
@@ -80,29 +42,3 @@ def tumbling_daily_approx(stream: DataFrame, watermark: str = "30 days") -> Data
     return (stream.withColumn("seen_at", F.col("seen_at").cast("timestamp")).withWatermark("seen_at", watermark)
             .groupBy(F.window("seen_at", "1 day"), "issuer_key")
             .agg(F.approx_count_distinct("cert_hash").alias("cert_count_approx"), F.count("*").alias("observations")))
-
-
-# ---- L4: sliding burst windows -----------------------------------------------
-
-def sliding_keys_handler(root: str):
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        # Collapse to distinct (hour, domain, cert) first, then expand each
-        # hour into the 12 sliding windows that contain it.
-        hourly = (batch.filter(F.col("registered_domain") != "")
-                  .select(F.date_trunc("hour", "seen_at").alias("hour"), "registered_domain", "cert_hash").distinct())
-        hourly.write.mode("overwrite").parquet(f"{root}/hourly/batch_id={batch_id}")
-    return handle
-
-
-def sliding_burst_counts(spark: SparkSession, source_dir: str, window_hours: int = 12, slide_hours: int = 1,
-                         max_files: int | None = 4) -> DataFrame:
-    """Distinct certificates per registered domain in every sliding window
-    of ``window_hours`` (step ``slide_hours``), from a stream."""
-    root = _work_root(spark, "burst")
-    run_batches(file_stream(spark, source_dir, max_files), sliding_keys_handler(root), f"{root}/checkpoint")
-    hourly = spark.read.parquet(f"{root}/hourly").select("hour", "registered_domain", "cert_hash").distinct()
-    windows = hourly.select(F.window("hour", f"{window_hours} hours", f"{slide_hours} hour").alias("w"),
-                            "registered_domain", "cert_hash")
-    return (windows.groupBy("w", "registered_domain").agg(F.count_distinct("cert_hash").cast("long").alias("cert_count"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "registered_domain", "cert_count"))
