@@ -57,4 +57,5 @@ def _load() -> None:
     from certlens.plans import queries_rules  # noqa: F401
     from certlens.plans import queries_snapshots  # noqa: F401
     from certlens.plans import queries_scalars  # noqa: F401
+    from certlens.plans import queries_sketches  # noqa: F401
     from certlens.plans import queries_streaming  # noqa: F401

@@ -17,6 +17,7 @@ Query commands print their (bounded: one row or top-k) result as JSON lines.
 from __future__ import annotations
 
 import argparse
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
@@ -47,6 +48,8 @@ def main(argv: list[str] | None = None) -> None:
     sub = parser.add_subparsers(dest="command", required=True)
     p = sub.add_parser("rollup")
     p.add_argument("--days", type=int, default=30)
+    p = sub.add_parser("refresh-rollups", help="only the days that changed since the last run")
+    p.add_argument("--days", type=int, default=30)
     p = sub.add_parser("query-issuer-stats")
     p.add_argument("--days", type=int, default=30)
     p = sub.add_parser("query-anomalies")
@@ -80,6 +83,12 @@ def main(argv: list[str] | None = None) -> None:
         from certlens.plans.snapshots import refresh_rollups
         t = _tables(spark, root)
         refresh_rollups(spark, t.observations, t.certificates, t.findings, root, as_of, args.days)
+    elif args.command == "refresh-rollups":
+        from certlens.operators.refresh import refresh_touched
+        from certlens.operators.rollups import refresh_span
+        t = _tables(spark, root)
+        days = refresh_touched(t.observations, t.certificates, root, as_of, refresh_span(as_of, args.days), spark.read.parquet(f"{root}/certificates"))
+        print(json.dumps({"days": [d.isoformat() for d in days]}))
     elif args.command == "query-issuer-stats":
         from certlens.plans.reports import issuer_stats
         t = _tables(spark, root)

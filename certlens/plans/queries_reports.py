@@ -16,7 +16,7 @@ from certlens.sources import adapters as A
 _AS = O.AS_OF
 _ROLLUP_START = "TIMESTAMP '2024-01-01 00:00:00'"
 
-_DAILY_SQL = f"""
+DAILY_SQL = f"""
 SELECT CAST(o.seen_at AS DATE) AS day, o.issuer_key,
        CAST(count(DISTINCT o.cert_hash) AS BIGINT) AS cert_count,
        CAST(count(DISTINCT o.registered_domain) AS BIGINT) AS domain_count,
@@ -39,7 +39,7 @@ def _daily(spark, d):
     return R.daily_issuer_stats(t.observations, t.certificates, R.refresh_span(AS_OF, ROLLUP_DAYS), AS_OF)
 
 
-@register("issuer_daily_rollup", "F5", _DAILY_SQL)
+@register("issuer_daily_rollup", "F5", DAILY_SQL)
 def issuer_daily_rollup(spark, d):
     return _daily(spark, d)
 
@@ -89,7 +89,7 @@ def issuer_common_eku(spark, d):
 
 
 @register("issuer_trailing_daily", "F3", f"""
-, daily AS ({_DAILY_SQL}),
+, daily AS ({DAILY_SQL}),
 recent AS (
   SELECT issuer_key, day, cert_count,
          row_number() OVER (PARTITION BY issuer_key ORDER BY day DESC) AS rn
@@ -123,7 +123,7 @@ FROM (SELECT {vt} AS vt FROM certificates WHERE {where}) v
 
 
 @register("issuer_stats_trailing", "G1", f"""
-, daily AS ({_DAILY_SQL}),
+, daily AS ({DAILY_SQL}),
 sums AS (
   SELECT {', '.join(f'CAST(COALESCE(sum({c}), 0) AS BIGINT) AS {c}' for c in R.DAILY_COUNTERS)}
   FROM daily WHERE day >= DATE '2024-01-24'),

@@ -18,6 +18,7 @@ from certlens.config import BREAKDOWN_LABELS, DASHBOARD_GROUP_BYS, DASHBOARD_WIN
 from certlens.functions import certcols
 from certlens.functions.timewin import Span, as_datetime, ts_lit
 from certlens.operators.latest import latest_updated
+from certlens.operators.refresh import replace_days
 from certlens.operators.rollups import daily_issuer_stats, daily_sigalg_stats, refresh_span
 from certlens.plans import anomalies as H
 from certlens.plans import reports as G
@@ -124,20 +125,18 @@ def snapshot_payload(observations: DataFrame, certificates: DataFrame, findings:
 
 def refresh_rollups(spark: SparkSession, observations: DataFrame, certificates: DataFrame, findings: DataFrame,
                     root: str, as_of, days: int, settings: Settings = DEFAULT, align: str = "day") -> list[int]:
-    """append the daily and sig-alg rollups for the refresh window, then a
-    snapshot for every dashboard window <= days and for ``days`` itself.
-    Tables are versioned by ``updated_at``; readers take the newest."""
+    """the daily and sig-alg rollups of the refresh window, then a snapshot for
+    every dashboard window <= days and for ``days`` itself. Each day and each window is a
+    folder that a later run replaces, so the tables do not grow with the runs."""
     span = refresh_span(as_of, days, align)
-    daily_issuer_stats(observations, certificates, span, as_of).write.mode("append").parquet(
-        f"{root}/issuer_daily_stats")
-    daily_sigalg_stats(observations, certificates, span, as_of).write.mode("append").parquet(
-        f"{root}/issuer_sigalg_stats")
+    replace_days(daily_issuer_stats(observations, certificates, span, as_of), f"{root}/issuer_daily_stats")
+    replace_days(daily_sigalg_stats(observations, certificates, span, as_of), f"{root}/issuer_sigalg_stats")
     daily = spark.read.parquet(f"{root}/issuer_daily_stats")
     windows = sorted({w for w in DASHBOARD_WINDOWS if w <= days} | {days})
     windows = [w for w in windows if w > 0]
     for w in windows:
-        snapshot_payload(observations, certificates, findings, daily, as_of, w, settings).write.mode(
-            "append").parquet(f"{root}/dashboard_snapshots")
+        snapshot_payload(observations, certificates, findings, daily, as_of, w, settings).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("days").parquet(f"{root}/dashboard_snapshots")
     return windows
 
 

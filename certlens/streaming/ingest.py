@@ -33,6 +33,7 @@ from certlens.operators import signals as Sg
 from certlens.operators.certfeatures import attach_name_features
 from certlens.operators.latest import dedupe_batch, latest_versions
 from certlens.operators.observations import observation_fanout
+from certlens.operators.refresh import record_touched
 from certlens.session import shared_path
 from certlens.sources import psl
 from certlens.streaming.jobs import file_stream, run_batches
@@ -122,6 +123,7 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
     by_day = obs.withColumn("seen_day", F.to_date("seen_at"))
     by_day.write.mode("overwrite").partitionBy("seen_day").parquet(f"{root}/observations/batch_id={batch_id}")
     findings.write.mode("overwrite").parquet(f"{root}/cert_findings/batch_id={batch_id}")
+    record_touched(obs, root, batch_id)
     scored.unpersist()
     batch.unpersist()
 
