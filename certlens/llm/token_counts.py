@@ -7,14 +7,16 @@ so a text's count is the sum of its pre-tokens' lengths.
   most ``TABLE`` entries of at most ``LONGEST`` characters. It is filled from a
   random sample of about ``WARM`` documents; it is a cache only, so the counts
   are the same whatever it holds.
-* Second tier: a cache in each Python worker. What neither tier has is encoded
-  by the tokenizer, once per batch; the cache starts anew at ``CACHE`` entries.
+* Second tier: a cache in each Python worker process, kept from task to task. What
+  neither tier has is encoded by the tokenizer, ``SLICE`` pre-tokens at a time, also
+  inside one long text; the cache starts anew when it holds ``CACHE`` bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,14 @@ from certlens.llm.shared import free_name
 TABLE = 1 << 16
 LONGEST = 32
 WARM = 2048
-CACHE = 400_000
+#: Bytes of cached pre-tokens, each counted with ``ENTRY`` bytes of its own; longer ones
+#: than ``CACHED`` characters are not cached.
+CACHE = 32 << 20
+ENTRY = 120
+CACHED = 256
+#: Pre-tokens that are looked up and encoded together; longer texts are found in slices.
+SLICE = 4096
+LONG_TEXT = 1 << 16
 ROWS = 256
 LIMIT = 512
 #: Fixed value: the pre-token pattern that the byte-level tokenizers state.
@@ -43,14 +52,19 @@ class Counter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.find = regex.compile(PRE_TOKEN).findall
+        self.match = regex.compile(PRE_TOKEN).finditer
         #: strings that the library takes for one token wherever they stand in a text
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.frequent: dict[str, int] = dict(zip(table[0].split("\0"), table[1].tolist())) if table else {}
         self.cache: dict[str, int] = {}
+        self.held = 0
 
     def lengths(self, pieces: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        out: list[int] = []
+        for i in range(0, len(pieces), SLICE):
+            out.extend(len(x.ids) for x in self.tokenizer.encode_batch(pieces[i : i + SLICE], add_special_tokens=False))
+        return out
 
     def split(self, text: str) -> tuple[list[str], int]:
         """Pre-tokens, and how many special strings stand between them."""
@@ -59,21 +73,58 @@ class Counter:
         parts = self.cut.split(text)
         return list(chain.from_iterable(map(self.find, parts))), len(parts) - 1
 
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text without special strings, a long one's in slices."""
+        if len(text) <= LONG_TEXT:
+            yield self.find(text)
+            return
+        found = (m.group() for m in self.match(text))
+        while some := list(islice(found, SLICE)):
+            yield some
+
+    def _encode(self, waiting: list[tuple[int, str]], totals: list[int]) -> None:
+        """Add the lengths of (row, pre-token) pairs that neither tier has."""
+        new = list({p for _, p in waiting})
+        lengths = dict(zip(new, self.lengths(new)))
+        for row, piece in waiting:
+            totals[row] += lengths[piece]
+        if self.held > CACHE:
+            self.cache, self.held = {}, 0
+        short = {p: n for p, n in lengths.items() if len(p) <= CACHED}
+        self.cache.update(short)
+        self.held += sum(map(len, short)) + ENTRY * len(short)
+        waiting.clear()
+
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.cache) > CACHE:
-            self.cache = {}
-        cache, frequent = self.cache, self.frequent
-        rows, missing = [], set()
-        for text in texts:
-            pieces, extra = self.split(text)
-            known = list(map(frequent.get, pieces))
-            left = [p for p, n in zip(pieces, known) if n is None]
-            missing.update(p for p in left if p not in cache)
-            rows.append((extra + sum(n for n in known if n is not None), left))
-        if missing:
-            new = list(missing)
-            cache.update(zip(new, self.lengths(new)))
-        return [n + sum(map(cache.__getitem__, left)) for n, left in rows]
+        totals = [0] * len(texts)
+        waiting: list[tuple[int, str]] = []
+        for row, text in enumerate(texts):
+            parts = [text]
+            if self.cut is not None and self.cut.search(text):
+                parts = self.cut.split(text)
+                totals[row] += len(parts) - 1
+            for pieces in chain.from_iterable(map(self.pieces, parts)):
+                known = list(map(self.frequent.get, pieces))
+                left = [p for p, n in zip(pieces, known) if n is None]
+                cached = list(map(self.cache.get, left))
+                totals[row] += sum(n for n in known if n is not None) + sum(n for n in cached if n is not None)
+                waiting.extend((row, p) for p, n in zip(left, cached) if n is None)
+                if len(waiting) >= SLICE:
+                    self._encode(waiting, totals)
+        if waiting:
+            self._encode(waiting, totals)
+        return totals
+
+
+_WORKER: dict[str, Counter] = {}
+
+
+def worker_counter(name: str, path: str, table) -> Counter:
+    """The counter of this worker process for one query: made by the first task."""
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = Counter(path, table.value if table is not None else None)
+    return _WORKER[name]
 
 
 def frequent_lengths(docs: DataFrame, text: str, path: str) -> tuple[str, np.ndarray] | None:
@@ -82,9 +133,11 @@ def frequent_lengths(docs: DataFrame, text: str, path: str) -> tuple[str, np.nda
     if not rows:
         return None
 
+    sample = uuid.uuid4().hex
+
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter as Tally
-        own = Counter(path)
+        own = worker_counter(sample, path, None)
         for batch in batches:
             tally = Tally(p for t in batch.column(0).to_pylist() for p in own.split(t)[0] if len(p) <= LONGEST and "\0" not in p)
             yield pa.RecordBatch.from_arrays([pa.array(tally.keys(), pa.string()), pa.array(tally.values(), pa.int64())], names=["piece", "n"])
@@ -109,8 +162,10 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", limit
     for name, kind in zip(names, ("long", "long", "boolean")):
         schema = schema.withColumn(name, F.lit(None).cast(kind))
 
+    query = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_path, table.value)
+        counter = worker_counter(query, tokenizer_path, table)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)

@@ -44,6 +44,18 @@ def test_the_cache_starts_anew(monkeypatch):
     assert len(own.cache) < 12
 
 
+def test_long_texts_go_in_slices(monkeypatch):
+    monkeypatch.setattr(token_counts, "SLICE", 7)
+    monkeypatch.setattr(token_counts, "LONG_TEXT", 50)
+    own = token_counts.Counter(PATH)
+    sizes = []
+    whole = own.tokenizer.encode_batch
+    own.tokenizer = type("T", (), {"encode_batch": staticmethod(lambda x, **k: sizes.append(len(x)) or whole(x, **k))})
+    texts = [" ".join(f"word{i} it's {i}" for i in range(200)), "x" * 400, "a<|endoftext|>" * 30 + "  \n\n  b", "short", ""]
+    assert own.count(texts) == [expected(t) for t in texts]
+    assert max(sizes) <= 7 and not any(len(p) > token_counts.CACHED for p in own.cache)
+
+
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter(F.length("text") < 4000)
     got = token_counts.count_tokens(docs.select("text"), PATH).collect()
