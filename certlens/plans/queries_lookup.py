@@ -9,7 +9,9 @@ from certlens.catalog import AS_OF, LIMIT, RANGE, ROLLUP_DAYS, TRAILING_DAYS, re
 from certlens.functions.timewin import Span
 from certlens.plans import anomalies as H
 from certlens.plans import search as I
+from certlens.plans import search_index as Tg
 from certlens.sources import adapters as A
+from certlens.sources import store
 
 DETAIL_CERT = "cert-42"
 ACTIVITY_DOMAIN = "site7.example"
@@ -192,6 +194,42 @@ for _name, (_filters, _where) in SEARCHES.items():
     _search_query(_name, _filters, _where)
 
 
+# The "contains" searches again, through the trigram index; a needle of two letters and
+# all four fields together besides.
+INDEXED = {
+    **{name.replace("search_", "search_index_"): SEARCHES[name] for name in ("search_subject_cn", "search_issuer", "search_eku", "search_finding_code_contains")},
+    "search_index_short": (I.SearchFilters(issuer_contains="EH"), "position('eh' IN lower(c.issuer_dn)) > 0"),
+    "search_index_all": (
+        I.SearchFilters(subject_cn_contains="omer#0000", issuer_contains="=", eku_contains="server", finding_code_contains="SAN_", has_wildcard=False),
+        "position('omer#0000' IN lower(c.subject_cn)) > 0 AND position('=' IN lower(c.issuer_dn)) > 0 AND c.has_wildcard = 0 AND "
+        "len(list_filter(c.eku, lambda e: position('server' IN lower(e)) > 0)) > 0 AND "
+        "c.cert_hash IN (SELECT cert_hash FROM cert_findings WHERE position('san_' IN lower(finding_code)) > 0)"),
+}
+
+
+def search_index(spark, d) -> str:
+    """The index of the given tables, written on first use."""
+    root = f"{store.ensure_tables(spark, d)}/search-index"
+    if root not in _BUILT:
+        t = A.tables(spark, d)
+        _BUILT.add(Tg.build_index(t.certificates, t.findings, root))
+    return root
+
+
+_BUILT: set[str] = set()
+
+
+def _indexed_query(name: str, filters: I.SearchFilters, where: str):
+    def run(spark, d):
+        t = A.tables(spark, d)
+        return Tg.search_indexed(search_index(spark, d), t.observations, t.certificates, t.findings, Span.trailing(AS_OF, ROLLUP_DAYS), SEARCH_LIMIT, filters)
+    register(name, "I2", _search_sql(where))(run)
+
+
+for _name, (_filters, _where) in INDEXED.items():
+    _indexed_query(_name, _filters, _where)
+
+
 @register("domain_activity", "I3", f"""
 , o AS (SELECT DISTINCT seen_at, cert_hash FROM observations
         WHERE registered_domain = '{ACTIVITY_DOMAIN}' AND {O.trailing('seen_at', TRAILING_DAYS)}),
