@@ -220,6 +220,6 @@ def keep_identified(docs: DataFrame, text: str = "text", declared: str = "lang",
     model = fit_text_model(docs, text, declared)
     key = row_key(text, declared, host)
     rows = docs.select(F.col(text).alias("text"), F.col(declared).alias("declared"), F.col(host).alias("host"), key.alias("key"))
-    refused = keep(identify(rows, model).filter(~F.col("accepted")).select(F.col("key").alias("_refused")).distinct(), "lang-refused")
-    at = free_name(docs, "row_key")
-    return docs.withColumn(at, key).join(side(refused), F.col(at) == F.col("_refused"), "left_anti").drop(at)
+    at, gone = free_name(docs, "row_key"), free_name(docs, "refused_key")
+    refused = keep(identify(rows, model).filter(~F.col("accepted")).select(F.col("key").alias(gone)).distinct(), "lang-refused")
+    return docs.withColumn(at, key).join(side(refused), F.col(at) == F.col(gone), "left_anti").drop(at)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from certlens.llm import sketch, words
 from certlens.llm.components import contract
 from certlens.llm.components import roots as roots_of
-from certlens.llm.shared import BROADCAST_ROWS, keep, side
+from certlens.llm.shared import free_name, BROADCAST_ROWS, keep, side
 
 N = 5
 #: Similarity as a fraction: intersection * DEN >= NUM * union.
@@ -294,8 +294,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_word
     gone = keep(chosen.filter(~F.col("stays")).select("doc_id", "at"), "jaccard-gone")
     repeated = keep(chosen.filter(F.col("stays") & (F.col("times") > 1)).select("doc_id", "at"), "jaccard-repeated")
 
+    of_id, of_text = free_name(docs, "jaccard_id"), free_name(docs, "jaccard_text")
+
     def matches(df: DataFrame, how: str, left: DataFrame) -> DataFrame:
-        return left.join(side(df.select(F.col("doc_id").alias("_doc_id"), F.col("at").alias("_at"))), left[doc_id].eqNullSafe(F.col("_doc_id")) & (F.xxhash64(left[text]) == F.col("_at")), how)
+        keys = side(df.select(F.col("doc_id").alias(of_id), F.col("at").alias(of_text)))
+        return left.join(keys, left[doc_id].eqNullSafe(F.col(of_id)) & (F.xxhash64(left[text]) == F.col(of_text)), how)
 
     once = matches(repeated, "left_semi", docs).dropDuplicates([doc_id, text])
     return matches(gone.union(repeated), "left_anti", docs).unionByName(once)

@@ -225,7 +225,7 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     Null and empty texts stay. Repeated texts are searched once and get the same
     result. An empty table stays empty. New helper columns avoid the names that
     ``docs`` has."""
-    at = free_name(docs, "pii_key")
+    at, of_text, news_of = (free_name(docs, x) for x in ("pii_key", "pii_text", "pii_news"))
     names = [F.col(c) for c in docs.columns]
     body = F.col(text)
     maybe = F.coalesce(body.rlike(MAYBE), F.lit(False))
@@ -243,12 +243,12 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     each = each.select("k", "i", "entity", "kind", entity_core(F.col("kind"), F.col("entity")).alias("core"), gender.alias("gender"))
     given = assign_surrogates(each.select("kind", "core", "gender"), key)
     put = each.join(given, ["kind", "core"]).select("k", "i", _formatted(F.col("kind"), F.col("entity"), F.col("new")).alias("new"))
-    news = put.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias("pii_news"))
-    joined = keyed.join(news, F.col(at) == F.col("k"), "left")
+    news = put.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias(news_of))
+    joined = keyed.join(news.withColumnRenamed("k", of_text), F.col(at) == F.col(of_text), "left")
     pieces = F.split(body, ENTITY, -1)
-    changed = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(F.col("pii_news"), (i + 1).cast("int")), F.lit("")))), "")
-    new_text = F.when(F.col("pii_news").isNull(), body).otherwise(changed)
-    n = F.coalesce(F.size("pii_news"), F.lit(0)).cast("long")
+    changed = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(F.col(news_of), (i + 1).cast("int")), F.lit("")))), "")
+    new_text = F.when(F.col(news_of).isNull(), body).otherwise(changed)
+    n = F.coalesce(F.size(news_of), F.lit(0)).cast("long")
 
     def columns(text_col: Column, n_col: Column, changes: Column) -> list[Column]:
         out = []
@@ -261,5 +261,5 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, count: str
                 out.append(col)
         return out + ([n_col.alias(count)] if count else [])
 
-    with_hits = joined.select(*columns(new_text, F.when(F.col("pii_news").isNull(), F.lit(0)).otherwise(n).cast("long"), F.col("pii_news").isNotNull()))
+    with_hits = joined.select(*columns(new_text, F.when(F.col(news_of).isNull(), F.lit(0)).otherwise(n).cast("long"), F.col(news_of).isNotNull()))
     return with_hits.unionByName(docs.filter(~maybe).select(*columns(body, F.lit(0).cast("long"), F.lit(False))))
