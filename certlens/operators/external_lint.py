@@ -39,7 +39,8 @@ def external_lint_findings(results: DataFrame, created_at=None, linter_version:
     # Each JSON text is parsed once, in its own projection.
     rooted = results.select("cert_hash", F.from_json(F.col("result_json"), MAP).alias("root"))
     nested = rooted.select("cert_hash", "root", F.from_json(F.col("root").getItem("results"), MAP).alias("nested"))
-    inner = F.when(F.col("root").getItem("results").isNotNull(), F.col("nested")).otherwise(F.col("root"))
+    # a "results" that is null or no object holds nothing; only without the key is the whole object taken
+    inner = F.when(F.map_contains_key("root", "results"), F.col("nested")).otherwise(F.col("root"))
     rows = nested.select("cert_hash", F.explode(inner).alias("lint_name", "raw"))
     # Each result is parsed once into a struct (NULL for a bare status string).
     rows = rows.withColumn("o", F.when(F.ltrim(F.col("raw")).startswith("{"), F.from_json("raw", RESULT)))

@@ -167,14 +167,17 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", value.alias("value"))
 
 
-def der_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def der_messages(spark: SparkSession, sf_dir: str, broken: bool = False) -> DataFrame:
     """Certificate-update messages carrying real DER: one per event, the leaf
     is the certificate encoded from the event's customer row, the chain holds
-    the certificate of customer ``cert_no % 3`` (its key is the issuer key)."""
+    the certificate of customer ``cert_no % 3`` (its key is the issuer key).
+
+    ``broken``: errors' leaves are not base64, signups have none, and clicks with
+    ``k`` divisible by 10 have bytes that are no certificate."""
     from certlens.sources.dersynth import customer_certificates
 
     ders = customer_certificates(read_table(spark, sf_dir, "customer"))
-    e = ev(spark, sf_dir).select("event_id", "ts", "event_type", "cert_no")
+    e = ev(spark, sf_dir).select("event_id", "ts", "event_type", "cert_no", "k", "props")
     # base64 may be MIME-chunked with line breaks; JSON text needs one line.
     b64 = F.regexp_replace(F.base64("der"), r"\s", "")
     leaf = ders.select(F.col("c_custkey").alias("cert_no"), b64.alias("leaf"))
@@ -184,8 +187,12 @@ def der_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     seen = F.concat((micros / 1_000_000).cast("long").cast("string"), F.lit("."),
                     F.lpad((micros % 1_000_000).cast("string"), 6, "0"))
+    text = F.col("leaf")
+    if broken:
+        text = (F.when(F.col("event_type") == "error", "%%%").when(F.col("event_type") == "signup", "")
+                .when((F.col("event_type") == "click") & (F.col("k") % 10 == 0), F.base64(F.col("props").cast("binary"))).otherwise(text))
     value = F.concat(F.lit('{"message_type": "certificate_update", "data": {"leaf_cert": {"as_der": "'),
-                     F.col("leaf"), F.lit('"}, "chain": [{"as_der": "'), F.col("chain"),
+                     text, F.lit('"}, "chain": [{"as_der": "'), F.col("chain"),
                      F.lit('"}], "seen": '), seen, F.lit(', "source": {"name": "'), F.col("event_type"),
                      F.lit('"}}}'))
     return j.select("event_id", value.alias("value"))

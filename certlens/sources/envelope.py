@@ -11,7 +11,7 @@ base64 goes to the quarantine side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,8 +39,11 @@ def _b64(text: Column) -> Column:
     return F.when(clean.rlike(r"^[A-Za-z0-9+/]*={0,2}$"), F.unbase64(clean))
 
 
-def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
-    """-> (message columns) + leaf_der, chain_der, seen_at, log_id, cert_hash, error."""
+def parse_messages(raw: DataFrame, value_col: str = "value", counters: Observation | None = None) -> DataFrame:
+    """-> (message columns) + leaf_der, chain_der, seen_at, log_id, cert_hash, error.
+
+    ``counters`` observes the certificate updates as they pass: received_events, those
+    without a leaf (no_leaf), and those that are not valid base64 (undecodable)."""
     m = F.from_json(F.col(value_col), MESSAGE_SCHEMA)
     df = raw.select("*", m.alias("m")).filter(F.col("m.message_type") == "certificate_update")
     leaf_text = _first_der(F.col("m.data.leaf_cert"))
@@ -55,22 +58,15 @@ def parse_messages(raw: DataFrame, value_col: str = "value") -> DataFrame:
         F.coalesce(F.timestamp_seconds(seen), F.current_timestamp()).alias("seen_at"),
         F.coalesce(F.when(src["name"] != "", src["name"]), F.when(src["url"] != "", src["url"]),
                    F.lit("certstream")).alias("log_id"),
-    ).filter(F.col("leaf_b64").isNotNull())
-    return (out.withColumn("cert_hash", F.sha2("leaf_der", 256))
-            .withColumn("error", F.when(F.col("leaf_der").isNull(), F.lit("invalid base64 leaf")).when(
-                F.exists("chain_der", lambda x: x.isNull()), F.lit("invalid base64 chain")))
-            .drop("m"))
+    ).withColumn("error", F.when(F.col("leaf_der").isNull(), F.lit("invalid base64 leaf")).when(
+        F.exists("chain_der", lambda x: x.isNull()), F.lit("invalid base64 chain")))
+    if counters is not None:
+        leaf = F.col("leaf_b64").isNotNull()
+        out = out.observe(counters, F.count(F.lit(1)).alias("received_events"), F.count(F.when(~leaf, 1)).alias("no_leaf"),
+                          F.count(F.when(leaf & F.col("error").isNotNull(), 1)).alias("undecodable"))
+    return out.filter(F.col("leaf_b64").isNotNull()).withColumn("cert_hash", F.sha2("leaf_der", 256)).drop("m")
 
 
 def split_quarantine(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good, quarantined) by the ``error`` column."""
     return parsed.filter(F.col("error").isNull()), parsed.filter(F.col("error").isNotNull())
-
-
-def ingest_counters(parsed_all: DataFrame, matched: Column) -> DataFrame:
-    """A16 batch counters: received / matched / filtered / errors."""
-    return parsed_all.agg(
-        F.count("*").alias("received_events"),
-        F.count(F.when(F.col("error").isNull() & matched, 1)).alias("matched_events"),
-        F.count(F.when(F.col("error").isNull() & ~matched, 1)).alias("filtered_events"),
-        F.count(F.when(F.col("error").isNotNull(), 1)).alias("processing_errors"))

@@ -20,7 +20,7 @@ import uuid
 from datetime import timedelta
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from certlens.config import DEFAULT, IssuerMatching, Settings
@@ -87,7 +87,9 @@ def stored_baselines(spark: SparkSession, root: str, batch_id: int, as_of, setti
 
 
 def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int,
-                 settings: Settings = DEFAULT, *, rules: list[str]) -> None:
+                 settings: Settings = DEFAULT, *, rules: list[str]) -> dict[str, int]:
+    """Steps 1 to 4 for one batch; returns the rows written to each table, which are
+    observed while they are written."""
     t = settings.thresholds
     rules_df = psl.rules_frame(spark, rules)
     # The micro-batch feeds three outputs: persist it (and the scored rows)
@@ -98,7 +100,7 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
     as_of = batch.agg(F.max("last_seen").cast("string")).first()[0]
     if as_of is None:
         batch.unpersist()
-        return
+        return {}
     events = batch.select(F.col("ingest_seq").alias("event_id"), F.col("last_seen").alias("seen_at"), "cert_hash",
                           "issuer_key", F.coalesce(F.col("log_id") if "log_id" in batch.columns else F.lit(None),
                                                    F.lit("ct-log")).alias("log_id"), "dns_names")
@@ -119,28 +121,33 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
     findings = Ln.lint_findings(scored, as_of, settings).unionByName(Sg.anomaly_finding(scored, as_of))
     stored_certs = scored.select(*[c for c in batch.columns if c != "log_id" and c != "anomaly_score"],
                                  "anomaly_score")
-    stored_certs.write.mode("overwrite").parquet(f"{root}/certificates/batch_id={batch_id}")
     by_day = obs.withColumn("seen_day", F.to_date("seen_at"))
-    by_day.write.mode("overwrite").partitionBy("seen_day").parquet(f"{root}/observations/batch_id={batch_id}")
-    findings.write.mode("overwrite").parquet(f"{root}/cert_findings/batch_id={batch_id}")
+    flushed = {}
+    for name, rows, folders in (("certificates", stored_certs, []), ("observations", by_day, ["seen_day"]), ("findings", findings, [])):
+        count = Observation()
+        table = "cert_findings" if name == "findings" else name
+        rows.observe(count, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy(*folders).parquet(f"{root}/{table}/batch_id={batch_id}")
+        flushed[name] = count.get["n"]
     record_touched(obs, root, batch_id)
     scored.unpersist()
     batch.unpersist()
+    return flushed
 
 
-def events_from_messages(spark: SparkSession, messages: DataFrame, known_versions: DataFrame | None,
-                         matching: IssuerMatching = IssuerMatching()) -> tuple[DataFrame, DataFrame]:
+def events_from_messages(spark: SparkSession, messages: DataFrame, known_versions: DataFrame | None, matching: IssuerMatching = IssuerMatching(),
+                         counters: tuple[Observation, Observation] | None = None) -> tuple[DataFrame, DataFrame]:
     """Raw messages -> (certificate version rows with log_id, quarantine).
 
     A1-A5 envelope, A8 features parsed once per distinct certificate not yet
     known (known ones reuse their stored features), A7 issuer SPKI hash from
     the first chain certificate (distinct values only), A9 issuer-family
-    filter, A10 issuer key."""
+    filter, A10 issuer key. ``counters`` observe the events (A16): as messages, and
+    where the issuer filter decides (matched_events, others, unparsable)."""
     from certlens.operators.features import extract_features
     from certlens.operators.issuers import issuer_key, issuer_matches
     from certlens.sources.envelope import parse_messages, split_quarantine
 
-    good, bad_msgs = split_quarantine(parse_messages(messages))
+    good, bad_msgs = split_quarantine(parse_messages(messages, counters=counters[0] if counters else None))
     events = good.select("seen_at", "log_id", "cert_hash", F.col("leaf_der").alias("der"),
                          F.element_at(F.col("chain_der"), 1).alias("chain0"))
     known = None
@@ -151,10 +158,13 @@ def events_from_messages(spark: SparkSession, messages: DataFrame, known_version
     feats = new_feats if known is None else new_feats.unionByName(known.select(*new_feats.columns))
     chains = events.select("chain0").where(F.col("chain0").isNotNull()).distinct()
     spki = chains.select("chain0", spki_hash_udf("chain0").alias("issuer_spki_hash"))
-    rows = (events.join(spki, "chain0", "left").join(feats, "cert_hash")
-            .withColumn("issuer_key", issuer_key())
-            .filter(issuer_matches(matching)))
-    rows = rows.select(
+    rows = events.join(spki, "chain0", "left").join(feats.withColumn("parsed", F.lit(True)), "cert_hash", "left")
+    parsed, matches = F.coalesce("parsed", F.lit(False)), F.coalesce(issuer_matches(matching), F.lit(False))
+    rows = rows.withColumn("issuer_key", issuer_key()).withColumn("matches", parsed & matches)
+    if counters:
+        rows = rows.observe(counters[1], F.count(F.when(F.col("matches"), 1)).alias("matched_events"), F.count(F.when(parsed & ~F.col("matches"), 1)).alias("others"),
+                            F.count(F.when(~parsed, 1)).alias("unparsable"))
+    rows = rows.filter("matches").select(
         *[c for c in new_feats.columns], "issuer_spki_hash", "issuer_key", "log_id",
         F.col("seen_at").alias("first_seen"), F.col("seen_at").alias("last_seen"),
         F.lit(0).alias("anomaly_score"),
@@ -163,17 +173,19 @@ def events_from_messages(spark: SparkSession, messages: DataFrame, known_version
     return rows, quarantine
 
 
-def write_counters(messages: DataFrame, path: str) -> None:
-    """Per-batch counters (received, certificate updates, parse errors),
-    one small row per micro-batch."""
-    from certlens.sources.envelope import MESSAGE_SCHEMA
+COUNTERS = ("received_events", "processed_events", "matched_events", "filtered_events", "processing_errors",
+            "flushed_certificates", "flushed_observations", "flushed_findings")
 
-    m = F.from_json(F.col("value"), MESSAGE_SCHEMA)
-    parsed = messages.select(m["message_type"].alias("t"))
-    (parsed.agg(F.count("*").alias("received_events"),
-                F.count(F.when(F.col("t") == "certificate_update", 1)).alias("certificate_updates"),
-                F.count(F.when(F.col("t").isNull(), 1)).alias("unparsable_messages"))
-     .write.mode("overwrite").parquet(path))
+
+def batch_counters(messages: dict, events: dict, flushed: dict) -> dict[str, int]:
+    """One batch's counters from what was observed as its rows passed. An event
+    without a leaf or of another issuer family is filtered; one that can't be decoded or
+    parsed is an error; the others match."""
+    errors = messages["undecodable"] + events["unparsable"]
+    filtered = messages["no_leaf"] + events["others"]
+    return {"received_events": messages["received_events"], "processed_events": messages["received_events"] - errors,
+            "matched_events": events["matched_events"], "filtered_events": filtered, "processing_errors": errors,
+            **{f"flushed_{name}": flushed.get(name, 0) for name in ("certificates", "observations", "findings")}}
 
 
 def run_message_ingest(spark: SparkSession, source_dir: str, root: str | None = None,
@@ -187,10 +199,13 @@ def run_message_ingest(spark: SparkSession, source_dir: str, root: str | None =
     def handle(batch: DataFrame, batch_id: int) -> None:
         known = prior(spark, root, "certificates", batch_id)
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        rows, quarantine = events_from_messages(spark, batch, known, match)
+        seen = Observation(), Observation()
+        rows, quarantine = events_from_messages(spark, batch, known, match, seen)
+        flushed = enrich_batch(spark, rows, root, batch_id, settings, rules=rules)
         quarantine.write.mode("overwrite").parquet(f"{root}/quarantine/batch_id={batch_id}")
-        write_counters(batch, f"{root}/counters/batch_id={batch_id}")
-        enrich_batch(spark, rows, root, batch_id, settings, rules=rules)
+        counted = batch_counters(seen[0].get, seen[1].get, flushed)
+        row = spark.createDataFrame([tuple(counted[c] for c in COUNTERS)], ", ".join(f"{c} long" for c in COUNTERS))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{root}/counters/batch_id={batch_id}")
         batch.unpersist()
 
     run_batches(file_stream(spark, source_dir, max_files), handle, os.path.join(root, "_checkpoint"),

@@ -25,3 +25,9 @@ def test_field_extraction(spark):
     assert rows["ZLINT_W_BARE"]["severity"] == "low"
     assert json.loads(rows["ZLINT_I_STATUS_FORM"]["evidence_json"])["details"] == "d"
     assert json.loads(rows["ZLINT_W_BARE"]["evidence_json"])["source"] is None
+
+
+def test_results_that_are_null_or_missing(spark):
+    texts = ['{"results": null, "e_outer": "error"}', '{"results": {}, "e_outer": "error"}', '{"results": "x", "e_outer": "error"}', '{"e_plain": "error"}', "not json", None]
+    df = spark.createDataFrame([(f"h{i}", t) for i, t in enumerate(texts)], "cert_hash string, result_json string")
+    assert [(r.cert_hash, r.finding_code) for r in external_lint_findings(df, "2024-01-31 00:00:00").collect()] == [("h3", "ZLINT_E_PLAIN")]

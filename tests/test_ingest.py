@@ -105,3 +105,17 @@ def test_retention_and_compaction_take_effect_for_readers(spark):
     assert maintenance.drop_expired_days(spark, root, "2024-01-31 00:00:00", 10)
     left = {str(r[0]) for r in spark.read.parquet(f"{root}/observations").select("seen_day").distinct().collect()}
     assert left == {d for d in days if d >= "2024-01-21"} and left != days
+
+
+def test_counters_of_replayed_and_empty_batches(spark):
+    """Counted as the rows pass; a replayed batch overwrites its counters; a batch whose
+    events are all filtered flushes nothing."""
+    from certlens.config import IssuerMatching
+    from certlens.sources import adapters as A
+
+    src = shared_path(spark, f"counted-{uuid.uuid4().hex[:8]}")
+    A.der_messages(spark, SMOKE, broken=True).limit(60).coalesce(1).write.parquet(src)
+    none = Ig.run_message_ingest(spark, src, matching=IssuerMatching(match_mode="issuer_dn", issuer_substrings=("no such issuer",)), rules=psl.FIXTURE_RULES)
+    got = spark.read.parquet(f"{none}/counters").first()
+    assert got.received_events == 60 and got.matched_events == got.flushed_observations == got.flushed_findings == 0
+    assert got.filtered_events + got.processing_errors == 60 and got.processing_errors > 0
