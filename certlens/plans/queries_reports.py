@@ -12,6 +12,7 @@ from certlens.operators import baseline as B
 from certlens.operators import rollups as R
 from certlens.plans import reports as G
 from certlens.sources import adapters as A
+from certlens.sources import store
 
 _AS = O.AS_OF
 _ROLLUP_START = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -44,6 +45,13 @@ def issuer_daily_rollup(spark, d):
     return _daily(spark, d)
 
 
+@register("issuer_daily_rollup_colocated", "E1", DAILY_SQL)
+def issuer_daily_rollup_colocated(spark, d):
+    """F5 over tables bucketed by cert_hash: no shuffle below the join."""
+    obs, certs = store.bucketed(spark, d)
+    return R.daily_issuer_stats(obs, certs, R.refresh_span(AS_OF, ROLLUP_DAYS), AS_OF)
+
+
 @register("issuer_sigalg_rollup", "F6", f"""
 SELECT CAST(o.seen_at AS DATE) AS day, o.issuer_key, c.sig_alg, CAST(count(*) AS BIGINT) AS count,
        {_AS} AS updated_at

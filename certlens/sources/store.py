@@ -24,6 +24,11 @@ from pyspark.sql.types import StructType
 from certlens.operators.latest import latest_versions
 from certlens.session import shared_path, ship_package
 
+#: Options for tables that are looked up by cert_hash but not sorted by it: a Bloom filter
+#: in each row group's footer. The column's values hardly repeat inside a row group, so
+#: they get no dictionary (a column with one gets no filter).
+BLOOM_CERT = {"parquet.bloom.filter.enabled#cert_hash": "true", "parquet.enable.dictionary#cert_hash": "false"}
+
 _LOCK = threading.Lock()
 _DONE: dict[tuple[str, str], str] = {}
 _SCHEMAS: dict[str, StructType] = {}
@@ -42,9 +47,9 @@ def write_tables(spark: SparkSession, sf_dir: str, root: str) -> None:
     # size into several tasks and files. Inside files: sorted like the original sort key (domain, time, cert) so
     # the Parquet min/max statistics let domain filters skip row groups.
     (obs.hint("rebalance", F.col("seen_day")).sortWithinPartitions("seen_day", "registered_domain", "seen_at", "cert_hash")
-     .write.mode("overwrite").partitionBy("seen_day").parquet(f"{root}/observations"))
+     .write.options(**BLOOM_CERT).mode("overwrite").partitionBy("seen_day").parquet(f"{root}/observations"))
     versions = A.derive_certificate_versions(spark, sf_dir, full_schema=True)
-    versions.write.mode("overwrite").parquet(f"{root}/certificate_versions")
+    versions.write.options(**BLOOM_CERT).mode("overwrite").parquet(f"{root}/certificate_versions")
     stored_versions = spark.read.parquet(f"{root}/certificate_versions")
     # Ranges of cert_hash, sorted: a look-up by cert_hash reads one row group.
     (latest_versions(stored_versions).repartitionByRange("cert_hash").sortWithinPartitions("cert_hash")
@@ -75,3 +80,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if path not in _SCHEMAS:
         _SCHEMAS[path] = spark.read.parquet(path).schema
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+#: Buckets of the co-located tables; about one per 256 MB of observations.
+BUCKETS = 8
+
+
+def bucketed(spark: SparkSession, sf_dir: str, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """Observations and latest certificates bucketed and sorted by cert_hash (E1), written
+    on first use: joins and groupings that have the certificate among their keys need no
+    shuffle. Both must have the same number of buckets."""
+    root = ensure_tables(spark, sf_dir)
+    tag = f"{root.rsplit('-', 1)[1]}_{buckets}"
+    found = []
+    for name in ("observations", "certificates"):
+        table = f"{name}_by_cert_{tag}"
+        with _LOCK:
+            if not spark.catalog.tableExists(table):
+                # dealt by the buckets' own hash, so each bucket is one file
+                rows = spark.read.parquet(f"{root}/{name}").repartition(buckets, "cert_hash")
+                (rows.write.bucketBy(buckets, "cert_hash").sortBy("cert_hash").option("path", f"{root}/{table}")
+                 .mode("overwrite").saveAsTable(table))
+        found.append(spark.table(table))
+    return found[0], found[1]

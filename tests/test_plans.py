@@ -67,3 +67,49 @@ def test_scoring_plan_is_built_without_a_job(spark):
     E.queries()["anomaly_score"](spark, SMOKE)
     assert not tracker.getJobIdsForGroup("scoring-plan")
     spark.sparkContext.setJobGroup("other", "other")
+
+
+def test_colocated_rollup_has_no_exchange_below_the_join(spark):
+    plan = E.queries()["issuer_daily_rollup_colocated"](spark, SMOKE)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    join = next(i for i, line in enumerate(lines) if "Join " in line)
+    assert "SortMergeJoin [cert_hash" in lines[join] or "BroadcastHashJoin" in lines[join]
+    below = "\n".join(lines[join + 1:])
+    assert "Exchange" not in below.replace("BroadcastExchange", "") and "Bucketed: true" in below
+
+
+def _row_groups(spark, path, cert):
+    """Row groups of the files of ``path`` in all, and those that their Bloom filters
+    leave for a certificate."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = [s.getPath() for s in place.getFileSystem(conf).globStatus(place)]
+    column = jvm.org.apache.parquet.filter2.predicate.FilterApi.binaryColumn("cert_hash")
+    wanted = jvm.org.apache.parquet.filter2.predicate.FilterApi.eq(column, jvm.org.apache.parquet.io.api.Binary.fromString(cert))
+    options = (jvm.org.apache.parquet.HadoopReadOptions.builder(conf).useStatsFilter(False).useDictionaryFilter(False).useBloomFilter(True)
+               .withRecordFilter(jvm.org.apache.parquet.filter2.compat.FilterCompat.get(wanted)).build())
+    whole = left = filters = 0
+    for f in files:
+        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(f, conf)
+        every = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+        whole += every.getRowGroups().size()
+        for block in every.getFooter().getBlocks():
+            filters += sum(c.getBloomFilterOffset() > 0 for c in block.getColumns() if c.getPath().toDotString() == "cert_hash")
+        every.close()
+        some = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source, options)
+        left += some.getRowGroups().size()
+        some.close()
+    return whole, left, filters
+
+
+def test_bloom_filters_leave_few_row_groups(spark):
+    from certlens.sources import store
+
+    root = store.ensure_tables(spark, SMOKE)
+    rows = store.read(spark, SMOKE, "observations").filter("cert_hash = 'cert-42'")
+    days = {r.seen_day for r in rows.select("seen_day").collect()}
+    whole, left, filters = _row_groups(spark, f"{root}/observations/seen_day=*/*.parquet", "cert-42")
+    assert filters == whole >= 30 and len(days) <= left <= len(days) + 3 < whole
+    assert _row_groups(spark, f"{root}/observations/seen_day=*/*.parquet", "no such certificate")[1] <= 2
+    whole, left, filters = _row_groups(spark, f"{root}/certificate_versions/*.parquet", "no such certificate")
+    assert filters == whole > 0 and left == 0
