@@ -55,6 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     p = sub.add_parser("query-anomalies")
     p.add_argument("--days", type=int, default=14)
     p.add_argument("--limit", type=int, default=50)
+    p.add_argument("--report", action="store_true", help="the counts and the ranking in one row")
     p = sub.add_parser("rescore-anomalies")
     p.add_argument("--days", type=int, default=30)
     p.add_argument("--limit", type=int, default=50_000)
@@ -97,7 +98,14 @@ def main(argv: list[str] | None = None) -> None:
         from certlens.functions.timewin import Span
         from certlens.plans.anomalies import top_anomalies
         t = _tables(spark, root)
-        _print(top_anomalies(t.findings, t.certificates, Span.trailing(as_of, args.days), args.limit))
+        span = Span.trailing(as_of, args.days)
+        if args.report:
+            from certlens.plans.anomalies import anomalies_report
+            from certlens.plans.reports import issuer_stats
+            stats = issuer_stats(spark.read.parquet(f"{root}/issuer_daily_stats"), t.certificates, as_of, args.days)
+            _print(anomalies_report(stats, t.findings, t.certificates, span, args.limit))
+        else:
+            _print(top_anomalies(t.findings, t.certificates, span, args.limit))
     elif args.command == "rescore-anomalies":
         from certlens.plans.rescore import rescore
         from certlens.sources.psl import load_rules

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from certlens.functions.timewin import Span
 from certlens.functions.unicode import with_unicode_names
+from certlens.plans import reports as G
 from certlens.session import materialize
 
 SCORE = "ANOMALY_SCORE"
@@ -84,3 +85,21 @@ def top_anomalies(findings: DataFrame, certificates: DataFrame, span: Span, limi
     if unicode_names:
         out = with_unicode_names(out, "dns_names", "dns_names_unicode", "cert_hash")
     return out
+
+
+def anomalies_report(stats: DataFrame, findings: DataFrame, certificates: DataFrame, span: Span, limit: int, unicode_names: bool = True) -> DataFrame:
+    """One row: aggregated_counts (a struct of the one-row ``stats``) and top_anomalies,
+    the ranking as an array in its order (bounded by ``limit``; empty if there are none)."""
+    top = top_anomalies(findings, certificates, span, limit, unicode_names=unicode_names)
+    order = F.struct((-F.col("anomaly_score")).alias("s"), (-F.unix_micros(F.col("last_seen").cast("timestamp"))).alias("t"), F.col("cert_hash").alias("h"),
+                     F.struct(*top.columns).alias("row"))
+    ranked = top.agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["row"]).alias("top_anomalies"))
+    return G.merge_single_rows(stats.select(F.struct(*stats.columns).alias("aggregated_counts")), ranked)
+
+
+def report_rows(report: DataFrame) -> DataFrame:
+    """A report as rows: position (from 1), the anomaly, and the counts beside each; one
+    row without an anomaly if there is none."""
+    each = report.select("aggregated_counts.*", F.posexplode_outer("top_anomalies").alias("at", "a"))
+    counts = report.schema["aggregated_counts"].dataType.names
+    return each.select((F.col("at") + 1).alias("position"), "a.cert_hash", "a.subject_cn", "a.anomaly_score", "a.finding_severity_counts", *counts)

@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 from certlens import oracle as O
 from certlens.catalog import AS_OF, LIMIT, RANGE, ROLLUP_DAYS, TRAILING_DAYS, register
 from certlens.functions.timewin import Span
+from certlens.operators import rollups as R
+from certlens.operators.rollups import DAILY_COUNTERS
 from certlens.plans import anomalies as H
+from certlens.plans import reports as G
 from certlens.plans import search as I
 from certlens.plans import search_index as Tg
+from certlens.plans.queries_reports import DAILY_SQL
 from certlens.sources import adapters as A
 from certlens.sources import store
 
@@ -92,6 +96,31 @@ _anomaly_query("range")
 _anomaly_query("days", by_cert=True)
 
 
+_SUMS_SQL = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in DAILY_COUNTERS)
+_KINDS_SQL = ", ".join(f"CAST(count(*) FILTER (vt = '{label}') AS BIGINT) AS {name}" for label, name in G.VALIDATION_COUNTS)
+
+
+@register("anomalies_report", "N", f"""
+, rolled AS ({DAILY_SQL}),
+sums AS (SELECT {_SUMS_SQL} FROM rolled WHERE day >= CAST({O.AS_OF} AS DATE) - INTERVAL {TRAILING_DAYS} DAY),
+kinds AS (SELECT {_KINDS_SQL} FROM (SELECT {O.VALIDATION_SQL} AS vt FROM certificates WHERE {O.trailing('last_seen', TRAILING_DAYS)}) x),
+scored AS (SELECT cert_hash, CAST(json_extract_string(arg_max(evidence_json, created_at), '$.anomaly_score') AS BIGINT) AS anomaly_score
+           FROM cert_findings WHERE finding_code = 'ANOMALY_SCORE' AND {O.trailing('created_at', TRAILING_DAYS)} GROUP BY 1),
+best AS (SELECT cert_hash, subject_cn, scored.anomaly_score, row_number() OVER (ORDER BY scored.anomaly_score DESC, last_seen DESC, cert_hash) AS position
+         FROM scored JOIN certificates USING (cert_hash) WHERE scored.anomaly_score > 0 AND {O.trailing('last_seen', TRAILING_DAYS)} QUALIFY position <= {LIMIT}),
+severities AS (SELECT cert_hash, severity, count(*) AS n FROM cert_findings
+               WHERE finding_code <> 'ANOMALY_SCORE' AND {O.trailing('created_at', TRAILING_DAYS)} GROUP BY 1, 2),
+listed AS (SELECT cert_hash, chr(123) || string_agg('"' || severity || '":' || CAST(n AS VARCHAR), ',' ORDER BY severity) || chr(125) AS told FROM severities GROUP BY 1)
+SELECT CAST(position AS INTEGER) AS position, best.cert_hash, subject_cn, anomaly_score, coalesce(told, chr(123) || chr(125)) AS finding_severity_counts, sums.*, kinds.*
+FROM best LEFT JOIN listed USING (cert_hash), sums, kinds
+""")
+def anomalies_report(spark, d):
+    t = A.tables(spark, d)
+    daily = R.daily_issuer_stats(t.observations, t.certificates, R.refresh_span(AS_OF, ROLLUP_DAYS), AS_OF)
+    stats = G.issuer_stats(daily, t.certificates, AS_OF, TRAILING_DAYS)
+    return H.report_rows(H.anomalies_report(stats, t.findings, t.certificates, Span.trailing(AS_OF, TRAILING_DAYS), LIMIT))
+
+
 @register("anomaly_severity_counts", "H5", f"""
 , anomaly AS (
   SELECT cert_hash, evidence_json,

@@ -22,6 +22,8 @@ from certlens.operators.refresh import replace_days
 from certlens.operators.rollups import daily_issuer_stats, daily_sigalg_stats, refresh_span
 from certlens.plans import anomalies as H
 from certlens.plans import reports as G
+from certlens.plans.windows import window_breakdowns, window_profiles
+from certlens.session import materialize
 
 BUCKET_SCHEMA = "struct<issuer:string,days:int,group_by:string,label:string,buckets:array<struct<value:string,count:bigint>>>"
 
@@ -48,13 +50,13 @@ def breakdown_json(top: DataFrame, group_by: str, days: int, issuer: str) -> Dat
         F.lit(BREAKDOWN_LABELS[group_by]).alias("label"), _sorted_buckets().alias("buckets"))).alias("json"))
 
 
-def _profile_json(certs: DataFrame, span: Span, days: int, issuer: str) -> DataFrame:
-    prof = G.issuer_profile(certs, span)
+def _profile_json(profile: DataFrame, tops: DataFrame, days: int, issuer: str) -> DataFrame:
+    """Of a window's one-row profile and its breakdowns (group_by, value, count, rank)."""
     names = {"sig_alg": "top_signature_algorithms", "key_type": "top_key_types", "key_size": "top_key_sizes",
              "eku_set": "top_eku_sets", "validation_type": "top_validation_types"}
-    lists = G.multi_breakdown(certs, span, list(names), 5).groupBy("group_by").agg(_sorted_buckets().alias("b"))
+    lists = tops.filter(F.col("group_by").isin(*names) & (F.col("rank") <= 5)).groupBy("group_by").agg(_sorted_buckets().alias("b"))
     tops = lists.agg(*[F.max(F.when(F.col("group_by") == d, F.col("b"))).alias(n) for d, n in names.items()])
-    row = G.merge_single_rows(prof, tops)
+    row = G.merge_single_rows(profile, tops)
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return row.select(F.to_json(F.struct(
         F.lit(issuer).alias("issuer"), F.lit(days).alias("days"),
@@ -88,26 +90,32 @@ def _anomalies_json(findings: DataFrame, certs: DataFrame, as_of, days: int, lim
                             F.coalesce(body, F.lit("")), F.lit("]}")).alias("json"))
 
 
-def snapshot_payload(observations: DataFrame, certificates: DataFrame, findings: DataFrame,
-                     daily_stats: DataFrame, as_of, days: int, settings: Settings = DEFAULT) -> DataFrame:
-    """One row (days, payload_json, updated_at) for a window of ``days``."""
+CERT_DIMS = [d for d in DASHBOARD_GROUP_BYS if d not in ("finding_code", "severity", "registered_domain")]
+
+
+def window_parts(observations: DataFrame, certificates: DataFrame, findings: DataFrame, as_of, windows: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Breakdowns and profiles of all windows, each from one pass and kept (a few rows
+    a window), for the windows' payloads."""
+    return (materialize(window_breakdowns(observations, certificates, findings, as_of, windows, CERT_DIMS)),
+            materialize(window_profiles(certificates, as_of, windows)))
+
+
+def snapshot_payload(observations: DataFrame, certificates: DataFrame, findings: DataFrame, daily_stats: DataFrame, as_of, days: int,
+                     settings: Settings = DEFAULT, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row (days, payload_json, updated_at) for a window of ``days``; ``parts``
+    of several windows are taken from ``window_parts``."""
     issuer = settings.issuer_label
-    span = Span.trailing(as_of, days)
+    breakdowns, profiles = (p.filter(F.col("days") == days).drop("days") for p in parts or window_parts(observations, certificates, findings, as_of, [days]))
     stats = G.issuer_stats(daily_stats, certificates, as_of, days)
+    codes = breakdowns.filter((F.col("group_by") == "finding_code") & (F.col("rank") <= 5))
     parts = [
         stats.select(F.lit("aggregated_counts").alias("part"), F.to_json(F.struct(*stats.columns)).alias("json")),
-        _profile_json(certificates, span, days, issuer).select(F.lit("profile").alias("part"), "json"),
-        breakdown_json(G.breakdown(observations, certificates, findings, "finding_code", span, 5),
-                       "finding_code", days, issuer).select(F.lit("findings").alias("part"), "json"),
+        _profile_json(profiles, breakdowns, days, issuer).select(F.lit("profile").alias("part"), "json"),
+        breakdown_json(codes, "finding_code", days, issuer).select(F.lit("findings").alias("part"), "json"),
         _anomalies_json(findings, certificates, as_of, min(days, 14), 12, issuer)
         .select(F.lit("anomalies").alias("part"), "json"),
+        breakdowns_json(breakdowns, days, issuer),
     ]
-    cert_dims = [d for d in DASHBOARD_GROUP_BYS if d not in ("finding_code", "severity", "registered_domain")]
-    parts.append(breakdowns_json(G.multi_breakdown(certificates, span, cert_dims, 12), days, issuer))
-    parts.append(breakdowns_json(G.multi_finding_breakdown(findings, span, 12), days, issuer))
-    top = G.breakdown(observations, certificates, findings, "registered_domain", span, 12)
-    parts.append(breakdown_json(top, "registered_domain", days, issuer)
-                 .select(F.lit("b:registered_domain").alias("part"), "json"))
     unioned = reduce(lambda a, b: a.unionByName(b), parts)
     m = F.map_from_entries(F.collect_list(F.struct("part", "json")))
     stamp = as_datetime(as_of).isoformat() + "+00:00"
@@ -134,8 +142,9 @@ def refresh_rollups(spark: SparkSession, observations: DataFrame, certificates:
     daily = spark.read.parquet(f"{root}/issuer_daily_stats")
     windows = sorted({w for w in DASHBOARD_WINDOWS if w <= days} | {days})
     windows = [w for w in windows if w > 0]
+    parts = window_parts(observations, certificates, findings, as_of, windows)
     for w in windows:
-        snapshot_payload(observations, certificates, findings, daily, as_of, w, settings).write.mode("overwrite").option(
+        snapshot_payload(observations, certificates, findings, daily, as_of, w, settings, parts).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("days").parquet(f"{root}/dashboard_snapshots")
     return windows
 
