@@ -103,6 +103,9 @@ BREAKDOWN_LABELS = {
 }
 
 
+# ---- Fixed values: default thresholds, score weights and settings -------------
+# They must equal the original's for equal results; stated plainly, one by one.
+
 @dataclass(frozen=True)
 class Thresholds:
     high_san_count: int = 25

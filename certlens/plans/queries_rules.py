@@ -283,3 +283,77 @@ def rescore_fast_scores(spark, d):
     t = A.tables(spark, d)
     return _scores_from_findings(Rs.rescore(spark, t.observations, t.certificates, t.findings, AS_OF, 14, all_certs=True, fast=True,
                                             rules=psl.FIXTURE_RULES))
+
+
+# ---- every rule and signal fires ---------------------------------------------
+# What each class of ``rule_case_certificates`` must give, by the rules' definitions.
+LINT_CASES = {
+    1: [("SAN_MISSING", "high")], 2: [("CN_NOT_IN_SAN", "info")], 3: [("RSA_KEY_TOO_SMALL", "high"), ("DEPRECATED_SIG_ALGORITHM", "high")],
+    4: [("VALIDITY_TOO_LONG", "high")], 5: [("VALIDITY_LONG", "medium")], 6: [("EKU_MISSING_SERVER_AUTH", "medium")],
+    7: [("LEAF_MARKED_CA", "high"), ("LEAF_KEY_USAGE_CA_BITS", "high")], 8: [("DN_NON_ASCII", "low")], 9: [("DN_SUSPICIOUS_FORMATTING", "medium")],
+    10: [("AIA_OCSP_MISSING", "info")], 11: [("ORG_BRAND_IMPERSONATION", "medium"), ("ORG_DOMAIN_MISMATCH", "medium")],
+    12: [("IDN_CONFUSABLE", "medium")], 14: [("IDN_CONFUSABLE", "medium")],
+}
+#: (code, severity, score)
+SIGNAL_CASES = {
+    4: [("validity_outlier", "medium", W.validity)], 5: [("validity_long", "medium", W.validity)], 6: [("unusual_eku_set", "medium", W.eku)],
+    11: [("org_domain_mismatch", "medium", W.org_domain_mismatch), ("brand_org_impersonation", "high", W.brand_org_impersonation)],
+    12: [("idn_confusable", "medium", W.idn_confusable), ("punycode_san", "info", max(2, W.punycode // 4))],
+    13: [("high_entropy_label", "medium", W.entropy)],
+    14: [("high_entropy_label", "medium", W.entropy), ("idn_confusable", "medium", W.idn_confusable), ("punycode_san", "info", max(2, W.punycode // 4)),
+         ("punycode_entropy_combo", "medium", max(W.punycode, W.entropy))],
+    15: [("high_san_count", "medium", W.high_san), ("wildcard_san", "info", W.wildcard), ("registered_domain_burst", "medium", W.domain_burst),
+         ("suspicious_keywords", "info", W.keyword), ("rare_san_types", "medium", W.extension), ("issuer_spike", "high", W.spike)],
+}
+_CASE = f"CAST(regexp_extract(cert_hash, '([0-9]+)$', 1) AS BIGINT) % {A.RULE_CASES}"
+
+
+def _case_rows(spark, d):
+    """The rule cases with name features, one burst domain and two issuers' baselines: an
+    ordinary one and one whose newest day is far above its average."""
+    bursts = spark.createDataFrame([("burst.example", T.domain_burst_count)], "registered_domain string, cert_count long")
+    common = (100.0, 0.5, 0.5, ["serverAuth"])
+    base = spark.createDataFrame([("quiet", *common, 10, 9.0), ("spiking", *common, 100, 9.0)],
+                                 "issuer_key string, validity_p95 double, wildcard_rate double, punycode_rate double, common_eku_sets array<string>, "
+                                 "current_day_count long, trailing_daily_avg double")
+    certs = A.rule_case_certificates(spark, d)
+    rules = psl.rules_frame(spark, psl.FIXTURE_RULES)
+    feats = Ln.with_org_tokens(attach_name_features(certs, rules, len(psl.FIXTURE_RULES), bursts, T.domain_burst_count))
+    return Sg.attach_baseline(feats, base)
+
+
+_LINT_VALUES = ", ".join(f"({case}, '{code}', '{severity}')" for case, rows in LINT_CASES.items() for code, severity in rows)
+_SIGNAL_VALUES = ", ".join(f"({case}, '{code}', '{severity}', {score})" for case, rows in SIGNAL_CASES.items() for code, severity, score in rows)
+
+
+@register("lint_cases", "C", f"""
+, expected(kind, finding_code, severity) AS (VALUES {_LINT_VALUES})
+SELECT cert_hash, finding_code, severity FROM certificates JOIN expected ON {_CASE} = kind
+""")
+def lint_cases(spark, d):
+    return Ln.lint_findings(_case_rows(spark, d), AS_OF).select("cert_hash", "finding_code", "severity")
+
+
+@register("signal_cases", "D", f"""
+, expected(kind, code, severity, score) AS (VALUES {_SIGNAL_VALUES})
+SELECT cert_hash, code, severity, CAST(score AS INTEGER) AS score FROM certificates JOIN expected ON {_CASE} = kind
+""")
+def signal_cases(spark, d):
+    return Sg.signal_rows(Sg.score_certificates(_case_rows(spark, d))).select("cert_hash", "code", "severity", "score")
+
+
+@register("finding_cases", "D17", f"""
+, expected(kind, code, severity, score) AS (VALUES {_SIGNAL_VALUES}),
+ranked AS (SELECT kind, code, score, row_number() OVER (PARTITION BY kind ORDER BY score DESC, place) AS rank
+           FROM (SELECT *, list_position([{', '.join(f"'{c}'" for c in (
+               "high_san_count", "wildcard_san", "org_domain_mismatch", "brand_org_impersonation", "registered_domain_burst", "high_entropy_label", "idn_confusable", "punycode_san",
+               "punycode_entropy_combo", "suspicious_keywords", "validity_outlier", "validity_long", "rare_san_types", "unusual_eku_set", "issuer_spike"))}], code) AS place FROM expected) x),
+told AS (SELECT kind, least(100, sum(score)) AS anomaly_score, string_agg(code, ',' ORDER BY rank) FILTER (rank <= 3) AS top_codes FROM ranked GROUP BY kind)
+SELECT cert_hash, 'ANOMALY_SCORE' AS finding_code, 'info' AS severity, CAST(coalesce(told.anomaly_score, 0) AS BIGINT) AS anomaly_score, coalesce(top_codes, '') AS top_codes
+FROM certificates LEFT JOIN told ON {_CASE} = kind
+""")
+def finding_cases(spark, d):
+    """The ANOMALY_SCORE finding of each case, its evidence read back."""
+    found = Sg.anomaly_finding(Sg.score_certificates(_case_rows(spark, d)), AS_OF)
+    e = F.from_json("evidence_json", "struct<anomaly_score:bigint,top_signals:array<struct<code:string,score:int,severity:string>>>")
+    return found.withColumn("e", e).select("cert_hash", "finding_code", "severity", "e.anomaly_score", F.array_join(F.transform("e.top_signals", lambda x: x["code"]), ",").alias("top_codes"))

@@ -239,3 +239,49 @@ class CertTables:
 
 def tables(spark: SparkSession, sf_dir: str) -> CertTables:
     return CertTables(observations(spark, sf_dir), certificates(spark, sf_dir), cert_findings(spark, sf_dir))
+
+
+#: Classes of ``rule_case_certificates``.
+RULE_CASES = 16
+
+
+def rule_case_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest certificates with the fields that rules read set by the class of their
+    number (``cert_no % 16``), so that every lint rule and every signal has certificates
+    that it fires for, and others that it does not. Class 0 is clean; each other one
+    differs from it in the fields below alone. Columns ``cert_no`` and ``case``."""
+    certs = certificates(spark, sf_dir).withColumn("cert_no", F.regexp_extract("cert_hash", "([0-9]+)$", 1).cast("long"))
+    certs = certs.withColumn("case", (F.col("cert_no") % RULE_CASES).cast("int"))
+    texts = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    host, idn, busy = "host.plain.example", "www.xn--ellraboutique-dnb.com", "login.burst.example"
+    entropic, both = "a9x3kq7zw2m5b8.plain.example", "a9x3kq7zw2m5b8.xn--ellraboutique-dnb.com"
+    clean = {
+        "subject_cn": F.lit(host), "subject_dn": F.lit(f"CN={host}"), "subject_org": F.lit(""), "issuer_dn": F.lit("CN=Plain"), "issuer_key": F.lit("quiet"), "dns_names": texts(host),
+        "san_count": F.lit(1), "key_type": F.lit("RSA"), "key_size": F.lit(2048), "sig_alg": F.lit("SHA256"), "validity_days": F.lit(90), "eku": texts("serverAuth"),
+        "key_usage": texts("digitalSignature"), "basic_constraints_ca": F.lit(0), "aia_ocsp_urls": texts("http://ocsp.plain.example"), "validation_type": F.lit("DV"),
+        **{c: F.lit(0) for c in ("has_wildcard", "has_punycode", "has_ip_san", "has_uri_san", "has_email_san", "subject_has_non_ascii", "issuer_has_non_ascii")},
+    }
+    cases: dict[int, dict] = {
+        1: {"dns_names": texts(), "san_count": F.lit(0), "subject_cn": F.lit("")},
+        2: {"subject_cn": F.lit("other.plain.example")},
+        3: {"key_size": F.lit(1024), "sig_alg": F.lit("sha1")},
+        4: {"validity_days": F.lit(900)},
+        5: {"validity_days": F.lit(400), "issuer_key": F.lit("unknown")},
+        6: {"eku": texts("emailProtection")},
+        7: {"basic_constraints_ca": F.lit(1), "key_usage": texts("keyCertSign", "digitalSignature")},
+        8: {"subject_dn": F.lit("CN=höst.plain.example"), "subject_has_non_ascii": F.lit(1)},
+        9: {"subject_dn": F.lit("CN=a,,O=b")},
+        10: {"aia_ocsp_urls": texts()},
+        11: {"subject_org": F.lit("Microsoft Corporation"), "validation_type": F.lit("OV")},
+        12: {"dns_names": texts(idn), "subject_cn": F.lit(idn), "has_punycode": F.lit(1)},
+        13: {"dns_names": texts(entropic), "subject_cn": F.lit(entropic)},
+        14: {"dns_names": texts(both), "subject_cn": F.lit(both), "has_punycode": F.lit(1)},
+        15: {"dns_names": texts(busy), "subject_cn": F.lit(busy), "san_count": F.lit(30), "has_wildcard": F.lit(1), "has_ip_san": F.lit(1), "issuer_key": F.lit("spiking")},
+    }
+    changed = {}
+    for column, value in clean.items():
+        for case, fields in cases.items():
+            if column in fields:
+                value = F.when(F.col("case") == case, fields[column]).otherwise(value)
+        changed[column] = value
+    return certs.withColumns(changed)

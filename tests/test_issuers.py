@@ -7,13 +7,15 @@ from certlens.functions.certcols import validation_type
 from certlens.operators.issuers import fingerprint, issuer_key, issuer_matches
 
 
-def test_issuer_matching(spark):
-    df = spark.createDataFrame([("CN=Go Daddy Secure CA,O=Go Daddy", None), ("CN=Other CA,O=Other", None),
-                                ("CN=Other", "abc123")], "issuer_dn string, issuer_spki_hash string")
-    dn = [r[0] for r in df.select(issuer_matches(IssuerMatching(match_mode="issuer_dn"))).collect()]
-    assert dn == [True, False, False]
-    hybrid = [r[0] for r in df.select(issuer_matches(IssuerMatching(issuer_spki_hashes=("abc123",)))).collect()]
-    assert hybrid == [True, False, True]
+def test_family_by_name_by_key_or_by_either(spark):
+    rows = [("by name, upper case", "CN=NORTHWIND Root R1,O=Northwind Trust", "k-9"), ("by key alone", "CN=Unrelated", "k-1"),
+            ("neither", "CN=Unrelated", "k-2"), ("no key", "CN=northwind", None), ("no name", None, "k-1"), ("nothing", None, None)]
+    df = spark.createDataFrame(rows, "what string, issuer_dn string, issuer_spki_hash string")
+    family = {"issuer_substrings": ("northwind", "Contoso CA"), "issuer_spki_hashes": ("k-1", "k-7")}
+    found = {mode: {r.what for r in df.filter(issuer_matches(IssuerMatching(match_mode=mode, **family))).collect()} for mode in ("issuer_dn", "issuer_spki", "hybrid")}
+    assert found["issuer_dn"] == {"by name, upper case", "no key"}
+    assert found["issuer_spki"] == {"by key alone", "no name"}
+    assert found["hybrid"] == found["issuer_dn"] | found["issuer_spki"]
 
 
 def test_issuer_key(spark):

@@ -83,3 +83,11 @@ def test_fast_mode_baseline_free(spark):
             Sg.signal_rows(Sg.score_certificates(_prepare(spark, certs, baselines=base))).collect()}
     assert sig2["wildcard_san"] == "medium" and sig2["punycode_san"] == "low" and "issuer_spike" in sig2
     assert "validity_outlier" not in sig2  # 90 days < p95 100
+
+
+def test_every_rule_and_signal_has_a_case():
+    """The checked queries reach all of them (their rows are compared with the twins)."""
+    from certlens.plans.queries_rules import LINT_CASES, SIGNAL_CASES, _LINT_RULES
+
+    assert {code for rows in LINT_CASES.values() for code, _ in rows} == {r[0] for r in _LINT_RULES} and len(_LINT_RULES) == 15
+    assert len({code for rows in SIGNAL_CASES.values() for code, *_ in rows}) == 15
