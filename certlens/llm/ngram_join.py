@@ -13,9 +13,11 @@ Follows the published prefix-filter family (AllPairs, PPJoin, PPJoin+):
 * Within one shingle's postings pairs are not enumerated. Each posting meets the
   shingle's leader only. Round one verifies each class with the leader that shares
   most of its prefix, the next rounds with its leaders in other components and
-  with new leaders, and the last round compares each class that is still apart
-  from a leader with the members of other components there. No link between
-  components is lost; pairs inside one are skipped, as they change no component.
+  with new leaders (of one shingle, or of equal parities, see below), and the last round compares
+  each class that is still apart from a leader with the members of other components
+  there that have a size near its own. No link between components is lost; pairs
+  inside one are skipped, as they change no component. Texts that share most of one
+  template and don't link do meet there in pairs.
 * Length, positional and suffix filters come before that; the suffix filter
   compares parities by hash range, a lower bound of the symmetric difference. Each
   distinct pair that passes is verified once, on its shingle sets.
@@ -26,6 +28,7 @@ different texts may share a class hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -43,8 +46,8 @@ N = 5
 #: Similarity as a fraction: intersection * DEN >= NUM * union.
 NUM, DEN = 4, 5
 RANGES = 1024
-#: Star contractions between the rounds; the last one goes to the end. What they
-#: leave apart is compared once more, so they don't change the result.
+#: Star contractions after round one. What they leave apart is compared once more,
+#: so they don't change the result; from then on whole components count.
 ROUNDS = 1
 #: Rounds with new leaders before the last round.
 LEADER_ROUNDS = 3
@@ -157,9 +160,9 @@ def _fits(x_cls: Column, x_n: Column, x_i: Column, y_cls: Column, y_n: Column, y
     smaller one must post it for larger ones, the sizes must be near, and what
     stands behind the shingle must be enough."""
     smaller = (x_n < y_n) | ((x_n == y_n) & (x_cls < y_cls))
-    small, large = F.least(x_n, y_n), F.greatest(x_n, y_n)
+    small = F.least(x_n, y_n)
     lead = F.when(smaller, x_i).otherwise(y_i) < small - F.floor((2 * NUM * small + NUM + DEN - 1) / F.lit(NUM + DEN)) + 1
-    return lead & (F.lit(DEN) * small >= F.lit(NUM) * large) & (F.lit(1) + F.least(x_n - x_i - 1, y_n - y_i - 1) >= _need(x_n, y_n))
+    return lead & _near_sizes(x_n, y_n) & (F.lit(1) + F.least(x_n - x_i - 1, y_n - y_i - 1) >= _need(x_n, y_n))
 
 
 def _met(posts: DataFrame, among: DataFrame | None = None, turn: int = 0) -> DataFrame:
@@ -177,6 +180,10 @@ def _met(posts: DataFrame, among: DataFrame | None = None, turn: int = 0) -> Dat
     return met.select("gram", "cls", "n", "i", "l_cls", F.shiftright("l_place", 32).cast("int").alias("l_n"), low.cast("int").alias("l_i"))
 
 
+def _near_sizes(x_n: Column, y_n: Column) -> Column:
+    return F.lit(DEN) * F.least(x_n, y_n) >= F.lit(NUM) * F.greatest(x_n, y_n)
+
+
 def _met_fits() -> Column:
     return _fits(*(F.col(c) for c in ("l_cls", "l_n", "l_i", "cls", "n", "i")))
 
@@ -245,22 +252,33 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links = contract(_verified(done, spread, slim, n_words), ROUNDS)
     roots = roots_of(links)
     # round two: the other leaders, where they are in another component; then new
-    # leaders for all, from those that are still apart from their first one
-    met_by_pair, posts = by_leader, met.select("gram", "cls", "n", "i")
+    # leaders for all, from those that are still apart from their first one: among
+    # equal parities of 64 hash ranges, which part copies from other texts with one
+    # common passage, and of shingles
+    posts = met.select("gram", "cls", "n", "i")
+    bits = spread.select("cls", "n", F.posexplode("spread").alias("k", "bits")).filter(F.bit_count("bits") > 1)
+    alike = keep(bits.join(posts.select("cls").distinct(), "cls", "left_semi").select(F.xxhash64("k", "bits").alias("gram"), "cls", "n", F.lit(0).alias("i")), "jaccard-alike")
     for turn in range(1 + LEADER_ROUNDS):
+        met_by_pair = by_leader
         if turn:
-            met_by_pair = _met(posts, apart(met).select("gram", "cls", "n", "i"), turn).filter(_met_fits()).select("l_cls", "cls").distinct()
+            by = alike if turn % 2 else posts
+            meet = _met(by, by.join(apart(met).select("cls").distinct(), "cls", "left_semi"), turn)
+            met_by_pair = meet.filter(_near_sizes(F.col("n"), F.col("l_n")) if turn % 2 else _met_fits()).select("l_cls", "cls").distinct()
         new = keep(apart(met_by_pair).select(*pair).distinct().join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
         done = done.union(new)
-        links = contract(links.union(_verified(new, spread, slim, n_words)), ROUNDS)
+        links = contract(links.union(_verified(new, spread, slim, n_words)))
         roots = roots_of(links)
-    # last round: what is still apart from its first leader, with all other components of its shingle
-    named = keep(rooted(rooted(met, "cls", "c"), "l_cls", "l_c"), "jaccard-named")
-    still = named.filter("c != l_c").select("gram", "cls", "n", "i", "c")
-    others = named.join(still.select("gram").distinct(), "gram", "left_semi").select("gram", "cls", "n", "i", "c").join(ranges, "cls")
+    # last round: what is still apart from its first leader, with all other
+    # components of its shingle, in bands of sizes that may link
+    band = F.floor(F.log("n") / F.lit(math.log(DEN / NUM) * 1.01))
+    named = keep(rooted(rooted(met, "cls", "c"), "l_cls", "l_c").withColumn("band", band), "jaccard-named")
+    still = named.filter("c != l_c").select("gram", "cls", "n", "i", "c", "band")
+    others = named.join(still.select("gram").distinct(), "gram", "left_semi").select("gram", "cls", "n", "i", "c", "band").join(ranges, "cls")
+    still = still.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
     u, o = ([F.col(f"{side_}.{c}") for c in ("cls", "n", "i", "c", "spread")] for side_ in "uo")
     near = _apart(u[4], o[4]) <= u[1] + o[1] - 2 * _need(u[1], o[1])
-    rest = still.join(ranges, "cls").alias("u").join(others.alias("o"), (F.col("u.gram") == F.col("o.gram")) & (u[3] != o[3]) & _fits(*u[:3], *o[:3]) & near)
+    same = (F.col("u.gram") == F.col("o.gram")) & (F.col("u.band") == F.col("o.band"))
+    rest = still.join(ranges, "cls").alias("u").join(others.alias("o"), same & (u[3] != o[3]) & _fits(*u[:3], *o[:3]) & near)
     last = rest.select(F.least(u[0], o[0]).alias("a"), F.greatest(u[0], o[0]).alias("b")).distinct()
     last = keep(last.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
     links = contract(links.union(_verified(last, spread, slim, n_words)))

@@ -96,3 +96,18 @@ def test_components_of_paths_and_cycles(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(2, 31)}, 95: 90, 100: 90, 200: 199}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_templates_below_the_threshold_and_copies_among_them(spark):
+    """Texts that share about 85 % of one template (similarity below 0.8), in
+    sizes on both sides of a size band, with near copies of some of them."""
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(70)]
+    rows = []
+    for i in range(90):
+        own = template[: 60 + i % 11] + [f"o{i}x{k}" for k in range(9 + i % 7)]
+        rows.append((len(rows), " ".join(own)))
+        if i % 4 == 0:
+            own[rng.randrange(len(own))] = "changed"
+            rows.append((len(rows), " ".join(own)))
+    assert run(spark, rows) == brute(rows)
