@@ -121,7 +121,7 @@ def _sketch_counts(n_words: int):
             for _, _, found in _sets(batch.column(0), n_words):
                 part.append(found)
                 held += len(found)
-                if held > 2_000_000:
+                if held > 500_000:
                     counts += np.bincount(sketch.slot(np.concatenate(part)), minlength=sketch.SLOTS).astype(np.uint32)
                     part, held = [], 0
         if part:
