@@ -127,12 +127,13 @@ def _vectors(rows: list) -> tuple[np.ndarray, np.ndarray]:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance), nearest
-    first, ties to the smaller vec_id; a query never finds its own id.
+    first, ties to the smaller vec_id; a query never finds its own row.
 
     Rows with a null id take no part, nor do vectors that are null, empty, zero,
     or hold null or non-finite components, nor those of another length than most
     of the table's. Equal vectors under different ids are all candidates; a
-    repeated row counts once. No usable vectors: an empty result."""
+    repeated row counts once. Different vectors under one id are rows of their own:
+    each is a candidate (for the others too), and each of a query's is searched. No usable vectors: an empty result."""
     def usable(df: DataFrame) -> DataFrame:
         v = F.col(vector).cast("array<double>")
         fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -152,39 +153,41 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
         flat = np.array([r.x for r in all_rows.limit(SAMPLE).collect()])
     codes = spark.sparkContext.broadcast(learn(flat, k))
     shards = max(spark.sparkContext.defaultParallelism, -(-total // SHARD_ROWS))
-    dealt = all_rows.dropDuplicates(["id"]).repartition(shards)
-    found = empty
+    dealt = all_rows.dropDuplicates(["id", "x"]).repartition(shards)
+    found = spark.createDataFrame([], "query_id long, point long, vec_id long, score double")
 
     def search(block) -> DataFrame:
         ids, x = _vectors(block)
+        points_of = np.array([r[2] for r in block], np.int64)
         distinct, which = np.unique(x, axis=0, return_inverse=True)
-        shared = spark.sparkContext.broadcast((ids, distinct, which.reshape(-1)))
+        shared = spark.sparkContext.broadcast((ids, points_of, distinct, which.reshape(-1)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [(b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, width)) for b in batches if b.num_rows]
             if not parts:
                 return
             shard = Shard(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), codes.value)
-            query_ids, points, of = shared.value
+            query_ids, marks, points, of = shared.value
             coded = codes.value.encode(points)
             hits = [shard.nearest(q, c, k + 1) for q, c in zip(points, coded)]
             for i in range(0, len(query_ids), 1024):
                 out = []
-                for name, p in zip(query_ids[i : i + 1024], of[i : i + 1024]):
+                for name, mark, p in zip(query_ids[i : i + 1024], marks[i : i + 1024], of[i : i + 1024]):
                     own, d = hits[p]
-                    other = own != name
-                    out.append((np.full(min(k, other.sum()), name), own[other][:k], d[other][:k]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(3)], names=["query_id", "vec_id", "score"])
+                    other = (own != name) | (d > 0)
+                    n = min(k, other.sum())
+                    out.append((np.full(n, name), np.full(n, mark), own[other][:k], d[other][:k]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[c] for o in out])) for c in range(4)], names=["query_id", "point", "vec_id", "score"])
 
-        return keep(dealt.mapInArrow(run, "query_id long, vec_id long, score double"), "ann-found")
+        return keep(dealt.mapInArrow(run, "query_id long, point long, vec_id long, score double"), "ann-found")
 
     block: list = []
-    for row in usable(queries).filter(F.size("x") == width).dropDuplicates(["id"]).toLocalIterator():
+    for row in usable(queries).filter(F.size("x") == width).dropDuplicates(["id", "x"]).withColumn("point", F.xxhash64("x")).toLocalIterator():
         block.append(row)
         if len(block) == BLOCK:
-            found = found.unionByName(search(block).withColumn("rank", F.lit(0)))
+            found = found.unionByName(search(block))
             block = []
     if block:
-        found = found.unionByName(search(block).withColumn("rank", F.lit(0)))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        found = found.unionByName(search(block))
+    order = Window.partitionBy("query_id", "point").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -72,3 +72,14 @@ def test_blocks_of_queries(spark, monkeypatch):
     whole = S.nearest(df, queries).collect()
     monkeypatch.setattr(S, "BLOCK", 4)
     assert sorted(map(str, S.nearest(df, queries).collect())) == sorted(map(str, whole))
+
+
+def test_different_vectors_under_one_id(spark):
+    rows = [(100, [1.0, 0.0]), (1, [0.0, 0.0001]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (100, [5.0, 0.0])]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = S.nearest(df, df.filter("vec_id = 100")).collect()
+        of_first = [(1, 0.1), (1, float(np.hypot(1, 0.0001))), (100, 4.0)]
+        of_last = [(100, 4.0), (1, float(np.hypot(4, 0.1))), (1, float(np.hypot(5, 0.0001)))]
+        expected = [(100, k + 1, v, round(d, 9)) for found in (of_first, of_last) for k, (v, d) in enumerate(found)]
+        assert sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == sorted(expected)
