@@ -33,14 +33,19 @@ from certlens.llm.shared import free_name
 #: A path is content from this part of the page's best score on.
 THRESHOLD = 0.08
 SIGMA = 1.5
+#: Paths that differ in more elements (weight below 1e-13) don't smooth each other.
+FAR = 12
+#: Elements nested deeper are not elements of a path, as browsers limit it too: their
+#: text is their ancestor's.
+DEPTH = 512
 #: Weight of paths outside a marked article.
 OUTSIDE = 0.05
 
 # Element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title canvas audio video select".split())
+RAW = frozenset("script style noscript template iframe object svg annotation annotation-xml textarea title canvas audio video select".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-DROPPED = frozenset("nav footer aside form menu dialog button search head fieldset label".split())
+DROPPED = frozenset("nav footer aside form menu dialog button search head fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
 DROPPED_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs header masthead banner footer sidebar aside widget related recommended recommendations promo promotion sponsor sponsored advert adverts advertisement ad ads adsense cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup login social share sharing comment comments discussion disqus replies reply pagination pager copyright skip toolbar form".split())
 #: Start tags that end an open element of the first kind, up to one of the second.
@@ -91,11 +96,13 @@ def text_nodes(page: str) -> tuple[list[Node], dict[int, int]]:
     nodes: list[Node] = []
     drops: dict[int, int] = {}
     stack: list[tuple[str, int]] = []
+    deeper: dict[str, int] = {}
     block, at, dropped, links, articles, count = 0, 0, 0, 0, 0, 0
 
     def pop() -> None:
         nonlocal dropped, links, articles
         tag, number = stack.pop()
+        deeper.clear()
         dropped -= drops.get(number) == HIDDEN
         links -= tag == "a"
         articles -= tag in ("article", "main")
@@ -119,7 +126,9 @@ def text_nodes(page: str) -> tuple[list[Node], dict[int, int]]:
         if tag in BLOCK:
             block += 1
         if closing:
-            if any(t == tag for t, _ in stack):
+            if deeper.get(tag):
+                deeper[tag] -= 1
+            elif any(t == tag for t, _ in stack):
                 while stack:
                     same = stack[-1][0] == tag
                     pop()
@@ -154,6 +163,9 @@ def text_nodes(page: str) -> tuple[list[Node], dict[int, int]]:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
+        if len(stack) >= DEPTH:
+            deeper[tag] = deeper.get(tag, 0) + 1
+            continue
         count += 1
         off = _dropped(tag, attributes, articles > 0)
         if off:
@@ -189,6 +201,9 @@ def _scores(nodes: list[Node]) -> dict[tuple[str, ...], float]:
     for p in ratios:
         weight = length = marks = 0.0
         for q, (a, b) in ratios.items():
+            same = max(len(p), len(q)) - FAR
+            if min(len(p), len(q)) < same or same > 0 and p[:same] != q[:same]:
+                continue
             w = math.exp(-_differing(p, q) ** 2 / (2 * SIGMA * SIGMA)) * sums[q][0] ** 0.5
             weight, length, marks = weight + w, length + w * a, marks + w * b
         own = ratios[p][0] > 0

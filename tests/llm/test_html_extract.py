@@ -91,3 +91,16 @@ def test_given_pages_give_their_article(spark):
     for r in got:
         lines = [" ".join(html.unescape(x).split()) for x in r.bare.split("\n")]
         assert r.text == "\n".join(x for x in lines if x)
+
+
+def test_formulas_and_labels_of_the_article_stay():
+    page = "<body><nav>Menu</nav><article><p>We get <math><mi>x</mi><mo>=</mo><mn>4</mn></math> here.</p><p>Pick <label>one</label>, please.</p></article></body>"
+    assert H.extract(page) == "We get x=4 here.\nPick one, please."
+
+
+def test_elements_nested_beyond_the_path_limit():
+    """Unclosed tags without end: all text stays, and time follows the page."""
+    assert H.extract("<body><article><p>" + "<b>word, " * 20_000 + "</article>").split() == ["word,"] * 20_000
+    n = H.DEPTH + 40
+    deep = "<div>" * n + f"<p>{P1}</p>" + "</div>" * n
+    assert H.extract(f"<body><article><p>{P2}</p>{deep}<p>The end, at last.</p></article></body>") == f"{P2}\n{P1}\nThe end, at last."
