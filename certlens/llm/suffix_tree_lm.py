@@ -300,7 +300,7 @@ def _slots(level: DataFrame) -> np.ndarray:
     return out
 
 
-def learn(texts: DataFrame, entries: int | None = None) -> tuple[DataFrame, dict[int, np.ndarray], int, int]:
+def learn(texts: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int]:
     """The tree of a one-column table of texts: h (of a token, gram or context), p
     (log10, of a token or gram), rest (log10, of a context); the slots of the
     retained contexts of each length, the number of tokens, of distinct ones."""
@@ -308,8 +308,7 @@ def learn(texts: DataFrame, entries: int | None = None) -> tuple[DataFrame, dict
     first = keep(texts.mapInArrow(_first_pass, _FIRST), "lm-first")
     tokens = keep(first.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")), "lm-tokens")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    bound = LEAST if entries is None else max(LEAST, -(-total // entries))
-    enough = {n: sketch.gather(first.filter((F.col("order") == n) & F.col("block").isNotNull()).select("block", "salt", "counts")) >= bound for n in ORDERS}
+    enough = {n: sketch.gather(first.filter((F.col("order") == n) & F.col("block").isNotNull()).select("block", "salt", "counts")) >= LEAST for n in ORDERS}
 
     def counted(orders, enough, grown=None):
         shared = spark.sparkContext.broadcast((orders, enough, grown))
@@ -319,7 +318,7 @@ def learn(texts: DataFrame, entries: int | None = None) -> tuple[DataFrame, dict
 
         return texts.mapInArrow(second, _SECOND).groupBy("order", "gram").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "tail", "word")))
 
-    grams = keep(counted(ORDERS, enough).filter(F.col("n") >= bound), "lm-grams")
+    grams = keep(counted(ORDERS, enough).filter(F.col("n") >= LEAST), "lm-grams")
     columns = ["context", "gram", "n", "context_n", "parent_p"]
     unigram = tokens.select(F.col("h").alias("word"), ((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("root_p"))
     starts = texts.agg(F.lit(int(START)).cast("long").alias("h"), F.count("*").alias("n"))
@@ -335,12 +334,12 @@ def learn(texts: DataFrame, entries: int | None = None) -> tuple[DataFrame, dict
     levels[3] = keep(_retained(two.select(*columns)), "lm-two")
     slots = {n: _slots(level) for n, level in levels.items()}
     n = 3
-    while entries is None and slots[n].any():
+    while slots[n].any():
         # every occurrence of a context has a successor, so their sum is its count
         n += 1
         all_n = keep(counted((n,), {}, slots[n - 1]).join(parents(n - 1).select("tail", F.col("tail_p").alias("parent_p")), "tail", "left"), "lm-more")
         sums = all_n.groupBy("context").agg(F.sum("n").alias("context_n"))
-        more = all_n.filter((F.col("n") >= bound) & F.col("parent_p").isNotNull()).join(sums, "context")
+        more = all_n.filter((F.col("n") >= LEAST) & F.col("parent_p").isNotNull()).join(sums, "context")
         levels[n] = keep(_retained(more.select(*columns)), "lm-level")
         slots[n] = _slots(levels[n])
 
@@ -355,20 +354,17 @@ def learn(texts: DataFrame, entries: int | None = None) -> tuple[DataFrame, dict
     return keep(tree.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree"), {n: x for n, x in slots.items() if x.any()}, total, distinct
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Column | None = None, entries: int | None = None) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     for every row of ``docs``; learns from the rows that are not held out.
 
-    With ``entries`` the tree is a bounded one: contexts of at most two words,
-    and at most so many grams of one length.
-
     A null or empty text is the end token alone. A null doc_id is not held out.
     Repeated rows are counted and scored each; other columns are not looked at.
     With no training rows every token is unknown and has probability one."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), (held_out(F.col(doc_id)) if held is None else held).alias("held_out"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     pieces = keep(slim.mapInArrow(_pieces, f"piece long, doc_id {kind}, held_out boolean, text string"), "lm-pieces")
-    tree, slots, total, distinct = learn(pieces.filter(~F.col("held_out")).select("text"), entries)
+    tree, slots, total, distinct = learn(pieces.filter(~F.col("held_out")).select("text"))
     orders = tuple(sorted(slots))
     ranges = max(1, -(-total * (1 + len(orders)) // RANGE))
     shared = slim.sparkSession.sparkContext.broadcast(slots)

@@ -108,5 +108,4 @@ def test_the_tree_grows_with_the_corpus_and_contexts_beyond_two_words(spark):
     tree, slots, _, _ = lm.learn(deep.select("text"))
     assert max(slots) >= 4 and tree.count() > 0
     r = lm.score(deep, held=F.col("doc_id") == 1399).filter("held_out").first()
-    shallow = lm.score(deep, held=F.col("doc_id") == 1399, entries=1 << 20).filter("held_out").first()
-    assert r.score > shallow.score + 0.4
+    assert r.score > r.base_score + 5
