@@ -10,19 +10,43 @@ from pyspark.sql import functions as F
 from certlens.session import shared_path, ship_package
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def keep(df: DataFrame, name: str, free_shuffles: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet below the shared checkpoint folder and read
     it back: later steps read the table instead of recomputing the lineage, also
-    after an executor is lost. The folder is deleted when the application ends."""
+    after an executor is lost. The folder is deleted when the application ends, or
+    by ``discard``. With ``free_shuffles`` the shuffle files of ``df`` go as soon as
+    the table is written."""
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    if free_shuffles:
+        before = spark.conf.get(_CLEANUP, None)
+        spark.conf.set(_CLEANUP, "true")
+        try:
+            df.select("*").write.parquet(path)  # a new frame takes the setting up
+        finally:
+            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    else:
+        df.write.parquet(path)
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote, after their last reader is done (what was
+    made from them is written itself)."""
+    for df in kept:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("llm-"):
+                place = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(folder))
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; also makes the package known to Python workers."""
     ship_package(spark)

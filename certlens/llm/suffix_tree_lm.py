@@ -15,9 +15,15 @@ than half a log count for each successor. Contexts of one and two words are all
 tested, longer ones where the context one word shorter is retained, and so on until
 no context of a length is.
 
+Counting: each piece of text (about 4 MB) sends its distinct gram hashes with their
+counts, packed by hash range; a range sums them and tells the first piece of each
+frequent gram, which alone adds the hashes of its parts. So a gram costs some ten
+bytes of shuffle a piece, those seen once go no further, and tables and shuffle
+files of a step are deleted when the next one is written.
+
 Scoring: every token is predicted from the longest retained suffix of the words
 before it. Vocabulary and tree are one table of hashes that grows with the corpus.
-Each piece of text (about 4 MB) asks for its distinct hashes, packed by hash range;
+Each piece asks for its distinct hashes, packed by hash range;
 ranges and pieces meet in shuffles where no key can be hot. Nothing but one bit for
 each sketch slot is collected.
 
@@ -34,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certlens.llm import sketch, words
-from certlens.llm.shared import keep
+from certlens.llm.shared import discard, keep
 
 LEAST = 2
 DISCOUNT = 0.5
@@ -131,51 +137,107 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["h", "n", "order", "block", "salt", "counts"])
 
 
-_SECOND = "order int, gram long, context long, tail long, word long, n long"
+def _allowed(seq: np.ndarray, at: np.ndarray, n: int, enough: dict[int, np.ndarray], grown: np.ndarray | None) -> np.ndarray:
+    """Which grams are counted: those in one row whose slot has enough and, with
+    ``grown``, whose context's own suffix has its slot there."""
+    ok = _within(at, len(seq), n)
+    if len(ok) and n in enough:
+        ok &= enough[n][sketch.slot(words.grams(seq, n))]
+    if len(ok) and grown is not None:
+        ok &= grown[sketch.slot(words.grams(seq, n - 2)[1 : len(ok) + 1])]
+    return ok
+
+
+def _runs(pieces: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Row ranges of one piece each."""
+    if len(pieces):
+        edges = np.flatnonzero(np.concatenate([[True], pieces[1:] != pieces[:-1], [True]]))
+        yield from zip(edges[:-1], edges[1:])
+
+
+def _by_range(piece: int, ranges: int, h: np.ndarray, times: np.ndarray | None = None) -> pa.RecordBatch:
+    """Sorted distinct hashes of a piece (and their counts, in as few bytes as the
+    largest needs) as one row for each hash range."""
+    of = ((h >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    h, of = h[order], of[order]
+    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
+    spans = list(zip(cuts[:-1], cuts[1:]))
+    columns = {"range": pa.array(of[cuts[:-1]].astype(np.int32)), "piece": pa.array(np.full(len(spans), piece)),
+               "hashes": pa.array([h[i:j].tobytes() for i, j in spans], pa.binary())}
+    if times is not None:
+        times = times[order]
+        columns["times"] = pa.array([times[i:j].astype(np.min_scalar_type(times[i:j].max())).tobytes() for i, j in spans], pa.binary())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _occurrences(orders: tuple[int, ...], ranges: int, enough: dict[int, np.ndarray], grown: np.ndarray | None):
+    """The distinct grams of each piece with their counts, packed by hash range;
+    with ``grown`` also their contexts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces, text = batch.column(0).to_numpy(), batch.column(1)
+            for a, b in _runs(pieces):
+                tally = _Tally()
+                for _, _, seq, at in _sequences(text.slice(a, b - a)):
+                    for n in orders:
+                        ok = _allowed(seq, at, n, enough, grown)
+                        tally.add(words.grams(seq, n)[ok])
+                        if grown is not None:
+                            tally.add(words.grams(seq, n - 1)[: len(ok)][ok])
+                yield _by_range(pieces[a], ranges, *tally.take())
 
+    return run
 
-def _second_pass(orders: tuple[int, ...], enough: dict[int, np.ndarray], grown: np.ndarray | None = None):
-    """Counts of the grams whose slot has enough, with the hashes of their
-    context (all but the last symbol) and tail (all but the first); with
-    ``grown`` of those whose context's own suffix has its slot there."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[np.ndarray]] = {n: [] for n in orders}
-        held = 0
 
-        def take() -> Iterator[pa.RecordBatch]:
+def _owners(asked: pa.Table) -> pa.Table:
+    """The hashes of a range that occur ``LEAST`` times, with their counts; each
+    goes back to the first piece that holds it."""
+    sizes = np.array([len(x.as_py()) // 8 for x in asked.column("hashes")])
+    h = np.frombuffer(b"".join(asked.column("hashes").to_pylist()), np.uint64)
+    times = np.concatenate([np.frombuffer(raw, f"u{len(raw) // k}").astype(np.int64) for raw, k in zip(asked.column("times").to_pylist(), sizes)])
+    piece = np.repeat(asked.column("piece").to_numpy(), sizes)
+    order = np.lexsort((piece, h))
+    h, times, piece = h[order], times[order], piece[order]
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    total = np.add.reduceat(times, new)
+    new, total = new[total >= LEAST], total[total >= LEAST]
+    order = np.argsort(piece[new], kind="stable")
+    h, total, piece = h[new][order], total[order], piece[new][order]
+    spans = list(_runs(piece))
+    return pa.Table.from_arrays(
+        [pa.array([piece[i] for i, _ in spans], pa.int64()), pa.array([h[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([total[i:j].tobytes() for i, j in spans], pa.binary())],
+        names=["piece", "hashes", "times"])
+
+
+_GRAMS = "order int, gram long, context long, tail long, word long, n long"
+
+
+def _described(orders: tuple[int, ...]):
+    """What a piece owns: its grams with the hashes of their context (all but the
+    last symbol) and tail (all but the first); the contexts that are left as order 0."""
+    def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
+        h = np.frombuffer(b"".join(owned.column("hashes").to_pylist()), np.uint64)
+        order = np.argsort(h)
+        h, times = h[order], np.frombuffer(b"".join(owned.column("times").to_pylist()), np.int64)[order]
+        left = np.ones(len(h), dtype=bool)
+        parts = [(np.zeros(0, np.int32), *[np.zeros(0, np.uint64)] * 4, np.zeros(0, np.int64))]
+        for _, _, seq, at in _sequences(docs.column("text").combine_chunks()) if len(h) else ():
             for n in orders:
-                rows = np.concatenate([np.zeros((5, 0), np.uint64), *parts[n]], axis=1)
-                if rows.shape[1]:
-                    order = np.argsort(rows[0], kind="stable")
-                    rows = rows[:, order]
-                    new = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
-                    times = np.add.reduceat(rows[4].view(np.int64), new)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(new), n, np.int32)), *(pa.array(rows[k, new].view(np.int64)) for k in range(4)), pa.array(times)],
-                        names=["order", "gram", "context", "tail", "word", "n"])
-                parts[n] = []
-
-        for batch in batches:
-            for _, _, seq, at in _sequences(batch.column(0)):
-                for n in orders:
-                    ok = _within(at, len(seq), n)
-                    if not len(ok):
-                        continue
-                    grams = words.grams(seq, n)
-                    if n in enough:
-                        ok &= enough[n][sketch.slot(grams)]
-                    if grown is not None:
-                        ok &= grown[sketch.slot(words.grams(seq, n - 2)[1 : len(ok) + 1])]
-                    some = np.flatnonzero(ok)
-                    found, where, times = np.unique(grams[some], return_index=True, return_counts=True)
-                    place = some[where]
-                    shorter = words.grams(seq, n - 1) if n > 2 else seq
-                    parts[n].append(np.stack([found, shorter[place], shorter[place + 1], seq[place + n - 1], times.astype(np.uint64)]))
-                    held += len(found)
-            if held > FLUSH:
-                yield from take()
-                held = 0
-        yield from take()
+                some = np.flatnonzero(_within(at, len(seq), n))
+                grams = words.grams(seq, n)[some]
+                place = np.searchsorted(h, grams)
+                place[place == len(h)] = 0
+                some, place = (x[(h[place] == grams) & left[place]] for x in (some, place))
+                place, where = np.unique(place, return_index=True)
+                some = some[where]
+                left[place] = False
+                shorter = words.grams(seq, n - 1) if n > 2 else seq
+                parts.append((np.full(len(some), n, np.int32), h[place], shorter[some], shorter[some + 1], seq[some + n - 1], times[place]))
+        none = np.zeros(int(left.sum()), np.uint64)
+        parts.append((none.astype(np.int32), h[left], none, none, none, times[left]))
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        return pa.Table.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["order", "gram", "context", "tail", "word", "n"])
 
     return run
 
@@ -202,8 +264,7 @@ def _requests(orders: tuple[int, ...], slots: dict[int, np.ndarray], ranges: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces, text = batch.column(0).to_numpy(), batch.column(1)
-            edges = np.flatnonzero(np.concatenate([[True], pieces[1:] != pieces[:-1], [True]])) if len(pieces) else []
-            for a, b in zip(edges[:-1], edges[1:]):
+            for a, b in _runs(pieces):
                 asked = []
                 for _, _, seq, at in _sequences(text.slice(a, b - a)):
                     asked.append(np.unique(seq))
@@ -212,14 +273,7 @@ def _requests(orders: tuple[int, ...], slots: dict[int, np.ndarray], ranges: int
                         prefix = words.grams(seq, n - 1) if n > 2 else seq
                         ok &= slots[n][sketch.slot(prefix[: len(ok)])]
                         asked += [np.unique(prefix[: len(ok)][ok]), np.unique(words.grams(seq, n)[ok])]
-                h = np.unique(np.concatenate(asked))
-                of = ((h >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                h, of = h[order], of[order]
-                cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(of[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, pieces[a])), pa.array([h[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())],
-                    names=["range", "piece", "hashes"])
+                yield _by_range(pieces[a], ranges, np.unique(np.concatenate(asked)))
 
     return run
 
@@ -300,48 +354,54 @@ def _slots(level: DataFrame) -> np.ndarray:
     return out
 
 
-def learn(texts: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int]:
-    """The tree of a one-column table of texts: h (of a token, gram or context), p
+def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int]:
+    """The tree of a kept table of piece and text: h (of a token, gram or context), p
     (log10, of a token or gram), rest (log10, of a context); the slots of the
     retained contexts of each length, the number of tokens, of distinct ones."""
-    spark = texts.sparkSession
-    first = keep(texts.mapInArrow(_first_pass, _FIRST), "lm-first")
-    tokens = keep(first.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")), "lm-tokens")
+    spark = pieces.sparkSession
+    first = keep(pieces.select("text").mapInArrow(_first_pass, _FIRST), "lm-first", True)
+    tokens = keep(first.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")), "lm-tokens", True)
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     enough = {n: sketch.gather(first.filter((F.col("order") == n) & F.col("block").isNotNull()).select("block", "salt", "counts")) >= LEAST for n in ORDERS}
 
-    def counted(orders, enough, grown=None):
-        shared = spark.sparkContext.broadcast((orders, enough, grown))
+    discard(first)
+
+    def counted(orders: tuple[int, ...], enough: dict[int, np.ndarray], grown: np.ndarray | None = None) -> DataFrame:
+        ranges = max(1, -(-total * len(orders) * (1 if grown is None else 2) // RANGE))
+        shared = spark.sparkContext.broadcast((orders, ranges, enough, grown))
 
-        def second(batches):
-            return _second_pass(*shared.value)(batches)
+        def occurrences(batches):
+            return _occurrences(*shared.value)(batches)
 
-        return texts.mapInArrow(second, _SECOND).groupBy("order", "gram").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("context", "tail", "word")))
+        asked = pieces.mapInArrow(occurrences, "range int, piece long, hashes binary, times binary")
+        owned = asked.groupBy("range").applyInArrow(_owners, "piece long, hashes binary, times binary")
+        return keep(pieces.groupBy("piece").cogroup(owned.groupBy("piece")).applyInArrow(_described(orders), _GRAMS), "lm-grams", True)
 
-    grams = keep(counted(ORDERS, enough).filter(F.col("n") >= LEAST), "lm-grams")
+    grams = counted(ORDERS, enough)
     columns = ["context", "gram", "n", "context_n", "parent_p"]
     unigram = tokens.select(F.col("h").alias("word"), ((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("root_p"))
-    starts = texts.agg(F.lit(int(START)).cast("long").alias("h"), F.count("*").alias("n"))
+    starts = pieces.agg(F.lit(int(START)).cast("long").alias("h"), F.count("*").alias("n"))
     of_word = tokens.select("h", "n").union(starts).select(F.col("h").alias("context"), F.col("n").alias("context_n"))
     one = grams.filter("order = 2").join(unigram, "word").join(of_word, "context").withColumn("parent_p", F.col("root_p"))
-    levels = {2: keep(_retained(one.select(*columns)), "lm-one")}
+    levels = {2: keep(_retained(one.select(*columns)), "lm-one", True)}
 
     def parents(n: int) -> DataFrame:
         return levels[n].select(F.col("gram").alias("tail"), F.col("p").alias("tail_p"))
 
     pairs = grams.filter("order = 2").select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
     two = grams.filter("order = 3").join(unigram, "word").join(pairs, "context").join(parents(2), "tail", "left").withColumn("parent_p", F.coalesce("tail_p", "root_p"))
-    levels[3] = keep(_retained(two.select(*columns)), "lm-two")
+    levels[3] = keep(_retained(two.select(*columns)), "lm-two", True)
+    discard(grams)
     slots = {n: _slots(level) for n, level in levels.items()}
     n = 3
     while slots[n].any():
-        # every occurrence of a context has a successor, so their sum is its count
         n += 1
-        all_n = keep(counted((n,), {}, slots[n - 1]).join(parents(n - 1).select("tail", F.col("tail_p").alias("parent_p")), "tail", "left"), "lm-more")
-        sums = all_n.groupBy("context").agg(F.sum("n").alias("context_n"))
-        more = all_n.filter((F.col("n") >= LEAST) & F.col("parent_p").isNotNull()).join(sums, "context")
-        levels[n] = keep(_retained(more.select(*columns)), "lm-level")
+        found = counted((n,), {}, slots[n - 1])
+        sums = found.filter("order = 0").select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
+        more = found.filter("order > 0").join(parents(n - 1).withColumnRenamed("tail_p", "parent_p"), "tail").join(sums, "context")
+        levels[n] = keep(_retained(more.select(*columns)), "lm-level", True)
         slots[n] = _slots(levels[n])
+        discard(found)
 
     nothing = F.lit(None).cast("double")
     rows = [tokens.select("h", F.log10((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("p"), nothing.alias("rest"))]
@@ -351,7 +411,9 @@ def learn(texts: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int]
     tree = rows[0]
     for more in rows[1:]:
         tree = tree.union(more)
-    return keep(tree.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree"), {n: x for n, x in slots.items() if x.any()}, total, distinct
+    whole = keep(tree.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree", True)
+    discard(tokens, *levels.values())
+    return whole, {n: x for n, x in slots.items() if x.any()}, total, distinct
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Column | None = None) -> DataFrame:
@@ -364,7 +426,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Col
     slim = docs.select(F.col(doc_id).alias("doc_id"), (held_out(F.col(doc_id)) if held is None else held).alias("held_out"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     pieces = keep(slim.mapInArrow(_pieces, f"piece long, doc_id {kind}, held_out boolean, text string"), "lm-pieces")
-    tree, slots, total, distinct = learn(pieces.filter(~F.col("held_out")).select("text"))
+    tree, slots, total, distinct = learn(pieces.filter(~F.col("held_out")).select("piece", "text"))
     orders = tuple(sorted(slots))
     ranges = max(1, -(-total * (1 + len(orders)) // RANGE))
     shared = slim.sparkSession.sparkContext.broadcast(slots)

@@ -105,7 +105,7 @@ def test_the_tree_grows_with_the_corpus_and_contexts_beyond_two_words(spark):
     rows = [(i, f"a{i % 4} u{rng.randrange(40)} v{rng.randrange(2)} r b{i % 4}") for i in range(300)]
     rows += [(1000 + i, f"a{i % 4} y r c{i % 4} e") for i in range(400)]
     deep = spark.createDataFrame(rows, "doc_id long, text string")
-    tree, slots, _, _ = lm.learn(deep.select("text"))
+    tree, slots, _, _ = lm.learn(deep.select(F.lit(0).cast("long").alias("piece"), "text"))
     assert max(slots) >= 4 and tree.count() > 0
     r = lm.score(deep, held=F.col("doc_id") == 1399).filter("held_out").first()
     assert r.score > r.base_score + 5
