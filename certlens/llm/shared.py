@@ -13,19 +13,19 @@ from certlens.session import shared_path, ship_package
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def keep(df: DataFrame, name: str, free_shuffles: bool = False) -> DataFrame:
+def keep(df: DataFrame, name: str, lean: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet below the shared checkpoint folder and read
     it back: later steps read the table instead of recomputing the lineage, also
     after an executor is lost. The folder is deleted when the application ends, or
-    by ``discard``. With ``free_shuffles`` the shuffle files of ``df`` go as soon as
-    the table is written."""
+    by ``discard``. ``lean`` saves disk: smaller files, and the shuffle files of
+    ``df`` go as soon as the table is written."""
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    if free_shuffles:
+    if lean:
         before = spark.conf.get(_CLEANUP, None)
         spark.conf.set(_CLEANUP, "true")
         try:
-            df.select("*").write.parquet(path)  # a new frame takes the setting up
+            df.select("*").write.parquet(path, compression="zstd")  # a new frame takes the setting up
         finally:
             spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     else:

@@ -137,12 +137,12 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["h", "n", "order", "block", "salt", "counts"])
 
 
-def _allowed(seq: np.ndarray, at: np.ndarray, n: int, enough: dict[int, np.ndarray], grown: np.ndarray | None) -> np.ndarray:
+def _allowed(seq: np.ndarray, at: np.ndarray, n: int, enough: np.ndarray | None, grown: np.ndarray | None) -> np.ndarray:
     """Which grams are counted: those in one row whose slot has enough and, with
     ``grown``, whose context's own suffix has its slot there."""
     ok = _within(at, len(seq), n)
-    if len(ok) and n in enough:
-        ok &= enough[n][sketch.slot(words.grams(seq, n))]
+    if len(ok) and enough is not None:
+        ok &= enough[sketch.slot(words.grams(seq, n))]
     if len(ok) and grown is not None:
         ok &= grown[sketch.slot(words.grams(seq, n - 2)[1 : len(ok) + 1])]
     return ok
@@ -171,20 +171,19 @@ def _by_range(piece: int, ranges: int, h: np.ndarray, times: np.ndarray | None =
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _occurrences(orders: tuple[int, ...], ranges: int, enough: dict[int, np.ndarray], grown: np.ndarray | None):
+def _occurrences(n: int, ranges: int, enough: np.ndarray | None, grown: np.ndarray | None, contexts: bool):
     """The distinct grams of each piece with their counts, packed by hash range;
-    with ``grown`` also their contexts."""
+    with ``contexts`` also their contexts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces, text = batch.column(0).to_numpy(), batch.column(1)
             for a, b in _runs(pieces):
                 tally = _Tally()
                 for _, _, seq, at in _sequences(text.slice(a, b - a)):
-                    for n in orders:
-                        ok = _allowed(seq, at, n, enough, grown)
-                        tally.add(words.grams(seq, n)[ok])
-                        if grown is not None:
-                            tally.add(words.grams(seq, n - 1)[: len(ok)][ok])
+                    ok = _allowed(seq, at, n, enough, grown)
+                    tally.add(words.grams(seq, n)[ok])
+                    if contexts:
+                        tally.add(words.grams(seq, n - 1)[: len(ok)][ok])
                 yield _by_range(pieces[a], ranges, *tally.take())
 
     return run
@@ -213,7 +212,7 @@ def _owners(asked: pa.Table) -> pa.Table:
 _GRAMS = "order int, gram long, context long, tail long, word long, n long"
 
 
-def _described(orders: tuple[int, ...]):
+def _described(n: int):
     """What a piece owns: its grams with the hashes of their context (all but the
     last symbol) and tail (all but the first); the contexts that are left as order 0."""
     def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
@@ -223,17 +222,16 @@ def _described(orders: tuple[int, ...]):
         left = np.ones(len(h), dtype=bool)
         parts = [(np.zeros(0, np.int32), *[np.zeros(0, np.uint64)] * 4, np.zeros(0, np.int64))]
         for _, _, seq, at in _sequences(docs.column("text").combine_chunks()) if len(h) else ():
-            for n in orders:
-                some = np.flatnonzero(_within(at, len(seq), n))
-                grams = words.grams(seq, n)[some]
-                place = np.searchsorted(h, grams)
-                place[place == len(h)] = 0
-                some, place = (x[(h[place] == grams) & left[place]] for x in (some, place))
-                place, where = np.unique(place, return_index=True)
-                some = some[where]
-                left[place] = False
-                shorter = words.grams(seq, n - 1) if n > 2 else seq
-                parts.append((np.full(len(some), n, np.int32), h[place], shorter[some], shorter[some + 1], seq[some + n - 1], times[place]))
+            some = np.flatnonzero(_within(at, len(seq), n))
+            grams = words.grams(seq, n)[some]
+            place = np.searchsorted(h, grams)
+            place[place == len(h)] = 0
+            some, place = (x[(h[place] == grams) & left[place]] for x in (some, place))
+            place, where = np.unique(place, return_index=True)
+            some = some[where]
+            left[place] = False
+            shorter = words.grams(seq, n - 1) if n > 2 else seq
+            parts.append((np.full(len(some), n, np.int32), h[place], shorter[some], shorter[some + 1], seq[some + n - 1], times[place]))
         none = np.zeros(int(left.sum()), np.uint64)
         parts.append((none.astype(np.int32), h[left], none, none, none, times[left]))
         columns = [np.concatenate(x) for x in zip(*parts)]
@@ -335,15 +333,15 @@ def _score_piece(orders: tuple[int, ...], unknown: float):
 
 
 def _retained(entries: DataFrame) -> DataFrame:
-    """Entries (context, gram, n, context_n, parent_p) of the contexts that pass
-    the divergence test, with p (the symbol's probability) and rest."""
+    """Of entries (context, gram, n, context_n, parent_p) those whose contexts pass the
+    divergence test: context, gram, p (the symbol's probability) and rest."""
     a = (F.col("n") - DISCOUNT) / F.col("context_n")
     mass = entries.groupBy("context").agg(F.sum(a).alias("mass"), F.sum("n").alias("seen"), F.count("*").alias("k"))
     rest = F.greatest(F.lit(1.0) - F.col("mass"), F.lit(1e-12))
     each = entries.join(mass, "context").withColumn("rest", rest).withColumn("p", a + F.col("rest") * F.col("parent_p"))
     gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("parent_p"))) + F.max((F.col("context_n") - F.col("seen")) * F.log("rest"))
     good = each.groupBy("context").agg(gain.alias("gain"), F.max(F.col("k") * 0.5 * F.log("context_n")).alias("cost")).filter("gain > cost").select("context")
-    return each.join(good, "context", "left_semi")
+    return each.join(good, "context", "left_semi").select("context", "gram", "p", "rest")
 
 
 def _slots(level: DataFrame) -> np.ndarray:
@@ -363,41 +361,46 @@ def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int
     tokens = keep(first.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")), "lm-tokens", True)
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     enough = {n: sketch.gather(first.filter((F.col("order") == n) & F.col("block").isNotNull()).select("block", "salt", "counts")) >= LEAST for n in ORDERS}
-
     discard(first)
 
-    def counted(orders: tuple[int, ...], enough: dict[int, np.ndarray], grown: np.ndarray | None = None) -> DataFrame:
-        ranges = max(1, -(-total * len(orders) * (1 if grown is None else 2) // RANGE))
-        shared = spark.sparkContext.broadcast((orders, ranges, enough, grown))
+    def counted(n: int, grown: np.ndarray | None = None, contexts: bool = False) -> DataFrame:
+        ranges = max(1, -(-total * (2 if contexts else 1) // RANGE))
+        shared = spark.sparkContext.broadcast((n, ranges, enough.get(n), grown, contexts))
 
         def occurrences(batches):
             return _occurrences(*shared.value)(batches)
 
         asked = pieces.mapInArrow(occurrences, "range int, piece long, hashes binary, times binary")
-        owned = asked.groupBy("range").applyInArrow(_owners, "piece long, hashes binary, times binary")
-        return keep(pieces.groupBy("piece").cogroup(owned.groupBy("piece")).applyInArrow(_described(orders), _GRAMS), "lm-grams", True)
+        owned = keep(asked.groupBy("range").applyInArrow(_owners, "piece long, hashes binary, times binary"), "lm-owned", True)
+        found = keep(pieces.groupBy("piece").cogroup(owned.groupBy("piece")).applyInArrow(_described(n), _GRAMS), "lm-grams", True)
+        discard(owned)
+        return found
 
-    grams = counted(ORDERS, enough)
     columns = ["context", "gram", "n", "context_n", "parent_p"]
     unigram = tokens.select(F.col("h").alias("word"), ((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("root_p"))
     starts = pieces.agg(F.lit(int(START)).cast("long").alias("h"), F.count("*").alias("n"))
     of_word = tokens.select("h", "n").union(starts).select(F.col("h").alias("context"), F.col("n").alias("context_n"))
-    one = grams.filter("order = 2").join(unigram, "word").join(of_word, "context").withColumn("parent_p", F.col("root_p"))
+    pairs = counted(2)
+    one = pairs.join(unigram, "word").join(of_word, "context").withColumn("parent_p", F.col("root_p"))
     levels = {2: keep(_retained(one.select(*columns)), "lm-one", True)}
 
     def parents(n: int) -> DataFrame:
         return levels[n].select(F.col("gram").alias("tail"), F.col("p").alias("tail_p"))
 
-    pairs = grams.filter("order = 2").select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
-    two = grams.filter("order = 3").join(unigram, "word").join(pairs, "context").join(parents(2), "tail", "left").withColumn("parent_p", F.coalesce("tail_p", "root_p"))
+    def as_contexts(found: DataFrame) -> DataFrame:
+        return found.select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
+
+    triples = counted(3)
+    two = triples.join(unigram, "word").join(as_contexts(pairs), "context").join(parents(2), "tail", "left").withColumn("parent_p", F.coalesce("tail_p", "root_p"))
     levels[3] = keep(_retained(two.select(*columns)), "lm-two", True)
-    discard(grams)
+    discard(pairs)
     slots = {n: _slots(level) for n, level in levels.items()}
     n = 3
     while slots[n].any():
         n += 1
-        found = counted((n,), {}, slots[n - 1])
-        sums = found.filter("order = 0").select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
+        # contexts of three words were counted as grams, all of them
+        found = counted(n, slots[n - 1], n > 4)
+        sums = as_contexts(triples if n == 4 else found.filter("order = 0"))
         more = found.filter("order > 0").join(parents(n - 1).withColumnRenamed("tail_p", "parent_p"), "tail").join(sums, "context")
         levels[n] = keep(_retained(more.select(*columns)), "lm-level", True)
         slots[n] = _slots(levels[n])
@@ -412,7 +415,7 @@ def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int
     for more in rows[1:]:
         tree = tree.union(more)
     whole = keep(tree.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree", True)
-    discard(tokens, *levels.values())
+    discard(tokens, triples, *levels.values())
     return whole, {n: x for n, x in slots.items() if x.any()}, total, distinct
 
 
@@ -425,7 +428,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Col
     With no training rows every token is unknown and has probability one."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), (held_out(F.col(doc_id)) if held is None else held).alias("held_out"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    pieces = keep(slim.mapInArrow(_pieces, f"piece long, doc_id {kind}, held_out boolean, text string"), "lm-pieces")
+    pieces = keep(slim.mapInArrow(_pieces, f"piece long, doc_id {kind}, held_out boolean, text string"), "lm-pieces", True)
     tree, slots, total, distinct = learn(pieces.filter(~F.col("held_out")).select("piece", "text"))
     orders = tuple(sorted(slots))
     ranges = max(1, -(-total * (1 + len(orders)) // RANGE))
@@ -436,7 +439,8 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Col
 
     asked = pieces.select("piece", "text").mapInArrow(requests, "range int, piece long, hashes binary")
     known = tree.select((F.shiftrightunsigned("h", 40) % ranges).cast("int").alias("range"), "h", *(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("p", "rest")))
-    answers = asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answer, "piece long, found binary")
+    answers = keep(asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answer, "piece long, found binary"), "lm-answers", True)
+    discard(tree)
     unknown = -float(np.log10(total + distinct + 1))
     scored = pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(
         _score_piece(orders, unknown), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
