@@ -334,14 +334,18 @@ def _score_piece(orders: tuple[int, ...], unknown: float):
 
 def _retained(entries: DataFrame) -> DataFrame:
     """Of entries (context, gram, n, context_n, parent_p) those whose contexts pass the
-    divergence test: context, gram, p (the symbol's probability) and rest."""
+    divergence test, kept: context, gram, p (the symbol's probability) and rest."""
     a = (F.col("n") - DISCOUNT) / F.col("context_n")
+    entries = keep(entries, "lm-entries", True)
     mass = entries.groupBy("context").agg(F.sum(a).alias("mass"), F.sum("n").alias("seen"), F.count("*").alias("k"))
     rest = F.greatest(F.lit(1.0) - F.col("mass"), F.lit(1e-12))
-    each = entries.join(mass, "context").withColumn("rest", rest).withColumn("p", a + F.col("rest") * F.col("parent_p"))
+    each = keep(entries.join(mass, "context").withColumn("rest", rest).withColumn("p", a + F.col("rest") * F.col("parent_p")), "lm-each", True)
+    discard(entries)
     gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("parent_p"))) + F.max((F.col("context_n") - F.col("seen")) * F.log("rest"))
     good = each.groupBy("context").agg(gain.alias("gain"), F.max(F.col("k") * 0.5 * F.log("context_n")).alias("cost")).filter("gain > cost").select("context")
-    return each.join(good, "context", "left_semi").select("context", "gram", "p", "rest")
+    out = keep(each.join(good, "context", "left_semi").select("context", "gram", "p", "rest"), "lm-level", True)
+    discard(each)
+    return out
 
 
 def _slots(level: DataFrame) -> np.ndarray:
@@ -382,7 +386,7 @@ def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int
     of_word = tokens.select("h", "n").union(starts).select(F.col("h").alias("context"), F.col("n").alias("context_n"))
     pairs = counted(2)
     one = pairs.join(unigram, "word").join(of_word, "context").withColumn("parent_p", F.col("root_p"))
-    levels = {2: keep(_retained(one.select(*columns)), "lm-one", True)}
+    levels = {2: _retained(one.select(*columns))}
 
     def parents(n: int) -> DataFrame:
         return levels[n].select(F.col("gram").alias("tail"), F.col("p").alias("tail_p"))
@@ -392,7 +396,7 @@ def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int
 
     triples = counted(3)
     two = triples.join(unigram, "word").join(as_contexts(pairs), "context").join(parents(2), "tail", "left").withColumn("parent_p", F.coalesce("tail_p", "root_p"))
-    levels[3] = keep(_retained(two.select(*columns)), "lm-two", True)
+    levels[3] = _retained(two.select(*columns))
     discard(pairs)
     slots = {n: _slots(level) for n, level in levels.items()}
     n = 3
@@ -402,7 +406,7 @@ def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int
         found = counted(n, slots[n - 1], n > 4)
         sums = as_contexts(triples if n == 4 else found.filter("order = 0"))
         more = found.filter("order > 0").join(parents(n - 1).withColumnRenamed("tail_p", "parent_p"), "tail").join(sums, "context")
-        levels[n] = keep(_retained(more.select(*columns)), "lm-level", True)
+        levels[n] = _retained(more.select(*columns))
         slots[n] = _slots(levels[n])
         discard(found)
 
