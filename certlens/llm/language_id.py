@@ -11,6 +11,12 @@ The posterior of a language given a row is the product of
   start from their country's languages. A row's own count is left out of its
   host's.
 
+A further hypothesis stands for noise and languages without labels: its likelihood of
+every gram lies a quarter of the way from a gram that a language has never shown to
+that language's mean (averaged over the languages), and its prior is ``OTHER``. It is
+part of the posterior, so where it wins no language reaches ``ACCEPT``; its share of a
+row is left out of the host and code counts.
+
 The text model is fitted on a bounded sample of labelled rows (about ``SAMPLE``
 for each language, by a hash of the row); everything else covers all rows. The
 soft counts come from the text alone, so the fusion needs one pass over the texts
@@ -37,6 +43,7 @@ TEMPER = 0.25
 STRENGTH = 20.0
 DECLARED = 5.0
 ACCEPT = 0.5
+OTHER = 0.02
 #: Languages of country suffixes.
 COUNTRY = {"at": "de", "de": "de", "li": "de", "es": "es", "mx": "es", "ar": "es", "co": "es", "cl": "es", "pe": "es", "fr": "fr",
            "uk": "en", "us": "en", "ie": "en", "au": "en", "nz": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh"}
@@ -90,8 +97,9 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages in code point order and their log likelihoods by bin; without
-    labelled rows one language "und" without evidence."""
+    """Languages in code point order and log likelihoods by bin, a row for each
+    language and a last one for any other; without labelled rows one language "und"
+    without evidence."""
     rows = labelled.select(code(F.col(lang)).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     share = F.pmod(F.xxhash64(F.lit(5), "text"), F.col("n")) < sample
@@ -100,10 +108,14 @@ def fit_text_model(labelled: DataFrame, text: str = "text", lang: str = "lang",
     for tag, raw in some.mapInArrow(_gram_counts, "lang string, counts binary").repartition("lang").mapInArrow(_add_counts, "lang string, counts binary").collect():
         total[tag] = total.get(tag, 0) + np.frombuffer(raw, np.int64)
     if not total:
-        return ["und"], np.zeros((1, BINS), np.float32)
+        return ["und"], np.zeros((2, BINS), np.float32)
     tags = sorted(total)
     counts = np.stack([total[t] for t in tags]) + ALPHA
-    return tags, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    share = counts / counts.sum(axis=1, keepdims=True)
+    logs = np.log(share)
+    unseen = np.log(ALPHA / counts.sum(axis=1))
+    other = np.mean(unseen + ((share * logs).sum(axis=1) - unseen) / 4)
+    return tags, np.vstack([logs, np.full(BINS, other)]).astype(np.float32)
 
 
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +140,14 @@ def _likelihoods(get, place: int):
                     total = np.concatenate([[0.0], np.cumsum(row[bins], dtype=np.float64)])
                     sums[i:j, k] = total[at[1:]] - total[at[:-1]]
             sums *= TEMPER
-            soft = np.exp(sums - sums.max(axis=1, keepdims=True))
-            soft /= soft.sum(axis=1, keepdims=True)
+            other, sums = sums[:, -1], sums[:, :-1]
+            top = sums.max(axis=1, keepdims=True)
+            soft = np.exp(sums - top)
+            soft /= soft.mean(axis=1, keepdims=True) * len(soft[0]) * (1 + OTHER * np.exp(np.minimum(other - top[:, 0], 700.0)) / soft.mean(axis=1))[:, None]
             columns = [c for k, c in enumerate(batch.columns) if k != place]
-            as_list = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(logs)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(grams), as_list(sums), as_list(soft)],
-                                             names=[*(n for k, n in enumerate(batch.schema.names) if k != place), "grams", "log_text", "soft"])
+            as_list = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * (len(logs) - 1)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(grams), pa.array(other), as_list(sums), as_list(soft)],
+                                             names=[*(n for k, n in enumerate(batch.schema.names) if k != place), "grams", "log_other", "log_text", "soft"])
 
     return run
 
@@ -146,8 +160,8 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     """All columns of ``rows`` but the text, plus suffix, lang, confidence,
     text_lang (from the text alone), grams and accepted.
 
-    accepted: the text holds a letter gram and the posterior is at least
-    ``ACCEPT``. Null and empty texts, and texts without letters, get a language
+    accepted: the text holds a letter gram and the language's posterior, against the
+    others and the hypothesis of any other language, is at least ``ACCEPT``. Null and empty texts, and texts without letters, get a language
     from the other evidence but are not accepted. Null hosts and declared codes
     are no evidence of their own (they count as one unnamed host, or not at all).
     Ties go to the smaller code. Repeated rows get the same result, an empty
@@ -164,7 +178,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
         F.struct(*rest.columns).alias("_row"), name.alias("_host"), F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise("").alias("_suffix"),
         F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("_domain"), code(F.col(declared)).alias("_declared"), F.col(text).alias("_text"))
     place = flat.columns.index("_text")
-    schema = flat.drop("_text").limit(0).withColumns({"grams": F.lit(0).cast("long"), "log_text": F.array(F.lit(0.0)), "soft": F.array(F.lit(0.0))}).schema
+    schema = flat.drop("_text").limit(0).withColumns({"grams": F.lit(0).cast("long"), "log_other": F.lit(0.0), "log_text": F.array(F.lit(0.0)), "soft": F.array(F.lit(0.0))}).schema
 
     def likelihoods(batches):
         return _likelihoods(lambda: shared.value, place)(batches)
@@ -203,7 +217,9 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], text: str = "
     logs_col = F.transform(parts, lambda z: z["t"] + F.log(z["p"]) + z["d"])
     fused = fused.withColumn("prior", prior).withColumn("joint", logs_col).withColumn("top", F.array_max("joint"))
     best = F.element_at(F.array(*map(F.lit, tags)), F.array_position("joint", F.col("top")).cast("int"))
-    confidence = F.lit(1.0) / F.aggregate("joint", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top")))
+    # any other language: each declared code is as likely
+    other = F.col("log_other") + float(np.log(OTHER)) - F.when(F.col("log_declared").isNotNull(), float(np.log(n + 1))).otherwise(0.0)
+    confidence = F.lit(1.0) / F.aggregate("joint", F.exp(F.least(other - F.col("top"), F.lit(700.0))), lambda s, x: s + F.exp(x - F.col("top")))
     text_best = F.element_at(F.array(*map(F.lit, tags)), F.array_position("soft", F.array_max("soft")).cast("int"))
     out = fused.withColumn("confidence", confidence)
     real = tags != ["und"]

@@ -2,17 +2,21 @@
 replacement. DataFrame functions only.
 
 * Detection: one regular expression for all types; a type follows from the form
-  of the match, a name's from its form of address. Texts without a digit, one of
-  @=:, a key's prefix or a form of address are not searched.
+  of the match. Names are found after a form of address; their words are then
+  entities wherever they stand in the text as whole words (a trailing 's is no part
+  of a name). Texts without a digit, one of @=:, a key's prefix or a form of address
+  are not searched.
 * Surrogates keep the form: letters stay letters of the same case and script,
   digits stay digits, separators stay. Addresses keep their top-level domain, IP
   addresses stay valid, card numbers keep their first digit and pass the check
   digit test if the original does, phone numbers keep their country code, keys
-  keep their public prefix, hexadecimal secrets stay hexadecimal. Names after a
-  form of address get a name of the same gender and script.
+  keep their public prefix, hexadecimal secrets stay hexadecimal. Given names get one
+  of the same gender and script, surnames one of the same script; names in capitals
+  stay in capitals.
 * Coreference: a surrogate depends on the type and the entity's core (its letters
   and digits, lower case), so one entity gets the same surrogate everywhere, in
-  whatever spelling or format.
+  whatever spelling or format. Given name and surname are replaced each, so the full
+  name, the title with the surname and the bare surname agree.
 * Distinctness: the distinct cores of the corpus get candidate surrogates; those
   that meet another core's candidate or any real core are drawn again with the
   next attempt, until none is left; after ``WIDEN`` attempts they get longer than the
@@ -33,6 +37,8 @@ KEY = "surrogates-2024"
 ATTEMPTS = 64
 #: From this attempt on a surrogate gets one more digit each time: its form has hardly a free value.
 WIDEN = 8
+#: Attempts at a given name from the list alone.
+PLAIN = 4
 
 # Forms of address by gender, and name parts of surrogates.
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Sra", "Señora", "Señorita", "Госпожа")
@@ -55,15 +61,36 @@ _CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}
 _SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?|[0-9]{1,4}[ .-]?)(?:[0-9]{2,4}[ .-]?){1,4}[0-9]{2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
-# whatever can fail comes before the title's group: a failed name leaves no title behind
+# a name after its form of address, which is the group
 _NAME = rf"(?=\p{{Lu}}[\p{{L}}'’-])(?<=\x20)(?<=(?<![\p{{L}}])({_TITLE})(?:\.|)\x20)\p{{Lu}}[\p{{L}}'’-]++(?: \p{{Lu}}[\p{{L}}'’-]++)?"
-ENTITY = "|".join((_EMAIL, _SECRET, _KEY_ID, _IP, _SSN, _IBAN, _CARD, _PHONE, _NAME))
-#: The group of ENTITY that holds a name's form of address (the first is the card's separator).
-TITLE_GROUP = 2
+ENTITY = "|".join((_EMAIL, _SECRET, _KEY_ID, _IP, _SSN, _IBAN, _CARD, _PHONE))
 TITLED = rf"(?=[{''.join(sorted({t[0] for t in FEMALE_TITLES + MALE_TITLES}))}])(?:{_TITLE})(?:\.|) \p{{Lu}}"
 MAYBE = rf"[0-9@=:]|sk-|ghp_|AKIA|{TITLED}"
 
 
+def name_words(body: Column) -> Column:
+    """The words of the names after a form of address: word, given (the first of two),
+    female (by the form of address)."""
+    names, titles = (F.regexp_extract_all(body, F.lit(_NAME), F.lit(g)) for g in (0, 1))
+    found = F.when(body.rlike(TITLED), F.arrays_zip(names.alias("name"), titles.alias("title"))).otherwise(F.array().cast("array<struct<name:string,title:string>>"))
+
+    def parts(x: Column) -> Column:
+        of = F.filter(F.split(x["name"], " "), lambda w: ~w.isin(*FEMALE_TITLES, *MALE_TITLES))
+        return F.transform(of, lambda w, j: F.struct(
+            F.regexp_replace(w, "(?:['’]s|['’-]+)$", "").alias("word"), ((F.size(of) == 2) & (j == 0)).alias("given"), x["title"].isin(*FEMALE_TITLES).alias("female")))
+
+    return F.filter(F.flatten(F.transform(found, parts)), lambda x: F.length(x["word"]) > 1)
+
+
+def entity_pattern(words: Column, pairs: bool = False) -> Column:
+    """The pattern of all entities of a text whose name words are ``words`` (joined by
+    bars; they hold letters, apostrophes and hyphens only); with ``pairs`` two words
+    with a space between are one entity."""
+    word = F.concat(F.lit(r"(?<![\p{L}])(?=\p{Lu})(?:"), words, F.lit(r")(?![\p{L}])"))
+    names = F.concat(word, F.lit("(?: "), word, F.lit(")?")) if pairs else word
+    return F.when(words != "", F.concat(F.lit(ENTITY + "|"), names)).otherwise(F.lit(ENTITY))
+
+
 def entity_type(entity: Column) -> Column:
     """The type of a match, from its form alone."""
     return (
@@ -139,11 +166,14 @@ def surrogate_core(kind: Column, core: Column, gender: Column, seed: Column, att
     cyrillic = core.rlike(r"\p{IsCyrillic}")
     female = gender == "f"
 
-    def name(options_f, options_m, syllables):
+    def syllables(options: tuple[str, ...], n: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), n), lambda i: F.element_at(F.array(*map(F.lit, options)), _draw(seed, i + 9, len(options)) + 1))
+        return F.array_join(parts, "")
+
+    def given(options_f: tuple[str, ...], options_m: tuple[str, ...], ends: tuple[str, ...]) -> Column:
         first = F.when(female, _pick(options_f, seed, 1)).otherwise(_pick(options_m, seed, 1))
-        parts = F.transform(F.sequence(F.lit(0), F.lit(1) + attempt), lambda i: F.element_at(F.array(*map(F.lit, syllables)), _draw(seed, i + 10, len(syllables)) + 1))
-        last = F.initcap(F.array_join(parts, ""))
-        return F.when(core.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
+        # the list is short: later candidates are longer names
+        return F.when(attempt < PLAIN, first).otherwise(F.concat(first, syllables(ends, F.greatest(attempt - PLAIN, F.lit(0)) + 1)))
 
     hexadecimal = core.rlike("^[0-9a-fA-F]+$")
     prefix = F.length(F.regexp_extract(core, "^(AKIA|sk-|ghp_)", 1)) + 1
@@ -155,7 +185,8 @@ def surrogate_core(kind: Column, core: Column, gender: Column, seed: Column, att
         .when(kind == "phone", _same_form(core, seed, F.when(F.length(core) > 10, F.length(core) - 9).otherwise(F.lit(1))))
         .when(kind == "ssn", _same_form(core, seed, F.lit(1)))
         .when(kind == "key", _same_form(core, seed, prefix))
-        .when(kind == "name", F.when(cyrillic, name(FEMALE_NAMES_CYRILLIC, MALE_NAMES_CYRILLIC, SYLLABLES_CYRILLIC)).otherwise(name(FEMALE_NAMES, MALE_NAMES, SYLLABLES)))
+        .when(kind == "given", F.when(cyrillic, given(FEMALE_NAMES_CYRILLIC, MALE_NAMES_CYRILLIC, SYLLABLES_CYRILLIC)).otherwise(given(FEMALE_NAMES, MALE_NAMES, SYLLABLES)))
+        .when(kind == "surname", F.initcap(F.when(cyrillic, syllables(SYLLABLES_CYRILLIC, attempt + 2)).otherwise(syllables(SYLLABLES, attempt + 2))))
         .otherwise(_same_form(core, seed, F.lit(1), hexadecimal))
     )
 
@@ -164,7 +195,7 @@ def _widened(kind: Column, new: Column, seed: Column, more: int) -> Column:
     """A candidate with so many more digits, before an address's last label (names
     get longer by themselves, and IP addresses have values enough)."""
     extra = F.concat(*(_letter("0123456789", seed, F.lit(-1 - i)) for i in range(more)))
-    return (F.when(kind.isin("ip", "name"), new)
+    return (F.when(kind.isin("ip", "given", "surname"), new)
             .when(kind == "email", F.regexp_replace(new, F.lit(r"(\.[a-z]+)$"), F.concat(extra, F.lit("$1"))))
             .otherwise(F.concat(new, extra)))
 
@@ -185,6 +216,7 @@ def _formatted(kind: Column, entity: Column, new: Column) -> Column:
     return (
         F.when(kind.isin("ssn", "iban", "card", "phone"), F.concat(F.array_join(F.transform(places, put), ""), F.substring(new, F.length(entity_core(kind, entity)) + 1, F.length(new))))
         .when(kind == "email", F.concat(F.array_join(F.transform(places, case), ""), F.substring(new, F.length(entity) + 1, F.length(new))))
+        .when(kind.isin("given", "surname") & (entity == F.upper(entity)), F.upper(new))
         .otherwise(new)
     )
 
@@ -225,30 +257,43 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY, count: str
     Null and empty texts stay. Repeated texts are searched once and get the same
     result. An empty table stays empty. New helper columns avoid the names that
     ``docs`` has."""
-    at, of_text, news_of = (free_name(docs, x) for x in ("pii_key", "pii_text", "pii_news"))
+    at, of_text, news_of, words_of, n_of = (free_name(docs, x) for x in ("pii_key", "pii_text", "pii_news", "pii_words", "pii_n"))
     names = [F.col(c) for c in docs.columns]
     body = F.col(text)
     maybe = F.coalesce(body.rlike(MAYBE), F.lit(False))
     keyed = docs.filter(maybe).withColumn(at, row_key(text))
-    # the titles are aligned with the entities: empty where another alternative than the name matched
-    titles = F.when(body.rlike(TITLED), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(TITLE_GROUP))).otherwise(F.array().cast("array<string>"))
-    found = keyed.select(F.col(at).alias("k"), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)).alias("entities"), titles.alias("titles"))
-    found = found.filter(F.size("entities") > 0).select("k", F.arrays_zip("entities", "titles").alias("hits"))
-    found = keep(found.groupBy("k").agg(F.first("hits").alias("hits")), "pii-found")
-    each = found.select("k", F.posexplode("hits").alias("i", "hit")).select("k", "i", F.col("hit.entities").alias("entity"), F.coalesce("hit.titles", F.lit("")).alias("title"))
-    form, title = entity_type(F.col("entity")), F.col("title")
-    kind = F.when(title != "", "name").when(form == "name", "secret").otherwise(form)
-    each = each.withColumn("kind", kind)
-    gender = F.when(title.isin(*FEMALE_TITLES), "f").otherwise("m")
-    each = each.select("k", "i", "entity", "kind", entity_core(F.col("kind"), F.col("entity")).alias("core"), gender.alias("gender"))
+    found = keyed.select(F.col(at).alias("k"), body.alias("body"), name_words(body).alias("names"))
+    each_word = F.array_distinct(F.transform("names", lambda x: x["word"]))
+    longest_first = F.array_sort(each_word, lambda a, b: F.length(b) - F.length(a))
+    found = found.select("k", "body", "names", F.array_join(longest_first, "|").alias("words"))
+
+    def words_that(test) -> Column:
+        return F.transform(F.filter("names", test), lambda x: x["word"])
+
+    entities = F.regexp_extract_all("body", entity_pattern(F.col("words")), F.lit(0))
+    n_found = F.when(F.col("words") != "", F.size(F.regexp_extract_all("body", entity_pattern(F.col("words"), True), F.lit(0)))).otherwise(F.size("entities"))
+    found = found.select("k", "body", "words", entities.alias("entities"), words_that(lambda x: ~x["given"]).alias("surnames"),
+                         words_that(lambda x: x["given"]).alias("given"), words_that(lambda x: x["female"]).alias("female"))
+    hits = F.transform("entities", lambda e: F.struct(
+        e.alias("entity"), F.when(F.array_contains("surnames", e), "surname").when(F.array_contains("given", e), "given").otherwise("").alias("role"),
+        F.when(F.array_contains("female", e), "f").otherwise("m").alias("gender")))
+    found = found.filter(F.size("entities") > 0).select("k", "words", n_found.alias("n"), hits.alias("hits"))
+    found = keep(found.groupBy("k").agg(F.first("words").alias("words"), F.first("n").alias("n"), F.first("hits").alias("hits")), "pii-found")
+    # what is a text's goes with its first entity
+    each = found.select("k", "words", "n", F.posexplode("hits").alias("i", "hit")).select(
+        "k", "i", F.when(F.col("i") == 0, F.col("words")).alias("words"), F.when(F.col("i") == 0, F.col("n")).alias("n"), "hit.entity", "hit.role", "hit.gender")
+    form = entity_type(F.col("entity"))
+    kind = F.when(F.col("role") != "", F.col("role")).when(form == "name", "secret").otherwise(form)
+    each = each.withColumn("kind", kind).withColumn("core", entity_core(F.col("kind"), F.col("entity")))
     given = assign_surrogates(each.select("kind", "core", "gender"), key)
-    put = each.join(given, ["kind", "core"]).select("k", "i", _formatted(F.col("kind"), F.col("entity"), F.col("new")).alias("new"))
-    news = put.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias(news_of))
+    put = each.join(given, ["kind", "core"]).select("k", "i", "words", "n", _formatted(F.col("kind"), F.col("entity"), F.col("new")).alias("new"))
+    news = put.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "new"))), lambda x: x["new"]).alias(news_of),
+                                F.max("words").alias(words_of), F.max("n").alias(n_of))
     joined = keyed.join(news.withColumnRenamed("k", of_text), F.col(at) == F.col(of_text), "left")
-    pieces = F.split(body, ENTITY, -1)
+    pieces = F.split(body, entity_pattern(F.coalesce(F.col(words_of), F.lit(""))), -1)
     changed = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(F.col(news_of), (i + 1).cast("int")), F.lit("")))), "")
     new_text = F.when(F.col(news_of).isNull(), body).otherwise(changed)
-    n = F.coalesce(F.size(news_of), F.lit(0)).cast("long")
+    n = F.col(n_of)
 
     def columns(text_col: Column, n_col: Column, changes: Column) -> list[Column]:
         out = []

@@ -70,3 +70,25 @@ def test_grams_stay_inside_rows():
     assert np.diff(at).tolist() == [1, 0, 0, 4, 0, 3]
     one, _ = L._bins(*words.buffers(pa.array(["ABCD"])))
     assert one[0] == bins[0]
+
+
+def test_noise_and_languages_without_labels_are_refused(spark):
+    import random
+
+    rng = random.Random(4)
+    noise = " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=rng.randrange(3, 9))) for _ in range(40))
+    polish = "Szczęście jest wtedy gdy wszystko się układa tak jak chcemy i nic nam nie przeszkadza w codziennym życiu"
+    russian = "Привет мир, сегодня хорошая погода и мы идем гулять в парк с друзьями"
+    plain = {"de": "die und der ist nicht ein den mit das", "en": "the weather and what is there with the other people of this",
+             "es": "el que los para una como pero más", "fr": "les que pour une dans est pas avec"}
+    rows = [(1, noise, None, None, "x"), (2, polish, None, "h.pl", "x"), (3, russian, None, None, "x"), (4, noise * 500, "en", "h.uk", "x")]
+    rows += [(10 + i, t, k, None, "x") for i, (k, t) in enumerate(plain.items())] + [(20, "zq zq", None, None, "x")]
+    got = identify(spark, rows, model_of(spark))
+    assert [got[i].accepted for i in (1, 2, 3, 4)] == [False] * 4
+    assert [(got[10 + i].lang, got[10 + i].accepted) for i in range(4)] == [(k, True) for k in plain]
+
+
+def test_clean_documents_are_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 60")
+    got = L.identify(docs.select("text", F.col("lang").alias("declared"), F.col("source").alias("host")), model_of(spark))
+    assert got.filter("not accepted").count() == 0

@@ -129,3 +129,26 @@ def test_exhausted_forms_get_longer(spark):
     assert len(got) == 11 and len(set(new.values())) == 11 and not set(new) & set(new.values())
     df = spark.createDataFrame([("ssn", "0-7", "123"), ("email", "A@b.co", "x@y1.co"), ("secret", "------", "------4")], "k string, e string, n string")
     assert [r[0] for r in df.select(pii._formatted(F.col("k"), F.col("e"), F.col("n"))).collect()] == ["1-23", "X@y1.co", "------4"]
+
+
+def test_all_mentions_of_a_person_agree(spark):
+    texts = ["Mrs Anna Weber called. Later Weber said that Anna Weber would come; Anna Weberin stays, Webers too. Weber's car.",
+             "Mr John Smith and Mr Smith, MR JOHN, then Mr JOHN SMITH's", "Ms Mary Smith-Jones, Smith and Jones; Smith-Jones.", "Mr Lee " * 3000 + "and Lee"]
+    got = {i: r for i, r in run(spark, texts).items()}
+    m = re.fullmatch(r"Mrs (\w+) (\w+) called\. Later (\w+) said that (\w+) (\w+) would come; (\w+) Weberin stays, Webers too\. (\w+)'s car\.", got[0].text)
+    first, last = m[1], m[2]
+    assert first in pii.FEMALE_NAMES and (m[3], m[4], m[5], m[6], m[7]) == (last, first, last, first, last) and got[0].n_entities == 5
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Mr (\w+), MR (\w+), then Mr (\w+) (\w+)'s", got[1].text)
+    assert m[1] in pii.MALE_NAMES and m[3] == m[2] and (m[4], m[5], m[6]) == (m[1].upper(), m[1].upper(), m[2].upper())
+    assert m[2].lower() != last.lower()
+    m = re.fullmatch(r"Ms (\w+) (\w+), Smith and Jones; (\w+)\.", got[2].text)
+    assert m[1] in pii.FEMALE_NAMES and m[2] == m[3]
+    assert set(got[3].text.split()) == {"Mr", "and", got[3].text.split()[-1]} and "Lee" not in got[3].text and got[3].n_entities == 3001
+
+
+def test_many_given_names_stay_distinct(spark):
+    names = [f"Given{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    got = run(spark, [f"Frau {x} Weber" for x in names])
+    new = [r.text.split()[1] for r in got.values()]
+    assert len(set(new)) == 120 and not set(new) & set(names) and len({r.text.split()[2] for r in got.values()}) == 1
+    assert all(x.startswith(pii.FEMALE_NAMES) for x in new)
