@@ -27,7 +27,7 @@ from certlens.llm.fm_index import FMIndex
 from certlens.llm.shared import free_name
 
 WINDOW = 13
-SHARD = 8 << 20
+SHARD = 4 << 20
 BLOCK_WORDS = 200_000
 
 
