@@ -256,11 +256,8 @@ FROM certificates c LEFT JOIN ranked k ON k.cert_hash = c.cert_hash
 WHERE c.cert_hash IN ({cands})
 GROUP BY c.cert_hash
 """
-_RESCORE_CANDS = (f"SELECT DISTINCT cert_hash FROM (SELECT cert_hash FROM cert_findings WHERE finding_code = "
-                  f"'ANOMALY_SCORE' AND {O.trailing('created_at', 14)} ORDER BY created_at DESC, cert_hash ASC "
-                  f"LIMIT {Rs.DEFAULT_LIMIT}) x")
-_FAST_CANDS = (f"SELECT cert_hash FROM (SELECT cert_hash FROM certificates WHERE {O.trailing('last_seen', 14)} "
-               f"ORDER BY cert_hash LIMIT {Rs.DEFAULT_LIMIT}) y")
+_RESCORE_CANDS = f"SELECT DISTINCT cert_hash FROM cert_findings WHERE finding_code = 'ANOMALY_SCORE' AND {O.trailing('created_at', 14)}"
+_FAST_CANDS = f"SELECT DISTINCT cert_hash FROM certificates WHERE {O.trailing('last_seen', 14)}"
 
 
 def _scores_from_findings(df):

@@ -1,10 +1,11 @@
 """Rescore job (D18): recompute ANOMALY_SCORE findings for recent candidates.
 
-Candidates are the certificates of the newest ``limit`` ANOMALY_SCORE
-findings in the window (the limit counts findings; duplicates collapse
-afterwards), or - with ``all_certs`` - up to ``limit`` certificates last
-seen in the window. The candidate list is bounded by ``limit`` and
-broadcast into a semi join (no driver round trip, no key chunks). Fresh
+Candidates are the certificates of the ANOMALY_SCORE findings in the window,
+or - with ``all_certs`` - all certificates last seen in the window; a ``limit``
+takes the newest findings (it counts findings; duplicates collapse afterwards)
+or the first certificates by hash. Candidates meet the certificates in a semi
+join (no driver round trip, no key chunks), broadcast only if Spark finds them
+small. Fresh
 baselines and bursts are used unless ``fast``. All new findings share one
 ``created_at``; stored certificate scores are not changed.
 """
@@ -23,21 +24,22 @@ from certlens.operators import signals as Sg
 from certlens.operators.certfeatures import attach_name_features
 from certlens.sources import psl
 
+#: The limit of the command-line job.
 DEFAULT_LIMIT = 50_000
 
 
 def rescore(spark: SparkSession, observations: DataFrame, certificates: DataFrame, findings: DataFrame, as_of,
-            days: int, limit: int = DEFAULT_LIMIT, all_certs: bool = False, fast: bool = False,
+            days: int, limit: int | None = None, all_certs: bool = False, fast: bool = False,
             settings: Settings = DEFAULT, *, rules: list[str]) -> DataFrame:
     span = Span.trailing(as_of, days)
     if all_certs:
-        cands = (certificates.filter(span.contains("last_seen")).select("cert_hash")
-                 .orderBy("cert_hash").limit(limit))
+        cands, order = certificates.filter(span.contains("last_seen")), [F.asc("cert_hash")]
     else:
-        cands = (span.filter(findings, "created_at", "created_day").filter(F.col("finding_code") == "ANOMALY_SCORE")
-                 .select("cert_hash", "created_at").orderBy(F.desc("created_at"), F.asc("cert_hash"))
-                 .limit(limit).select("cert_hash").distinct())
-    certs = certificates.join(cands, "cert_hash", "left_semi")
+        cands = span.filter(findings, "created_at", "created_day").filter(F.col("finding_code") == "ANOMALY_SCORE")
+        order = [F.desc("created_at"), F.asc("cert_hash")]
+    if limit is not None:
+        cands = cands.orderBy(*order).limit(limit)
+    certs = certificates.join(cands.select("cert_hash").distinct(), "cert_hash", "left_semi")
     rules_df = psl.rules_frame(spark, rules)
     t = settings.thresholds
     if fast:
