@@ -266,6 +266,7 @@ def certificate_features(spark, d):
     ders = customer_certificates(A.read_table(spark, d, "customer"))
     keyed = ders.select("c_custkey", F.sha2("der", 256).alias("cert_hash"))
     good, _ = extract_features(ders.select("der"))
-    return keyed.join(good, "cert_hash").select(
+    # Not broadcast: Spark estimates both sides from the customer table's compressed size.
+    return keyed.hint("merge").join(good, "cert_hash").select(
         "c_custkey", *[F.col(c).cast("timestamp_ntz").alias(c) if c == "not_before" else F.col(c)
                        for c in _A8_COLS])

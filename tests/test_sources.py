@@ -6,6 +6,7 @@ from pyspark.sql import Observation, functions as F
 
 from certlens.sources import psl
 from certlens.sources.envelope import parse_messages, split_quarantine
+from tests.conftest import SMOKE
 
 
 def test_load_rules_from_list_file(spark):
@@ -40,3 +41,16 @@ def test_envelope_filters_and_quarantines(spark):
     seen = Observation()
     parse_messages(df, counters=seen).collect()
     assert seen.get == {"received_events": 3, "no_leaf": 1, "undecodable": 1}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoding_is_dealt_out_and_features_join_without_a_broadcast(spark):
+    from certlens.plans.queries_scalars import certificate_features
+
+    plan = plan_of(certificate_features(spark, SMOKE))
+    assert "Broadcast" not in plan
+    for encode in plan.split("MapInPandas _encode")[1:]:
+        assert "REPARTITION_BY_COL" in encode.split("MapInPandas")[0].split("FileScan")[0]
