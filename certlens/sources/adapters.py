@@ -176,14 +176,16 @@ def der_messages(spark: SparkSession, sf_dir: str, broken: bool = False) -> Data
     ``k`` divisible by 10 have bytes that are no certificate."""
     from certlens.sources.dersynth import customer_certificates
 
-    ders = customer_certificates(read_table(spark, sf_dir, "customer"))
+    customers = read_table(spark, sf_dir, "customer")
     e = ev(spark, sf_dir).select("event_id", "ts", "event_type", "cert_no", "k", "props")
     # base64 may be MIME-chunked with line breaks; JSON text needs one line.
     b64 = F.regexp_replace(F.base64("der"), r"\s", "")
-    leaf = ders.select(F.col("c_custkey").alias("cert_no"), b64.alias("leaf"))
-    chain = ders.select(F.col("c_custkey").alias("issuer_no"), b64.alias("chain"))
-    j = e.join(leaf, "cert_no").withColumn("issuer_no", F.col("cert_no") % 3).join(F.broadcast(chain.filter(
-        F.col("issuer_no") < 3)), "issuer_no")
+    leaf = customer_certificates(customers).select(F.col("c_custkey").alias("cert_no"), b64.alias("leaf"))
+    issuers = customers.filter(F.col("c_custkey").between(-2, 2))  # remainders by 3
+    chain = customer_certificates(issuers).select(F.col("c_custkey").alias("issuer_no"), b64.alias("chain"))
+    # Never broadcast the leaves: a certificate is many times as large as the customer row
+    # that Spark's size estimate is taken from.
+    j = e.join(leaf.hint("merge"), "cert_no").withColumn("issuer_no", F.col("cert_no") % 3).join(F.broadcast(chain), "issuer_no")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     seen = F.concat((micros / 1_000_000).cast("long").cast("string"), F.lit("."),
                     F.lpad((micros % 1_000_000).cast("string"), 6, "0"))

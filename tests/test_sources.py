@@ -47,6 +47,16 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_leaves_are_joined_without_a_broadcast(spark):
+    """A leaf is larger than the customer row that its size is estimated from; of the
+    chain's certificates, three at most, only these are encoded."""
+    from certlens.sources import adapters as A
+
+    plan = plan_of(A.der_messages(spark, SMOKE))
+    assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
+    assert "c_custkey#" in plan.split("BroadcastExchange")[1] and "<= 2" in plan.split("BroadcastExchange")[1]
+
+
 def test_encoding_is_dealt_out_and_features_join_without_a_broadcast(spark):
     from certlens.plans.queries_scalars import certificate_features
 
