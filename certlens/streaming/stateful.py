@@ -79,19 +79,20 @@ BURST_ROWS = "registered_domain string, bucket int, window_end timestamp, cert_c
 class BurstWindows(StatefulProcessor):
     """Distinct certificates of one (domain, bucket) in every sliding window.
 
-    State: ``seen`` maps a certificate to the last hour in which it was seen, as far
+    State: ``seen`` lists certificates with the last hour in which each was seen, as far
     as windows still open can contain it; ``pending`` holds (hour, certificate) pairs
     that the watermark has not passed. One timer is set, at the end of the first window
     that has not been reported. When it fires, all windows up to the watermark are
     reported, certificates that no later window contains are evicted, and the timer is
-    set anew as long as any state is left."""
+    set anew as long as any state is left. Both lists are read and replaced whole, as
+    one call a certificate takes longer than all else."""
 
     def __init__(self, window_hours: int):
         self.hours = window_hours
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "cert_hash string", "hour long")
+        self.seen = handle.getListState("seen", "hour long, cert_hash string")
         self.pending = handle.getListState("pending", "hour long, cert_hash string")
         self.due = handle.getValueState("due", "hour long")
 
@@ -113,15 +114,16 @@ class BurstWindows(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = self.due.get()[0]
         done = timerValues.getCurrentWatermarkInMs() // HOUR_MS  # the last window end that has passed
-        sightings = [(k[0], v[0], True) for k, v in self.seen.iterator()]
+        sightings = [(cert, hour) for hour, cert in (self.seen.get() if self.seen.exists() else ())]
         later = []
         for hour, cert in (self.pending.get() if self.pending.exists() else ()):
             if hour < done:
-                sightings.append((cert, hour, False))
+                sightings.append((cert, hour))
             else:
                 later.append((hour, cert))
+        kept = []
         if sightings:
-            frame = pd.DataFrame(sightings, columns=["cert", "hour", "old"]).sort_values(["cert", "hour"], ignore_index=True)
+            frame = pd.DataFrame(sightings, columns=["cert", "hour"]).sort_values(["cert", "hour"], ignore_index=True)
             cert, hour = frame["cert"].to_numpy(), frame["hour"].to_numpy()
             last = np.append(cert[1:] != cert[:-1], True)
             # a sighting counts in the windows that end 1 to ``hours`` hours later, or until its certificate is seen again
@@ -133,23 +135,21 @@ class BurstWindows(StatefulProcessor):
             ends = np.flatnonzero(counts)
             if len(ends):
                 yield pd.DataFrame({"registered_domain": key[0], "bucket": key[1], "window_end": pd.to_datetime((ends + due) * HOUR_MS, unit="ms"), "cert_count": counts[ends]})
-            for name, at, gone, old, newest in zip(cert, hour, until <= done, frame["old"], last):
-                if newest and not gone:
-                    if not old:
-                        self.seen.updateValue((name,), (int(at),))
-                elif newest and self.seen.containsKey((name,)):
-                    self.seen.removeKey((name,))
+            open_ = last & (until > done)
+            kept = list(zip(hour[open_].tolist(), cert[open_].tolist()))
         if later:
             self.pending.put(later)
         else:
             self.pending.clear()
-        kept = sightings and bool((last & (until > done)).any())
         if kept:
+            self.seen.put(kept)
             self._set_timer(int(done) + 1)
         elif later:
             self._set_timer(min(h for h, _ in later) + 1)
         else:
             self.due.clear()
+        if not kept:
+            self.seen.clear()
 
     def close(self) -> None:
         pass

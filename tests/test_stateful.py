@@ -98,3 +98,60 @@ def test_late_rows_before_and_after_the_watermark(spark):
 def test_landing_of_an_empty_table(spark):
     path = landing.land(spark.createDataFrame([(START, "c", "a", "i")], SCHEMA).limit(0), heartbeat_hours=72)
     assert spark.read.schema(SCHEMA.replace("_ntz", "")).parquet(path).count() == 0
+
+
+class CountedHandle:
+    """State of one key in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, set()
+
+    def getListState(self, name, schema):
+        return CountedState(self)
+
+    getValueState = getMapState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class CountedState:
+    def __init__(self, handle):
+        self.handle, self.value = handle, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.handle.calls += 1
+            if name == "appendList":
+                self.value = [*(self.value or []), *args[0]]
+            elif name in ("put", "update"):
+                self.value = args[0]
+            elif name == "clear":
+                self.value = None
+            else:
+                return {"get": self.value, "exists": self.value is not None}[name]
+
+        return call
+
+
+@pytest.mark.parametrize("n", [3, 300])
+def test_state_calls_do_not_grow_with_the_certificates(n):
+    import pandas as pd
+
+    handle, calls = CountedHandle(), []
+    burst = St.BurstWindows(12)
+    burst.init(handle)
+    frame = pd.DataFrame({"hour": [h for h in (0, 20) for _ in range(n)], "cert_hash": [f"c{h}-{i}" for h in (0, 20) for i in range(n)]})
+    assert not list(burst.handleInputRows(("d", 0), iter([frame]), None))
+    for done in (15, 25, 40):
+        class Now:
+            getCurrentWatermarkInMs = staticmethod(lambda done=done: done * St.HOUR_MS)
+
+        rows = pd.concat(burst.handleExpiredTimer(("d", 0), Now, None))
+        calls.append((len(rows), rows["cert_count"].unique().tolist()))
+        assert (burst.seen.value is None) == (done != 25)
+    assert calls == [(12, [n]), (5, [n]), (7, [n])] and burst.due.value is None
+    assert handle.calls < 60
