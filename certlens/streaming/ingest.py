@@ -128,7 +128,8 @@ def enrich_batch(spark: SparkSession, batch: DataFrame, root: str, batch_id: int
         table = "cert_findings" if name == "findings" else name
         rows.observe(count, F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy(*folders).parquet(f"{root}/{table}/batch_id={batch_id}")
         flushed[name] = count.get["n"]
-    record_touched(obs, root, batch_id)
+    # the days of what was written, so that the fan-out runs once
+    record_touched(spark.read.schema(by_day.schema).parquet(f"{root}/observations/batch_id={batch_id}"), root, batch_id)
     scored.unpersist()
     batch.unpersist()
     return flushed

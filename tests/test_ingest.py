@@ -119,3 +119,20 @@ def test_counters_of_replayed_and_empty_batches(spark):
     got = spark.read.parquet(f"{none}/counters").first()
     assert got.received_events == 60 and got.matched_events == got.flushed_observations == got.flushed_findings == 0
     assert got.filtered_events + got.processing_errors == 60 and got.processing_errors > 0
+
+
+def test_touched_days_are_read_from_what_was_written(spark, monkeypatch):
+    """The fan-out of a batch runs once, for the write."""
+    root = shared_path(spark, f"once-{uuid.uuid4().hex[:8]}")
+    plans, record = [], Ig.record_touched
+
+    def seen(rows, *args):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        record(rows, *args)
+
+    monkeypatch.setattr(Ig, "record_touched", seen)
+    Ig.enrich_batch(spark, halves(spark)[0], root, 0, rules=psl.FIXTURE_RULES)
+    assert len(plans) == 1 and "Generate" not in plans[0] and "Join" not in plans[0]
+    days = spark.read.parquet(f"{root}/observations").groupBy(F.to_date("seen_at").alias("day")).agg(F.count("*").alias("rows"))
+    touched = spark.read.parquet(f"{root}/touched_days").filter("day is not null")
+    assert sorted(map(str, touched.select("day", "rows").collect())) == sorted(map(str, days.collect())) != []
