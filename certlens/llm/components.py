@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from certlens.llm.shared import keep
+from certlens.llm.shared import discard, keep
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,10 +39,11 @@ def contract(links: DataFrame, rounds: int | None = None) -> DataFrame:
     alone; after a few rounds most are, and what is left can be contracted later.
     Null ids and self links are ignored; an empty table gives an empty result.
     Repeated links and ties do no harm."""
-    edges = keep(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = keep(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", True)
     before = _state(edges) if rounds is None else (1, None)
     while before[0] and rounds != 0:
-        edges = keep(_small_star(_large_star(edges)).filter("u != v").distinct(), "links")
+        last, edges = edges, keep(_small_star(_large_star(edges)).filter("u != v").distinct(), "links", True)
+        discard(last)
         if rounds is not None:
             rounds -= 1
             continue

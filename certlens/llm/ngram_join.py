@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from certlens.llm import sketch, words
 from certlens.llm.components import contract
 from certlens.llm.components import roots as roots_of
-from certlens.llm.shared import free_name, BROADCAST_ROWS, keep, side
+from certlens.llm.shared import free_name, BROADCAST_ROWS, discard, keep, keep_parts, side
 
 N = 5
 #: Similarity as a fraction: intersection * DEN >= NUM * union.
@@ -51,6 +51,11 @@ RANGES = 1024
 ROUNDS = 1
 #: Rounds with new leaders before the last round.
 LEADER_ROUNDS = 3
+#: The postings meet in so many shares of their shingles, one after the other: the
+#: shuffle files of one share are on disk at once.
+SHARES = 3
+#: Pairs of one class that are verified together.
+GROUP = 32
 
 _ROWS = "cls long, n long, at long, prefix array<long>, spread array<long>"
 
@@ -87,7 +92,7 @@ def _prefix_rows(order: np.ndarray, n_words: int, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cls, sizes, lists, flat, spread = [], [], [0], [], []
+            cls, sizes, lists, flat, spread, ends = [], [], [0], [], [], [0]
             for _, c, found in _sets(batch.column(text_at), n_words):
                 c = int(_signed(c).reshape(1)[0])
                 size = len(found)
@@ -101,12 +106,12 @@ def _prefix_rows(order: np.ndarray, n_words: int, text_at: int):
                     spread.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     lists.append(lists[-1] + len(flat[-1]))
                 else:
-                    spread.append(None)
                     lists.append(lists[-1])
+                ends.append(len(spread) * (RANGES // 64))
             posts = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(_signed(np.concatenate(flat)) if flat else np.zeros(0, np.int64)))
+            spreads = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(spread) if spread else np.zeros(0, np.int64)), mask=pa.array(np.diff(ends) == 0, pa.bool_()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), batch.column(text_at + 1), posts,
-                 pa.array([x if x is None else x.tolist() for x in spread], pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(cls, pa.int64()), pa.array(sizes, pa.int64()), batch.column(text_at + 1), posts, spreads],
                 names=["doc_id", "cls", "n", "at", "prefix", "spread"])
 
     return run
@@ -132,24 +137,41 @@ def _sketch_counts(n_words: int):
 
 
 def _set_rows(n_words: int):
+    """Text hash and packed sorted shingle set, once for each text of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cls, lists, flat = [], [0], []
-            for _, c, found in _sets(batch.column(0), n_words):
-                c = int(_signed(c).reshape(1)[0])
-                if len(found) and c not in seen:
-                    seen.add(c)
-                    cls.append(c)
-                    flat.append(found)
-                    lists.append(lists[-1] + len(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(_signed(np.concatenate(flat)) if flat else np.zeros(0, np.int64)))],
-                names=["cls", "grams"])
+            new = []
+            for r, at in enumerate(batch.column(0).to_pylist()):
+                if at not in seen:
+                    seen.add(at)
+                    new.append(r)
+            some = batch.take(pa.array(new, pa.int64()))
+            grams = [found.tobytes() for _, _, found in _sets(some.column(1), n_words)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(grams, pa.binary())], names=["at", "grams"])
 
     return run
 
 
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one hub and salt, the hub's own first: which other classes link with it."""
+    of, own = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        hubs, salts, classes = (batch.column(k).to_pylist() for k in range(3))
+        a, b = [], []
+        for hub, salt, cls, raw in zip(hubs, salts, classes, batch.column(3)):
+            grams = np.frombuffer(raw.as_buffer(), np.uint64)
+            if cls == hub:
+                of, own = (hub, salt), grams.copy()
+                continue
+            assert of == (hub, salt)
+            both = len(np.intersect1d(own, grams, assume_unique=True))
+            if DEN * both >= NUM * (len(own) + len(grams) - both):
+                a.append(min(hub, cls))
+                b.append(max(hub, cls))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _need(x_n: Column, y_n: Column) -> Column:
     """The smallest intersection of a pair that links."""
     return F.floor((F.lit(NUM) * (x_n + y_n) + F.lit(NUM + DEN - 1)) / F.lit(NUM + DEN))
@@ -196,24 +218,34 @@ def _apart(x: Column, y: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, spread: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
-    """Distinct pairs (a, b) -> those that link: the suffix filter first, then
-    the shingle sets of the classes that are left, from their texts."""
+    """Distinct pairs (a, b, hub: one of both) -> those that link: the suffix filter
+    first, then the shingle sets of the classes that are left, from their texts. A
+    set is sent once for each pair in which it is not the hub; hubs are sent once for
+    about ``GROUP`` pairs, so no hub gathers all of its pairs in one task."""
     x, y = (spread.select(F.col("cls").alias(c), *(F.col(v).alias(f"{c}_{v}") for v in ("n", "at", "spread"))) for c in "ab")
     both_n = F.col("a_n") + F.col("b_n")
     near = pairs.join(x, "a").join(y, "b").filter(_apart(F.col("a_spread"), F.col("b_spread")) <= both_n - 2 * _need(F.col("a_n"), F.col("b_n")))
-    near = keep(near.select("a", "b", "a_n", "b_n", "a_at", "b_at"), "jaccard-near")
+    first = F.col("hub") == F.col("a")
+
+    def other(x: str, y: str) -> Column:
+        return F.when(first, F.col(y)).otherwise(F.col(x))
+
+    near = keep(near.select("hub", other("a", "b").alias("cls"), other("b_at", "a_at").alias("hub_at"), other("a_at", "b_at").alias("at")), "jaccard-near", True)
     rows = near.count()
     if not rows:
-        return near.select("a", "b")
-    wanted = near.select(F.explode(F.array("a_at", "b_at")).alias("at")).distinct()
+        return near.select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+    hubs = near.groupBy("hub", "hub_at").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("salts"))
+    salt = F.pmod(F.xxhash64("cls"), F.col("salts")).alias("salt")
+    asked = near.join(hubs.drop("hub_at"), "hub").select("hub", salt, "cls", "at").union(
+        hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("cls"), F.col("hub_at").alias("at")))
+    wanted = near.select(F.explode(F.array("hub_at", "at")).alias("at")).distinct()
     wanted = F.broadcast(wanted) if 2 * rows <= BROADCAST_ROWS else wanted
-    texts = docs.join(wanted, F.xxhash64("text") == F.col("at"), "left_semi").select("text")
-    sets = keep(texts.mapInArrow(_set_rows(n_words), "cls long, grams array<long>").dropDuplicates(["cls"]), "jaccard-sets")
-    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("a_grams"))
-    right = sets.select(F.col("cls").alias("b"), F.col("grams").alias("b_grams"))
-    both = F.size(F.array_intersect("a_grams", "b_grams"))
-    return near.join(left, "a").join(right, "b").filter(
-        F.lit(DEN) * both >= F.lit(NUM) * (F.col("a_n") + F.col("b_n") - both)).select("a", "b")
+    texts = docs.select(F.xxhash64("text").alias("at"), "text").join(wanted, "at", "left_semi").select("at", "text")
+    sets = texts.mapInArrow(_set_rows(n_words), "at long, grams binary").dropDuplicates(["at"])
+    met = asked.join(sets, "at").repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("cls") != F.col("hub"))
+    links = keep(met.select("hub", "salt", "cls", "grams").mapInArrow(_linked, "a long, b long"), "jaccard-links", True)
+    discard(near)
+    return links
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = N) -> tuple[DataFrame, DataFrame]:
@@ -232,11 +264,14 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     def prefix_rows(batches, n_words=n_words):
         return _prefix_rows(shared.value, n_words, 1)(batches)
 
-    rows = keep(slim.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(prefix_rows, f"doc_id {kind}, {_ROWS}"), "jaccard-rows")
+    rows = keep(slim.select("doc_id", "text", F.xxhash64("text").alias("at")).mapInArrow(prefix_rows, f"doc_id {kind}, {_ROWS}"), "jaccard-rows", True)
     posts = rows.filter("spread is not null").select("cls", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "gram"))
-    spread = keep(rows.filter("spread is not null").select("cls", "n", "at", "spread").dropDuplicates(["cls"]), "jaccard-classes")
-    met = keep(_met(posts), "jaccard-met")
-    pair = F.least("l_cls", "cls").alias("a"), F.greatest("l_cls", "cls").alias("b")
+    spread = keep(rows.filter("spread is not null").select("cls", "n", "at", "spread").dropDuplicates(["cls"]), "jaccard-classes", True)
+    shares = (posts.filter(F.pmod(F.shiftright("gram", 40), F.lit(SHARES)) == k) for k in range(SHARES))
+    met = keep_parts([_met(share) for share in shares], "jaccard-met")
+    members = keep(rows.select("doc_id", "cls", "n", "at"), "jaccard-members", True)
+    discard(rows)
+    pair = F.least("l_cls", "cls").alias("a"), F.greatest("l_cls", "cls").alias("b"), F.col("l_cls").alias("hub")
     ranges = spread.select("cls", "spread")
 
     def rooted(df: DataFrame, cls: str, root: str) -> DataFrame:
@@ -247,8 +282,8 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         return rooted(rooted(df, "cls", "c"), "l_cls", "l_c").filter("c != l_c")
 
     # round one: each class with the leader that shares most with it
-    by_leader = keep(met.filter(_met_fits()).groupBy("l_cls", "cls").agg(F.count("*").alias("shared")), "jaccard-leaders")
-    done = keep(by_leader.groupBy("cls").agg(F.max_by("l_cls", "shared").alias("l_cls")).select(*pair).distinct(), "jaccard-pairs")
+    by_leader = keep(met.filter(_met_fits()).groupBy("l_cls", "cls").agg(F.count("*").alias("shared")), "jaccard-leaders", True)
+    done = keep(by_leader.groupBy("cls").agg(F.max_by("l_cls", "shared").alias("l_cls")).select(*pair).dropDuplicates(["a", "b"]), "jaccard-pairs", True)
     links = contract(_verified(done, spread, slim, n_words), ROUNDS)
     roots = roots_of(links)
     # round two: the other leaders, where they are in another component; then new
@@ -257,21 +292,21 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # common passage, and of shingles
     posts = met.select("gram", "cls", "n", "i")
     bits = spread.select("cls", "n", F.posexplode("spread").alias("k", "bits")).filter(F.bit_count("bits") > 1)
-    alike = keep(bits.join(posts.select("cls").distinct(), "cls", "left_semi").select(F.xxhash64("k", "bits").alias("gram"), "cls", "n", F.lit(0).alias("i")), "jaccard-alike")
+    alike = keep(bits.join(posts.select("cls").distinct(), "cls", "left_semi").select(F.xxhash64("k", "bits").alias("gram"), "cls", "n", F.lit(0).alias("i")), "jaccard-alike", True)
     for turn in range(1 + LEADER_ROUNDS):
         met_by_pair = by_leader
         if turn:
             by = alike if turn % 2 else posts
             meet = _met(by, by.join(apart(met).select("cls").distinct(), "cls", "left_semi"), turn)
             met_by_pair = meet.filter(_near_sizes(F.col("n"), F.col("l_n")) if turn % 2 else _met_fits()).select("l_cls", "cls").distinct()
-        new = keep(apart(met_by_pair).select(*pair).distinct().join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+        new = keep(apart(met_by_pair).select(*pair).dropDuplicates(["a", "b"]).join(done, ["a", "b"], "left_anti"), "jaccard-pairs", True)
         done = done.union(new)
         links = contract(links.union(_verified(new, spread, slim, n_words)))
         roots = roots_of(links)
     # last round: what is still apart from its first leader, with all other
     # components of its shingle, in bands of sizes that may link
     band = F.floor(F.log("n") / F.lit(math.log(DEN / NUM) * 1.01))
-    named = keep(rooted(rooted(met, "cls", "c"), "l_cls", "l_c").withColumn("band", band), "jaccard-named")
+    named = keep(rooted(rooted(met, "cls", "c"), "l_cls", "l_c").withColumn("band", band), "jaccard-named", True)
     still = named.filter("c != l_c").select("gram", "cls", "n", "i", "c", "band")
     others = named.join(still.select("gram").distinct(), "gram", "left_semi").select("gram", "cls", "n", "i", "c", "band").join(ranges, "cls")
     still = still.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
@@ -279,10 +314,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     near = _apart(u[4], o[4]) <= u[1] + o[1] - 2 * _need(u[1], o[1])
     same = (F.col("u.gram") == F.col("o.gram")) & (F.col("u.band") == F.col("o.band"))
     rest = still.join(ranges, "cls").alias("u").join(others.alias("o"), same & (u[3] != o[3]) & _fits(*u[:3], *o[:3]) & near)
-    last = rest.select(F.least(u[0], o[0]).alias("a"), F.greatest(u[0], o[0]).alias("b")).distinct()
-    last = keep(last.join(done, ["a", "b"], "left_anti"), "jaccard-pairs")
+    last = rest.select(F.least(u[0], o[0]).alias("a"), F.greatest(u[0], o[0]).alias("b"), u[0].alias("hub")).dropDuplicates(["a", "b"])
+    last = keep(last.join(done, ["a", "b"], "left_anti"), "jaccard-pairs", True)
+    discard(met, by_leader, alike, named)
     links = contract(links.union(_verified(last, spread, slim, n_words)))
-    return rows.select("doc_id", "cls", "n", "at"), roots_of(links)
+    return members, roots_of(links)
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_words: int = N) -> DataFrame:
@@ -305,12 +341,12 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n_word
     without words all stay. All columns are kept."""
     members, roots = jaccard_classes(docs, text, doc_id, n_words)
     with_root = members.filter("n > 0").join(roots, members.cls == roots.id, "left").select("doc_id", "at", F.coalesce("root", "cls").alias("root"))
-    counted = keep(with_root.groupBy("root", "doc_id", "at").agg(F.count("*").alias("times")), "jaccard-counted")
+    counted = keep(with_root.groupBy("root", "doc_id", "at").agg(F.count("*").alias("times")), "jaccard-counted", True)
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("at"))
     best = counted.groupBy("root").agg(F.min(rank).alias("best"), F.sum("times").alias("all"))
     chosen = counted.join(best.filter("all > 1"), "root").withColumn("stays", rank == F.col("best"))
-    gone = keep(chosen.filter(~F.col("stays")).select("doc_id", "at"), "jaccard-gone")
-    repeated = keep(chosen.filter(F.col("stays") & (F.col("times") > 1)).select("doc_id", "at"), "jaccard-repeated")
+    gone = keep(chosen.filter(~F.col("stays")).select("doc_id", "at"), "jaccard-gone", True)
+    repeated = keep(chosen.filter(F.col("stays") & (F.col("times") > 1)).select("doc_id", "at"), "jaccard-repeated", True)
 
     of_id, of_text = free_name(docs, "jaccard_id"), free_name(docs, "jaccard_text")
 

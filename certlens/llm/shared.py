@@ -19,21 +19,32 @@ def keep(df: DataFrame, name: str, lean: bool = False) -> DataFrame:
     after an executor is lost. The folder is deleted when the application ends, or
     by ``discard``. ``lean`` saves disk: smaller files, and the shuffle files of
     ``df`` go as soon as the table is written."""
-    spark = df.sparkSession
+    return _kept([df], name, lean)
+
+
+def keep_parts(parts: list[DataFrame], name: str) -> DataFrame:
+    """One table of all parts (of one schema), written one after the other as by
+    ``keep`` with ``lean``: the shuffle files of one part alone are on disk at once."""
+    return _kept(parts, name, True)
+
+
+def _kept(parts: list[DataFrame], name: str, lean: bool) -> DataFrame:
+    spark = parts[0].sparkSession
     path = shared_path(spark, f"llm-{name}-{uuid.uuid4().hex}")
-    if lean:
-        before = spark.conf.get(_CLEANUP, None)
-        spark.conf.set(_CLEANUP, "true")
-        try:
-            df.select("*").write.parquet(path, compression="zstd")  # a new frame takes the setting up
-        finally:
-            spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    else:
-        df.write.parquet(path)
+    for df in parts:
+        if lean:
+            before = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+            try:
+                df.select("*").write.parquet(path, mode="append", compression="zstd")  # a new frame takes the setting up
+            finally:
+                spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        else:
+            df.write.parquet(path)
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(parts[0].schema).parquet(path)
 
 
 def discard(*kept: DataFrame) -> None:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from certlens.llm.shared import discard, keep
+
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 BLOCKS = 64
@@ -73,10 +75,11 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def gather(per_task: DataFrame) -> np.ndarray:
     """The corpus-wide counters from the rows of all tasks."""
     once = per_task.repartition(F.col("block"), F.col("salt")).mapInArrow(_sum, SCHEMA)
-    whole = once.repartition(F.col("block")).mapInArrow(_sum, SCHEMA)
+    whole = keep(once.repartition(F.col("block")).mapInArrow(_sum, SCHEMA), "sketch", True)
     out = np.zeros((BLOCKS, WIDTH), dtype=np.uint64)
     for row in whole.collect():  # at most BLOCKS rows, SLOTS x 4 bytes in all
         _add(out[row.block], bytes(row.counts))
+    discard(whole)
     return out.reshape(-1).astype(np.uint32)
 
 

@@ -1,6 +1,7 @@
 """The n-gram Jaccard join against brute force over all pairs."""
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -111,3 +112,15 @@ def test_templates_below_the_threshold_and_copies_among_them(spark):
             own[rng.randrange(len(own))] = "changed"
             rows.append((len(rows), " ".join(own)))
     assert run(spark, rows) == brute(rows)
+
+
+def test_tables_go_when_their_last_reader_is_done(spark):
+    rng = random.Random(5)
+    base = rng.choices([f"w{i}" for i in range(300)], k=80)
+    rows = [(i, " ".join(base[: 80 - i % 7])) for i in range(100)]  # one hub, more pairs than a group holds
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.glob("llm-*"))
+    assert run(spark, rows) == brute(rows)
+    left = {p.name.split("-")[2] for p in set(folder.glob("llm-jaccard-*")) - before}
+    assert left == {"classes", "members", "pairs", "links"}  # no table of shingles, postings or sets
+    assert not [p for p in set(folder.glob("llm-sketch-*")) - before]
