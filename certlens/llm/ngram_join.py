@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from certlens.llm import sketch, words
 from certlens.llm.components import contract
 from certlens.llm.components import roots as roots_of
-from certlens.llm.shared import free_name, BROADCAST_ROWS, discard, keep, keep_parts, side
+from certlens.llm.shared import free_name, BROADCAST_ROWS, discard, keep, keep_parts, short_batches, side
 
 N = 5
 #: Similarity as a fraction: intersection * DEN >= NUM * union.
@@ -256,6 +256,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     fewer than ``n_words`` words are one shingle. Null ids stay null, repeated
     rows share a class; extra columns are not looked at. An empty table gives
     empty results."""
+    with short_batches(docs.sparkSession):
+        return _classes(docs, text, doc_id, n_words)
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, n_words: int) -> tuple[DataFrame, DataFrame]:
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     order = sketch.gather(sketch.tasks(slim.select("text"), _sketch_counts(n_words)))
     shared = slim.sparkSession.sparkContext.broadcast(order)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +49,19 @@ def _kept(parts: list[DataFrame], name: str, lean: bool) -> DataFrame:
     return spark.read.schema(parts[0].schema).parquet(path)
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """What runs inside sends at most so many rows at once to Python workers, which
+    keep the memory of the largest batch they have seen."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, before) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def discard(*kept: DataFrame) -> None:
     """Delete tables that ``keep`` wrote, after their last reader is done (what was
     made from them is written itself)."""

@@ -124,3 +124,16 @@ def test_tables_go_when_their_last_reader_is_done(spark):
     left = {p.name.split("-")[2] for p in set(folder.glob("llm-jaccard-*")) - before}
     assert left == {"classes", "members", "pairs", "links"}  # no table of shingles, postings or sets
     assert not [p for p in set(folder.glob("llm-sketch-*")) - before]
+
+
+def test_texts_reach_workers_in_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+    sketched = ngram_join.sketch.gather
+    try:
+        ngram_join.sketch.gather = lambda counts: (seen.append(int(spark.conf.get(name))), sketched(counts))[1]
+        rows = [(i, f"a b c d e f g h {i}") for i in range(3)]
+        assert run(spark, rows) == brute(rows)
+    finally:
+        ngram_join.sketch.gather = sketched
+    assert seen == [min(1000, int(before))] and spark.conf.get(name) == before
