@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from certlens.llm import words
 from certlens.llm.fm_index import FMIndex
-from certlens.llm.shared import free_name
+from certlens.llm.shared import free_name, keep, row_key, short_batches, side
 
 WINDOW = 13
 SHARD = 4 << 20
@@ -171,10 +171,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    found = find_contamination(docs, benchmark, text)
-    flag = found.columns[-1]
-    return found.filter(~F.col(flag)).select(*docs.columns)
+    """The rows of ``docs`` that are not contaminated, with all their columns. Texts go
+    to Python in short batches and don't come back: decisions return by a fingerprint
+    of the text, on which alone they depend."""
+    at, gone = free_name(docs, "text_key"), free_name(docs, "contaminated_key")
+    with short_batches(docs.sparkSession):
+        found = find_contamination(docs.select(F.col(text).alias("text")), benchmark)
+        flagged = found.filter("contaminated").select(row_key("text").alias(gone)).distinct()
+        flagged = keep(flagged, "contaminated", True)
+    return docs.withColumn(at, row_key(text)).join(side(flagged), F.col(at) == F.col(gone), "left_anti").drop(at)
 
 
 def items_digest(items: Column) -> Column:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certlens.llm import words
-from certlens.llm.shared import free_name, keep, row_key, side
+from certlens.llm.shared import free_name, keep, row_key, short_batches, side
 
 SAMPLE = 2000
 BINS = 1 << 17
@@ -233,9 +233,10 @@ def keep_identified(docs: DataFrame, text: str = "text", declared: str = "lang",
 
     The model is fitted on the declared codes of ``docs``. Decisions go back by a
     fingerprint of text, declared code and host, on which alone they depend."""
-    model = fit_text_model(docs, text, declared)
     key = row_key(text, declared, host)
     rows = docs.select(F.col(text).alias("text"), F.col(declared).alias("declared"), F.col(host).alias("host"), key.alias("key"))
     at, gone = free_name(docs, "row_key"), free_name(docs, "refused_key")
-    refused = keep(identify(rows, model).filter(~F.col("accepted")).select(F.col("key").alias(gone)).distinct(), "lang-refused")
+    with short_batches(docs.sparkSession):
+        model = fit_text_model(docs, text, declared)
+        refused = keep(identify(rows, model).filter(~F.col("accepted")).select(F.col("key").alias(gone)).distinct(), "lang-refused")
     return docs.withColumn(at, key).join(side(refused), F.col(at) == F.col(gone), "left_anti").drop(at)

@@ -127,10 +127,10 @@ def _sketch_counts(n_words: int):
                 part.append(found)
                 held += len(found)
                 if held > 500_000:
-                    counts += np.bincount(sketch.slot(np.concatenate(part)), minlength=sketch.SLOTS).astype(np.uint32)
+                    sketch.count(counts, np.concatenate(part))
                     part, held = [], 0
         if part:
-            counts += np.bincount(sketch.slot(np.concatenate(part)), minlength=sketch.SLOTS).astype(np.uint32)
+            sketch.count(counts, np.concatenate(part))
         return counts
 
     return run

@@ -30,6 +30,11 @@ def slot(h: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def count(counts: np.ndarray, h: np.ndarray) -> None:
+    """Add one for each hash to a task's counters, in place."""
+    np.add.at(counts, slot(h), counts.dtype.type(1))
+
+
 def _packed(counts: np.ndarray) -> bytes:
     some = np.flatnonzero(counts)
     if 8 * len(some) < WIDTH:

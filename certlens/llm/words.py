@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 ROW_CHUNK = 4 << 20
 #: Bytes that are worked on at once: numpy's arrays take some 50 times as much.
-SCAN_CHUNK = 1 << 20
+SCAN_CHUNK = 1 << 18
 
 U = np.uint64
 _rng = np.random.default_rng(20240131)

@@ -118,3 +118,17 @@ def test_digest(spark):
 
     got = spark.createDataFrame([(["2", "10"],), ([],)], "items array<string>").select(decontaminate.items_digest(F.col("items")).alias("d"))
     assert [r.d for r in got.collect()] == [hashlib.sha256(b"10,2").hexdigest(), hashlib.sha256(b"").hexdigest()]
+
+
+def test_texts_reach_workers_in_short_batches_and_only_decisions_return(spark):
+    phrase = " ".join(f"w{i}" for i in range(13))
+    docs = spark.range(2_500).select("id", F.when(F.col("id") % 50 == 0, phrase).when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("w1 w2 "), F.col("id"))).alias("text")).coalesce(1)
+    docs = docs.union(docs.filter("id < 4"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, phrase)], "item_id long, text string"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # no text comes back from Python
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    rows = kept.collect()
+    assert len(rows) == 2_450 + 3 and all(r.id % 50 for r in rows) and sum(r.text is None for r in rows) == 51
+    assert kept.columns == docs.columns

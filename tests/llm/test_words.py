@@ -57,3 +57,15 @@ def test_grams_differ_by_order_and_length():
 
 def test_chunks_hold_long_rows_alone():
     assert list(words.chunks(np.array([0, 3, 20, 22, 23]), 5)) == [(0, 1), (1, 2), (2, 4)]
+
+
+def test_scanning_a_megabyte_takes_little_memory():
+    import tracemalloc
+
+    text = np.frombuffer(b"some words and more of them " * 40_000, np.uint8)
+    words.scan(text[:1000], np.array([0, 1000]), words.white_space_class())
+    tracemalloc.start()
+    h, _ = words.scan(text, np.array([0, len(text)]), words.white_space_class())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(h) == 240_000 and peak < 22e6
