@@ -3,8 +3,8 @@
 Learning (all documents that are not held out): exact counts of all tokens and of
 the grams of 2, 3, ... words (each with a start mark before and an end token after
 the text) that occur at least ``LEAST`` times, whatever the size of the corpus.
-Count sketches of the 2- and 3-word grams come first; a slot never undercounts, so
-they only save work where the corpus is small.
+A count sketch of the 2-word grams comes first; a slot never undercounts, so it only
+saves work where the corpus is small.
 
 A context (the last words) holds the next symbols seen with it that often, with
 absolute discounting; the rest of its mass goes to the distribution of its parent
@@ -15,17 +15,21 @@ than half a log count for each successor. Contexts of one and two words are all
 tested, longer ones where the context one word shorter is retained, and so on until
 no context of a length is.
 
-Counting: each piece of text (about 4 MB) sends its distinct gram hashes with their
-counts, packed by hash range; a range sums them and tells the first piece of each
-frequent gram, which alone adds the hashes of its parts. So a gram costs some ten
-bytes of shuffle a piece, those seen once go no further, and tables and shuffle
-files of a step are deleted when the next one is written.
-
-Scoring: every token is predicted from the longest retained suffix of the words
-before it. Vocabulary and tree are one table of hashes that grows with the corpus.
-Each piece asks for its distinct hashes, packed by hash range;
-ranges and pieces meet in shuffles where no key can be hot. Nothing but one bit for
-each sketch slot is collected.
+Contexts of one word can be as frequent as a word, so they are counted by gram: each
+piece of text (about 4 MB) sends its distinct gram hashes with their counts, packed
+by hash range; a range sums them and tells the first piece of each frequent gram,
+which alone adds the hashes of its parts. Vocabulary and this level are one table of
+hashes that grows with the corpus; each piece asks for its distinct hashes, packed by
+hash range, and so knows every token's probability given one word.
+
+Longer contexts: all that share their last two words lie in one hash range, and so
+does every token that follows them. Each token goes there once, with the words before
+it and its probability so far; the range counts, tests and scores level by level
+and returns sums by row. Only tokens behind a context that is retained at the last
+level of a pass go into the next one, dealt by more words. The ranges meet in
+``SHARES`` shares, one after the other; tables and shuffle files of a step are
+deleted when the next one is written. Nothing but one bit for each sketch slot is
+collected. What follows one pair of words meets in one task.
 
 Tokens are 64-bit word hashes.
 """
@@ -40,16 +44,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from certlens.llm import sketch, words
-from certlens.llm.shared import discard, keep
+from certlens.llm.shared import discard, keep, keep_parts, short_batches
 
 LEAST = 2
 DISCOUNT = 0.5
-#: Lengths of the grams that are sketched, and whose contexts are all tested.
-ORDERS = (2, 3)
+#: Lengths of the grams that are sketched and counted by gram.
+ORDERS = (2,)
+#: Context lengths of the first pass by context, and how many the others have.
+FIRST, MORE = (2, 4), 4
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 FLUSH = 2_000_000
 #: Hashes that a range gets from the whole corpus at most (on average).
 RANGE = 1 << 21
+#: Tokens that meet in a range of contexts (on average), and the shares of the ranges.
+MEET, SHARES = 1 << 18, 6
+#: Rows of stored symbols (256 KB of text each) that a worker gets at once.
+AT_ONCE = 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,7 +136,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tally.add(seq[~start])
             for n in ORDERS:
                 grams = words.grams(seq, n)[_within(at, len(seq), n)]
-                counts[n] += np.bincount(sketch.slot(grams), minlength=sketch.SLOTS).astype(np.uint32)
+                sketch.count(counts[n], grams)
             if tally.held > FLUSH:
                 yield tokens()
     yield tokens()
@@ -137,17 +147,6 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["h", "n", "order", "block", "salt", "counts"])
 
 
-def _allowed(seq: np.ndarray, at: np.ndarray, n: int, enough: np.ndarray | None, grown: np.ndarray | None) -> np.ndarray:
-    """Which grams are counted: those in one row whose slot has enough and, with
-    ``grown``, whose context's own suffix has its slot there."""
-    ok = _within(at, len(seq), n)
-    if len(ok) and enough is not None:
-        ok &= enough[sketch.slot(words.grams(seq, n))]
-    if len(ok) and grown is not None:
-        ok &= grown[sketch.slot(words.grams(seq, n - 2)[1 : len(ok) + 1])]
-    return ok
-
-
 def _runs(pieces: np.ndarray) -> Iterator[tuple[int, int]]:
     """Row ranges of one piece each."""
     if len(pieces):
@@ -171,19 +170,17 @@ def _by_range(piece: int, ranges: int, h: np.ndarray, times: np.ndarray | None =
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
-def _occurrences(n: int, ranges: int, enough: np.ndarray | None, grown: np.ndarray | None, contexts: bool):
-    """The distinct grams of each piece with their counts, packed by hash range;
-    with ``contexts`` also their contexts."""
+def _occurrences(n: int, ranges: int, enough: np.ndarray):
+    """The distinct grams of each piece whose slot has enough with their counts,
+    packed by hash range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pieces, text = batch.column(0).to_numpy(), batch.column(1)
             for a, b in _runs(pieces):
                 tally = _Tally()
                 for _, _, seq, at in _sequences(text.slice(a, b - a)):
-                    ok = _allowed(seq, at, n, enough, grown)
-                    tally.add(words.grams(seq, n)[ok])
-                    if contexts:
-                        tally.add(words.grams(seq, n - 1)[: len(ok)][ok])
+                    grams = words.grams(seq, n)[_within(at, len(seq), n)]
+                    tally.add(grams[enough[sketch.slot(grams)]])
                 yield _by_range(pieces[a], ranges, *tally.take())
 
     return run
@@ -214,7 +211,7 @@ _GRAMS = "order int, gram long, context long, tail long, word long, n long"
 
 def _described(n: int):
     """What a piece owns: its grams with the hashes of their context (all but the
-    last symbol) and tail (all but the first); the contexts that are left as order 0."""
+    last symbol) and tail (all but the first)."""
     def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(owned.column("hashes").to_pylist()), np.uint64)
         order = np.argsort(h)
@@ -232,8 +229,6 @@ def _described(n: int):
             left[place] = False
             shorter = words.grams(seq, n - 1) if n > 2 else seq
             parts.append((np.full(len(some), n, np.int32), h[place], shorter[some], shorter[some + 1], seq[some + n - 1], times[place]))
-        none = np.zeros(int(left.sum()), np.uint64)
-        parts.append((none.astype(np.int32), h[left], none, none, none, times[left]))
         columns = [np.concatenate(x) for x in zip(*parts)]
         return pa.Table.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["order", "gram", "context", "tail", "word", "n"])
 
@@ -241,19 +236,21 @@ def _described(n: int):
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with the number of their piece of text."""
+    """The rows with the number of their piece of text and their own in it."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
     piece = (context.partitionId() if context else 0) << 33
-    size = 0
+    size = row = 0
     for batch in batches:
         _, offsets = words.buffers(batch.column(batch.num_columns - 1))
         for i, j in words.chunks(offsets):
             size += int(offsets[j] - offsets[i])
             if size > words.ROW_CHUNK:
-                piece, size = piece + 1, int(offsets[j] - offsets[i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, piece)), *batch.slice(i, j - i).columns], names=["piece", *batch.schema.names])
+                piece, size, row = piece + 1, int(offsets[j] - offsets[i]), 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, piece)), pa.array(np.arange(row, row + j - i, dtype=np.int32)), *batch.slice(i, j - i).columns],
+                                             names=["piece", "row", *batch.schema.names])
+            row += j - i
 
 
 def _requests(orders: tuple[int, ...], slots: dict[int, np.ndarray], ranges: int):
@@ -295,43 +292,226 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([asked.column("piece"), pa.array(out, pa.binary())], names=["piece", "found"])
 
 
-def _score_piece(orders: tuple[int, ...], unknown: float):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(answers.column("found").to_pylist()), _FOUND)
-        rows = np.unique(rows)  # a piece may ask twice if its rows were read apart
-        nothing = np.full(1, np.nan)
-        keys = np.concatenate([rows["h"], [np.uint64(2**64 - 1)]])
-        ps, rests = np.concatenate([rows["p"], nothing]), np.concatenate([rows["rest"], nothing])
+def _in_order(docs: pa.Table) -> tuple[pa.Table, pa.Array]:
+    """The rows of a piece by their number, and their texts."""
+    docs = docs.sort_by("row")
+    return docs, docs.column("text").combine_chunks()
+
 
-        def find(h: np.ndarray) -> np.ndarray:
-            place = np.searchsorted(rows["h"], h)
-            return np.where(keys[place] == h, place, len(rows))
+class _Lookup:
+    """What the ranges answered to one piece."""
 
-        done = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
-        parts = [done]
-        text = docs.column("text").combine_chunks()
+    def __init__(self, answers: pa.Table, unknown: float):
+        rows = np.frombuffer(b"".join(x for x in answers.column("found").to_pylist() if x), _FOUND)
+        rows = np.unique(rows)  # a piece may ask twice if its rows were read apart
+        self.h, self.unknown = rows["h"], unknown
+        self.keys = np.concatenate([rows["h"], [np.uint64(2**64 - 1)]])
+        self.p, self.rest = (np.concatenate([rows[c], [np.nan]]) for c in ("p", "rest"))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.h, h)
+        return np.where(self.keys[place] == h, place, len(self.h))
+
+    def state(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each symbol log10 of the base, whether it is a known token, and log10
+        of its probability given one word."""
+        mark = np.zeros(len(seq), dtype=bool)
+        mark[at[:-1]] = True
+        base = self.p[self.find(seq)]
+        known = ~np.isnan(base) & ~mark
+        base = np.where(known, base, np.where(mark, 0.0, self.unknown))
+        score = base.copy()
+        ok = np.flatnonzero(_within(at, len(seq), 2))
+        rest = self.rest[self.find(seq[ok])]
+        ok, rest = ok[~np.isnan(rest)], rest[~np.isnan(rest)]
+        p = self.p[self.find(words.grams(seq, 2)[ok])] if len(ok) else rest
+        score[ok + 1] = np.where(np.isnan(p), score[ok + 1] + rest, p)
+        return base, known, score
+
+
+def _token(last: int, first: int) -> np.dtype:
+    """A token (word) behind a context whose last ``first`` words are key; the words
+    before these up to ``last``, 0 where the text begins; log10 of its probability so
+    far, its row, its place in the piece; bits: held out, has more words before it."""
+    return np.dtype([("key", np.uint64), ("word", np.uint64), *((f"c{k}", np.uint64) for k in range(first + 1, last + 1)),
+                     ("score", np.float64), ("row", np.int32), ("place", np.uint32), ("bits", np.uint8)])
+
+
+_STATE = "piece long, row int, begin long, at binary, held binary, vocabulary binary, symbols binary, score binary, known binary, base binary, first binary"
+
+
+def _first_scores(unknown: float):
+    """A piece's symbols and what the first level says of them, as a row for each
+    chunk of its text: first row and place, then arrays."""
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        docs, text = _in_order(docs)
+        held = docs.column("held_out").to_numpy()
+        lookup, begin, rows = _Lookup(answers, unknown), 0, []
         for i, j, seq, at in _sequences(text):
-            mark = np.zeros(len(seq), dtype=bool)
-            mark[at[:-1]] = True
-            base = ps[find(seq)]
-            known = ~np.isnan(base) & ~mark
-            base = np.where(known, base, np.where(mark, 0.0, unknown))
-            score = base.copy()
-            for n in orders:  # the shorter context first: the longer one's rest goes to it
-                ok = np.flatnonzero(_within(at, len(seq), n))
-                rest = rests[find((words.grams(seq, n - 1) if n > 2 else seq)[ok])]
-                ok, rest = ok[~np.isnan(rest)], rest[~np.isnan(rest)]
-                p = ps[find(words.grams(seq, n)[ok])] if len(ok) else rest
-                last = ok + n - 1
-                score[last] = np.where(np.isnan(p), score[last] + rest, p)
+            base, known, score = lookup.state(seq, at)
             total = np.concatenate([[0], np.cumsum(known)])
-            parts.append([np.diff(at) - 1, np.diff(total[at]), np.add.reduceat(base, at[:-1]), np.add.reduceat(score, at[:-1])])
-        columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
-        return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+            vocabulary, symbols = np.unique(seq, return_inverse=True)
+            symbols = symbols.astype(np.min_scalar_type(len(vocabulary)))
+            arrays = at.astype(np.int64), held[i:j].astype(bool), vocabulary, symbols, score, np.diff(total[at]), np.add.reduceat(base, at[:-1]), score[at[:-1] + 1]
+            rows.append((docs.column("piece")[0].as_py(), i, begin, *(x.tobytes() for x in arrays)))
+            begin += len(seq)
+        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 8]
+        names = [x.split()[0] for x in _STATE.split(", ")]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+
+    return run
+
+
+def _dealt(first: int, last: int, ranges: int, share: int, shares: int, piece: int, begin: int, row: int, held: np.ndarray, seq: np.ndarray, at: np.ndarray,
+           some: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """Of the tokens ``some`` of a chunk those with at least ``first`` words (or the
+    start mark) before them, packed by range, those of one share."""
+    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    before = some - at[rows[some]]
+    ok = before >= first
+    some, score, before = some[ok], score[ok], before[ok]
+    key = words.grams(seq, first)[some - first] if len(some) else some.astype(np.uint64)
+    of = ((key >> np.uint64(40)) % np.uint64(ranges * shares)).astype(np.int32)
+    order = np.flatnonzero(of % shares == share)
+    order = order[np.argsort(of[order], kind="stable")]
+    some, score, before, key, of = some[order], score[order], before[order], key[order], of[order]
+    x = np.zeros(len(some), _token(last, first))
+    x["key"], x["word"], x["score"], x["place"], x["row"] = key, seq[some], score, some + begin, rows[some] + row
+    x["bits"] = held[rows[some]] + 2 * (before > last)
+    for k in range(first + 1, last + 1):
+        x[f"c{k}"] = np.where(before >= k, seq[np.maximum(some - k, 0)], np.uint64(0))
+    spans = list(_runs(of))
+    return pa.RecordBatch.from_arrays([pa.array([of[i] for i, _ in spans], pa.int32()), pa.array([piece] * len(spans), pa.int64()),
+                                       pa.array([x[i:j].tobytes() for i, j in spans], pa.binary())], names=["range", "piece", "tokens"])
+
+
+_DEALT = "range int, piece long, tokens binary"
+
+
+def _all_tokens(*how):
+    """All tokens, from the stored symbols."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, row, begin, *raw in zip(*(c.to_pylist() for c in batch.columns)):
+                at, held, vocabulary, score = (np.frombuffer(raw[k], t) for k, t in ((0, np.int64), (1, bool), (2, np.uint64), (4, np.float64)))
+                seq = vocabulary[np.frombuffer(raw[3], np.min_scalar_type(len(vocabulary)))]
+                yield _dealt(*how, piece, begin, row, held, seq, at, np.arange(len(seq)), score)
+
+    return run
+
+
+def _left_tokens(*how):
+    """The tokens that a pass left, from the text."""
+    def run(docs: pa.Table, given: pa.Table) -> pa.Table:
+        docs, text = _in_order(docs)
+        held = docs.column("held_out").to_numpy().astype(bool)
+        todo, so_far = (np.frombuffer(b"".join(given.column(c).to_pylist()), t) for c, t in (("place", np.uint32), ("score", np.float64)))
+        order = np.argsort(todo, kind="stable")
+        todo, so_far, out, begin = todo[order].astype(np.int64), so_far[order], [], 0
+        for i, j, seq, at in _sequences(text) if len(todo) else ():
+            a, b = np.searchsorted(todo, [begin, begin + len(seq)])
+            if a < b:
+                out.append(_dealt(*how, docs.column("piece")[0].as_py(), begin, i, held[i:j], seq, at, todo[a:b] - begin, so_far[a:b]))
+            begin += len(seq)
+        return pa.Table.from_batches(out, pa.schema([("range", pa.int32()), ("piece", pa.int64()), ("tokens", pa.binary())]))
+
+    return run
+
+
+def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each distinct hash and the number of each one's hash."""
+    _, first, of = np.unique(h, return_index=True, return_inverse=True)
+    return first, of
+
+
+def _grow(x: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Count, test and score the contexts of ``first`` to ``last`` words of one range:
+    log10 of each token's probability, which tokens have a retained context of
+    ``last`` words, and by length the retained contexts with rest and grams with p."""
+    score, weight, levels = x["score"].copy(), (x["bits"] & 1 == 0).astype(np.float64), []
+    some, h = np.arange(len(x)), x["key"].copy()
+    for length in range(first, last + 1):
+        if length > first:
+            more = x[f"c{length}"][some]
+            some, h = some[more != 0], words.mix(words.mix(h[more != 0]) + more[more != 0])
+        lead, context = _grouped(h)
+        heads = h[lead]
+        grams = words.mix(words.mix(h ^ END) + x["word"][some])
+        lead, gram = _grouped(grams)
+        n, whole = np.bincount(gram, weight[some], len(lead)), np.bincount(context, weight[some], len(heads))
+        of, parent = context[lead], 10.0 ** score[some[lead]]
+        entry = np.flatnonzero(n >= LEAST)
+        inside = lambda v: np.bincount(of[entry], v, len(heads))
+        part = (n[entry] - DISCOUNT) / whole[of[entry]]
+        rest = np.maximum(1.0 - inside(part), 1e-12)
+        p = np.full(len(lead), np.nan)
+        p[entry] = part + rest[of[entry]] * parent[entry]
+        k, seen = inside(np.ones(len(entry))), inside(n[entry])
+        gain = inside(n[entry] * np.log(p[entry] / parent[entry])) + (whole - seen) * np.log(rest)
+        good = (k > 0) & (gain > k * 0.5 * np.log(np.maximum(whole, 1.0)))
+        ok = good[context]
+        kept = entry[good[of[entry]]]
+        levels.append((length, heads[good], np.log10(rest[good]), grams[lead[kept]], np.log10(p[kept])))
+        some, h, gram, context = some[ok], h[ok], gram[ok], context[ok]
+        score[some] = np.where(n[gram] >= LEAST, np.log10(p[gram]), np.log10(rest[context]) + score[some])
+    left = np.zeros(len(x), dtype=bool)
+    left[some] = True
+    return score, left, levels
+
+
+_SUMS = "piece long, rows binary, sums binary, place binary, score binary"
+_LEVELS = "order int, h long, p double, rest double"
+
+
+def _range(first: int, last: int, emit: bool):
+    """Of the tokens of a range: each piece's sums of log10 by row, and the tokens
+    that need longer contexts; with ``emit`` also the retained contexts and grams."""
+    kind = _token(last, first)
+
+    def run(met: pa.Table) -> pa.Table:
+        raw = met.column("tokens").to_pylist()
+        pieces, ends = met.column("piece").to_pylist(), np.cumsum([0, *(len(r) // kind.itemsize for r in raw)])
+        score, left, levels = _grow(x := np.frombuffer(b"".join(raw), kind), first, last)
+        left &= x["bits"] & 2 != 0
+        columns = [[], [], [], [], []]
+        for piece, i, j in zip(pieces, ends[:-1], ends[1:]):
+            on = left[i:j]
+            rows, of = np.unique(x["row"][i:j][~on], return_inverse=True)
+            sums = np.bincount(of, score[i:j][~on], len(rows))
+            for c, v in zip(columns, (piece, rows.astype(np.int32).tobytes(), sums.tobytes(), x["place"][i:j][on].tobytes(), score[i:j][on].tobytes())):
+                c.append(v)
+        table = pa.Table.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["piece", "rows", "sums", "place", "score"])
+        if not emit:
+            return table
+        parts = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
+        for length, contexts, rest, grams, p in levels:
+            parts.append((np.full(len(contexts), length + 1, np.int32), contexts, np.full(len(contexts), np.nan), rest))
+            parts.append((np.full(len(grams), length + 1, np.int32), grams, p, np.full(len(grams), np.nan)))
+        order, h, p, rest = (np.concatenate(c) for c in zip(*parts))
+        own = pa.Table.from_arrays([pa.array(order), pa.array(h.view(np.int64)), pa.array(p, from_pandas=True), pa.array(rest, from_pandas=True)], names=["order", "h", "p", "rest"])
+        both = pa.concat_tables([table, own], promote_options="default")
+        return both.select(["piece", "rows", "sums", "place", "score", "order", "h", "p", "rest"])
 
     return run
 
 
+def _finished(docs: pa.Table, given: pa.Table) -> pa.Table:
+    """Each row's result: its base, its first token, and the sums of the ranges."""
+    docs = docs.sort_by("row")
+    n = docs.num_rows
+    n_tokens, n_known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+    for row, raw_at, raw_known, raw_base, raw_first, raw_rows, raw_sums in zip(*(given.column(c).to_pylist() for c in ("row", "at", "known", "base", "first", "rows", "sums"))):
+        if raw_at is None:
+            score += np.bincount(np.frombuffer(raw_rows, np.int32), np.frombuffer(raw_sums, np.float64), n)
+        else:
+            at = np.frombuffer(raw_at, np.int64)
+            own = slice(row, row + len(at) - 1)
+            n_tokens[own], n_known[own], base[own] = np.diff(at) - 1, np.frombuffer(raw_known, np.int64), np.frombuffer(raw_base, np.float64)
+            score[own] += np.frombuffer(raw_first, np.float64)
+    columns = [pa.array(x) for x in (n_tokens, n_known, base, score)]
+    return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+
 def _retained(entries: DataFrame) -> DataFrame:
     """Of entries (context, gram, n, context_n, parent_p) those whose contexts pass the
     divergence test, kept: context, gram, p (the symbol's probability) and rest."""
@@ -356,10 +536,10 @@ def _slots(level: DataFrame) -> np.ndarray:
     return out
 
 
-def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int]:
-    """The tree of a kept table of piece and text: h (of a token, gram or context), p
-    (log10, of a token or gram), rest (log10, of a context); the slots of the
-    retained contexts of each length, the number of tokens, of distinct ones."""
+def _first_level(pieces: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
+    """Of a kept table of piece and text: a table of h (of a token, gram or context), p
+    (log10, of a token or gram of two) and rest (log10, of a context of one); the slots
+    of these contexts, the number of tokens, of distinct ones."""
     spark = pieces.sparkSession
     first = keep(pieces.select("text").mapInArrow(_first_pass, _FIRST), "lm-first", True)
     tokens = keep(first.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")), "lm-tokens", True)
@@ -367,60 +547,103 @@ def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int
     enough = {n: sketch.gather(first.filter((F.col("order") == n) & F.col("block").isNotNull()).select("block", "salt", "counts")) >= LEAST for n in ORDERS}
     discard(first)
 
-    def counted(n: int, grown: np.ndarray | None = None, contexts: bool = False) -> DataFrame:
-        ranges = max(1, -(-total * (2 if contexts else 1) // RANGE))
-        shared = spark.sparkContext.broadcast((n, ranges, enough.get(n), grown, contexts))
+    ranges = max(1, -(-total // RANGE))
+    shared = spark.sparkContext.broadcast((2, ranges, enough[2]))
 
-        def occurrences(batches):
-            return _occurrences(*shared.value)(batches)
+    def occurrences(batches):
+        return _occurrences(*shared.value)(batches)
 
-        asked = pieces.mapInArrow(occurrences, "range int, piece long, hashes binary, times binary")
-        owned = keep(asked.groupBy("range").applyInArrow(_owners, "piece long, hashes binary, times binary"), "lm-owned", True)
-        found = keep(pieces.groupBy("piece").cogroup(owned.groupBy("piece")).applyInArrow(_described(n), _GRAMS), "lm-grams", True)
-        discard(owned)
-        return found
-
-    columns = ["context", "gram", "n", "context_n", "parent_p"]
-    unigram = tokens.select(F.col("h").alias("word"), ((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("root_p"))
+    asked = pieces.mapInArrow(occurrences, "range int, piece long, hashes binary, times binary")
+    owned = keep(asked.groupBy("range").applyInArrow(_owners, "piece long, hashes binary, times binary"), "lm-owned", True)
+    pairs = keep(pieces.groupBy("piece").cogroup(owned.groupBy("piece")).applyInArrow(_described(2), _GRAMS), "lm-grams", True)
+    discard(owned)
+    unigram = tokens.select(F.col("h").alias("word"), ((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("parent_p"))
     starts = pieces.agg(F.lit(int(START)).cast("long").alias("h"), F.count("*").alias("n"))
     of_word = tokens.select("h", "n").union(starts).select(F.col("h").alias("context"), F.col("n").alias("context_n"))
-    pairs = counted(2)
-    one = pairs.join(unigram, "word").join(of_word, "context").withColumn("parent_p", F.col("root_p"))
-    levels = {2: _retained(one.select(*columns))}
+    one = pairs.join(unigram, "word").join(of_word, "context")
+    level = _retained(one.select("context", "gram", "n", "context_n", "parent_p"))
+    discard(pairs)
+    slots = _slots(level)
+    nothing = F.lit(None).cast("double")
+    rows = tokens.select("h", F.log10((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("p"), nothing.alias("rest"))
+    rows = rows.union(level.select(F.col("gram").alias("h"), F.log10("p").alias("p"), nothing.alias("rest")))
+    rows = rows.union(level.groupBy(F.col("context").alias("h")).agg(nothing.alias("p"), F.log10(F.first("rest")).alias("rest")))
+    tree = keep(rows.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree", True)
+    discard(tokens, level)
+    return tree, slots, total, distinct
 
-    def parents(n: int) -> DataFrame:
-        return levels[n].select(F.col("gram").alias("tail"), F.col("p").alias("tail_p"))
 
-    def as_contexts(found: DataFrame) -> DataFrame:
-        return found.select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
+def _answers(pieces: DataFrame, tree: DataFrame, slots: np.ndarray, total: int) -> DataFrame:
+    """What the first level knows of the hashes of each piece: piece, found; kept."""
+    ranges = max(1, -(-2 * total // RANGE))
+    shared = pieces.sparkSession.sparkContext.broadcast(slots)
 
-    triples = counted(3)
-    two = triples.join(unigram, "word").join(as_contexts(pairs), "context").join(parents(2), "tail", "left").withColumn("parent_p", F.coalesce("tail_p", "root_p"))
-    levels[3] = _retained(two.select(*columns))
-    discard(pairs)
-    slots = {n: _slots(level) for n, level in levels.items()}
-    n = 3
-    while slots[n].any():
-        n += 1
-        # contexts of three words were counted as grams, all of them
-        found = counted(n, slots[n - 1], n > 4)
-        sums = as_contexts(triples if n == 4 else found.filter("order = 0"))
-        more = found.filter("order > 0").join(parents(n - 1).withColumnRenamed("tail_p", "parent_p"), "tail").join(sums, "context")
-        levels[n] = _retained(more.select(*columns))
-        slots[n] = _slots(levels[n])
-        discard(found)
+    def requests(batches):
+        return _requests((2,), {2: shared.value}, ranges)(batches)
 
-    nothing = F.lit(None).cast("double")
-    rows = [tokens.select("h", F.log10((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("p"), nothing.alias("rest"))]
-    for level in levels.values():
-        rows.append(level.select(F.col("gram").alias("h"), F.log10("p").alias("p"), nothing.alias("rest")))
-        rows.append(level.groupBy(F.col("context").alias("h")).agg(nothing.alias("p"), F.log10(F.first("rest")).alias("rest")))
-    tree = rows[0]
-    for more in rows[1:]:
-        tree = tree.union(more)
-    whole = keep(tree.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree", True)
-    discard(tokens, triples, *levels.values())
-    return whole, {n: x for n, x in slots.items() if x.any()}, total, distinct
+    asked = pieces.select("piece", "text").mapInArrow(requests, "range int, piece long, hashes binary")
+    known = tree.select((F.shiftrightunsigned("h", 40) % ranges).cast("int").alias("range"), "h", *(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("p", "rest")))
+    return keep(asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answer, "piece long, found binary"), "lm-answers", True)
+
+
+def _stored(pieces: DataFrame, answers: DataFrame, total: int, distinct: int) -> DataFrame:
+    """The symbols of all pieces with what the first level says of them; kept. The
+    pieces meet their answers in ``SHARES`` shares, one after the other."""
+    slim = pieces.select("piece", "row", "held_out", "text")
+    found = _first_scores(-float(np.log10(total + distinct + 1)))
+    parts = []
+    for share in range(SHARES):
+        own = F.pmod(F.xxhash64("piece"), F.lit(SHARES)) == share
+        parts.append(slim.filter(own).groupBy("piece").cogroup(answers.filter(own).groupBy("piece")).applyInArrow(found, _STATE))
+    out = keep_parts(parts, "lm-symbols")
+    discard(answers)
+    return out
+
+
+def _passes(pieces: DataFrame, stored: DataFrame, total: int, emit: bool = False) -> list[DataFrame]:
+    """The kept results of the passes by context, one pass after the other until no
+    token is left."""
+    first, last = FIRST
+    tokens, done = total, []
+    slim = pieces.select("piece", "row", "held_out", "text")
+    schema = _SUMS + (", " + _LEVELS if emit else "")
+    with short_batches(pieces.sparkSession, AT_ONCE):
+        while True:
+            shares = SHARES if not done else max(1, -(-SHARES * tokens // max(total, 1)))
+            ranges = max(1, -(-tokens // (MEET * shares)))
+            parts = []
+            for share in range(shares):
+                how = first, last, ranges, share, shares
+                if done:
+                    dealt = slim.groupBy("piece").cogroup(given.groupBy("piece")).applyInArrow(_left_tokens(*how), _DEALT)
+                else:
+                    dealt = stored.select("piece", "row", "begin", "at", "held", "vocabulary", "symbols", "score").mapInArrow(_all_tokens(*how), _DEALT)
+                parts.append(dealt.groupBy("range").applyInArrow(_range(first, last, emit), schema))
+            done.append(keep_parts(parts, "lm-sums"))
+            given = done[-1].filter(F.length("place") > 0).select("piece", "place", "score")
+            tokens = given.agg(F.sum(F.length("place") / 4)).first()[0]
+            if not tokens:
+                return done
+            tokens = int(tokens)
+            first, last = last + 1, last + MORE
+
+
+def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int]:
+    """The tree of a table with a column text: h (of a token, gram or context), p
+    (log10, of a token or gram), rest (log10, of a context); the sketch slots of the
+    retained contexts by the length of their grams, the number of tokens, of distinct ones."""
+    pieces = keep(pieces.select(F.lit(False).alias("held_out"), "text").mapInArrow(_pieces, "piece long, row int, held_out boolean, text string"), "lm-pieces", True)
+    tree, slots, total, distinct = _first_level(pieces.select("piece", "text"))
+    stored = _stored(pieces, _answers(pieces, tree, slots, total), total, distinct)
+    passes = _passes(pieces, stored, total, True)
+    discard(stored, pieces)
+    by_length = {2: slots}
+    for kept in passes:
+        longer = kept.filter("h is not null")
+        tree = tree.union(longer.select("h", "p", "rest"))
+        for (n,) in longer.select("order").distinct().collect():
+            by_length[n] = _slots(longer.filter((F.col("order") == n) & F.col("rest").isNotNull()).withColumnRenamed("h", "context"))
+    return tree, {n: x for n, x in by_length.items() if x.any()}, total, distinct
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Column | None = None) -> DataFrame:
@@ -432,20 +655,14 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Col
     With no training rows every token is unknown and has probability one."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), (held_out(F.col(doc_id)) if held is None else held).alias("held_out"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    pieces = keep(slim.mapInArrow(_pieces, f"piece long, doc_id {kind}, held_out boolean, text string"), "lm-pieces", True)
-    tree, slots, total, distinct = learn(pieces.filter(~F.col("held_out")).select("piece", "text"))
-    orders = tuple(sorted(slots))
-    ranges = max(1, -(-total * (1 + len(orders)) // RANGE))
-    shared = slim.sparkSession.sparkContext.broadcast(slots)
-
-    def requests(batches):
-        return _requests(orders, shared.value, ranges)(batches)
-
-    asked = pieces.select("piece", "text").mapInArrow(requests, "range int, piece long, hashes binary")
-    known = tree.select((F.shiftrightunsigned("h", 40) % ranges).cast("int").alias("range"), "h", *(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("p", "rest")))
-    answers = keep(asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answer, "piece long, found binary"), "lm-answers", True)
+    pieces = keep(slim.mapInArrow(_pieces, f"piece long, row int, doc_id {kind}, held_out boolean, text string"), "lm-pieces", True)
+    tree, slots, total, distinct = _first_level(pieces.filter(~F.col("held_out")).select("piece", "text"))
+    answers = _answers(pieces, tree, slots, total)
     discard(tree)
-    unknown = -float(np.log10(total + distinct + 1))
-    scored = pieces.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(
-        _score_piece(orders, unknown), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    stored = _stored(pieces, answers, total, distinct)
+    given = stored.select("piece", "row", "at", "known", "base", "first", *(F.lit(None).cast("binary").alias(c) for c in ("rows", "sums")))
+    for kept in _passes(pieces, stored, total):
+        given = given.union(kept.select("piece", *(F.lit(None).cast(t) for t in ("int", "binary", "binary", "binary", "binary")), "rows", "sums"))
+    scored = pieces.drop("text").groupBy("piece").cogroup(given.groupBy("piece")).applyInArrow(
+        _finished, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -109,3 +109,20 @@ def test_the_tree_grows_with_the_corpus_and_contexts_beyond_two_words(spark):
     assert max(slots) >= 4 and tree.count() > 0
     r = lm.score(deep, held=F.col("doc_id") == 1399).filter("held_out").first()
     assert r.score > r.base_score + 5
+
+
+def test_many_small_ranges_and_passes_give_the_same_scores(spark, monkeypatch):
+    for name, value in (("FIRST", (2, 2)), ("MORE", 1), ("MEET", 64), ("SHARES", 3)):
+        monkeypatch.setattr(lm, name, value)
+    asked = []
+    requests = lm._requests
+    monkeypatch.setattr(lm, "_answers", lambda *a, whole=lm._answers: (asked.append(1), whole(*a))[1])
+    monkeypatch.setattr(lm, "_requests", lambda orders, *a: requests(orders, *a) if orders == (2,) else 1 / 0)
+    rows = corpus(60)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in lm.score(df).collect()), key=lambda r: str(r[:4]))
+    expected = sorted(plain(rows)[0], key=lambda r: str(r[:4]))
+    assert asked == [1]  # pieces ask for one level only, longer contexts are scored where they are counted
+    assert [r[:5] for r in got] == [r[:5] for r in expected]
+    for g, e in zip(sorted(r[5:] for r in got), sorted(r[5:] for r in expected)):
+        assert g == pytest.approx(e, rel=1e-9)
