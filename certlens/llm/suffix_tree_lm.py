@@ -3,8 +3,6 @@
 Learning (all documents that are not held out): exact counts of all tokens and of
 the grams of 2, 3, ... words (each with a start mark before and an end token after
 the text) that occur at least ``LEAST`` times, whatever the size of the corpus.
-A count sketch of the 2-word grams comes first; a slot never undercounts, so it only
-saves work where the corpus is small.
 
 A context (the last words) holds the next symbols seen with it that often, with
 absolute discounting; the rest of its mass goes to the distribution of its parent
@@ -15,51 +13,63 @@ than half a log count for each successor. Contexts of one and two words are all
 tested, longer ones where the context one word shorter is retained, and so on until
 no context of a length is.
 
-Contexts of one word can be as frequent as a word, so they are counted by gram: each
-piece of text (about 4 MB) sends its distinct gram hashes with their counts, packed
-by hash range; a range sums them and tells the first piece of each frequent gram,
-which alone adds the hashes of its parts. Vocabulary and this level are one table of
-hashes that grows with the corpus; each piece asks for its distinct hashes, packed by
-hash range, and so knows every token's probability given one word.
-
-Longer contexts: all that share their last two words lie in one hash range, and so
-does every token that follows them. Each token goes there once, with the words before
-it and its probability so far; the range counts, tests and scores level by level
-and returns sums by row. Only tokens behind a context that is retained at the last
-level of a pass go into the next one, dealt by more words. The ranges meet in
-``SHARES`` shares, one after the other; tables and shuffle files of a step are
-deleted when the next one is written. Nothing but one bit for each sketch slot is
-collected. What follows one pair of words meets in one task.
-
-Tokens are 64-bit word hashes.
+The text is read once, into pieces of about ``PIECE`` bytes: their distinct word
+hashes, and the symbols as numbers of these. Each piece asks the ranges of hashes
+for its words' numbers and counts in the corpus (both exact). Then every token goes
+once to the range of the word before it, with the words before that one, and the
+range counts, tests and scores all contexts up to some length, level by level; sums
+by row go back to the piece. Only tokens behind a context that is retained at the
+last level of a pass go into the next one, dealt by all words of it.
+
+A word with more than ``MEET`` tokens is hot: what follows it is dealt by the two
+last words, to as many ranges as its count asks for, so its own context is in none of
+them as a whole. The grams of it and one more word are counted by gram before (each
+piece sends its distinct ones), its test is summed up over those that occur ``LEAST``
+times, and these go to each of its ranges with their probabilities. What follows one
+pair of words meets in one task.
+
+The ranges meet in ``SHARES`` shares, one after the other; tables and shuffle files
+of a step are deleted when the next one is written. All rows that move are packed:
+one for each piece and range. Nothing but the hot words is collected.
+
+Words are 64-bit hashes; from their numbers on, contexts up to the first pass's
+length and their grams are told apart exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlens.llm import sketch, words
-from certlens.llm.shared import discard, keep, keep_parts, short_batches
+from certlens.llm.shared import discard, keep, keep_parts
 
 LEAST = 2
 DISCOUNT = 0.5
-#: Lengths of the grams that are sketched and counted by gram.
+LEAST_REST = 1e-12
+#: Lengths of the grams that are counted by gram, behind hot words.
 ORDERS = (2,)
-#: Context lengths of the first pass by context, and how many the others have.
+#: Context lengths of the first pass (tested from one word on, whatever stands
+#: first), and how many the others have.
 FIRST, MORE = (2, 4), 4
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
-FLUSH = 2_000_000
-#: Hashes that a range gets from the whole corpus at most (on average).
-RANGE = 1 << 21
+#: Bytes of text in a piece (or one row, if it is longer).
+PIECE = 6 << 20
+#: Hashes that a range gets from the whole corpus (on average).
+RANGE = 1 << 20
 #: Tokens that meet in a range of contexts (on average), and the shares of the ranges.
-MEET, SHARES = 1 << 18, 6
-#: Rows of stored symbols (256 KB of text each) that a worker gets at once.
-AT_ONCE = 8
+MEET, SHARES = 1 << 19, 3
+#: Bytes that a worker gets at once.
+AT_ONCE = 16 << 20
+#: Numbers of no word and of the start mark; words follow.
+NONE, FIRST_MARK = 0, 1
+
+U = np.uint64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,7 +77,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
-def _sequences(col: pa.Array, rows: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+@contextmanager
+def _batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, workers get at most ``AT_ONCE`` bytes at once (or one row), and Parquet's
+    writers look at their size after each (large) row."""
+    own = {"spark.sql.execution.arrow.maxBytesPerBatch": str(AT_ONCE), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _sequences(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges with their symbols (start mark, words, end token for each row)
     and the index of each row's start mark, one more entry for the end."""
     data, offsets = words.buffers(col)
@@ -83,407 +108,494 @@ def _sequences(col: pa.Array, rows: np.ndarray | None = None) -> Iterator[tuple[
         yield i, j, seq, at
 
 
-def _within(at: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Which grams of ``n`` symbols lie in one row (by their first symbol)."""
-    ok = np.ones(size, dtype=bool)
-    for k in range(1, n):
-        ok[np.maximum(at[1:] - k, 0)] = False
-    return ok[: max(size - n + 1, 0)]
+def _small(x: np.ndarray) -> np.ndarray:
+    """Counts in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def _sized(raw: bytes, n: int) -> np.ndarray:
+    """``n`` counts that ``_small`` wrote."""
+    return np.frombuffer(raw, f"u{len(raw) // n}") if n else np.zeros(0, np.uint8)
 
 
-class _Tally:
-    """Counts of 64-bit keys, merged now and then."""
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    new = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return new
 
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        found, n = np.unique(keys, return_counts=True)
-        self.parts.append((found, n))
-        self.held += len(found)
+def _packed(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Rows of an array, from cut to cut, as binary values."""
+    x = np.ascontiguousarray(x)
+    width = x.itemsize * (x.shape[1] if x.ndim > 1 else 1)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * width).astype(np.int32)), pa.py_buffer(x)])
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        keys, n = np.concatenate([k for k, _ in self.parts]), np.concatenate([c for _, c in self.parts])
-        self.parts, self.held = [], 0
-        found, which = np.unique(keys, return_inverse=True)
-        return found, np.bincount(which, weights=n, minlength=len(found)).astype(np.int64)
 
+def _flat(col: pa.ChunkedArray, kind) -> np.ndarray:
+    """All binary values of a column, one after the other."""
+    return np.frombuffer(b"".join(col.to_pylist()), kind)
 
-_FIRST = f"h long, n long, order int, {sketch.SCHEMA}"
 
+_PIECE = "held binary, at binary, vocabulary binary, times binary, symbols binary, size long, trained long"
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, held_out, text) as one row for each piece: its number, the ids,
+    whether held out, where each row begins; its distinct hashes with their number among
+    training rows (of the start mark: the rows), the symbols as places among these;
+    the tokens of all and of training rows."""
     from pyspark import TaskContext
 
     context = TaskContext.get()
-    counts = {n: np.zeros(sketch.SLOTS, np.uint32) for n in ORDERS}
-    tally = _Tally()
-    none = lambda kind, n: pa.nulls(n, kind)
-
-    def tokens() -> pa.RecordBatch:
-        h, n = tally.take()
+    piece, size = (context.partitionId() if context else 0) << 33, 0
+    some: list[tuple] = []
+
+    def cut() -> pa.RecordBatch:
+        ids, held, seqs, ats = zip(*some)
+        held, seq = np.concatenate(held), np.concatenate(seqs)
+        begins = np.cumsum([0, *map(len, seqs)])
+        at = np.concatenate([*(a[:-1] + b for a, b in zip(ats, begins)), begins[-1:]])
+        h, symbols = np.unique(seq, return_inverse=True)
+        # the frequent ones first: small numbers take less room
+        order = np.argsort(-np.bincount(symbols, minlength=len(h)), kind="stable")
+        place = np.empty(len(h), np.int64)
+        place[order] = np.arange(len(h))
+        h, symbols = h[order], place[symbols]
+        train = np.repeat(~held, np.diff(at))
+        times = np.bincount(symbols[train], minlength=len(h))
+        arrays = held, at.astype(np.int64), h, _small(times), symbols.astype(np.min_scalar_type(len(h)))
+        ids = pa.concat_arrays(ids)
         return pa.RecordBatch.from_arrays(
-            [pa.array(h.view(np.int64)), pa.array(n), pa.array(np.ones(len(h), np.int32)), none(pa.int32(), len(h)), none(pa.int32(), len(h)), none(pa.binary(), len(h))],
-            names=["h", "n", "order", "block", "salt", "counts"])
+            [pa.array([piece]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *(pa.array([x.tobytes()], pa.binary()) for x in arrays),
+             pa.array([len(seq) - len(held)]), pa.array([int(train.sum() - (~held).sum())])],
+            names=["piece", "doc_id", "held", "at", "vocabulary", "times", "symbols", "size", "trained"])
 
     for batch in batches:
-        for _, _, seq, at in _sequences(batch.column(0)):
-            start = np.zeros(len(seq), dtype=bool)
-            start[at[:-1]] = True
-            tally.add(seq[~start])
-            for n in ORDERS:
-                grams = words.grams(seq, n)[_within(at, len(seq), n)]
-                sketch.count(counts[n], grams)
-            if tally.held > FLUSH:
-                yield tokens()
-    yield tokens()
-    for n in ORDERS:
-        rows = sketch.blocks(counts[n], (context.partitionId() if context else 0) % 16)
-        k = rows.num_rows
-        yield pa.RecordBatch.from_arrays([none(pa.int64(), k), none(pa.int64(), k), pa.array([n] * k, pa.int32()), *rows.columns],
-                                         names=["h", "n", "order", "block", "salt", "counts"])
-
-
-def _runs(pieces: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of one piece each."""
-    if len(pieces):
-        edges = np.flatnonzero(np.concatenate([[True], pieces[1:] != pieces[:-1], [True]]))
-        yield from zip(edges[:-1], edges[1:])
-
-
-def _by_range(piece: int, ranges: int, h: np.ndarray, times: np.ndarray | None = None) -> pa.RecordBatch:
-    """Sorted distinct hashes of a piece (and their counts, in as few bytes as the
-    largest needs) as one row for each hash range."""
-    of = ((h >> np.uint64(40)) % np.uint64(ranges)).astype(np.int64)
+        _, offsets = words.buffers(batch.column(2))
+        held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for i, j, seq, at in _sequences(batch.column(2)):
+            own = int(offsets[j] - offsets[i])
+            if some and size + own > PIECE:
+                yield cut()
+                piece, size, some = piece + 1, 0, []
+            size += own
+            some.append((pa.concat_arrays([batch.column(0).slice(i, j - i)]), held[i:j], seq, at))
+    if some:
+        yield cut()
+
+
+def _by_range(ranges: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of hashes by range, the ranges met, and where each begins (and the end)."""
+    of = ((h >> U(40)) % U(ranges)).astype(np.min_scalar_type(ranges))
     order = np.argsort(of, kind="stable")
-    h, of = h[order], of[order]
-    cuts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1], [True]])) if len(h) else np.zeros(1, np.int64)
-    spans = list(zip(cuts[:-1], cuts[1:]))
-    columns = {"range": pa.array(of[cuts[:-1]].astype(np.int32)), "piece": pa.array(np.full(len(spans), piece)),
-               "hashes": pa.array([h[i:j].tobytes() for i, j in spans], pa.binary())}
-    if times is not None:
-        times = times[order]
-        columns["times"] = pa.array([times[i:j].astype(np.min_scalar_type(times[i:j].max())).tobytes() for i, j in spans], pa.binary())
-    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
-def _occurrences(n: int, ranges: int, enough: np.ndarray):
-    """The distinct grams of each piece whose slot has enough with their counts,
-    packed by hash range."""
+    of = of[order]
+    cuts = np.flatnonzero(_edges(of))
+    return order, of[cuts].astype(np.int32), np.append(cuts, len(of))
+
+
+def _asked(ranges: int):
+    """The distinct hashes of each piece with their counts, packed by hash range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces, text = batch.column(0).to_numpy(), batch.column(1)
-            for a, b in _runs(pieces):
-                tally = _Tally()
-                for _, _, seq, at in _sequences(text.slice(a, b - a)):
-                    grams = words.grams(seq, n)[_within(at, len(seq), n)]
-                    tally.add(grams[enough[sketch.slot(grams)]])
-                yield _by_range(pieces[a], ranges, *tally.take())
+            for piece, raw, times in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.frombuffer(raw, U)
+                order, of, cuts = _by_range(ranges, h)
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.full(len(of), piece)), _packed(h[order], cuts), _packed(_sized(times, len(h))[order], cuts)],
+                                                 names=["range", "piece", "hashes", "times"])
 
     return run
 
 
-def _owners(asked: pa.Table) -> pa.Table:
-    """The hashes of a range that occur ``LEAST`` times, with their counts; each
-    goes back to the first piece that holds it."""
-    sizes = np.array([len(x.as_py()) // 8 for x in asked.column("hashes")])
-    h = np.frombuffer(b"".join(asked.column("hashes").to_pylist()), np.uint64)
-    times = np.concatenate([np.frombuffer(raw, f"u{len(raw) // k}").astype(np.int64) for raw, k in zip(asked.column("times").to_pylist(), sizes)])
-    piece = np.repeat(asked.column("piece").to_numpy(), sizes)
-    order = np.lexsort((piece, h))
-    h, times, piece = h[order], times[order], piece[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    total = np.add.reduceat(times, new)
-    new, total = new[total >= LEAST], total[total >= LEAST]
-    order = np.argsort(piece[new], kind="stable")
-    h, total, piece = h[new][order], total[order], piece[new][order]
-    spans = list(_runs(piece))
-    return pa.Table.from_arrays(
-        [pa.array([piece[i] for i, _ in spans], pa.int64()), pa.array([h[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([total[i:j].tobytes() for i, j in spans], pa.binary())],
-        names=["piece", "hashes", "times"])
-
-
-_GRAMS = "order int, gram long, context long, tail long, word long, n long"
-
-
-def _described(n: int):
-    """What a piece owns: its grams with the hashes of their context (all but the
-    last symbol) and tail (all but the first)."""
-    def run(docs: pa.Table, owned: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(owned.column("hashes").to_pylist()), np.uint64)
-        order = np.argsort(h)
-        h, times = h[order], np.frombuffer(b"".join(owned.column("times").to_pylist()), np.int64)[order]
-        left = np.ones(len(h), dtype=bool)
-        parts = [(np.zeros(0, np.int32), *[np.zeros(0, np.uint64)] * 4, np.zeros(0, np.int64))]
-        for _, _, seq, at in _sequences(docs.column("text").combine_chunks()) if len(h) else ():
-            some = np.flatnonzero(_within(at, len(seq), n))
-            grams = words.grams(seq, n)[some]
-            place = np.searchsorted(h, grams)
-            place[place == len(h)] = 0
-            some, place = (x[(h[place] == grams) & left[place]] for x in (some, place))
-            place, where = np.unique(place, return_index=True)
-            some = some[where]
-            left[place] = False
-            shorter = words.grams(seq, n - 1) if n > 2 else seq
-            parts.append((np.full(len(some), n, np.int32), h[place], shorter[some], shorter[some + 1], seq[some + n - 1], times[place]))
-        columns = [np.concatenate(x) for x in zip(*parts)]
-        return pa.Table.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=["order", "gram", "context", "tail", "word", "n"])
+_ANSWER = "piece long, range int, numbers binary, times binary, known long, wide boolean, hot binary, hot_times binary"
+
+
+def _numbers(ranges: int, meet: int, exact: bool):
+    """The number of each hash of a range (``exact``: the hash itself) and its count in
+    the corpus, in the order of each piece's hashes; in the first row also how many
+    words there are, whether a number needs 64 bits, and the hot ones."""
+    def run(asked: pa.Table) -> pa.Table:
+        place = asked.column("range")[0].as_py()
+        raw = asked.column("hashes").to_pylist()
+        sizes = np.array([len(x) // 8 for x in raw])
+        times = np.concatenate([_sized(x, k).astype(np.int64) for x, k in zip(asked.column("times").to_pylist(), sizes)])
+        h, of = np.unique(np.frombuffer(b"".join(raw), U), return_inverse=True)
+        n = np.bincount(of, times, len(h)).astype(np.int64)
+        number = h.copy() if exact else np.arange(len(h), dtype=U) * U(ranges) + U(place + FIRST_MARK + 1)
+        number[h == START] = FIRST_MARK
+        wide, hot = bool(number.max() >> U(32)), (n > meet) & (h != END)
+        first = [(int(((n > 0) & (h != START)).sum()), wide, number[hot].tobytes(), n[hot].tobytes())]
+        first += [(0, wide, b"", b"")] * (len(raw) - 1)
+        cuts = np.cumsum([0, *sizes])
+        number = number if wide else number.astype(np.uint32)
+        packed = pa.array([_small(n[of[i:j]]).tobytes() for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
+        return pa.Table.from_arrays([asked.column("piece"), asked.column("range"), _packed(number[of], cuts), packed, *(pa.array(c, kind) for c, kind in zip(
+            zip(*first), (pa.int64(), pa.bool_(), pa.binary(), pa.binary())))], names=["piece", "range", "numbers", "times", "known", "wide", "hot", "hot_times"])
 
     return run
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows with the number of their piece of text and their own in it."""
-    from pyspark import TaskContext
+_NUMBERED = "held binary, at binary, numbers binary, times binary, symbols binary, known binary, base binary"
 
-    context = TaskContext.get()
-    piece = (context.partitionId() if context else 0) << 33
-    size = row = 0
-    for batch in batches:
-        _, offsets = words.buffers(batch.column(batch.num_columns - 1))
-        for i, j in words.chunks(offsets):
-            size += int(offsets[j] - offsets[i])
-            if size > words.ROW_CHUNK:
-                piece, size, row = piece + 1, int(offsets[j] - offsets[i]), 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, piece)), pa.array(np.arange(row, row + j - i, dtype=np.int32)), *batch.slice(i, j - i).columns],
-                                             names=["piece", "row", *batch.schema.names])
-            row += j - i
-
-
-def _requests(orders: tuple[int, ...], slots: dict[int, np.ndarray], ranges: int):
-    """The distinct hashes of tokens, of contexts that may be retained and of the
-    grams with them, of each piece and range."""
+
+def _numbered(ranges: int, all_words: int, wide: bool):
+    """A piece with the numbers and counts of its words instead of their hashes; of each
+    row how many tokens are known and log10 of the base."""
+    def run(pieces: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("range")
+        raw = {c: pieces.column(c)[0].as_py() for c in ("piece", "held", "at", "vocabulary", "symbols")}
+        h, at = np.frombuffer(raw["vocabulary"], U), np.frombuffer(raw["at"], np.int64)
+        symbols = np.frombuffer(raw["symbols"], np.min_scalar_type(len(h)))
+        order, _, cuts = _by_range(ranges, h)
+        numbers, times = np.empty(len(h), U if wide else np.uint32), np.empty(len(h), np.int64)
+        for c, to in (("numbers", numbers), ("times", times)):
+            to[order] = np.concatenate([_sized(x, k).astype(to.dtype) for x, k in zip(answers.column(c).to_pylist(), np.diff(cuts))])
+        word = numbers != FIRST_MARK
+        known, base = (times > 0) & word, np.where(word, np.log10((times + 1) / all_words), 0.0)
+        arrays = raw["held"], raw["at"], numbers.tobytes(), _small(times).tobytes(), raw["symbols"], np.add.reduceat(known[symbols].astype(np.int64), at[:-1]).tobytes(), np.add.reduceat(base[symbols], at[:-1]).tobytes()
+        return pa.Table.from_arrays([pieces.column("piece"), pieces.column("doc_id"), *(pa.array([x], pa.binary()) for x in arrays)],
+                                    names=["piece", "doc_id", *(x.split()[0] for x in _NUMBERED.split(", "))])
+
+    return run
+
+
+_STORED = ("piece", "held", "at", "numbers", "times", "symbols")
+
+
+class _Piece:
+    """A numbered piece: symbols as places in its vocabulary, numbers and counts of that."""
+
+    def __init__(self, wide: bool, piece: int, held: bytes, at: bytes, numbers: bytes, times: bytes, symbols: bytes):
+        self.piece, self.held, self.at = piece, np.frombuffer(held, bool), np.frombuffer(at, np.int64)
+        self.numbers = np.frombuffer(numbers, U if wide else np.uint32)
+        self.times = _sized(times, len(self.numbers))
+        self.symbols = np.frombuffer(symbols, np.min_scalar_type(len(self.numbers)))
+
+    def behind(self, some: np.ndarray) -> np.ndarray:
+        """Where the tokens stand that follow ``some`` symbols of the vocabulary."""
+        mark = some[self.symbols]
+        mark[self.at[1:] - 1] = False
+        return np.flatnonzero(mark) + 1
+
+    def dealt(self, first: int, last: int, some: np.ndarray, key: np.ndarray, value: np.ndarray, of: np.ndarray, share: int, shares: int) -> pa.RecordBatch:
+        """The tokens ``some`` by their range within a share, packed."""
+        order = np.argsort(of.astype(np.min_scalar_type(int(of.max(initial=0)))), kind="stable")
+        some, key, value, of = some[order], key[order], value[order], of[order]
+        row = np.repeat(np.arange(len(self.held), dtype=np.int32), np.diff(self.at))[some]
+        before, symbols = some - self.at[row], self.numbers[self.symbols]
+        more = np.empty((len(some), last - first), self.numbers.dtype)
+        for k in range(first + 1, last + 1):
+            more[:, k - first - 1] = np.where(before >= k, symbols[some - k], NONE)
+        lead = _edges(of)
+        cuts = np.append(np.flatnonzero(lead), len(of))
+        step = lambda x: _small(np.where(lead, x, np.diff(x, prepend=0)))  # noqa: E731  rows and places ascend within a range
+        moved = step(row)
+        moved = moved.astype(np.min_scalar_type(4 * int(moved.max(initial=0)) + 3)) * 4 + 2 * (before > last).astype(np.uint8) + self.held[row]
+        columns = key, symbols[some], more, value, moved, step(some)
+        return pa.RecordBatch.from_arrays([pa.array(of[cuts[:-1]].astype(np.int64) * shares + share), pa.array(np.full(len(cuts) - 1, self.piece)), *(_packed(x, cuts) for x in columns)], names=_NAMES)
+
+
+#: Rows and places are steps, the former with bits: held out, has more words before it.
+_DEALT = "range long, piece long, key binary, word binary, more binary, value binary, row binary, place binary"
+_NAMES = [x.split()[0] for x in _DEALT.split(", ")]
+
+
+class _Hot:
+    """The hot words: sorted numbers, counts, to how many ranges what follows goes, and
+    log10 of the rest of those that are retained contexts (else NaN)."""
+
+    def __init__(self, numbers: np.ndarray, times: np.ndarray, meet: int):
+        order = np.argsort(numbers)
+        self.numbers, self.times = numbers[order].astype(U), times[order]
+        self.parts, self.rest = -(-self.times // meet), np.full(len(numbers), np.nan)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """Places among the hot words, -1 for others."""
+        if not len(self.numbers):
+            return np.full(len(numbers), -1)
+        place = np.minimum(np.searchsorted(self.numbers, numbers), len(self.numbers) - 1)
+        return np.where(self.numbers[place] == numbers, place, -1)
+
+
+def _spot(ranges: int, number: np.ndarray, part: np.ndarray | int = 0) -> np.ndarray:
+    """The range of what follows a word (in a part, for a hot one)."""
+    return ((words.mix(words.mix(number.astype(U)) + np.asarray(part).astype(U)) >> U(20)) % U(ranges)).astype(np.int64)
+
+
+def _all_tokens(last: int, ranges: int, share: int, shares: int, wide: bool, hot: _Hot):
+    """All tokens by the word before them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces, text = batch.column(0).to_numpy(), batch.column(1)
-            for a, b in _runs(pieces):
-                asked = []
-                for _, _, seq, at in _sequences(text.slice(a, b - a)):
-                    asked.append(np.unique(seq))
-                    for n in orders:
-                        ok = _within(at, len(seq), n)
-                        prefix = words.grams(seq, n - 1) if n > 2 else seq
-                        ok &= slots[n][sketch.slot(prefix[: len(ok)])]
-                        asked += [np.unique(prefix[: len(ok)][ok]), np.unique(words.grams(seq, n)[ok])]
-                yield _by_range(pieces[a], ranges, np.unique(np.concatenate(asked)))
+            for raw in zip(*(c.to_pylist() for c in batch.columns)):
+                x = _Piece(wide, *raw)
+                spot, place = _spot(ranges * shares, x.numbers), hot.find(x.numbers)
+                some = x.behind((spot % shares == share) | (place >= 0))
+                before = x.symbols[some - 1]
+                of = (spot // shares)[before]
+                if (place >= 0).any():
+                    at = np.flatnonzero((place >= 0)[before])
+                    number = x.numbers[before[at]]
+                    # by the word before that one; behind a start mark by the token itself
+                    by = x.numbers[x.symbols[np.where(number == FIRST_MARK, some[at], some[at] - 2)]]
+                    part = words.mix(words.mix(by.astype(U)) + number) % hot.parts[place[before[at]]].astype(U)
+                    spot = _spot(ranges * shares, number, part)
+                    of[at] = np.where(spot % shares == share, spot // shares, -1)
+                    some, before, of = (v[of >= 0] for v in (some, before, of))
+                yield x.dealt(1, last, some, x.numbers[before], x.times[x.symbols[some]].astype(np.int64), of, share, shares)
 
     return run
 
 
-_FOUND = np.dtype([("h", np.uint64), ("p", np.float64), ("rest", np.float64)])
-
-
-def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """What a range knows of the hashes that each piece asks for."""
-    rows = np.zeros(known.num_rows, _FOUND)
-    rows["h"] = known.column("h").to_numpy().view(np.uint64)
-    for c in ("p", "rest"):
-        rows[c] = known.column(c).to_numpy()
-    rows.sort(order="h")
-    out = []
-    for raw in asked.column("hashes"):
-        h = np.frombuffer(raw.as_py(), np.uint64)
-        place = np.searchsorted(rows["h"], h)
-        place[place == len(rows)] = 0
-        out.append(rows[place[rows["h"][place] == h]].tobytes() if len(rows) else b"")
-    return pa.Table.from_arrays([asked.column("piece"), pa.array(out, pa.binary())], names=["piece", "found"])
-
-
-def _in_order(docs: pa.Table) -> tuple[pa.Table, pa.Array]:
-    """The rows of a piece by their number, and their texts."""
-    docs = docs.sort_by("row")
-    return docs, docs.column("text").combine_chunks()
-
-
-class _Lookup:
-    """What the ranges answered to one piece."""
-
-    def __init__(self, answers: pa.Table, unknown: float):
-        rows = np.frombuffer(b"".join(x for x in answers.column("found").to_pylist() if x), _FOUND)
-        rows = np.unique(rows)  # a piece may ask twice if its rows were read apart
-        self.h, self.unknown = rows["h"], unknown
-        self.keys = np.concatenate([rows["h"], [np.uint64(2**64 - 1)]])
-        self.p, self.rest = (np.concatenate([rows[c], [np.nan]]) for c in ("p", "rest"))
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        place = np.searchsorted(self.h, h)
-        return np.where(self.keys[place] == h, place, len(self.h))
-
-    def state(self, seq: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each symbol log10 of the base, whether it is a known token, and log10
-        of its probability given one word."""
-        mark = np.zeros(len(seq), dtype=bool)
-        mark[at[:-1]] = True
-        base = self.p[self.find(seq)]
-        known = ~np.isnan(base) & ~mark
-        base = np.where(known, base, np.where(mark, 0.0, self.unknown))
-        score = base.copy()
-        ok = np.flatnonzero(_within(at, len(seq), 2))
-        rest = self.rest[self.find(seq[ok])]
-        ok, rest = ok[~np.isnan(rest)], rest[~np.isnan(rest)]
-        p = self.p[self.find(words.grams(seq, 2)[ok])] if len(ok) else rest
-        score[ok + 1] = np.where(np.isnan(p), score[ok + 1] + rest, p)
-        return base, known, score
-
-
-def _token(last: int, first: int) -> np.dtype:
-    """A token (word) behind a context whose last ``first`` words are key; the words
-    before these up to ``last``, 0 where the text begins; log10 of its probability so
-    far, its row, its place in the piece; bits: held out, has more words before it."""
-    return np.dtype([("key", np.uint64), ("word", np.uint64), *((f"c{k}", np.uint64) for k in range(first + 1, last + 1)),
-                     ("score", np.float64), ("row", np.int32), ("place", np.uint32), ("bits", np.uint8)])
-
-
-_STATE = "piece long, row int, begin long, at binary, held binary, vocabulary binary, symbols binary, score binary, known binary, base binary, first binary"
-
-
-def _first_scores(unknown: float):
-    """A piece's symbols and what the first level says of them, as a row for each
-    chunk of its text: first row and place, then arrays."""
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        docs, text = _in_order(docs)
-        held = docs.column("held_out").to_numpy()
-        lookup, begin, rows = _Lookup(answers, unknown), 0, []
-        for i, j, seq, at in _sequences(text):
-            base, known, score = lookup.state(seq, at)
-            total = np.concatenate([[0], np.cumsum(known)])
-            vocabulary, symbols = np.unique(seq, return_inverse=True)
-            symbols = symbols.astype(np.min_scalar_type(len(vocabulary)))
-            arrays = at.astype(np.int64), held[i:j].astype(bool), vocabulary, symbols, score, np.diff(total[at]), np.add.reduceat(base, at[:-1]), score[at[:-1] + 1]
-            rows.append((docs.column("piece")[0].as_py(), i, begin, *(x.tobytes() for x in arrays)))
-            begin += len(seq)
-        kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 8]
-        names = [x.split()[0] for x in _STATE.split(", ")]
-        return pa.Table.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
+def _left_tokens(first: int, last: int, ranges: int, share: int, shares: int, wide: bool):
+    """The tokens that a pass left, by the hash of the ``first`` words before them."""
+    def run(pieces: pa.Table, given: pa.Table) -> pa.Table:
+        out = []
+        if pieces.num_rows and given.num_rows:
+            x = _Piece(wide, *(pieces.column(c)[0].as_py() for c in _STORED))
+            some, score = _flat(given.column("place"), np.uint32).astype(np.int64), _flat(given.column("score"), np.float64)
+            order = np.argsort(some, kind="stable")
+            some, score = some[order], score[order]
+            key = words.grams(x.numbers[x.symbols].astype(U), first)[some - first]
+            of = ((key >> U(20)) % U(ranges * shares)).astype(np.int64)
+            mine = of % shares == share
+            out.append(x.dealt(first, last, some[mine], key[mine], score[mine], of[mine] // shares, share, shares))
+        return pa.Table.from_batches(out, pa.schema([("range", pa.int64()), ("piece", pa.int64()), *((c, pa.binary()) for c in _NAMES[2:])]))
 
     return run
 
 
-def _dealt(first: int, last: int, ranges: int, share: int, shares: int, piece: int, begin: int, row: int, held: np.ndarray, seq: np.ndarray, at: np.ndarray,
-           some: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
-    """Of the tokens ``some`` of a chunk those with at least ``first`` words (or the
-    start mark) before them, packed by range, those of one share."""
-    rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    before = some - at[rows[some]]
-    ok = before >= first
-    some, score, before = some[ok], score[ok], before[ok]
-    key = words.grams(seq, first)[some - first] if len(some) else some.astype(np.uint64)
-    of = ((key >> np.uint64(40)) % np.uint64(ranges * shares)).astype(np.int32)
-    order = np.flatnonzero(of % shares == share)
-    order = order[np.argsort(of[order], kind="stable")]
-    some, score, before, key, of = some[order], score[order], before[order], key[order], of[order]
-    x = np.zeros(len(some), _token(last, first))
-    x["key"], x["word"], x["score"], x["place"], x["row"] = key, seq[some], score, some + begin, rows[some] + row
-    x["bits"] = held[rows[some]] + 2 * (before > last)
-    for k in range(first + 1, last + 1):
-        x[f"c{k}"] = np.where(before >= k, seq[np.maximum(some - k, 0)], np.uint64(0))
-    spans = list(_runs(of))
-    return pa.RecordBatch.from_arrays([pa.array([of[i] for i, _ in spans], pa.int32()), pa.array([piece] * len(spans), pa.int64()),
-                                       pa.array([x[i:j].tobytes() for i, j in spans], pa.binary())], names=["range", "piece", "tokens"])
-
-
-_DEALT = "range int, piece long, tokens binary"
-
-
-def _all_tokens(*how):
-    """All tokens, from the stored symbols."""
+_GRAMS = "contexts binary, words binary, word_times binary, times binary"
+
+
+def _requests(orders: tuple[int, ...], ranges: int, wide: bool, hot: _Hot):
+    """The distinct grams of two behind hot words of each piece with their counts in
+    training rows, packed by hash range."""
+    assert orders == ORDERS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece, row, begin, *raw in zip(*(c.to_pylist() for c in batch.columns)):
-                at, held, vocabulary, score = (np.frombuffer(raw[k], t) for k, t in ((0, np.int64), (1, bool), (2, np.uint64), (4, np.float64)))
-                seq = vocabulary[np.frombuffer(raw[3], np.min_scalar_type(len(vocabulary)))]
-                yield _dealt(*how, piece, begin, row, held, seq, at, np.arange(len(seq)), score)
+            for raw in zip(*(c.to_pylist() for c in batch.columns)):
+                x = _Piece(wide, *raw)
+                some = x.behind(hot.find(x.numbers) >= 0)
+                some = some[np.repeat(~x.held, np.diff(x.at))[some]]
+                grams, n = np.unique(x.symbols[some - 1].astype(U) << U(32) | x.symbols[some].astype(U), return_counts=True)
+                context, word = x.numbers[grams >> U(32)], x.numbers[grams & U(0xFFFFFFFF)]
+                order, of, cuts = _by_range(ranges, words.mix(words.mix(context.astype(U)) + word))
+                columns = context[order], word[order], x.times[grams & U(0xFFFFFFFF)].astype(np.int64)[order], _small(n)[order]
+                yield pa.RecordBatch.from_arrays([pa.array(of), *(_packed(c, cuts) for c in columns)], names=["range", "contexts", "words", "word_times", "times"])
 
     return run
 
 
-def _left_tokens(*how):
-    """The tokens that a pass left, from the text."""
-    def run(docs: pa.Table, given: pa.Table) -> pa.Table:
-        docs, text = _in_order(docs)
-        held = docs.column("held_out").to_numpy().astype(bool)
-        todo, so_far = (np.frombuffer(b"".join(given.column(c).to_pylist()), t) for c, t in (("place", np.uint32), ("score", np.float64)))
-        order = np.argsort(todo, kind="stable")
-        todo, so_far, out, begin = todo[order].astype(np.int64), so_far[order], [], 0
-        for i, j, seq, at in _sequences(text) if len(todo) else ():
-            a, b = np.searchsorted(todo, [begin, begin + len(seq)])
-            if a < b:
-                out.append(_dealt(*how, docs.column("piece")[0].as_py(), begin, i, held[i:j], seq, at, todo[a:b] - begin, so_far[a:b]))
-            begin += len(seq)
-        return pa.Table.from_batches(out, pa.schema([("range", pa.int32()), ("piece", pa.int64()), ("tokens", pa.binary())]))
+def _frequent(wide: bool):
+    """The grams of a range that occur ``LEAST`` times."""
+    def run(asked: pa.Table) -> pa.Table:
+        kind = U if wide else np.uint32
+        context, word, word_times = (_flat(asked.column(c), t) for c, t in (("contexts", kind), ("words", kind), ("word_times", np.int64)))
+        raw = asked.column("contexts").to_pylist()
+        times = np.concatenate([_sized(x, len(c) // np.dtype(kind).itemsize).astype(np.int64) for x, c in zip(asked.column("times").to_pylist(), raw)])
+        order = np.lexsort((word, context))
+        context, word, word_times = context[order], word[order], word_times[order]
+        new = np.flatnonzero(_edges(context) | _edges(word))
+        n = np.add.reduceat(times[order], new)
+        new, n = new[n >= LEAST], n[n >= LEAST]
+        return pa.Table.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (context[new], word[new], word_times[new], n)], names=[x.split()[0] for x in _GRAMS.split(", ")])
 
     return run
 
 
-def _grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each distinct hash and the number of each one's hash."""
-    _, first, of = np.unique(h, return_index=True, return_inverse=True)
-    return first, of
+def _of_grams(wide: bool, raw: tuple) -> tuple[np.ndarray, ...]:
+    """Contexts, words, the words' counts and the grams' own, as ``_frequent`` wrote them."""
+    kind = U if wide else np.uint32
+    return tuple(np.frombuffer(x, t) for x, t in zip(raw, (kind, kind, np.int64, np.int64)))
+
 
+_STATISTICS = "hot int, k double, seen double, gain double"
+
+
+def _statistics(all_words: int, wide: bool, hot: _Hot, rest: np.ndarray | None = None):
+    """What the frequent grams add up to by hot word: how many, how often; with the
+    contexts' ``rest`` also what they gain over the words alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in zip(*(c.to_pylist() for c in batch.columns)):
+                context, _, word_times, n = _of_grams(wide, raw)
+                of = hot.find(context)
+                there, place = np.unique(of, return_inverse=True)
+                inside = lambda v: np.bincount(place, v, len(there))
+                parent = (word_times + 1) / all_words
+                gain = n * np.log(((n - DISCOUNT) / hot.times[of] + rest[of] * parent) / parent) if rest is not None else np.zeros(len(n))
+                yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), *(pa.array(inside(v)) for v in (np.ones(len(n)), n, gain))], names=["hot", "k", "seen", "gain"])
+
+    return run
+
+
+def _hot_grams(all_words: int, ranges: int, share: int, shares: int, wide: bool, hot: _Hot):
+    """The frequent grams behind retained hot words, with log10 of p, for each range that
+    their tokens go to, as tokens of no piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in zip(*(c.to_pylist() for c in batch.columns)):
+                context, word, word_times, n = _of_grams(wide, raw)
+                for i, j in zip(cuts := np.flatnonzero(_edges(context)), [*cuts[1:], len(context)]):
+                    at = hot.find(context[i : i + 1])[0]
+                    if np.isnan(hot.rest[at]):
+                        continue
+                    p = np.log10((n[i:j] - DISCOUNT) / hot.times[at] + 10.0 ** hot.rest[at] * (word_times[i:j] + 1) / all_words)
+                    of = np.unique(_spot(ranges * shares, np.full(hot.parts[at], context[i]), np.arange(hot.parts[at])))
+                    columns = context[i:j], word[i:j], b"", p, b"", b""
+                    for to in of[of % shares == share]:
+                        yield pa.RecordBatch.from_arrays([pa.array([to]), pa.array([-1], pa.int64()), *(pa.array([bytes(c)], pa.binary()) for c in columns)], names=_NAMES)
+
+    return run
 
-def _grow(x: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
-    """Count, test and score the contexts of ``first`` to ``last`` words of one range:
-    log10 of each token's probability, which tokens have a retained context of
-    ``last`` words, and by length the retained contexts with rest and grams with p."""
-    score, weight, levels = x["score"].copy(), (x["bits"] & 1 == 0).astype(np.float64), []
-    some, h = np.arange(len(x)), x["key"].copy()
+
+def _hot_levels(all_words: int, wide: bool, hot: _Hot):
+    """The retained contexts of hot words and their grams, of the tree."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in zip(*(c.to_pylist() for c in batch.columns)):
+                context, word, word_times, n = _of_grams(wide, raw)
+                of = hot.find(context)
+                good = ~np.isnan(hot.rest[of])
+                context, word, word_times, n, of = (x[good] for x in (context, word, word_times, n, of))
+                p = np.log10((n - DISCOUNT) / hot.times[of] + 10.0 ** hot.rest[of] * (word_times + 1) / all_words)
+                own, at = np.unique(context, return_index=True)
+                h, rest = np.concatenate([_gram(context, word), own.astype(U)]), np.concatenate([np.full(len(p), np.nan), hot.rest[of[at]]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), 2, np.int32)), pa.array(h.view(np.int64)), pa.array(np.concatenate([p, np.full(len(own), np.nan)]), from_pandas=True),
+                                                  pa.array(rest, from_pandas=True)], names=["order", "h", "p", "rest"])
+
+    return run
+
+
+def _passed(k: np.ndarray, total: np.ndarray, seen: np.ndarray, rest: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """The divergence test of contexts: ``k`` grams seen ``seen`` times of ``total``, and
+    what these gain over the parent."""
+    return (k > 0) & (gain + (total - seen) * np.log(rest) > k * 0.5 * np.log(np.maximum(total, 1.0)))
+
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones."""
+    return np.unique(x, return_inverse=True)[1].astype(U)
+
+
+def _tested(context: np.ndarray, word: np.ndarray, weight: np.ndarray, score: np.ndarray):
+    """Tokens (word) behind contexts, both below 2^32, with their weight in training
+    and log10 of their probability given the parent: the same given the context where it
+    is retained, and whether it is; for each retained context one of its tokens and
+    log10 of the rest, for each of its grams one token and log10 of p."""
+    key = context << U(32) | word
+    order = np.argsort(key)
+    key = key[order]
+    new = _edges(key)
+    lead = np.flatnonzero(new)
+    gram, n = np.cumsum(new) - 1, np.add.reduceat(weight[order], lead)
+    new = _edges(key[lead] >> U(32))
+    of, heads = np.cumsum(new) - 1, order[lead[new]]
+    total = np.add.reduceat(n, np.flatnonzero(new))
+    before = score[order[lead]]
+    entry = np.flatnonzero(n >= LEAST)
+    inside = lambda v: np.bincount(of[entry], v, len(heads))
+    parent, part = 10.0 ** before[entry], (n[entry] - DISCOUNT) / total[of[entry]]
+    rest = np.maximum(1.0 - inside(part), LEAST_REST)
+    p = part + rest[of[entry]] * parent
+    good = _passed(inside(np.ones(len(entry))), total, inside(n[entry]), rest, inside(n[entry] * np.log(p / parent)))
+    now, kept, own = np.log10(rest)[of] + before, good[of], good[of[entry]]
+    now[entry] = np.log10(p)
+    out, retained = np.empty_like(score), np.empty(len(score), dtype=bool)
+    out[order], retained[order] = np.where(kept, now, before)[gram], kept[gram]
+    return out, retained, (heads[good], np.log10(rest[good]), order[lead[entry[own]]], np.log10(p[own]))
+
+
+def _grow(first: int, last: int, some: np.ndarray, key: np.ndarray, word: np.ndarray, more: np.ndarray, weight: np.ndarray, score: np.ndarray, wide: bool, emit: bool):
+    """Count, test and score the contexts of ``first`` (behind the tokens ``some``) to
+    ``last`` words of one range: log10 of each token's probability, which tokens have a
+    retained context of ``last`` words, and with ``emit`` by length the retained contexts
+    with rest and grams with p."""
+    levels, retained = [], np.zeros(len(key), dtype=bool)
+    h, symbol = key.astype(U), _dense(word) if wide else word.astype(U)
+    context = _dense(key) if key.dtype == U else h.copy()
     for length in range(first, last + 1):
         if length > first:
-            more = x[f"c{length}"][some]
-            some, h = some[more != 0], words.mix(words.mix(h[more != 0]) + more[more != 0])
-        lead, context = _grouped(h)
-        heads = h[lead]
-        grams = words.mix(words.mix(h ^ END) + x["word"][some])
-        lead, gram = _grouped(grams)
-        n, whole = np.bincount(gram, weight[some], len(lead)), np.bincount(context, weight[some], len(heads))
-        of, parent = context[lead], 10.0 ** score[some[lead]]
-        entry = np.flatnonzero(n >= LEAST)
-        inside = lambda v: np.bincount(of[entry], v, len(heads))
-        part = (n[entry] - DISCOUNT) / whole[of[entry]]
-        rest = np.maximum(1.0 - inside(part), 1e-12)
-        p = np.full(len(lead), np.nan)
-        p[entry] = part + rest[of[entry]] * parent[entry]
-        k, seen = inside(np.ones(len(entry))), inside(n[entry])
-        gain = inside(n[entry] * np.log(p[entry] / parent[entry])) + (whole - seen) * np.log(rest)
-        good = (k > 0) & (gain > k * 0.5 * np.log(np.maximum(whole, 1.0)))
-        ok = good[context]
-        kept = entry[good[of[entry]]]
-        levels.append((length, heads[good], np.log10(rest[good]), grams[lead[kept]], np.log10(p[kept])))
-        some, h, gram, context = some[ok], h[ok], gram[ok], context[ok]
-        score[some] = np.where(n[gram] >= LEAST, np.log10(p[gram]), np.log10(rest[context]) + score[some])
-    left = np.zeros(len(x), dtype=bool)
-    left[some] = True
-    return score, left, levels
+            column = more[:, length - first - 1]
+            # contexts of one and two words are all tested
+            some = np.flatnonzero((column != NONE) & retained if length > 2 else column != NONE)
+            column = column[some]
+            if emit:
+                h[some] = words.mix(words.mix(h[some]) + column)
+            of = _dense(context[some] << U(32) | (_dense(column) if wide else column))
+            context[some] = of
+            some = some[(np.bincount(of.astype(np.int64), weight[some]) >= LEAST)[of]] if len(some) else some
+        retained[:] = False
+        if len(some):
+            score[some], retained[some], (heads, rest, grams, p) = _tested(context[some], symbol[some], weight[some], score[some])
+            if emit:
+                levels.append((length, h[some[heads]], rest, _gram(h[some[grams]], word[some[grams]]), p))
+    return score, retained, levels
+
+
+def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a context's hash and a word's number."""
+    return words.mix(words.mix(context.astype(U) ^ END) + word)
 
 
 _SUMS = "piece long, rows binary, sums binary, place binary, score binary"
 _LEVELS = "order int, h long, p double, rest double"
 
 
-def _range(first: int, last: int, emit: bool):
+def _range(first: int, last: int, all_words: int, wide: bool, hot: _Hot, emit: bool):
     """Of the tokens of a range: each piece's sums of log10 by row, and the tokens
     that need longer contexts; with ``emit`` also the retained contexts and grams."""
-    kind = _token(last, first)
+    kind = np.dtype(U if wide else np.uint32)
+
+    def joined(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return _gram(context, word) if wide else context.astype(U) << U(32) | word
 
     def run(met: pa.Table) -> pa.Table:
-        raw = met.column("tokens").to_pylist()
-        pieces, ends = met.column("piece").to_pylist(), np.cumsum([0, *(len(r) // kind.itemsize for r in raw)])
-        score, left, levels = _grow(x := np.frombuffer(b"".join(raw), kind), first, last)
-        left &= x["bits"] & 2 != 0
-        columns = [[], [], [], [], []]
-        for piece, i, j in zip(pieces, ends[:-1], ends[1:]):
-            on = left[i:j]
-            rows, of = np.unique(x["row"][i:j][~on], return_inverse=True)
-            sums = np.bincount(of, score[i:j][~on], len(rows))
-            for c, v in zip(columns, (piece, rows.astype(np.int32).tobytes(), sums.tobytes(), x["place"][i:j][on].tobytes(), score[i:j][on].tobytes())):
-                c.append(v)
-        table = pa.Table.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["piece", "rows", "sums", "place", "score"])
+        pieces = met.column("piece").to_numpy()
+        met, given = met.filter(pa.array(pieces >= 0)), met.filter(pa.array(pieces < 0))
+        pieces = met.column("piece").to_numpy()
+        sizes = np.array([len(x) // kind.itemsize for x in met.column("word").to_pylist()], np.int64)
+        cuts = np.cumsum([0, *sizes])
+        word, more = _flat(met.column("word"), kind), _flat(met.column("more"), kind).reshape(-1, last - first) if last > first else np.zeros((cuts[-1], 0), kind)
+
+        def steps(name: str) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.int64), *(_sized(x, n).astype(np.int64) for x, n in zip(met.column(name).to_pylist(), sizes))])
+
+        def summed(x: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(x)])
+            return total[1:] - np.repeat(total[cuts[:-1]], sizes)
+
+        bits, place = steps("row"), summed(steps("place"))
+        row, weight, some = summed(bits >> 2), 1.0 - (bits & 1), np.arange(len(bits))
+        if first > 1:
+            key, score = _flat(met.column("key"), U), _flat(met.column("value"), np.float64).copy()
+        else:
+            key, score = _flat(met.column("key"), kind), np.log10((_flat(met.column("value"), np.int64) + 1) / all_words)
+            of = hot.find(key)
+            some, heavy = np.flatnonzero(of < 0), np.flatnonzero((of >= 0) & ~np.isnan(hot.rest[of]) if len(hot.rest) else of >= 0)
+            if len(heavy):
+                # what follows a hot word: its grams' probabilities are known, the others get its rest
+                grams, which = np.unique(joined(key[heavy], word[heavy]), return_inverse=True)
+                p = np.full(len(grams), np.nan)
+                for context, own, known in zip(*(given.column(c).to_pylist() for c in ("key", "word", "value"))):
+                    asked = joined(np.frombuffer(context, kind), np.frombuffer(own, kind))
+                    at = np.minimum(np.searchsorted(grams, asked), len(grams) - 1)
+                    there = grams[at] == asked
+                    p[at[there]] = np.frombuffer(known, np.float64)[there]
+                p = p[which]
+                score[heavy] = np.where(np.isnan(p), hot.rest[of[heavy]] + score[heavy], p)
+        score, left, levels = _grow(first, last, some, key, word, more, weight, score, wide, emit)
+        left &= bits & 2 != 0
+        packet = np.repeat(np.arange(len(sizes)), sizes)
+        lead = np.flatnonzero(_edges(packet) | _edges(row))
+        sums = np.add.reduceat(np.where(left, 0.0, score), lead) if len(lead) else score
+        ends, stay = np.searchsorted(lead, cuts), np.searchsorted(np.flatnonzero(left), cuts)
+        columns = _packed(row[lead].astype(np.uint32), ends), _packed(sums, ends), _packed(place[left].astype(np.uint32), stay), _packed(score[left], stay)
+        table = pa.Table.from_arrays([pa.array(pieces), *columns], names=["piece", "rows", "sums", "place", "score"])
         if not emit:
             return table
-        parts = [(np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))]
+        parts = [(np.zeros(0, np.int32), np.zeros(0, U), np.zeros(0), np.zeros(0))]
         for length, contexts, rest, grams, p in levels:
             parts.append((np.full(len(contexts), length + 1, np.int32), contexts, np.full(len(contexts), np.nan), rest))
             parts.append((np.full(len(grams), length + 1, np.int32), grams, p, np.full(len(grams), np.nan)))
@@ -495,37 +607,25 @@ def _range(first: int, last: int, emit: bool):
     return run
 
 
-def _finished(docs: pa.Table, given: pa.Table) -> pa.Table:
-    """Each row's result: its base, its first token, and the sums of the ranges."""
-    docs = docs.sort_by("row")
-    n = docs.num_rows
-    n_tokens, n_known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-    for row, raw_at, raw_known, raw_base, raw_first, raw_rows, raw_sums in zip(*(given.column(c).to_pylist() for c in ("row", "at", "known", "base", "first", "rows", "sums"))):
-        if raw_at is None:
-            score += np.bincount(np.frombuffer(raw_rows, np.int32), np.frombuffer(raw_sums, np.float64), n)
-        else:
-            at = np.frombuffer(raw_at, np.int64)
-            own = slice(row, row + len(at) - 1)
-            n_tokens[own], n_known[own], base[own] = np.diff(at) - 1, np.frombuffer(raw_known, np.int64), np.frombuffer(raw_base, np.float64)
-            score[own] += np.frombuffer(raw_first, np.float64)
-    columns = [pa.array(x) for x in (n_tokens, n_known, base, score)]
-    return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-
-def _retained(entries: DataFrame) -> DataFrame:
-    """Of entries (context, gram, n, context_n, parent_p) those whose contexts pass the
-    divergence test, kept: context, gram, p (the symbol's probability) and rest."""
-    a = (F.col("n") - DISCOUNT) / F.col("context_n")
-    entries = keep(entries, "lm-entries", True)
-    mass = entries.groupBy("context").agg(F.sum(a).alias("mass"), F.sum("n").alias("seen"), F.count("*").alias("k"))
-    rest = F.greatest(F.lit(1.0) - F.col("mass"), F.lit(1e-12))
-    each = keep(entries.join(mass, "context").withColumn("rest", rest).withColumn("p", a + F.col("rest") * F.col("parent_p")), "lm-each", True)
-    discard(entries)
-    gain = F.sum(F.col("n") * F.log(F.col("p") / F.col("parent_p"))) + F.max((F.col("context_n") - F.col("seen")) * F.log("rest"))
-    good = each.groupBy("context").agg(gain.alias("gain"), F.max(F.col("k") * 0.5 * F.log("context_n")).alias("cost")).filter("gain > cost").select("context")
-    out = keep(each.join(good, "context", "left_semi").select("context", "gram", "p", "rest"), "lm-level", True)
-    discard(each)
-    return out
+def _folded(met: pa.Table) -> pa.Table:
+    """What the ranges of a share say of one piece: its rows' sums, the tokens left."""
+    rows = _flat(met.column("rows"), np.uint32)
+    sums = np.bincount(rows.astype(np.int64), _flat(met.column("sums"), np.float64)).astype(np.float64)
+    columns = sums.tobytes(), b"".join(met.column("place").to_pylist()), b"".join(met.column("score").to_pylist())
+    return pa.Table.from_arrays([met.column("piece").slice(0, 1), *(pa.array([x], pa.binary()) for x in columns)], names=["piece", "sums", "place", "score"])
+
+
+def _finished(pieces: pa.Table, given: pa.Table) -> pa.Table:
+    """Each row's result: its base and the sums of all shares and passes."""
+    raw = {c: pieces.column(c)[0].as_py() for c in ("held", "at", "known", "base")}
+    n_tokens = np.diff(np.frombuffer(raw["at"], np.int64)) - 1
+    score = np.zeros(len(n_tokens))
+    for x in given.column("sums").to_pylist():
+        sums = np.frombuffer(x, np.float64)
+        score[: len(sums)] += sums
+    columns = np.frombuffer(raw["held"], bool), n_tokens, np.frombuffer(raw["known"], np.int64), np.frombuffer(raw["base"], np.float64), score
+    return pa.Table.from_arrays([pieces.column("doc_id").combine_chunks().flatten(), *(pa.array(x) for x in columns)],
+                                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
 
 def _slots(level: DataFrame) -> np.ndarray:
@@ -536,114 +636,107 @@ def _slots(level: DataFrame) -> np.ndarray:
     return out
 
 
-def _first_level(pieces: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:
-    """Of a kept table of piece and text: a table of h (of a token, gram or context), p
-    (log10, of a token or gram of two) and rest (log10, of a context of one); the slots
-    of these contexts, the number of tokens, of distinct ones."""
-    spark = pieces.sparkSession
-    first = keep(pieces.select("text").mapInArrow(_first_pass, _FIRST), "lm-first", True)
-    tokens = keep(first.filter("h is not null").groupBy("h").agg(F.sum("n").alias("n")), "lm-tokens", True)
-    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    enough = {n: sketch.gather(first.filter((F.col("order") == n) & F.col("block").isNotNull()).select("block", "salt", "counts")) >= LEAST for n in ORDERS}
-    discard(first)
-
-    ranges = max(1, -(-total // RANGE))
-    shared = spark.sparkContext.broadcast((2, ranges, enough[2]))
-
-    def occurrences(batches):
-        return _occurrences(*shared.value)(batches)
-
-    asked = pieces.mapInArrow(occurrences, "range int, piece long, hashes binary, times binary")
-    owned = keep(asked.groupBy("range").applyInArrow(_owners, "piece long, hashes binary, times binary"), "lm-owned", True)
-    pairs = keep(pieces.groupBy("piece").cogroup(owned.groupBy("piece")).applyInArrow(_described(2), _GRAMS), "lm-grams", True)
-    discard(owned)
-    unigram = tokens.select(F.col("h").alias("word"), ((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("parent_p"))
-    starts = pieces.agg(F.lit(int(START)).cast("long").alias("h"), F.count("*").alias("n"))
-    of_word = tokens.select("h", "n").union(starts).select(F.col("h").alias("context"), F.col("n").alias("context_n"))
-    one = pairs.join(unigram, "word").join(of_word, "context")
-    level = _retained(one.select("context", "gram", "n", "context_n", "parent_p"))
-    discard(pairs)
-    slots = _slots(level)
-    nothing = F.lit(None).cast("double")
-    rows = tokens.select("h", F.log10((F.col("n") + 1) / F.lit(total + distinct + 1)).alias("p"), nothing.alias("rest"))
-    rows = rows.union(level.select(F.col("gram").alias("h"), F.log10("p").alias("p"), nothing.alias("rest")))
-    rows = rows.union(level.groupBy(F.col("context").alias("h")).agg(nothing.alias("p"), F.log10(F.first("rest")).alias("rest")))
-    tree = keep(rows.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree", True)
-    discard(tokens, level)
-    return tree, slots, total, distinct
-
-
-def _answers(pieces: DataFrame, tree: DataFrame, slots: np.ndarray, total: int) -> DataFrame:
-    """What the first level knows of the hashes of each piece: piece, found; kept."""
-    ranges = max(1, -(-2 * total // RANGE))
-    shared = pieces.sparkSession.sparkContext.broadcast(slots)
-
-    def requests(batches):
-        return _requests((2,), {2: shared.value}, ranges)(batches)
-
-    asked = pieces.select("piece", "text").mapInArrow(requests, "range int, piece long, hashes binary")
-    known = tree.select((F.shiftrightunsigned("h", 40) % ranges).cast("int").alias("range"), "h", *(F.coalesce(c, F.lit(float("nan"))).alias(c) for c in ("p", "rest")))
-    return keep(asked.groupBy("range").cogroup(known.groupBy("range")).applyInArrow(_answer, "piece long, found binary"), "lm-answers", True)
-
-
-def _stored(pieces: DataFrame, answers: DataFrame, total: int, distinct: int) -> DataFrame:
-    """The symbols of all pieces with what the first level says of them; kept. The
-    pieces meet their answers in ``SHARES`` shares, one after the other."""
-    slim = pieces.select("piece", "row", "held_out", "text")
-    found = _first_scores(-float(np.log10(total + distinct + 1)))
-    parts = []
-    for share in range(SHARES):
-        own = F.pmod(F.xxhash64("piece"), F.lit(SHARES)) == share
-        parts.append(slim.filter(own).groupBy("piece").cogroup(answers.filter(own).groupBy("piece")).applyInArrow(found, _STATE))
-    out = keep_parts(parts, "lm-symbols")
-    discard(answers)
-    return out
-
-
-def _passes(pieces: DataFrame, stored: DataFrame, total: int, emit: bool = False) -> list[DataFrame]:
-    """The kept results of the passes by context, one pass after the other until no
-    token is left."""
-    first, last = FIRST
-    tokens, done = total, []
-    slim = pieces.select("piece", "row", "held_out", "text")
-    schema = _SUMS + (", " + _LEVELS if emit else "")
-    with short_batches(pieces.sparkSession, AT_ONCE):
+def _answers(pieces: DataFrame, ranges: int, exact: bool) -> DataFrame:
+    """The numbers and counts of the words of each piece; kept."""
+    asked = pieces.select("piece", "vocabulary", "times").mapInArrow(_asked(ranges), "range int, piece long, hashes binary, times binary")
+    return keep(asked.groupBy("range").applyInArrow(_numbers(ranges, MEET, exact), _ANSWER), "lm-answers", True)
+
+
+class _Corpus:
+    """A table (doc_id, held_out, text) as numbered pieces, kept, with the frequent
+    grams of its hot words, kept (if any); the number of tokens, of training tokens and
+    of distinct ones. ``exact``: words are numbered by their hashes."""
+
+    def __init__(self, docs: DataFrame, exact: bool = False):
+        kind = docs.schema["doc_id"].dataType.simpleString()
+        pieces = keep(docs.mapInArrow(_pieces, f"piece long, doc_id array<{kind}>, {_PIECE}"), "lm-pieces", True)
+        own = pieces.agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in (F.col("size"), F.col("trained"), F.length("vocabulary") / 8))).first()
+        self.size, self.total, hashes = own
+        ranges = max(1, -(-hashes // RANGE))
+        answers = _answers(pieces, ranges, exact)
+        self.distinct, wide = answers.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.max("wide"), F.lit(False))).first()
+        self.wide, self.all_words = wide, self.total + self.distinct + 1
+        hot = answers.filter(F.length("hot") > 0).select("hot", "hot_times").toArrow()
+        self.hot = _Hot(np.concatenate([np.zeros(0, U), *(_sized(x, len(n) // 8) for x, n in zip(hot.column(0).to_pylist(), hot.column(1).to_pylist()))]), _flat(hot.column(1), np.int64), MEET)
+        numbered = pieces.drop("times", "size", "trained").groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(
+            _numbered(ranges, self.all_words, wide), f"piece long, doc_id array<{kind}>, {_NUMBERED}")
+        self.pieces, self.grams = keep(numbered, "lm-numbered", True), None
+        discard(pieces, answers)
+        self.stored = self.pieces.select(*_STORED)
+        if len(self.hot.numbers):
+            ranges = max(1, -(-int(self.hot.times.sum()) // RANGE))
+            asked = self.stored.mapInArrow(_requests(ORDERS, ranges, wide, self.hot), f"range int, {_GRAMS}")
+            self.grams = keep(asked.groupBy("range").applyInArrow(_frequent(wide), _GRAMS), "lm-grams", True)
+            k, seen, _ = self._summed_up()
+            rest = np.maximum(1.0 - (seen - DISCOUNT * k) / self.hot.times, LEAST_REST)
+            good = _passed(k, self.hot.times, seen, rest, self._summed_up(rest)[2])
+            self.hot.rest = np.where(good, np.log10(rest), np.nan)
+
+    def _summed_up(self, rest: np.ndarray | None = None) -> np.ndarray:
+        """The hot words' statistics: k, seen, gain."""
+        out = np.zeros((3, len(self.hot.numbers)))
+        rows = self.grams.mapInArrow(_statistics(self.all_words, self.wide, self.hot, rest), _STATISTICS)
+        for of, *row in rows.groupBy("hot").agg(F.sum("k"), F.sum("seen"), F.sum("gain")).collect():
+            out[:, of] = row
+        return out
+
+    def done(self) -> None:
+        """Delete what only the passes read."""
+        if self.grams is not None:
+            discard(self.grams)
+
+    def passes(self, emit: bool = False) -> list[DataFrame]:
+        """The kept results of the passes by context, one pass after the other until no
+        token is left: sums by piece; with ``emit`` (by piece and range) the levels too."""
+        first, last, tokens, done = 1, FIRST[1], self.size, []
         while True:
-            shares = SHARES if not done else max(1, -(-SHARES * tokens // max(total, 1)))
+            shares = max(1, -(-SHARES * tokens // max(self.size, 1)))
             ranges = max(1, -(-tokens // (MEET * shares)))
             parts = []
             for share in range(shares):
-                how = first, last, ranges, share, shares
                 if done:
-                    dealt = slim.groupBy("piece").cogroup(given.groupBy("piece")).applyInArrow(_left_tokens(*how), _DEALT)
+                    dealt = self.stored.groupBy("piece").cogroup(given.groupBy("piece")).applyInArrow(_left_tokens(first, last, ranges, share, shares, self.wide), _DEALT)
                 else:
-                    dealt = stored.select("piece", "row", "begin", "at", "held", "vocabulary", "symbols", "score").mapInArrow(_all_tokens(*how), _DEALT)
-                parts.append(dealt.groupBy("range").applyInArrow(_range(first, last, emit), schema))
+                    dealt = self.stored.mapInArrow(_all_tokens(last, ranges, share, shares, self.wide, self.hot), _DEALT)
+                    if self.grams is not None:
+                        dealt = dealt.union(self.grams.mapInArrow(_hot_grams(self.all_words, ranges, share, shares, self.wide, self.hot), _DEALT))
+                found = dealt.groupBy("range").applyInArrow(_range(first, last, self.all_words, self.wide, self.hot, emit), _SUMS + (", " + _LEVELS if emit else ""))
+                parts.append(found if emit else found.groupBy("piece").applyInArrow(_folded, "piece long, sums binary, place binary, score binary"))
             done.append(keep_parts(parts, "lm-sums"))
             given = done[-1].filter(F.length("place") > 0).select("piece", "place", "score")
             tokens = given.agg(F.sum(F.length("place") / 4)).first()[0]
             if not tokens:
                 return done
-            tokens = int(tokens)
-            first, last = last + 1, last + MORE
+            first, last, tokens = last + 1, last + MORE, int(tokens)
 
 
 def learn(pieces: DataFrame) -> tuple[DataFrame, dict[int, np.ndarray], int, int]:
     """The tree of a table with a column text: h (of a token, gram or context), p
     (log10, of a token or gram), rest (log10, of a context); the sketch slots of the
     retained contexts by the length of their grams, the number of tokens, of distinct ones."""
-    pieces = keep(pieces.select(F.lit(False).alias("held_out"), "text").mapInArrow(_pieces, "piece long, row int, held_out boolean, text string"), "lm-pieces", True)
-    tree, slots, total, distinct = _first_level(pieces.select("piece", "text"))
-    stored = _stored(pieces, _answers(pieces, tree, slots, total), total, distinct)
-    passes = _passes(pieces, stored, total, True)
-    discard(stored, pieces)
-    by_length = {2: slots}
-    for kept in passes:
-        longer = kept.filter("h is not null")
-        tree = tree.union(longer.select("h", "p", "rest"))
-        for (n,) in longer.select("order").distinct().collect():
-            by_length[n] = _slots(longer.filter((F.col("order") == n) & F.col("rest").isNotNull()).withColumnRenamed("h", "context"))
-    return tree, {n: x for n, x in by_length.items() if x.any()}, total, distinct
+    with _batches(pieces.sparkSession):
+        corpus = _Corpus(pieces.select(F.lit(None).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text"), exact=True)
+        all_words, by_length = corpus.all_words, {}
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for numbers, times in zip(*(c.to_pylist() for c in batch.columns)):
+                    h = np.frombuffer(numbers, U)
+                    n = _sized(times, len(h)).astype(np.int64)[h != FIRST_MARK]
+                    yield pa.RecordBatch.from_arrays([pa.array(h[h != FIRST_MARK].view(np.int64)), pa.array(np.log10((n + 1) / all_words))], names=["h", "p"])
+
+        rows = corpus.pieces.select("numbers", "times").mapInArrow(tokens, "h long, p double")
+        tree = rows.select("h", "p", F.lit(None).cast("double").alias("rest"))
+        levels = [corpus.grams.mapInArrow(_hot_levels(all_words, corpus.wide, corpus.hot), _LEVELS)] if corpus.grams is not None else []
+        for longer in [*levels, *(kept.filter("h is not null") for kept in corpus.passes(True))]:
+            tree = tree.union(longer.select("h", "p", "rest"))
+            for (n,) in longer.select("order").distinct().collect():
+                by_length[n] = by_length.get(n, False) | _slots(longer.filter((F.col("order") == n) & F.col("rest").isNotNull()).withColumnRenamed("h", "context"))
+        # a word is in many pieces, a hot word's context in many ranges
+        tree = keep(tree.groupBy("h").agg(F.max("p").alias("p"), F.max("rest").alias("rest")), "lm-tree", True)
+        corpus.done()
+        discard(corpus.pieces)
+    return tree, {n: x for n, x in by_length.items() if x.any()}, corpus.total, corpus.distinct
 
 
 def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Column | None = None) -> DataFrame:
@@ -655,14 +748,13 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", held: Col
     With no training rows every token is unknown and has probability one."""
     slim = docs.select(F.col(doc_id).alias("doc_id"), (held_out(F.col(doc_id)) if held is None else held).alias("held_out"), F.col(text).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    pieces = keep(slim.mapInArrow(_pieces, f"piece long, row int, doc_id {kind}, held_out boolean, text string"), "lm-pieces", True)
-    tree, slots, total, distinct = _first_level(pieces.filter(~F.col("held_out")).select("piece", "text"))
-    answers = _answers(pieces, tree, slots, total)
-    discard(tree)
-    stored = _stored(pieces, answers, total, distinct)
-    given = stored.select("piece", "row", "at", "known", "base", "first", *(F.lit(None).cast("binary").alias(c) for c in ("rows", "sums")))
-    for kept in _passes(pieces, stored, total):
-        given = given.union(kept.select("piece", *(F.lit(None).cast(t) for t in ("int", "binary", "binary", "binary", "binary")), "rows", "sums"))
-    scored = pieces.drop("text").groupBy("piece").cogroup(given.groupBy("piece")).applyInArrow(
+    with _batches(docs.sparkSession):
+        corpus = _Corpus(slim)
+        given = None
+        for kept in corpus.passes():
+            sums = kept.select("piece", "sums")
+            given = sums if given is None else given.union(sums)
+        corpus.done()
+    scored = corpus.pieces.select("piece", "doc_id", "held", "at", "known", "base").groupBy("piece").cogroup(given.groupBy("piece")).applyInArrow(
         _finished, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.total).cast("long").alias("train_tokens"), "base_score", "score")

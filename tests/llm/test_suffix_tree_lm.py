@@ -126,3 +126,49 @@ def test_many_small_ranges_and_passes_give_the_same_scores(spark, monkeypatch):
     assert [r[:5] for r in got] == [r[:5] for r in expected]
     for g, e in zip(sorted(r[5:] for r in got), sorted(r[5:] for r in expected)):
         assert g == pytest.approx(e, rel=1e-9)
+
+
+def test_tables_between_the_steps_hold_packed_rows(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(300)], k=200))) for i in range(300)]
+    written = []
+
+    def counted(write):
+        def run(*a, **k):
+            out = write(*a, **k)
+            written.append(out.count())
+            return out
+        return run
+
+    for name in ("keep", "keep_parts"):
+        monkeypatch.setattr(lm, name, counted(getattr(lm, name)))
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).agg(F.sum("n_tokens")).first()[0]
+    assert got == 300 * 201
+    # one row for each piece or each piece and range, not one for each word or gram
+    assert sum(written) < got / 500
+
+
+def test_hot_words_give_the_same_tree_and_scores(spark, monkeypatch):
+    rng = random.Random(3)
+    names = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(w for _ in range(30) for w in ("the", rng.choice(names), rng.choice(["of the", "of", "x y z"])))) for i in range(150)]
+    rows += [(1000 + i, "the") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def found():
+        tree, slots, total, distinct = lm.learn(df.select("text"))
+        scores = {(r.doc_id, r.n_tokens, r.n_known): (r.base_score, r.score) for r in lm.score(df).collect()}
+        return {r.h: (r.p, r.rest) for r in tree.fillna(9.0).collect()}, {n: x.sum() for n, x in slots.items()}, (total, distinct), scores
+
+    whole = found()
+    asked, requests = [], lm._requests
+    monkeypatch.setattr(lm, "_requests", lambda *a: (asked.append(a[-1].times), requests(*a))[1])
+    monkeypatch.setattr(lm, "MEET", 100)
+    hot = found()
+    assert len(asked) == 2 and all(len(x) > 10 and x.max() > 4000 for x in asked)  # also the start mark, 200 times
+    assert hot[1:3] == whole[1:3] and hot[0].keys() == whole[0].keys() and hot[3].keys() == whole[3].keys()
+    for a, b in ((hot[0], whole[0]), (hot[3], whole[3])):
+        for key in a:
+            assert a[key] == pytest.approx(b[key], rel=1e-9)
+    expected = plain(rows)[0]
+    assert sorted(s for _, s in hot[3].values()) == pytest.approx(sorted({r[0]: r[6] for r in expected}.values()), rel=1e-9)
