@@ -61,9 +61,9 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Bytes of text in a piece (or one row, if it is longer).
 PIECE = 6 << 20
 #: Hashes that a range gets from the whole corpus (on average).
-RANGE = 1 << 20
+RANGE = 1 << 19
 #: Tokens that meet in a range of contexts (on average), and the shares of the ranges.
-MEET, SHARES = 1 << 19, 3
+MEET, SHARES = 1 << 18, 3
 #: Bytes that a worker gets at once.
 AT_ONCE = 16 << 20
 #: Numbers of no word and of the start mark; words follow.
@@ -539,6 +539,7 @@ def _gram(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return words.mix(words.mix(context.astype(U) ^ END) + word)
 
 
+#: Rows are steps, places are not.
 _SUMS = "piece long, rows binary, sums binary, place binary, score binary"
 _LEVELS = "order int, h long, p double, rest double"
 
@@ -591,7 +592,8 @@ def _range(first: int, last: int, all_words: int, wide: bool, hot: _Hot, emit: b
         lead = np.flatnonzero(_edges(packet) | _edges(row))
         sums = np.add.reduceat(np.where(left, 0.0, score), lead) if len(lead) else score
         ends, stay = np.searchsorted(lead, cuts), np.searchsorted(np.flatnonzero(left), cuts)
-        columns = _packed(row[lead].astype(np.uint32), ends), _packed(sums, ends), _packed(place[left].astype(np.uint32), stay), _packed(score[left], stay)
+        rows = np.where(_edges(packet[lead]), row[lead], np.diff(row[lead], prepend=0))
+        columns = _packed(_small(rows), ends), _packed(sums, ends), _packed(place[left].astype(np.uint32), stay), _packed(score[left], stay)
         table = pa.Table.from_arrays([pa.array(pieces), *columns], names=["piece", "rows", "sums", "place", "score"])
         if not emit:
             return table
@@ -609,8 +611,9 @@ def _range(first: int, last: int, all_words: int, wide: bool, hot: _Hot, emit: b
 
 def _folded(met: pa.Table) -> pa.Table:
     """What the ranges of a share say of one piece: its rows' sums, the tokens left."""
-    rows = _flat(met.column("rows"), np.uint32)
-    sums = np.bincount(rows.astype(np.int64), _flat(met.column("sums"), np.float64)).astype(np.float64)
+    sums = [np.frombuffer(x, np.float64) for x in met.column("sums").to_pylist()]
+    rows = [np.cumsum(_sized(x, len(s)), dtype=np.int64) for x, s in zip(met.column("rows").to_pylist(), sums)]
+    sums = np.bincount(np.concatenate(rows), np.concatenate(sums)).astype(np.float64)
     columns = sums.tobytes(), b"".join(met.column("place").to_pylist()), b"".join(met.column("score").to_pylist())
     return pa.Table.from_arrays([met.column("piece").slice(0, 1), *(pa.array([x], pa.binary()) for x in columns)], names=["piece", "sums", "place", "score"])
 
