@@ -65,7 +65,7 @@ RANGE = 1 << 19
 #: Tokens that meet in a range of contexts (on average), and the shares of the ranges.
 MEET, SHARES = 1 << 18, 3
 #: Bytes that a worker gets at once.
-AT_ONCE = 16 << 20
+AT_ONCE = 8 << 20
 #: Numbers of no word and of the start mark; words follow.
 NONE, FIRST_MARK = 0, 1
 
